@@ -1,0 +1 @@
+"""genoframe streaming."""
