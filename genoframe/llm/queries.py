@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoframe.llm import language, toxicity
 from genoframe.llm.bpe import bpe_encode
+from genoframe.llm.jaccard import jaccard_components
+from genoframe.llm.sharding import SHARDS, assign_shards
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(key: str, parts: int):
+    """The remainder of a key's checksum, by which rows are held out."""
+    return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % parts
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     coded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -33,7 +41,52 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def learned_languages(docs: DataFrame) -> dict[str, bytes]:
+    return language.fit_dictionaries(docs.where(fold("doc_id", 4) != 2))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three folds of four."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, learned_languages(docs))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 16 shards of one mixture, by row counts."""
+    placed = assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are alike, by components of exact links."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def learned_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Field:
+    """A field fitted to the labels of four folds of five."""
+    known = labels.where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
+    return toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with the number of its offending spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, learned_toxicity(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op5_language": op5_language,
+    "op8_shards": op8_shards,
+    "op9_jaccard": op9_jaccard,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
