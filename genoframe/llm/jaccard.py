@@ -55,7 +55,8 @@ BUCKET = 2048
 FOLLOWERS = 64
 #: Rows up to which a table of ids is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-_SALT = 0x9E3779B97F4A7C15 - (1 << 64)
+#: A part's number is put over a shingle's hash from this bit on.
+PART_BIT = 39
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -141,7 +142,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                     # part 0 of a rare shingle; the parts of a frequent one are numbered from 1
                     parts = cost // BUCKET + 1
                     salt = np.where(cost > 0, 1 + (digest & 0xFFFFFF) % parts, 0).astype(np.uint64)
-                    buckets.append(s ^ salt * np.uint64(_SALT % (1 << 64)))
+                    buckets.append(s ^ salt << np.uint64(PART_BIT))
                     salts.append(salt.astype(np.int32))
                     ends.append(ends[-1] + len(s))
                     rows.append((doc, n, *halves, rare, wanted))
@@ -223,7 +224,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     of = Window.partitionBy("bucket")
     entries = entries.withColumn("leader", F.min(F.struct("rare", "doc", "n", "pos")).over(of)).withColumn("size", F.count(F.lit(1)).over(of))
     entries = entries.where("size > 1 OR salt > 0").drop("size")
-    entries = entries.withColumn("token", F.expr(f"bucket ^ (salt * {_SALT}L)"))
+    entries = entries.withColumn("token", F.expr(f"bucket ^ shiftleft(cast(salt AS bigint), {PART_BIT})"))
     entries = scratch.table(entries.drop("bucket"), "buckets")
 
     me = F.struct("n", "pos")
