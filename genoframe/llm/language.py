@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary: whole texts of a bounded,
-hash-chosen sample of its labelled rows. A text is compressed in blocks of
-``BLOCK_BYTES`` with every dictionary, and the smallest total names the language.
+hash-chosen sample of its labelled rows. Letters are lower-cased and whatever stands between runs of
+letters becomes a space. A text is then compressed in blocks of ``BLOCK_BYTES``
+with every dictionary, and the smallest total names the language.
 Blocks keep the dictionary's share in a long text's size; all of the text counts.
 
 The prediction is ``accepted`` where the runner-up needs at least
@@ -16,6 +17,7 @@ first; repeated rows give repeated results; columns that are not named are not r
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +31,18 @@ DICT_BYTES = 112 << 10
 MAX_LANGUAGES = 1000
 #: Longer texts aren't drawn for a dictionary.
 SAMPLE_CHARS = 40_000
-LEVEL = 3
+LEVEL = 9
 BLOCK_BYTES = 4096
-MIN_MARGIN_BYTES = 2
-MIN_MARGIN = 0.005
+MIN_MARGIN_BYTES = 1
+MIN_MARGIN = 0.001
 UNKNOWN = "und"
 
+_gaps = re.compile(r"[\W\d_]+").sub
+
+
+def letters(text: str) -> bytes:
+    return _gaps(" ", text.lower()).encode("utf-8")
+
 
 def hash_below(key, share):
     """Whether a row's hash lies in the lowest ``share`` of all hashes."""
@@ -55,7 +63,7 @@ def fit_dictionaries(labelled: DataFrame, key: str = "doc_id", text: str = "text
     texts: dict[str, list[str]] = {}
     for r in drawn.orderBy(F.xxhash64("key"), "text").limit(2 * SAMPLE_ROWS * len(counts)).collect():
         texts.setdefault(r["lang"], []).append(r["text"])
-    return {k: "\n".join(v).lower().encode("utf-8")[-DICT_BYTES:] for k, v in sorted(texts.items())}
+    return {k: letters("\n".join(v))[-DICT_BYTES:] for k, v in sorted(texts.items())}
 
 
 class Compressors:
@@ -68,7 +76,7 @@ class Compressors:
             self.codecs.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False).compress)
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.lower().encode("utf-8")
+        raw = letters(text)
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
         return [sum(len(c(b)) for b in blocks) for c in self.codecs]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from genoframe.llm import language, toxicity
 from genoframe.llm.bpe import bpe_encode
+from genoframe.llm.decontaminate import find_passages
 from genoframe.llm.jaccard import jaccard_components
 from genoframe.llm.sharding import SHARDS, assign_shards
 
@@ -52,6 +53,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold passages of."""
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 16 shards of one mixture, by row counts."""
     placed = assign_shards(table(spark, sf_dir, "documents"), SHARDS)
@@ -85,6 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_language": op5_language,
+    "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,

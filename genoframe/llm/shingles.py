@@ -42,19 +42,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sequence(h: np.ndarray) -> np.ndarray:
-    """The hash of each shingle, in the order of the text, from its words' hashes."""
-    n = len(h)
-    if not n:
-        return h
-    k = min(n, WORDS)
+def gram_sequence(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of ``k`` words, up to WORDS, from the words' hashes."""
     # a short text's one shingle must differ from any longer text's shingles
-    out = np.full(n - k + 1, np.uint64(0 if k == WORDS else k), dtype=np.uint64)
+    out = np.full(max(0, len(h) - k + 1), np.uint64(0 if k == WORDS else k), dtype=np.uint64)
     for j in range(k):
-        out += h[j : n - k + 1 + j] * _FACTORS[j]
+        out += h[j : j + len(out)] * _FACTORS[j]
     return mix(out)
 
 
+def shingle_sequence(h: np.ndarray) -> np.ndarray:
+    """The hash of each shingle, in the order of the text, from its words' hashes."""
+    return gram_sequence(h, min(len(h), WORDS)) if len(h) else h
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """The distinct shingles of a text, as sorted unsigned hashes."""
     return np.unique(shingle_sequence(word_hashes(words_of(text))))

@@ -34,8 +34,9 @@ from genoframe.llm.language import hash_below
 SAMPLE_TOXIC = 1200
 SAMPLE_OTHER = 4000
 SAMPLE_CHARS = 12_000
-#: A feature is toxic evidence from this log-likelihood ratio on.
-MIN_RATIO = 12.0
+#: A feature is toxic evidence from this log-likelihood ratio on, more than twice the
+#: logarithm of how many features are tried.
+RATIO_ABOVE = 6.0
 PREFIXES = (4, 5, 6)
 ROUNDS = 25
 #: Documents that are run through the chain together.
@@ -144,12 +145,13 @@ def fit_field(toxic: list[str], other: list[str], share_toxic: float | None = No
         seen[i >= n_tox].update({f for w in once for f in known[w]})
     # evidence: how much likelier a feature's documents are if its rates differ by kind
     evidence: dict[str, float] = {}
+    least = RATIO_ABOVE + 2 * np.log(1 + sum(k >= 2 for k in seen[0].values()))
     for f, k in seen[0].items():
         q = seen[1].get(f, 0)
         rate, both = k / n_tox, (k + q) / (n_tox + n_other)
         if k >= 2 and rate > 5 * (q + 0.1) / n_other:
             llr = 2 * (k * np.log(rate / both) + (q * np.log(q / n_other / both) if q else 0))
-            if llr >= MIN_RATIO:
+            if llr >= least:
                 evidence[f] = llr
     kept = [f for f, k in seen[0].items() if k + seen[1].get(f, 0) >= 3 and k] + [f for f, q in seen[1].items() if q >= 20 and f not in seen[0]]
     index = {f: i + 1 for i, f in enumerate(kept)}
