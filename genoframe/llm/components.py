@@ -24,10 +24,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) of every node that an
-    edge joins to another one. Nodes are longs; null ends, loops and repeated edges
-    count for nothing."""
+    edge joins to another one. Nodes are of any type that has an order; null ends, loops
+    and repeated edges count for nothing."""
     scratch = scratch or Scratch(edges.sparkSession)
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    x, y = F.col(a), F.col(b)
     now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"), x.isNotNull().alias("x"), y.isNotNull().alias("y"))
     now = scratch.table(now.where("x AND y AND u <> v").select("u", "v").distinct(), "edges")
     state = _state(now)

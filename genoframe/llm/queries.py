@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from genoframe.llm import language, toxicity
 from genoframe.llm.bpe import bpe_encode
 from genoframe.llm.decontaminate import find_passages
+from genoframe.llm.embeddings import near_duplicates
 from genoframe.llm.jaccard import jaccard_components
 from genoframe.llm.sharding import SHARDS, assign_shards
+from genoframe.llm.urls import judge, page_edges
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -42,6 +44,38 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host, path and verdict of the rules that pages are judged by.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES, page_edges(pages))
+
+
+#: Without redirects or canonical links in the table, a page without a rule is allowed.
+OP4_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), urls AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
+  FROM urls, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, 'allow') AS verdict
+FROM urls u LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON u.page_id = f.page_id
+"""
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label that nearly point the same way."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def learned_languages(docs: DataFrame) -> dict[str, bytes]:
     return language.fit_dictionaries(docs.where(fold("doc_id", 4) != 2))
 
@@ -90,10 +124,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_urls": op4_urls,
     "op5_language": op5_language,
+    "op6_embeddings": op6_embeddings,
     "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_urls": OP4_SQL,
+}
