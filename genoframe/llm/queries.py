@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from genoframe.llm import language, toxicity
 from genoframe.llm.bpe import bpe_encode
+from genoframe.llm.chat import link_calls, turns_as_calls
 from genoframe.llm.decontaminate import find_passages
 from genoframe.llm.embeddings import near_duplicates
 from genoframe.llm.jaccard import jaccard_components
@@ -33,6 +34,44 @@ def fold(key: str, parts: int):
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % parts
 
 
+#: The tools that conversations' turns are taken for.
+TOOLS = {
+    "ask": {"properties": {"text": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["text", "turn"]},
+    "configure": {"properties": {"text": {"type": "string"}}, "required": ["text"]},
+}
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn that asks or configures, linked with its answer, in order."""
+    linked = link_calls(*turns_as_calls(table(spark, sf_dir, "conversations")), TOOLS)
+    return linked.select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), "position", F.col("name").alias("tool"), "status", "valid", "canonical")
+
+
+#: For conversations whose turns are not repeated.
+OP1_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS id, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS tool, text FROM conversations WHERE role IN ('user', 'system')
+), linked AS (
+  SELECT c.*, r.text AS result, r.conv_id IS NOT NULL AS answered,
+         c.tool = 'ask' AND c.turn >= 2 AND d.conv_id IS NULL AS lost
+  FROM calls c LEFT JOIN (SELECT * FROM conversations WHERE role NOT IN ('user', 'system')) r ON c.conv_id = r.conv_id AND c.turn + 1 = r.turn
+  LEFT JOIN calls d ON c.conv_id = d.conv_id AND c.turn - 2 = d.turn
+), orphans AS (
+  SELECT r.conv_id, r.turn, r.conv_id || ':' || (r.turn - 1) AS id, r.text FROM conversations r
+  LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.turn + 1 = r.turn WHERE r.role NOT IN ('user', 'system') AND c.conv_id IS NULL
+), rows AS (
+  SELECT conv_id, id, 0 AS late, turn, tool, CASE WHEN answered THEN 'linked' ELSE 'missing_result' END AS status, text IS NOT NULL AND NOT lost AS valid,
+         CASE WHEN tool = 'ask' THEN '{"text":' || to_json(text) || ',"turn":' || turn || '}' ELSE '{"text":' || to_json(text) || '}' END AS arguments,
+         CASE WHEN tool = 'ask' AND turn >= 2 THEN '["' || conv_id || ':' || (turn - 2) || '"]' ELSE '[]' END AS depends, result FROM linked
+  UNION ALL SELECT conv_id, id, 1, turn, NULL, 'orphan_result', false, 'null', '[]', text FROM orphans
+)
+SELECT conv_id, id AS call_id, row_number() OVER (PARTITION BY conv_id ORDER BY late, turn, id) - 1 AS position, tool, status, valid,
+       '{"arguments":' || arguments || ',"depends_on":' || depends || ',"id":"' || id || '","name":' || coalesce('"' || tool || '"', 'null')
+         || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS canonical
+FROM rows
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     coded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -123,6 +162,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op3_bpe": op3_bpe,
     "op4_urls": op4_urls,
     "op5_language": op5_language,
@@ -133,5 +173,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op1_chat": OP1_SQL,
     "op4_urls": OP4_SQL,
 }
