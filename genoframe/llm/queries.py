@@ -15,6 +15,7 @@ from genoframe.llm.embeddings import near_duplicates
 from genoframe.llm.jaccard import jaccard_components
 from genoframe.llm.sharding import SHARDS, assign_shards
 from genoframe.llm.urls import judge, page_edges
+from genoframe.llm.warc import read_archives, write_archives
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -72,6 +73,23 @@ FROM rows
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives it was written to."""
+    records = read_archives(spark, write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "verified")
+
+
+OP2_SQL = """
+WITH sums AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+equal AS (SELECT sha1(body) AS digest, max(page_id) AS first FROM sums GROUP BY body)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN strlen(body) >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(body) >= 1000 AND page_id <> first THEN first END AS refers_to,
+       CASE WHEN strlen(body) >= 1000 AND page_id <> first THEN NULL ELSE true END AS verified
+FROM sums JOIN equal ON sha1(body) = digest
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     coded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -163,6 +181,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op4_urls": op4_urls,
     "op5_language": op5_language,
@@ -174,5 +193,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
+    "op2_warc": OP2_SQL,
     "op4_urls": OP4_SQL,
 }
