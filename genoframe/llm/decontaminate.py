@@ -138,23 +138,29 @@ def matches(text: str | None, index: list[Items], known: dict[int, np.ndarray])
     return sorted(out)
 
 
+def shared_indexes(benchmark: DataFrame, item: str, text: str) -> list:
+    """Broadcast indexes of the benchmark, each of SLICE items or so."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    slices = max(1, -(-rows.count() // SLICE))
+    out = []
+    for number in range(slices):
+        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == number).orderBy("id", "text").collect()
+        index = index_items([tuple(r) for r in part])
+        known = {k: np.unique(np.concatenate([i.known for i in index if i.k == k])) for k in {i.k for i in index}}
+        out.append(spark.sparkContext.broadcast((index, known)))
+    return out
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``key``, ``item_id``, ``similarity``, ``first_word``, ``n_words`` and ``distance``
     of every benchmark item that a document holds a passage of."""
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    slices = max(1, -(-rows.count() // SLICE))
     names = ["item_id", "similarity", "first_word", "n_words", "distance"]
     kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
 
-    def searched(number: int) -> DataFrame:
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == number).orderBy("id", "text").collect()
-        index = index_items([tuple(r) for r in part])
-        by_k: dict[int, np.ndarray] = {k: np.unique(np.concatenate([i.known for i in index if i.k == k])) for k in {i.k for i in index}}
-        shared = spark.sparkContext.broadcast((index, by_k))
-
+    def searched(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, known = shared.value
             for batch in batches:
@@ -170,4 +176,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
         return slim.mapInArrow(run, f"`{key}` {kind}, item_id long, similarity double, first_word int, n_words int, distance int")
 
-    return reduce(DataFrame.unionAll, map(searched, range(slices)))
+    return reduce(DataFrame.unionAll, map(searched, shared_indexes(benchmark, item, item_text)))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, as they are, that hold no passage of a benchmark item."""
+    at_text = docs.columns.index(text)
+    schema = docs.schema
+
+    def kept(docs: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, known = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    piece = batch.slice(at, 1000)
+                    yield piece.filter(pa.array([not matches(t, index, known) for t in piece.column(at_text).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(run, schema)
+
+    return reduce(kept, shared_indexes(benchmark, item, item_text), docs)
