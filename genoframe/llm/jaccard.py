@@ -19,7 +19,9 @@ Links, not pairs, are wanted, so groups of copies aren't expanded:
    fewest rare shingles. Candidates are verified on whole texts. Frequent buckets
    are salted, and the leaders of their parts are paired in turn.
 3. Connected components of these links are found, and then only pairs of different
-   components in a bucket are left. They are all counted and verified.
+   components in a bucket are left. Their shared shingles are all counted. Up to the
+   end of the prefix that ends first every common shingle is known, so the count and
+   what that set has beyond its prefix bound the similarity; what passes is verified.
 
 Verification sends each text once to each of its leaders; a leader's followers are
 dealt out in parts of FOLLOWERS. No text is cut, and no bucket is capped.
@@ -113,7 +115,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
     """Of each document: set size, digest, prefix (bucket and salt of each shingle, in
     order), matches wanted, and the number of its rare shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    fields = ["doc", "n", "d1", "d2", "rare", "wanted", "bucket", "salt"]
+    fields = ["doc", "n", "d1", "d2", "rare", "wanted", "last_cost", "last_hash", "bucket", "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
@@ -145,14 +147,16 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                     buckets.append(s ^ salt << np.uint64(PART_BIT))
                     salts.append(salt.astype(np.int32))
                     ends.append(ends[-1] + len(s))
-                    rows.append((doc, n, *halves, rare, wanted))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                    # where the prefix ends in the order of all shingles
+                    last = (int(cost[-1]), int(s[-1]) - (1 << 63)) if n else (0, 0)
+                    rows.append((doc, n, *halves, rare, wanted, *last))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 offsets = pa.array(np.array(ends, np.int32))
                 columns += [pa.ListArray.from_arrays(offsets, _signed(np.concatenate(buckets))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(salts)))]
                 yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, d1 long, d2 long, rare int, wanted int, bucket array<long>, salt array<int>")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, d1 long, d2 long, rare int, wanted int, last_cost long, last_hash long, bucket array<long>, salt array<int>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -236,14 +240,28 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     # what is left: pairs of different components that share a bucket
     found = scratch.table(components(links, scratch=scratch), "components")
-    rest = entries.drop("leader", "salt").join(_small(found), entries["doc"] == found["node"], "left")
-    rest = rest.withColumn("component", F.coalesce("component", "doc")).drop("node")
+    # of a prefix's shingles, those in a bucket of their own are in no set whose prefix ends later
+    seen = entries.groupBy(F.col("doc").alias("of")).agg(F.count(F.lit(1)).alias("seen"))
+    prefix = F.expr(f"n - (({PERCENT} * n + 99) div 100) + wanted")
+    facts = alone.select("doc", "n", "wanted", "last_cost", "last_hash", prefix.alias("prefix")).join(_small(seen), F.col("doc") == F.col("of"))
+    facts = facts.join(_small(found), F.col("doc") == F.col("node"), "left")
+    facts = scratch.table(facts.select("doc", "n", "wanted", F.struct("last_cost", "last_hash").alias("last"), "prefix", (F.col("n") - F.col("prefix") + F.col("seen")).alias("most"), F.coalesce("component", "doc").alias("component")), "facts")
+    rest = entries.select("token", "doc", "pos").join(_small(facts), "doc")
     mixed = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     rest = scratch.table(rest.join(mixed, "token"), "mixed")
     a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(b, F.expr("a.token = b.token AND a.doc > b.doc AND a.component <> b.component AND " + _FIT.format(a="a", b="b")))
-    pairs = pairs.groupBy(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("a.wanted", "b.wanted")).alias("wanted"))
-    more = verified(docs, pairs.where("shared >= wanted").select("a", "b"), scratch)
+    # what the set whose prefix ends first can share at most: all it has but what only its own bucket holds
+    most = f"{100 + PERCENT} * if(a.last <= b.last, a.most, b.most) >= {PERCENT} * (a.n + b.n)"
+    pairs = a.join(b, F.expr("a.token = b.token AND a.doc > b.doc AND a.component <> b.component AND " + most + " AND " + _FIT.format(a="a", b="b")))
+    pairs = pairs.groupBy(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"),
+        F.first(F.least("a.wanted", "b.wanted")).alias("wanted"),
+        F.first(F.expr("if(a.last <= b.last, a.n - a.prefix, b.n - b.prefix)")).alias("beyond"),
+        F.first(F.expr("a.n + b.n")).alias("both"),
+    )
+    # up to the end of the shorter prefix all common shingles are counted
+    pairs = pairs.where(f"shared >= wanted AND {100 + PERCENT} * (shared + beyond) >= {PERCENT} * both").select("a", "b")
+    more = verified(docs, pairs, scratch)
 
     found = scratch.table(components(copies.unionAll(links).unionAll(more), scratch=scratch), "components")
     out = sets.select("doc", "n").join(found, F.col("doc") == F.col("node"), "left")
