@@ -162,8 +162,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learned_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Field:
     """A field fitted to the labels of four folds of five."""
-    known = labels.where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
-    return toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from genoframe.llm.language import hash_below
 
 #: Bounds of the fit: training documents of each kind, and their length.
-SAMPLE_TOXIC = 1200
-SAMPLE_OTHER = 4000
-SAMPLE_CHARS = 12_000
+SAMPLE_TOXIC = 600
+SAMPLE_OTHER = 1800
+SAMPLE_CHARS = 8_000
 #: A feature is toxic evidence from this log-likelihood ratio on, more than twice the
 #: logarithm of how many features are tried.
 RATIO_ABOVE = 6.0
@@ -136,13 +136,11 @@ def fit_field(toxic: list[str], other: list[str], share_toxic: float | None = No
     if not n_tox or not n_other:
         return Field()
     seen: tuple[Counter, Counter] = Counter(), Counter()
-    known: dict[str, list[str]] = {}
+    known: set[str] = set()
     for i, words in enumerate(docs):
         once = set(words)
-        for w in once:
-            if w not in known:
-                known[w] = features(w)
-        seen[i >= n_tox].update({f for w in once for f in known[w]})
+        known |= once
+        seen[i >= n_tox].update({f for w in once for f in features(w)})
     # evidence: how much likelier a feature's documents are if its rates differ by kind
     evidence: dict[str, float] = {}
     least = RATIO_ABOVE + 2 * np.log(1 + sum(k >= 2 for k in seen[0].values()))
@@ -157,7 +155,8 @@ def fit_field(toxic: list[str], other: list[str], share_toxic: float | None = No
     index = {f: i + 1 for i, f in enumerate(kept)}
     width = 1 + len(PREFIXES)
     rows: dict[str, tuple[list[int], bool]] = {}
-    for w, fs in known.items():
+    for w in known:
+        fs = features(w)
         ids = [index.get(f, 0) for f in fs]
         rows[w] = ids + [0] * (width - len(ids)), any(f in evidence for f in fs)
     ids = [np.array([rows[w][0] for w in d], dtype=np.int32).reshape(-1, width) for d in docs]
@@ -165,6 +164,7 @@ def fit_field(toxic: list[str], other: list[str], share_toxic: float | None = No
     use = [i for i in range(len(docs)) if len(docs[i]) and (i >= n_tox or gold[i].any())]
     if not any(g.any() for g in gold):
         return Field()
+    del seen, known, rows, index
     flat, y = np.concatenate([ids[i] for i in use]), np.concatenate([gold[i] for i in use])
     lengths = np.array([len(ids[i]) for i in use])
     starts = np.cumsum(lengths) - lengths
@@ -191,7 +191,7 @@ def fit_field(toxic: list[str], other: list[str], share_toxic: float | None = No
         w += speed * np.clip(first, -50, 50) / np.sqrt(total + 4)
         w[0] = 0
         bias += float(np.clip((y.sum() - p.sum()) / (y.sum() + 10), -1, 1))
-    model = Field({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, bias, moves)
+    model = Field({f: float(w[i]) for i, f in enumerate(kept, 1) if abs(w[i]) > 1e-3}, bias, moves)
     found = odds_of([bias + w[x].sum(1) for x in ids], moves)
     a = np.array([summary(o) for o in found])
     label = np.arange(len(docs)) < n_tox
@@ -262,18 +262,20 @@ def _back(text: str, at: int) -> str:
     return text
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Field:
-    """Fit on a bounded, hash-chosen sample of rows with a text and a label of 0 or 1."""
-    rows = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("y"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("y").isin(0, 1))
-    # lengths are counted where the rows are read; only counts come back
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Field:
+    """Fit on a bounded sample, chosen by hash, of documents with a text and a label of
+    0 or 1. The sample is drawn from ``labels``, so that no text is shuffled."""
+    known = labels.select(F.col(key).alias("key"), F.col(toxic).cast("int").alias("y")).where(F.col("key").isNotNull() & F.col("y").isin(0, 1))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Field()
     share = F.when(F.col("y") == 1, SAMPLE_TOXIC / counts[1]).otherwise(SAMPLE_OTHER / counts[0])
-    drawn = rows.where(hash_below("key", share)).where(F.length("text") <= SAMPLE_CHARS)
+    most = 2 * (SAMPLE_TOXIC + SAMPLE_OTHER)
+    drawn = known.where(hash_below("key", share)).orderBy(F.xxhash64("key"), "y").limit(most)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    rows = rows.join(F.broadcast(drawn), "key").orderBy(F.xxhash64("key"), "y", "text").limit(most)
     texts: tuple[list[str], list[str]] = [], []
-    for r in drawn.orderBy(F.xxhash64("key"), "text").limit(2 * (SAMPLE_TOXIC + SAMPLE_OTHER)).collect():
+    for r in rows.collect():
         texts[1 - r["y"]].append(r["text"])
     return fit_field(texts[0], texts[1], counts[1] / (counts[0] + counts[1]))
 
