@@ -25,19 +25,12 @@ from genoframe.llm.scratch import Scratch
 BROADCAST_ROWS = 2_000_000
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """The rows as one column beside their text, for operators that carry one key."""
-    return docs.select(F.struct("*").alias("row"), F.col("text"))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(_whole(docs), learned_toxicity(docs, table(spark, sf_dir, "labels")), key="row")
-    return scored.where("score < 0.5").select("row.*")
+    return toxicity.drop_toxic(docs, learned_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(_whole(docs), learned_languages(docs), key="row")
-    return found.where("accepted").select("row.*")
+    return language.drop_unknown(docs, learned_languages(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 SCAN_LIMIT = 48
 #: A worker keeps the ids of so many new words, and of as many older ones.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 MAX_FILE_BYTES = 64 << 20
 NO_RANK = 1 << 60
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoframe.llm.rows import keep_rows
 from genoframe.llm.shingles import WORDS, gram_sequence, word_hashes, words_of
 
 SIMILARITY = 0.8
@@ -181,17 +182,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows, as they are, that hold no passage of a benchmark item."""
-    at_text = docs.columns.index(text)
-    schema = docs.schema
-
     def kept(docs: DataFrame, shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decider():
             index, known = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    piece = batch.slice(at, 1000)
-                    yield piece.filter(pa.array([not matches(t, index, known) for t in piece.column(at_text).to_pylist()], pa.bool_()))
+            return lambda texts: [not matches(t, index, known) for t in texts]
 
-        return docs.mapInArrow(run, schema)
+        return keep_rows(docs, text, decider)
 
     return reduce(kept, shared_indexes(benchmark, item, item_text), docs)

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoframe.llm.rows import keep_rows
+
 #: Bounds of the fit: rows drawn for a language, bytes of its dictionary, languages.
 SAMPLE_ROWS = 200
 DICT_BYTES = 112 << 10
@@ -68,6 +70,7 @@ def fit_dictionaries(labelled: DataFrame, key: str = "doc_id", text: str = "text
 
 class Compressors:
     def __init__(self, dictionaries: dict[str, bytes]):
+        self.dictionaries = dictionaries  # kept, so that no other one takes its identity
         self.names = sorted(dictionaries)
         self.codecs = []
         for name in self.names:
@@ -96,16 +99,31 @@ class Compressors:
 _loaded: dict[int, Compressors] = {}
 
 
+def _compressors(dictionaries: dict[str, bytes]) -> Compressors:
+    if id(dictionaries) not in _loaded:
+        _loaded.clear()
+        _loaded[id(dictionaries)] = Compressors(dictionaries)
+    return _loaded[id(dictionaries)]
+
+
+def drop_unknown(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
+    """The rows, as they are, whose prediction is accepted."""
+    model = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
+    def decider():
+        codecs = _compressors(model.value)
+        return lambda texts: [codecs.predict(t)[2] for t in texts]
+
+    return keep_rows(docs, text, decider)
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred``, ``score`` and ``accepted`` of every row; one pass without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (at_id := id(model.value)) not in _loaded:
-            _loaded.clear()
-            _loaded[at_id] = Compressors(model.value)
-        codecs = _loaded[at_id]
+        codecs = _compressors(model.value)
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 500):

@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 3) ** 7 % 2**64 | 1) for j in range(WORDS)]
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.llm.language import hash_below
+from genoframe.llm.rows import keep_rows
 
 #: Bounds of the fit: training documents of each kind, and their length.
 SAMPLE_TOXIC = 600
@@ -39,9 +40,10 @@ SAMPLE_CHARS = 8_000
 RATIO_ABOVE = 6.0
 PREFIXES = (4, 5, 6)
 ROUNDS = 25
-#: Documents that are run through the chain together.
+#: Documents that are run through the chain together, and the most places of them all.
 LANES = 256
-CACHE_WORDS = 400_000
+PLACES = 1 << 20
+CACHE_WORDS = 100_000
 SPAN_ODDS = 0.0
 
 words_of = re.compile(r"[^\W\d_]+").findall
@@ -89,10 +91,13 @@ def chain(x: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
 
 
 def lanes_of(sizes: list[int]) -> Iterator[list[int]]:
-    """Rows with tokens, longest first, in groups of LANES."""
+    """Rows with tokens, longest first, in groups of up to LANES and PLACES."""
     order = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: -sizes[i])
-    for at in range(0, len(order), LANES):
-        yield order[at : at + LANES]
+    at = 0
+    while at < len(order):
+        lanes = max(1, min(LANES, PLACES // sizes[order[at]]))
+        yield order[at : at + lanes]
+        at += lanes
 
 
 def odds_of(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
@@ -243,13 +248,21 @@ class Scorer:
                 before = i
         return out
 
+    def _scores(self, found: list[np.ndarray]) -> list[float]:
+        z = np.array([summary(o) for o in found]).reshape(len(found), -1) @ self.model.score
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        if self.model.score is None or not texts:
+            return [0.0] * len(texts)
+        return self._scores(odds_of([self.emissions(t) for t in texts], self.model.moves))
+
     def batch(self, texts: list[str | None]) -> tuple[list[float], list[list[dict]]]:
-        if self.model.score is None:
+        """Scores and spans."""
+        if self.model.score is None or not texts:
             return [0.0] * len(texts), [[] for _ in texts]
         found = odds_of([self.emissions(t) for t in texts], self.model.moves)
-        z = np.array([summary(o) for o in found]).reshape(len(texts), -1) @ self.model.score
-        scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return scores.tolist(), [self.spans(t, o) if t else [] for t, o in zip(texts, found, strict=True)]
+        return self._scores(found), [self.spans(t, o) if t else [] for t, o in zip(texts, found, strict=True)]
 
 
 def _back(text: str, at: int) -> str:
@@ -283,6 +296,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 _loaded: dict[int, Scorer] = {}
 
 
+def _scorer(model: Field) -> Scorer:
+    """One scorer a worker, so that its words stay known from task to task."""
+    if id(model) not in _loaded:
+        _loaded.clear()
+        _loaded[id(model)] = Scorer(model)
+    return _loaded[id(model)]
+
+
+def drop_toxic(docs: DataFrame, model: Field, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, as they are, whose score is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decider():
+        scorer = _scorer(shared.value)
+        return lambda texts: [s < threshold for s in scorer.scores(texts)]
+
+    return keep_rows(docs, text, decider)
+
+
 def score(docs: DataFrame, model: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``score`` and the ``spans`` (start, end, p) of every row; one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -290,13 +322,10 @@ def score(docs: DataFrame, model: Field, key: str = "doc_id", text: str = "text"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (at_id := id(shared.value)) not in _loaded:
-            _loaded.clear()
-            _loaded[at_id] = Scorer(shared.value)
-        scorer = _loaded[at_id]
+        scorer = _scorer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 scores, spans = scorer.batch(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(spans, span)], names=[key, "score", "spans"])
 
