@@ -61,11 +61,14 @@ def max_name_len(spark, sf_dir):
     return sequences(spark, sf_dir).agg(F.max(F.octet_length("name")).cast("long").alias("key_size"))
 
 
-@query(f"WITH {SEQS} SELECT md5(string_agg(bases, '' ORDER BY ordinal)) AS digest FROM seqs WHERE ordinal % 10 = 0")
+@query(f"""WITH {SEQS}, parts AS (SELECT ordinal // 65536 AS part, md5(string_agg(md5(bases), '' ORDER BY ordinal)) AS digest FROM seqs GROUP BY part)
+SELECT md5(string_agg(digest, '' ORDER BY part)) AS digest FROM parts""")
 def content_digest(spark, sf_dir):
-    some = sequences(spark, sf_dir).where("ordinal % 10 = 0")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "bases"))), lambda x: x["bases"]), "")
-    return some.agg(F.md5(whole).alias("digest"))
+    """One digest of all bases in order: of digests of ranges, of digests of sequences."""
+    each = sequences(spark, sf_dir).select("ordinal", F.md5("bases").alias("digest"))
+    joined = lambda by: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "digest"))), lambda x: x["digest"]), "")).alias("digest")
+    parts = each.groupBy(F.floor(F.col("ordinal") / regions.RANGE).alias("part")).agg(joined("ordinal"))
+    return parts.agg(joined("part"))
 
 
 @query(f"WITH {SEQS} SELECT ordinal, name FROM seqs WHERE ordinal % 7 = 0 ORDER BY ordinal LIMIT 50")
@@ -201,11 +204,12 @@ def region_parse(spark, sf_dir):
     return regions.parse_regions(r.select("ordinal", spec.alias("spec")))
 
 
-@query(f"""{RUNS}, {N_SQL}, {REGIONS} SELECT r.ordinal, r.name, greatest(n.start, r.s) - r.s AS clip_start, least(n.start + n.size, r.e) - greatest(n.start, r.s) AS clip_size
-  FROM regions r JOIN n ON r.name = n.name AND n.start < r.e AND n.start + n.size > r.s WHERE r.ordinal % 20 = 1""")
+@query(f"""{RUNS}, {N_SQL}, {REGIONS} SELECT r.ordinal, r.name, count(*) AS blocks, CAST(sum(greatest(n.start, r.s) - r.s) AS BIGINT) AS starts, CAST(sum(least(n.start + n.size, r.e) - greatest(n.start, r.s)) AS BIGINT) AS covered
+  FROM regions r JOIN n ON r.name = n.name AND n.start < r.e AND n.start + n.size > r.s GROUP BY r.ordinal, r.name""")
 def extract_blocks_clipped(spark, sf_dir):
-    some = item_regions(spark, sf_dir).where("ordinal % 20 = 1")
-    return runs.overlapping(some, runs.n_blocks(sequences(spark, sf_dir)).select("name", "start", "size")).select("ordinal", "name", "clip_start", "clip_size")
+    """Of each region, the blocks that reach into it and the bases they cover there."""
+    met = runs.overlapping(item_regions(spark, sf_dir), runs.n_blocks(sequences(spark, sf_dir)).select("name", "start", "size"))
+    return met.groupBy("ordinal", "name").agg(F.count(F.lit(1)).alias("blocks"), F.sum("clip_start").alias("starts"), F.sum("clip_size").alias("covered"))
 
 
 # -- files as tables -------------------------------------------------------------

@@ -21,10 +21,14 @@ _folders: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """A folder for written files: under the cluster's shared folder where that is a
-    path on a mounted file system, else a temporary one."""
+    """A folder for written files: under the cluster's shared folder, which must be
+    mounted, since containers are written by position; a temporary one where none is set."""
     shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
-    path = tempfile.mkdtemp(prefix="containers-", dir=shared if shared.startswith("/") and os.path.isdir(shared) else None)
+    if shared and not os.path.isabs(shared):
+        raise ValueError(f"containers need a mounted shared folder, not {shared}")
+    if shared:
+        os.makedirs(shared, exist_ok=True)
+    path = tempfile.mkdtemp(prefix="containers-", dir=shared or None)
     _folders.append(path)
     return path
 

@@ -8,29 +8,41 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.operators.fai import fai_lines, fai_table, fasta_text
 from genoframe.operators.regions import prefix_sums
 from genoframe.sources.containers import write_bytes
+from genoframe.sources.ranged import open_source
+from genoframe.sources.readers import bgzf_blocks
 
 SPACE = " \\t\\n\\f\\r"
 BGZF_CHUNK = 0xFF00
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``file, ordinal, name, bases`` of FASTA files, plain or gzip-compressed.
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, ordinal, first, record``: the text of each record after its ``>``.
 
-    Split by Spark at line starts with ``>``. ``ordinal`` keeps the order of a file and
-    its splits; it is not dense. Data before the first header is an error when read."""
+    Spark splits files at line starts with ``>``. A record's number is its split's first
+    byte plus its place in the split, which is below the next split's first byte, so
+    nothing but the splits' first rows is gathered to number all records."""
     text = spark.read.option("lineSep", "\n>").text(path)
     text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    begin = text.groupBy("file", "split").agg(F.min("id").alias("low"))
     # a header after blanks does not end a record for the scan, so records are cut again
-    cut = text.select("file", "split", "id", F.posexplode(F.split("value", r"\n[ \t\f\r]*>")).alias("k", "record"))
-    first = (F.col("split") == 0) & (F.col("k") == 0) & (F.row_number().over(Window.partitionBy("file").orderBy("split", "id", "k")) == 1)
-    cut = cut.withColumn("first", first)
+    cut = text.join(begin, ["file", "split"]).select("file", "split", "id", "low", F.posexplode(F.split("value", r"\n[ \t\f\r]*>")).alias("k", "record"))
+    number = F.shiftleft(F.col("split") + F.col("id") - F.col("low"), 20) + F.col("k")
+    return cut.select("file", number.alias("ordinal"), ((F.col("split") == 0) & (F.col("id") == F.col("low")) & (F.col("k") == 0)).alias("first"), "record")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """``file, ordinal, name, bases`` of FASTA files, plain or gzip-compressed.
+
+    ``ordinal`` keeps a file's order; it is not dense. Data before the first header is an
+    error when read."""
+    cut = _records(spark, path)
     body = F.when(F.col("first"), F.regexp_replace("record", f"^[{SPACE}]*", "")).otherwise(F.concat(F.lit(">"), F.col("record")))
     rows = cut.withColumn("record", body).where("record <> ''")
     bad = F.raise_error(F.concat(F.lit("FASTA does not start with a '>' header: "), "file")).cast("string")
@@ -38,8 +50,41 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_extract(F.regexp_replace(header, f"[{SPACE}]+$", ""), f"^([^{SPACE}]*)", 1)
     name = F.when(F.startswith("record", F.lit(">")), name).otherwise(bad)
     bases = F.regexp_replace(F.regexp_replace("record", "^>[^\\n]*", ""), f"[{SPACE}]", "")
-    order = Window.partitionBy("file").orderBy("split", "id", "k")
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), name.alias("name"), bases.alias("bases"))
+    return rows.select("file", "ordinal", name.alias("name"), bases.alias("bases"))
+
+
+def scan_fai_table(spark: SparkSession, path: str) -> DataFrame:
+    """``name, length, offset, linebases, linewidth`` of a FASTA file without an index,
+    by its records' byte lengths. Carriage returns are not counted as bases."""
+    rows = _records(spark, path).withColumn("record", F.when(F.col("first"), F.regexp_replace("record", "^>", "")).otherwise(F.col("record")))
+    rows = rows.withColumn("size", (F.octet_length("record") + 2).cast("long"))
+    rows = prefix_sums(rows, "size", out="begin")
+    header = F.regexp_extract("record", "^([^\\n]*)", 1)
+    data = F.regexp_replace("record", "^[^\\n]*\\n?", "")
+    line = F.regexp_extract(data, "^([^\\n]*)", 1)
+    length = F.octet_length(F.regexp_replace(data, "[\\r\\n]", "")).cast("long")
+    return rows.select(
+        F.regexp_extract(header, f"^[{SPACE}]*([^{SPACE}]*)", 1).alias("name"), length.alias("length"), (F.col("begin") + F.octet_length(header) + 2).cast("long").alias("offset"),
+        F.octet_length(F.regexp_replace(line, "\\r", "")).cast("long").alias("linebases"), F.when(data == "", 0).otherwise(F.octet_length(line) + 1).cast("long").alias("linewidth"),
+    )
+
+
+def format_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """``file, size, format`` of the files of a folder, by their first bytes."""
+    files = spark.read.format("binaryFile").load(path)
+    head = F.substring("content", 1, 64)
+    magic = F.hex(F.substring(head, 1, 4))
+    text = F.ltrim(F.regexp_replace(F.decode(head, "ISO-8859-1"), f"^[{SPACE}]+", ""))
+    kind = (
+        F.when(magic.isin("4327411A", "1A412743"), "twobit").when(magic == "32424531", "twobe").when(magic == "34424954", "fourbit")
+        .when((magic == "1F8B0804") & (F.hex(F.substring(head, 13, 2)) == "4243"), "bgzf").when(F.startswith(text, F.lit(">")), "fasta").otherwise("unknown")
+    )
+    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), kind.alias("format"))
+
+
+def bgzf_block_table(spark: SparkSession, path: str) -> DataFrame:
+    """``c_start, c_len, u_start, u_len`` of a BGZF file's blocks, by hopping over headers."""
+    return spark.createDataFrame(bgzf_blocks(open_source(path)), "c_start long, c_len long, u_start long, u_len long")
 
 
 def write_fasta(sequences: DataFrame, path: str, width: int = 60) -> None:

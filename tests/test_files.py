@@ -98,6 +98,27 @@ def test_fasta_scan(spark, tmp_path):
         fasta.read_fasta(spark, str(p)).collect()
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_scanned_index(spark, tmp_path, end):
+    from genoframe.sources.readers import scan_fai
+
+    p = tmp_path / "x.fa"
+    text = "".join(f">r{i} x{end}" + "".join(f"{'ACGT' * 3}{end}" for _ in range(i % 4)) + (f"AC{end}" if i % 2 else "") for i in range(50))
+    p.write_bytes(text.encode())
+    got = sorted(map(tuple, fasta.scan_fai_table(spark, str(p)).collect()))
+    assert got == sorted(scan_fai(text.encode()))
+
+
+def test_catalog(spark, seqs, tmp_path):
+    for kind in ("twobit", "twobe", "fourbit"):
+        write_container(seqs, str(tmp_path / kind), kind)
+    fasta.write_fasta(seqs, str(tmp_path / "fasta"))
+    fasta.write_indexed_fasta(seqs, str(tmp_path / "bgzf"), 60, True)
+    found = {os.path.basename(r["file"]): r["format"] for r in fasta.format_catalog(spark, str(tmp_path)).collect()}
+    assert found == {k: k for k in ("twobit", "twobe", "fourbit", "fasta", "bgzf")} | {"bgzf.fai": "unknown", "bgzf.gzi": "unknown"}
+    assert [tuple(r)[2:] for r in fasta.bgzf_block_table(spark, str(tmp_path / "bgzf")).collect()] == [(0, sum(len(n) + len(b) + 3 for n, b in SEQS))]
+
+
 def test_read_fai(spark, tmp_path):
     p = tmp_path / "x.fai"
     p.write_text("a\t4\t3\t4\t5\tmore\n\nb\t1\t9\t1\t2\n")
