@@ -56,7 +56,7 @@ VERIFY_COST = 12
 BUCKET = 2048
 FOLLOWERS = 64
 #: Rows up to which a table of ids is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 #: A part's number is put over a shingle's hash from this bit on.
 PART_BIT = 39
 
