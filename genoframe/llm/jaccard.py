@@ -19,9 +19,10 @@ Links, not pairs, are wanted, so groups of copies aren't expanded:
    fewest rare shingles. Candidates are verified on whole texts. Frequent buckets
    are salted, and the leaders of their parts are paired in turn.
 3. Connected components of these links are found, and then only pairs of different
-   components in a bucket are left. Their shared shingles are all counted. Up to the
-   end of the prefix that ends first every common shingle is known, so the count and
-   what that set has beyond its prefix bound the similarity; what passes is verified.
+   components in a bucket are left. Up to the end of the prefix that ends first every
+   common shingle is known, so a pair must share there what that set cannot have beyond
+   it. The pair's first common shingle is then early in both prefixes, which finds it,
+   and all that they share there are counted before it is verified.
 
 Verification sends each text once to each of its leaders; a leader's followers are
 dealt out in parts of FOLLOWERS. No text is cut, and no bucket is capped.
@@ -252,15 +253,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     a, b = rest.alias("a"), rest.alias("b")
     # what the set whose prefix ends first can share at most: all it has but what only its own bucket holds
     most = f"{100 + PERCENT} * if(a.last <= b.last, a.most, b.most) >= {PERCENT} * (a.n + b.n)"
-    pairs = a.join(b, F.expr("a.token = b.token AND a.doc > b.doc AND a.component <> b.component AND " + most + " AND " + _FIT.format(a="a", b="b")))
-    pairs = pairs.groupBy(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"),
-        F.first(F.least("a.wanted", "b.wanted")).alias("wanted"),
-        F.first(F.expr("if(a.last <= b.last, a.n - a.prefix, b.n - b.prefix)")).alias("beyond"),
-        F.first(F.expr("a.n + b.n")).alias("both"),
-    )
-    # up to the end of the shorter prefix all common shingles are counted
-    pairs = pairs.where(f"shared >= wanted AND {100 + PERCENT} * (shared + beyond) >= {PERCENT} * both").select("a", "b")
+    # common shingles up to the end of that prefix must number m, so the first of them has m - 1 behind it in both prefixes
+    m = f"(({PERCENT} * (a.n + b.n) + {99 + PERCENT}) div {100 + PERCENT} - if(a.last <= b.last, a.n - a.prefix, b.n - b.prefix))"
+    early = f"a.pos <= a.prefix - {m} AND b.pos <= b.prefix - {m}"
+    pairs = a.join(b, F.expr("a.token = b.token AND a.doc > b.doc AND a.component <> b.component AND " + most + " AND " + early + " AND " + _FIT.format(a="a", b="b")))
+    pairs = pairs.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), F.expr(f"greatest({m}, least(a.wanted, b.wanted))").alias("m")).distinct()
+    pairs = scratch.table(pairs, "pairs")
+    tokens = alone.select("doc", F.zip_with("bucket", "salt", lambda x, y: x.bitwiseXOR(F.shiftleft(y.cast("long"), PART_BIT))).alias("tokens"))
+    pairs = pairs.join(tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
+    pairs = pairs.where(F.size(F.array_intersect("x", "y")) >= F.col("m")).select("a", "b")
     more = verified(docs, pairs, scratch)
 
     found = scratch.table(components(copies.unionAll(links).unionAll(more), scratch=scratch), "components")
