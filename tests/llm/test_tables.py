@@ -40,25 +40,63 @@ def test_components(spark, seed):
 
 
 # -- WARC ------------------------------------------------------------------------
-def test_warc(spark):
-    evil = "x" * 900 + "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99:99>\r\nContent-Length: 10\r\n\r\n0123456789\r\n\r\n"
-    rows = [(1, "http://a/", None), (2, None, ""), (3, "http://c", evil * 3), (4, "u", "é" * 700), (5, "u", "é" * 700), (5, "u", "é" * 700), (None, "u\r\nX: y", "é" * 700), (6, "u", "WARC/1."), (7, "u", "WARC/1.WARC/1.1\r\n" * 3000), (8, "s", "same"), (9, "s", "same")]
-    rows += [(100 + i, f"http://x/{i}", f"p{i} " * (i % 700)) for i in range(200)]
+@pytest.fixture
+def split_bytes(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(name)
+    yield lambda n: spark.conf.set(name, str(n))
+    spark.conf.set(name, old)
+
+
+def pages_with_magic():
+    evil = "x" * 900 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99:99>\r\nContent-Length: 10\r\n\r\n0123456789\r\n\r\n"
+    rows = [(1, "http://a/", None), (2, None, ""), (3, "http://c/WARC/1.0?x=WARC/1.1", evil * 3), (4, "u", "é" * 700), (5, "u", "é" * 700), (5, "u", "é" * 700), (None, "u\r\nX: y", "é" * 700)]
+    rows += [(6, "WARC/1.", "WARC/1."), (7, "u", "WARC/1.\r\n\r\nWARC/1.1\r\n" * 3000), (8, "s", "same"), (9, "s", "same"), (10, "http://" + "WARC/1.1/" * 4000, evil), (11, "e", "line\r\n"), (12, "e", "\r\n\r\n\r\n")]
+    rows += [(100 + i, f"http://x/WARC/1.{i}" if i % 9 == 0 else f"http://x/{i}", f"p{i} " * (i % 700) + "\r\n" * (i % 4)) for i in range(200)]
+    return rows
+
+
+@pytest.mark.parametrize("size", [20_001, 100_000_000])
+def test_warc(spark, split_bytes, size):
+    rows = pages_with_magic()
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, offset int").repartition(3)
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
-    try:
-        got = read_archives(spark, write_archives(df)).collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    split_bytes(size)
+    got = read_archives(spark, write_archives(df)).collect()
     sums = lambda rows: sorted(((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows), key=str)
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got), key=str) == sums(rows)
     assert all(r["verified"] is not False for r in got)
     shared = sorted(((r["page_id"], r["type"], r["refers_to"]) for r in got if r["type"] == "revisit"), key=str)
     assert shared == sorted([(4, "revisit", 5), (5, "revisit", 5), (None, "revisit", 5)], key=str)
+    assert sorted(r["target"] for r in got if r["target"] and "WARC" in r["target"]) == sorted(u for _, u, _ in rows if u and "WARC" in u)
     assert read_archives(spark, write_archives(df.limit(0))).count() == 0
 
 
+def test_warc_at_every_buffer_border(spark, split_bytes, tmp_path):
+    """Record ends that lie across the scan's buffers and across splits are found."""
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+    for pad in range(16):
+        texts = [record(1, "a" * (65536 - 80 - pad) + "\r\n"), *(record(i, "b" * 900 + "\r\n\r\n") for i in range(2, 40)), record(40, "WARC/1.1 is a payload")]
+        (tmp_path / f"{pad}.warc").write_text("".join(texts), newline="")
+    for size, files in ((100_000_000, "*"), (14_999, "1.warc")):
+        split_bytes(size)
+        got = read_archives(spark, f"{tmp_path}/{files}").groupBy("file").count().collect()
+        assert [r["count"] for r in got] == [40] * (16 if files == "*" else 1)
+
+
+def test_foreign_and_torn_archives(spark, tmp_path):
+    sha = hashlib.sha1(b"hello").digest()
+    import base64
+
+    text = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}\r\nX-Long: a\r\n b\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "a.warc").write_text(text + text.replace("uuid:1", "uuid:2").replace("hello", "hullo"), newline="")
+    got = {r["record_id"]: r for r in read_archives(spark, str(tmp_path)).collect()}
+    assert {k: (r["payload_bytes"], r["verified"], r["page_id"]) for k, r in got.items()} == {"<urn:uuid:1>": (5, True, None), "<urn:uuid:2>": (5, False, None)}
+    for bad in (text[:-6], text + "junk", "junk" + text, text + text.replace("Length: 5", "Length: 6")):
+        (tmp_path / "a.warc").write_text(bad, newline="")
+        with pytest.raises(ValueError, match="the records end at"):
+            read_archives(spark, str(tmp_path))
+
+
 # -- URLs ------------------------------------------------------------------------
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 URLS = {
