@@ -2,35 +2,41 @@
 
 All of it is DataFrame operations: no Python runs on rows.
 
-Calls and results are joined by identifier. Results are first brought to one for each
-identifier, so repeated rows do not multiply, and a call takes the earliest result.
-The order within a conversation is topological: where every dependency stands before
-its call, it is the order of the messages; otherwise calls are taken off in rounds,
-those without open dependencies first, and a call's round comes before its place.
-Calls that wait for one another in a cycle come last. Positions come from a sort over
-all rows that may split a conversation over many tasks.
+Identifiers count within their conversation. Calls and results are joined by both.
+Results are first brought to one for each identifier, so repeated rows do not multiply,
+and a call takes the earliest result.
+
+The order within a conversation is topological. A dependency that stands before its
+call costs nothing, since the order of the messages has it right; one that stands
+behind raises its call's level by one. Levels are the largest such sums over all chains
+of dependencies, and calls are ordered by level and then by message. They are found by
+letting each call follow the dependency that now has the highest level, adding these
+chains up by pointer jumping, whose rounds double their reach, and choosing again until
+nothing rises. Calls in or behind a cycle never reach the end of a chain; they come last.
+Positions come from a sort over all rows that may split a conversation over many tasks.
 
 Arguments are parsed as variants. A variant's objects have sorted keys, so writing it
-gives canonical JSON: sorted keys at every level and no spaces.
+gives canonical JSON: sorted keys at every level and no spaces. Schemas are a table that
+is joined by the tool's name, so their number is not bounded.
 
 Defined results: a call without a result, a result without a call, a repeated result
-and a null identifier are statuses; arguments that are null or not a JSON object are
-invalid; calls of unknown tools are invalid; repeated calls are rows of their own; an
-empty table gives none. Columns that are not named are not read.
+and a null identifier are statuses; a null conversation is one of its own; arguments that
+are null or not a JSON object are invalid; calls of unknown tools are invalid; repeated
+calls are rows of their own; an empty table gives none. Columns that are not named are
+not read.
 """
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.llm.ranking import positions
 from genoframe.llm.scratch import Scratch
 
-#: Types of a schema and the variant types that they take.
+#: Types of JSON Schema and the variant types that they take.
 TYPES = {
     "string": "STRING",
     "integer": "BIGINT",
@@ -40,45 +46,84 @@ TYPES = {
     "array": "ARRAY.*",
     "null": "VOID",
 }
-MAX_TOOLS = 1000
-
-
-def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
-    """What is wrong with a call's arguments, as an array of texts. A schema has
-    ``properties`` (name to ``type``) and a list ``required``, as in JSON Schema."""
-    if len(schemas) > MAX_TOOLS:
-        raise ValueError(f"over {MAX_TOOLS} tools")
-    value = F.try_parse_json(arguments)
-    keys = F.json_object_keys(arguments)
-    none = F.array().cast("array<string>")
-
-    def check(schema: dict) -> Column:
-        properties = schema.get("properties", {})
-        found = [F.when(~F.array_contains(keys, p), F.lit(f"missing:{p}")) for p in sorted(schema.get("required", []))]
-        for p, rule in sorted(properties.items()):
-            kind = F.schema_of_variant(F.try_variant_get(value, "$." + json.dumps([p])[1:-1].strip('"'), "variant"))
-            found.append(F.when(F.array_contains(keys, p) & ~F.coalesce(kind.rlike(f"^{TYPES[rule['type']]}$"), F.lit(False)), F.lit(f"type:{p}")))
-        unknown = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, sorted(properties))).cast("array<string>"))), lambda k: F.concat(F.lit("unknown:"), k))
-        return F.concat(F.array_compact(F.array(*found).cast("array<string>")), unknown)
-
-    by_tool = reduce(lambda rest, tool: F.when(name == tool, check(schemas[tool])).otherwise(rest), sorted(schemas, reverse=True), F.array(F.lit("unknown_tool")))
-    return F.when(value.isNull() | keys.isNull(), F.array(F.lit("not_an_object"))).otherwise(F.coalesce(by_tool, none))
-
-
-def rounds(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id`` and ``level`` of all ends of the edges ``dep`` to ``id``: the number of
-    rounds after which a call has no open dependency, or null in or behind a cycle."""
-    nodes = scratch.table(edges.select("id").unionAll(edges.select(F.col("dep").alias("id"))).distinct(), "calls")
-    done, level = [], 0
+#: Rows up to which a table is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: The level of calls in or behind a cycle.
+NEVER = 1 << 40
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The written table, broadcast if it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def schema_table(spark: SparkSession, schemas: dict[str, dict]) -> DataFrame:
+    """``tool``, its ``required`` properties and the ``types`` of those that it names.
+    A schema has ``properties`` (name to ``type``, one or a list; without it, any) and a
+    list ``required``, as in JSON Schema."""
+    rows = []
+    for tool, schema in sorted(schemas.items()):
+        types = {}
+        for p, rule in schema.get("properties", {}).items():
+            kinds = rule.get("type", list(TYPES))
+            types[p] = [kinds] if isinstance(kinds, str) else list(kinds)
+            if unknown := set(types[p]) - set(TYPES):
+                raise ValueError(f"{tool}.{p}: no JSON type {', '.join(sorted(unknown))}")
+        rows.append((tool, sorted(schema.get("required", [])), types))
+    return spark.createDataFrame(rows, "tool string, required array<string>, types map<string, array<string>>")
+
+
+def fits(value: Column, kinds: Column) -> Column:
+    """Whether a variant is of one of the named types. A number without a fraction is an integer."""
+    is_a = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
+    fraction_free = F.when(is_a.rlike("^DECIMAL"), text.rlike(r"^-?[0-9]+(\.0*)?$")).when(is_a.rlike("^(DOUBLE|FLOAT)"), number == F.floor(number)).otherwise(False)
+    named = reduce(lambda any_, t: any_ | (F.array_contains(kinds, t) & is_a.rlike(f"^{TYPES[t]}$")), TYPES, F.lit(False))
+    return F.coalesce(named | (F.array_contains(kinds, "integer") & fraction_free), F.lit(False))
+
+
+def argument_errors(arguments: Column) -> Column:
+    """What is wrong with a call's arguments, as an array of texts, by the columns of
+    ``schema_table`` beside it (null: no such tool)."""
+    found = F.try_variant_get(F.try_parse_json(arguments), "$", "map<string,variant>")
+    keys, required, types = F.map_keys(found), F.col("required"), F.col("types")
+    say = lambda what, names: F.transform(F.array_sort(names), lambda k: F.concat(F.lit(f"{what}:"), k))
+    missing = say("missing", F.array_except(required, keys))
+    wrong = say("type", F.filter(F.array_intersect(F.map_keys(types), keys), lambda k: ~fits(F.element_at(found, k), F.element_at(types, k))))
+    unknown = say("unknown", F.array_except(keys, F.map_keys(types)))
+    return F.when(found.isNull(), F.array(F.lit("not_an_object"))).when(types.isNull(), F.array(F.lit("unknown_tool"))).otherwise(F.concat(missing, wrong, unknown))
+
+
+def levels(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``k`` and ``level`` of all calls that depend on others: of ``edges`` (``k`` waits
+    for ``dep``, which costs ``w``) the dearest chain's cost, NEVER in or behind a cycle."""
+    edges = scratch.table(edges.groupBy("k", "dep").agg(F.max("w").cast("long").alias("w")), "waits")
+    longest = edges.select("k").distinct().count().bit_length()
+    level = None
     while True:
-        ready = scratch.table(nodes.join(edges.select("id").distinct(), "id", "left_anti"), "ready")
-        if ready.isEmpty():
-            break
-        done.append(ready.withColumn("level", F.lit(level)))
-        edges = scratch.table(edges.join(ready.select(F.col("id").alias("dep")), "dep", "left_anti"), "waits")
-        nodes = scratch.table(nodes.join(ready, "id", "left_anti"), "calls")
-        level += 1
-    return reduce(DataFrame.unionAll, done, nodes.withColumn("level", F.lit(None).cast("int")))
+        known = edges.withColumn("cost", F.col("w"))
+        if level is not None:
+            before = _small(level).select(F.col("k").alias("dep"), F.col("level").alias("dep_level"))
+            known = edges.join(before, "dep", "left").withColumn("cost", F.least(F.coalesce("dep_level", F.lit(0)) + F.col("w"), F.lit(NEVER)))
+        best = known.groupBy("k").agg(F.max(F.struct("cost", "dep", "w")).alias("best"))
+        best = scratch.table(best.select("k", "best.cost", F.col("best.dep").alias("to"), F.col("best.w").alias("sum")), "chosen")
+        if level is not None and best.join(_small(level), "k").where("cost > level").isEmpty():
+            scratch.drop(best, edges)
+            return level
+        chain = scratch.table(best.select("k", "to", "sum", F.lit(True).alias("moves")), "chain")
+        for _ in range(longest + 1):
+            further = _small(chain).select(F.col("k").alias("to"), F.col("to").alias("then"), F.col("sum").alias("more"))
+            over = chain.join(further, "to", "left")
+            over = over.select("k", F.coalesce("then", "to").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"), F.col("then").isNotNull().alias("moves"))
+            over = scratch.table(over, "chain")
+            scratch.drop(chain)
+            chain = over
+            if chain.where("moves").isEmpty():
+                break
+        after = scratch.table(chain.select("k", F.when(F.col("moves"), NEVER).otherwise(F.least("sum", F.lit(NEVER))).alias("level")), "levels")
+        scratch.drop(best, chain, *([level] if level is not None else []))
+        level = after
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -90,44 +135,46 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     the conversation), ``name``, ``status`` (linked, repeated_result, missing_result or
     orphan_result), ``valid``, ``errors`` and ``canonical``.
     """
-    scratch = Scratch(calls.sparkSession)
-    calls = scratch.table(calls.select("conv", "seq", "id", "name", "arguments", "depends"), "calls")
-    one = results.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("seq", "conv", "content")).alias("got"), F.count(F.lit(1)).alias("results"))
+    spark = calls.sparkSession
+    scratch = Scratch(spark)
+    none = F.array().cast("array<string>")
+    # a call's key in its conversation; structs with equal nulls are equal
+    key = lambda id_: F.when(F.col(id_).isNotNull(), F.struct("conv", F.col(id_).alias("id")))
+    calls = scratch.table(calls.select("conv", "seq", "id", "name", "arguments", "depends", key("id").alias("k")), "calls")
+    one = results.where("id IS NOT NULL").groupBy(key("id").alias("k")).agg(F.min(F.struct("seq", "content")).alias("got"), F.count(F.lit(1)).alias("results"))
     one = scratch.table(one, "results")
 
-    waits = calls.select("id", "conv", "seq", F.explode(F.array_distinct("depends")).alias("dep"))
-    known = calls.where("id IS NOT NULL").groupBy(F.col("id").alias("dep"), "conv").agg(F.max("seq").alias("dep_seq"))
-    waits = scratch.table(waits.join(known, ["dep", "conv"], "left"), "waits")
-    late = waits.where("dep_seq >= seq").select("conv").distinct()
-    late = scratch.table(late, "late")
-    lost = waits.where("dep_seq IS NULL").groupBy("id").agg(F.transform(F.array_sort(F.collect_set("dep")), lambda d: F.concat(F.lit("unresolved:"), d)).alias("lost"))
-    level = None
+    waits = calls.where("k IS NOT NULL").select("conv", "k", "seq", F.explode(F.array_distinct("depends")).alias("on")).withColumn("dep", key("on"))
+    known = calls.where("k IS NOT NULL").groupBy(F.col("k").alias("dep")).agg(F.max("seq").alias("dep_seq"))
+    waits = scratch.table(waits.join(known, "dep", "left"), "waits")
+    late = scratch.table(waits.where("dep_seq >= seq").select(F.struct("conv").alias("of")).distinct(), "late")
+    lost = waits.where("dep_seq IS NULL").groupBy("k").agg(F.transform(F.array_sort(F.collect_set("on")), lambda d: F.concat(F.lit("unresolved:"), d)).alias("lost"))
+    level = spark.createDataFrame([], waits.select("k", F.lit(0).cast("long").alias("level")).schema)
     if not late.isEmpty():
-        open_ = waits.where("dep_seq IS NOT NULL AND id IS NOT NULL").join(late, "conv", "left_semi").select("dep", "id").distinct()
-        level = scratch.table(rounds(scratch.table(open_, "waits"), scratch), "levels")
-
-    rows = calls.join(one, "id", "left").join(lost, "id", "left")
-    if level is not None:
-        rows = rows.join(level.withColumn("leveled", F.lit(True)), "id", "left")
-    else:
-        rows = rows.withColumns({"level": F.lit(0), "leveled": F.lit(None).cast("boolean")})
-    cycle = F.coalesce(F.col("leveled"), F.lit(False)) & F.col("level").isNull()
-    errors = F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.coalesce("lost", F.array().cast("array<string>")), F.when(cycle, F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
+        open_ = waits.where("dep_seq IS NOT NULL").withColumn("of", F.struct("conv")).join(_small(late), "of", "left_semi")
+        level = levels(open_.select("k", "dep", (F.col("dep_seq") >= F.col("seq")).cast("long").alias("w")), scratch)
+
+    tools = schema_table(spark, schemas)
+    tools = F.broadcast(tools) if len(schemas) <= BROADCAST_ROWS else tools
+    rows = calls.join(one, "k", "left").join(lost, "k", "left").join(level, "k", "left").join(tools, F.col("name") == F.col("tool"), "left")
+    cycle = F.coalesce(F.col("level") == NEVER, F.lit(False))
+    errors = F.concat(argument_errors(F.col("arguments")), F.coalesce("lost", none), F.when(cycle, F.array(F.lit("cycle"))).otherwise(none))
     status = F.when(F.col("results").isNull(), "missing_result").when(F.col("results") > 1, "repeated_result").otherwise("linked")
-    rows = rows.select("conv", "seq", "id", "name", "arguments", "depends", F.when(cycle, F.lit(2**31 - 1)).otherwise(F.coalesce("level", F.lit(0))).alias("level"), F.col("got.content").alias("content"), status.alias("status"), errors.alias("errors"))
-    orphans = one.join(calls.select("id"), "id", "left_anti").select(
-        F.col("got.conv").alias("conv"), F.col("got.seq").alias("seq"), "id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"),
-        F.lit(None).cast("array<string>").alias("depends"), F.lit(2**31 - 1).alias("level"), F.col("got.content").alias("content"), F.lit("orphan_result").alias("status"),
+    rows = rows.select("conv", "seq", "id", "name", "arguments", "depends", F.coalesce("level", F.lit(0)).cast("long").alias("level"), F.col("got.content").alias("content"), status.alias("status"), errors.alias("errors"))
+    orphans = one.join(calls.where("k IS NOT NULL").select("k"), "k", "left_anti").select(
+        F.col("k.conv").alias("conv"), F.col("got.seq").alias("seq"), F.col("k.id").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"),
+        F.lit(None).cast("array<string>").alias("depends"), F.lit(NEVER + 1).alias("level"), F.col("got.content").alias("content"), F.lit("orphan_result").alias("status"),
         F.array(F.lit("no_call")).alias("errors"),
     )
     rows = scratch.table(rows.unionByName(orphans).withColumn("row", F.monotonically_increasing_id()), "linked")
+    scratch.drop(calls, one, waits, late, level)
 
     placed = positions(rows.select("conv", "level", "seq", "id", "row"), ["conv", "level", "seq", "id", "row"], "placed", scratch)
     placed = scratch.table(placed.select("conv", "row", "pos"), "places")
-    starts = placed.groupBy(F.col("conv").alias("of")).agg(F.min("pos").alias("start"))
-    placed = placed.join(starts, F.col("conv").eqNullSafe(F.col("of"))).select("row", (F.col("pos") - F.col("start")).alias("position"))
+    starts = scratch.table(placed.groupBy(F.col("conv").alias("of")).agg(F.min("pos").alias("start")), "starts")
+    placed = placed.join(_small(starts), F.col("conv").eqNullSafe(F.col("of"))).select("row", (F.col("pos") - F.col("start")).alias("position"))
     record = F.struct(
-        F.try_parse_json("arguments").alias("arguments"), F.array_sort(F.coalesce("depends", F.array().cast("array<string>"))).alias("depends_on"),
+        F.try_parse_json("arguments").alias("arguments"), F.array_sort(F.coalesce("depends", none)).alias("depends_on"),
         F.col("id"), F.col("name"), F.col("content").alias("result"), F.col("status"),
     )
     return rows.join(placed, "row").select("conv", "id", "position", "name", "status", (F.size("errors") == 0).alias("valid"), "errors", F.to_json(record, {"ignoreNullFields": "false"}).alias("canonical"))
@@ -135,11 +182,13 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
 def turns_as_calls(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations: a user's turn asks, after the turn two
-    before it, and the assistant's next turn is its result; a system turn configures."""
+    before it, and the assistant's next turn is its result; a system turn configures, once
+    the turn behind it has asked."""
     m = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("seq"), F.col(role).alias("role"), F.col(text).cast("string").alias("text"))
     asks = F.col("role") == "user"
     arguments = F.when(asks, F.to_json(F.struct("text", F.col("seq").alias("turn")))).otherwise(F.to_json(F.struct("text")))
-    before = F.when(asks & (F.col("seq") >= 2), F.array(F.concat_ws(":", "conv", F.col("seq") - 2))).otherwise(F.array().cast("array<string>"))
+    turn_at = lambda at: F.array(F.concat_ws(":", "conv", at))
+    before = F.when(~asks, turn_at(F.col("seq") + 1)).when(F.col("seq") >= 2, turn_at(F.col("seq") - 2)).otherwise(F.array().cast("array<string>"))
     calls = m.where("role IN ('user', 'system')").select(
         "conv", "seq", F.concat(F.col("conv").cast("string"), F.lit(":"), "seq").alias("id"), F.when(asks, "ask").otherwise("configure").alias("name"), arguments.alias("arguments"), before.alias("depends")
     )

@@ -48,23 +48,24 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), "position", F.col("name").alias("tool"), "status", "valid", "canonical")
 
 
-#: For conversations whose turns are not repeated.
+#: For conversations whose turns are not repeated and whose system turns stand apart.
 OP1_SQL = """
 WITH calls AS (
-  SELECT conv_id, turn, conv_id || ':' || turn AS id, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS tool, text FROM conversations WHERE role IN ('user', 'system')
+  SELECT conv_id, turn, conv_id || ':' || turn AS id, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS tool, text,
+         CASE WHEN role = 'system' THEN turn + 1 WHEN turn >= 2 THEN turn - 2 END AS waits_for
+  FROM conversations WHERE role IN ('user', 'system')
 ), linked AS (
-  SELECT c.*, r.text AS result, r.conv_id IS NOT NULL AS answered,
-         c.tool = 'ask' AND c.turn >= 2 AND d.conv_id IS NULL AS lost
+  SELECT c.*, r.text AS result, r.conv_id IS NOT NULL AS answered, c.waits_for IS NOT NULL AND d.conv_id IS NULL AS lost
   FROM calls c LEFT JOIN (SELECT * FROM conversations WHERE role NOT IN ('user', 'system')) r ON c.conv_id = r.conv_id AND c.turn + 1 = r.turn
-  LEFT JOIN calls d ON c.conv_id = d.conv_id AND c.turn - 2 = d.turn
+  LEFT JOIN calls d ON c.conv_id = d.conv_id AND c.waits_for = d.turn
 ), orphans AS (
   SELECT r.conv_id, r.turn, r.conv_id || ':' || (r.turn - 1) AS id, r.text FROM conversations r
   LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.turn + 1 = r.turn WHERE r.role NOT IN ('user', 'system') AND c.conv_id IS NULL
 ), rows AS (
-  SELECT conv_id, id, 0 AS late, turn, tool, CASE WHEN answered THEN 'linked' ELSE 'missing_result' END AS status, text IS NOT NULL AND NOT lost AS valid,
+  SELECT conv_id, id, CASE WHEN tool = 'configure' AND NOT lost THEN 1 ELSE 0 END AS late, turn, tool, CASE WHEN answered THEN 'linked' ELSE 'missing_result' END AS status, text IS NOT NULL AND NOT lost AS valid,
          CASE WHEN tool = 'ask' THEN '{"text":' || to_json(text) || ',"turn":' || turn || '}' ELSE '{"text":' || to_json(text) || '}' END AS arguments,
-         CASE WHEN tool = 'ask' AND turn >= 2 THEN '["' || conv_id || ':' || (turn - 2) || '"]' ELSE '[]' END AS depends, result FROM linked
-  UNION ALL SELECT conv_id, id, 1, turn, NULL, 'orphan_result', false, 'null', '[]', text FROM orphans
+         CASE WHEN waits_for IS NOT NULL THEN '["' || conv_id || ':' || waits_for || '"]' ELSE '[]' END AS depends, result FROM linked
+  UNION ALL SELECT conv_id, id, 2, turn, NULL, 'orphan_result', false, 'null', '[]', text FROM orphans
 )
 SELECT conv_id, id AS call_id, row_number() OVER (PARTITION BY conv_id ORDER BY late, turn, id) - 1 AS position, tool, status, valid,
        '{"arguments":' || arguments || ',"depends_on":' || depends || ',"id":"' || id || '","name":' || coalesce('"' || tool || '"', 'null')

@@ -167,37 +167,79 @@ def test_embeddings(spark, monkeypatch):
 
 
 # -- chat ------------------------------------------------------------------------
-TOOLS = {"f": {"properties": {"a": {"type": "integer"}, "b": {"type": "string"}}, "required": ["a"]}}
+TOOLS = {
+    "f": {"properties": {"a": {"type": "integer"}, "b": {"type": "string"}}, "required": ["a"]},
+    "g.h": {"properties": {"a.b": {"type": ["integer", "null"]}, "it's \"x\"?": {}, "n": {"type": "number"}}, "required": ["a.b"]},
+}
 CALLS = "conv long, seq long, id string, name string, arguments string, depends array<string>"
+RESULTS = "conv long, seq long, id string, content string"
 
 
 def test_calls(spark):
     calls = [
         (1, 0, "x", "f", '{"b": "t", "a": 1}', ["z"]), (1, 1, "y", "f", '{"a": "no", "c": {"q": 1, "p": [2, 1]}}', []), (1, 2, "z", "g", "{}", ["y"]),
-        (2, 0, "p", "f", '{"a": 2}', ["q"]), (2, 1, "q", "f", None, ["p"]), (2, 2, "r", "f", "[1]", ["nope"]),
+        (2, 0, "p", "f", '{"a": 2}', ["q"]), (2, 1, "q", "f", None, ["p"]), (2, 2, "r", "f", "[1]", ["nope"]), (2, 3, "s", "f", '{"a": 1}', ["p"]),
         (3, 0, None, "f", '{"a": 3}', None), (3, 1, "d", "f", '{"a": 4}', []), (3, 1, "d", "f", '{"a": 4}', []),
     ]
     results = [(1, 3, "x", "ok"), (1, 4, "y", None), (1, 5, "y", "late"), (2, 9, "lost", "?"), (3, 3, None, "none")]
-    df = spark.createDataFrame(calls, CALLS)
-    out = link_calls(df, spark.createDataFrame(results, "conv long, seq long, id string, content string"), TOOLS).collect()
+    df = spark.createDataFrame([(*c, 1) for c in calls], CALLS + ", level int")
+    out = link_calls(df, spark.createDataFrame(results, RESULTS), TOOLS).collect()
     by = {(r["conv"], r["id"]): r for r in out}
     assert len(out) == len(calls) + 1
     assert [i for _, i in sorted((r["position"], r["id"]) for r in out if r["conv"] == 1)] == ["y", "z", "x"]
     assert {k[1]: (r["status"], r["valid"], r["errors"]) for k, r in by.items() if k[1]} == {
         "x": ("linked", True, []), "y": ("repeated_result", False, ["type:a", "unknown:c"]), "z": ("missing_result", False, ["unknown_tool"]),
         "p": ("missing_result", False, ["cycle"]), "q": ("missing_result", False, ["not_an_object", "cycle"]), "r": ("missing_result", False, ["not_an_object", "unresolved:nope"]),
-        "d": ("missing_result", True, []), "lost": ("orphan_result", False, ["no_call"]),
+        "s": ("missing_result", False, ["cycle"]), "d": ("missing_result", True, []), "lost": ("orphan_result", False, ["no_call"]),
     }
     assert by[1, "x"]["canonical"] == '{"arguments":{"a":1,"b":"t"},"depends_on":["z"],"id":"x","name":"f","result":"ok","status":"linked"}'
     assert json.loads(by[1, "y"]["canonical"])["arguments"] == {"a": "no", "c": {"p": [2, 1], "q": 1}}
     assert sorted(r["position"] for r in out if r["conv"] == 3) == [0, 1, 2]
-    assert link_calls(df.limit(0), spark.createDataFrame([], "conv long, seq long, id string, content string"), TOOLS).count() == 0
+    assert link_calls(df.limit(0), spark.createDataFrame([], RESULTS), TOOLS).count() == 0
+
+
+def test_identifiers_count_within_a_conversation(spark):
+    calls = [(c, 0, "call_0", "f", f'{{"a": {c}}}', ["call_1"]) for c in (1, 2)] + [(1, 1, "call_1", "f", '{"a": 1}', []), (None, 0, "call_0", "f", '{"a": 9}', [])]
+    results = [(1, 2, "call_0", "one"), (2, 2, "call_0", "two"), (None, 1, "call_0", "none"), (3, 0, "call_0", "lone")]
+    out = {(r["conv"], r["id"]): r for r in link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), TOOLS).collect()}
+    assert {k: (r["status"], r["position"], r["errors"], json.loads(r["canonical"])["result"]) for k, r in out.items()} == {
+        (1, "call_0"): ("linked", 1, [], "one"), (1, "call_1"): ("missing_result", 0, [], None), (2, "call_0"): ("linked", 0, ["unresolved:call_1"], "two"),
+        (None, "call_0"): ("linked", 0, [], "none"), (3, "call_0"): ("orphan_result", 0, ["no_call"], "lone"),
+    }
+
+
+def test_arguments_fit_schemas(spark):
+    cases = {
+        '{"a.b": 1}': [], '{"a.b": 1.0}': [], '{"a.b": null}': [], '{"a.b": 1e3}': [], '{"a.b": 1.5}': ["type:a.b"], '{"a.b": "1"}': ["type:a.b"], "{}": ["missing:a.b"],
+        '{"a.b": 1, "it\'s \\"x\\"?": {"deep": []}}': [], '{"a.b": 1, "a": {"b": 2}}': ["unknown:a"], '{"a.b": 1, "n": 2.5}': [], '{"a.b": 1, "n": true}': ["type:n"], '{"a.b": 1, "a.b": 2}': ["not_an_object"],
+    }
+    calls = [(i, 0, "c", "g.h", text, None) for i, text in enumerate(cases)]
+    got = link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), TOOLS).collect()
+    assert {r["conv"]: r["errors"] for r in got} == dict(enumerate(cases.values()))
+    with pytest.raises(ValueError, match="no JSON type"):
+        link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"f": {"properties": {"a": {"type": "int"}}}})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_order_is_topological(spark, seed):
+    """A chain of 500 that stands in the wrong order, and random graphs."""
+    rng = random.Random(seed)
+    calls = [(1, i, f"c{i}", "f", '{"a": 1}', [f"c{i + 1}"] if i < 499 else []) for i in range(500)] if seed == 1 else []
+    for conv in range(2, 12):
+        ids = [f"c{i}" for i in range(15)]
+        rank = rng.sample(ids, 15)
+        calls += [(conv, i, c, "f", '{"a": 1}', rng.sample(rank[: rank.index(c)], min(rank.index(c), rng.randrange(4)))) for i, c in enumerate(ids)]
+    rng.shuffle(calls)
+    got = link_calls(spark.createDataFrame(calls, CALLS).repartition(3), spark.createDataFrame([], RESULTS), TOOLS).collect()
+    at = {(r["conv"], r["id"]): r["position"] for r in got}
+    assert all(at[c, d] < at[c, i] for c, _, i, _, _, deps in calls for d in deps) and all(r["valid"] for r in got)
+    assert all(sorted(p for (c, _), p in at.items() if c == conv) == list(range(n)) for conv, n in [(2, 15), *([(1, 500)] if seed == 1 else [])])
 
 
 def test_turns(spark):
-    m = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "user", None), (2, 0, "assistant", "?")], "conv_id long, turn long, role string, text string")
+    m = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "user", None), (2, 0, "assistant", "?"), (3, 0, "system", "alone")], "conv_id long, turn long, role string, text string")
     got = {r["id"]: (r["position"], r["status"], r["valid"]) for r in link_calls(*turns_as_calls(m), {"ask": {"properties": {"text": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["text", "turn"]}, "configure": {"properties": {"text": {"type": "string"}}}}).collect()}
-    assert got == {"1:0": (0, "missing_result", True), "1:1": (1, "linked", True), "1:3": (2, "missing_result", False), "2:-1": (0, "orphan_result", False)}
+    assert got == {"1:0": (2, "missing_result", True), "1:1": (0, "linked", True), "1:3": (1, "missing_result", False), "2:-1": (0, "orphan_result", False), "3:0": (0, "missing_result", False)}
 
 
 # -- pipeline --------------------------------------------------------------------
