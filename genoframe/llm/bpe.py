@@ -10,6 +10,9 @@ The tokenizer file (JSON of the ``tokenizers`` library: NFC, lower case,
 word-end BPE over bytes) is read once on the driver and goes to the executors in
 the task's closure; its size is checked.
 
+Letters, numbers and lower case are the tokenizers library's for every code point: those
+of Python's own Unicode tables and the additions below, whatever the ``regex`` module has.
+
 Defined results: null text counts as empty; an empty text has no ids and decodes
 to an empty text; repeated rows give repeated results; input columns other than
 the key and the text are not read.
@@ -20,9 +23,12 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,36 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+# Fixed values of the Unicode standard, as hexadecimal code points: letters and numbers new
+# in version 16, and upper case new in versions 16 and 17 with its lower case.
+NEW_CLASSES = {
+    "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 "
+    "11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0",
+    "N": "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA",
+}
+NEW_LOWER = "1C89:1C8A A7CB:0264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:019B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def code_range(text: str) -> range:
+    low, _, high = text.partition("-")
+    return range(int(low, 16), int(high or low, 16) + 1)
+
+
+NEWER = {c: int(to, 16) + i for upper, to in (x.split(":") for x in NEW_LOWER.split()) for i, c in enumerate(code_range(upper))}
+_has_newer = re.compile("[" + "".join(map(chr, NEWER)) + "]").search
+
+
+@lru_cache
+def code_points(major: str) -> str:
+    """The code points of a general category's first letter, as ranges of a character class."""
+    held = [unicodedata.category(chr(c))[0] == major for c in range(sys.maxunicode + 1)]
+    for part in NEW_CLASSES.get(major, "").split():
+        for c in code_range(part):
+            held[c] = True
+    edges = np.flatnonzero(np.diff(np.array([False, *held, False], np.int8))).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
+
+
 class WordBpe:
     """Encoder and decoder of a word-end BPE file."""
 
@@ -64,11 +100,15 @@ class WordBpe:
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added = added
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in added.items()}
+        self.added_starts = {t[0] for t in added if t}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # Unicode's White_Space only: Python's \s also has the separators 1C to 1F
         space = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", "[^" + space)).findall
+        pattern = split["pattern"]["Regex"].replace(r"[^\s", "[^" + space)
+        for major in "LN":
+            pattern = re.sub(rf"(\[[^]]*)\\p\{{{major}\}}", lambda m: m.group(1) + code_points(major), pattern).replace(rf"\p{{{major}}}", f"[{code_points(major)}]")  # noqa: B023
+        self.words = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -125,6 +165,8 @@ class WordBpe:
         if not text.isascii():
             # each character is lower-cased by itself, so a final sigma has no form of its own
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _has_newer(text):
+                text = text.translate(NEWER)
         words = self.words(text.lower())
         cache = self.cache
         try:
@@ -143,7 +185,7 @@ class WordBpe:
         """The ids as int32 in the machine's byte order."""
         if not text:
             return b""
-        if self.split_added is None or "<" not in text:
+        if not any(c in text for c in self.added_starts):
             return self._plain(text)
         parts = self.split_added.split(text)
         return b"".join(np.int32(self.added[p]).tobytes() if p in self.added else self._plain(p) for p in parts if p)

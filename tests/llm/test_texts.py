@@ -46,6 +46,27 @@ def test_bpe_equals_library(spark, library):
     assert bpe_encode(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_every_code_point(library):
+    """Each in a word, alone and doubled: classes and lower case are the library's."""
+    import json
+
+    with open(tokenizer_path()) as f:
+        bpe = WordBpe(json.load(f))
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 97 == 0)]
+    texts = ["".join(f"a{chr(c)}1{chr(c)}{chr(c)}b " for c in points[i : i + 8]) for i in range(0, len(points), 8)]
+    wrong = [t for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if bpe.encode(t) != want.ids]
+    assert not wrong
+
+
+def test_added_tokens_are_the_files():
+    import json
+
+    with open(tokenizer_path()) as f:
+        spec = json.load(f)
+    spec["added_tokens"] = [{"id": 7, "content": "[X]"}]
+    assert 7 in WordBpe(spec).encode("a[X]b") and WordBpe(spec | {"added_tokens": []}).encode("a[X]b") == WordBpe(spec).encode("a[x]b")
+
+
 def test_scan_equals_heap():
     import json
 
