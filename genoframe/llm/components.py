@@ -3,9 +3,11 @@
 Stars are enlarged and shrunk in turn: first every node's larger neighbours are
 linked to its smallest neighbour, then every node's smaller neighbours are. The
 edges end as stars around each component's smallest node, after a number of
-rounds that grows with the logarithm of the longest path. A hub's edges are joined
-to its minimum by a join that adaptive execution can split, and minima are
-aggregated before they are shuffled. Each round's edges are a written table.
+rounds that grows with the logarithm of the longest path; rounds go on until no edge
+changes. Minima are aggregated before they are shuffled and written as a table. They
+are broadcast if they are few; else a hub's edges meet its minimum in a join of two
+plain shuffles, which adaptive execution can split. Each round's edges are a written
+table.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from genoframe.llm.scratch import Scratch
 
-MAX_ROUNDS = 100
+#: Rows up to which a round's minima are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,20 +33,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch |
     x, y = F.col(a), F.col(b)
     now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"), x.isNotNull().alias("x"), y.isNotNull().alias("y"))
     now = scratch.table(now.where("x AND y AND u <> v").select("u", "v").distinct(), "edges")
-    state = _state(now)
-    for _ in range(MAX_ROUNDS if state[0] else 0):
+    state, before = _state(now), None
+
+    def meet(edges: DataFrame, least: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+        least = scratch.table(least, "least")
+        return edges.join(F.broadcast(least) if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else least, on), least
+
+    while state[0] and state != before:
         # larger neighbours of a node go to the least of the node and its neighbours
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.table(large, "edges")
+        met, least = meet(both.where("y > x"), both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), "x")
+        large = scratch.table(met.select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        scratch.drop(now, least)
         # smaller neighbours of a node, and the node, go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.table(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        scratch.drop(now, large)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
+        met, least = meet(large, large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = scratch.table(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        scratch.drop(large, least)
+        before, state = state, _state(now)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,6 +9,8 @@ the aliases is allowed by a rule, else block if one is blocked by a rule, else a
 All of it is DataFrame operations: no Python runs on rows. Up to INLINE_RULES rules
 are one expression; more are joined by the suffixes of hosts.
 
+Links and refreshes are taken from ``<link>`` and ``<meta>`` tags that hold no ``<``.
+
 Defined results: a null url or one without ``://`` has an empty host and path and no
 rule; of equally long rules block wins, then the first by name; repeated rows give
 repeated results; columns that are not named are not read.
@@ -29,10 +31,15 @@ INLINE_RULES = 64
 BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The edges a page declares: a canonical link, or a refresh to another url.
-_TAG = r"""(?is)<{tag}\b(?=[^>]*\b{name}\s*=\s*["']?\s*{value}\b)[^>]*\b{to}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))"""
-CANONICAL = _TAG.format(tag="link", name="rel", value="canonical", to="href")
-REFRESH = _TAG.format(tag="meta", name="http-equiv", value="refresh", to="content")
+#: The edges a page declares: a canonical link, or a refresh to another url. Tags are cut
+#: out first; they hold no ``<`` and quantifiers don't backtrack, so each pattern passes
+#: over a text once.
+TAGS = r"(?i)<(?:link|meta)\b[^<>]*+>"
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))"""
+CANONICAL = r"""(?i)^<link\b.*\brel\s*+=\s*+["']?+\s*+canonical\b"""
+REFRESH = r"""(?i)^<meta\b.*\bhttp-equiv\s*+=\s*+["']?+\s*+refresh\b"""
+HREF, CONTENT = r"(?is)\bhref" + _VALUE, r"(?is)\bcontent" + _VALUE
+_WAIT_URL = r"(?is)\burl\s*+=\s*+['\"]?+([^'\"]*+)"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -91,14 +98,18 @@ def resolve(base: Column, target: Column) -> Column:
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``src`` and ``dst`` urls of canonical links and refreshes in pages."""
+    """``src`` and ``dst`` urls of canonical links and refreshes in pages: of each page the
+    first link and the first refresh that have a target."""
     body, base = F.col(html).cast("string"), F.col(url).cast("string")
+    value = lambda tag, pattern: F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
+    tags = pages.where(base.isNotNull() & F.lower(body).rlike("<(?:link|meta)\\b")).select(base.alias("src"), F.regexp_extract_all(body, F.lit(TAGS), F.lit(0)).alias("tags"))
 
-    def target(pattern: str) -> Column:
-        return F.concat(*(F.regexp_extract(body, pattern, i) for i in (1, 2, 3)))
+    def first(pattern: str, target) -> Column:
+        of = F.transform(F.filter("tags", lambda tag: tag.rlike("(?s)" + pattern)), target)
+        return F.get(F.filter(of, lambda t: t != ""), F.lit(0))
 
-    refresh = F.regexp_extract(target(REFRESH), r"(?is)\burl\s*=\s*['\"]?([^'\"]*)", 1)
-    found = pages.where(base.isNotNull() & body.isNotNull()).select(base.alias("src"), F.explode(F.array(target(CANONICAL), refresh)).alias("to"))
+    refresh = first(REFRESH, lambda tag: F.regexp_extract(value(tag, CONTENT), _WAIT_URL, 1))
+    found = tags.select("src", F.explode(F.array(first(CANONICAL, lambda tag: value(tag, HREF)), refresh)).alias("to"))
     return found.where("to <> ''").select("src", resolve(F.col("src"), F.col("to")).alias("dst")).where("dst IS NOT NULL")
 
 

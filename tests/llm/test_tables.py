@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -142,6 +143,16 @@ def test_page_edges(spark):
     assert got == {("https://h.org/a/b?q", "https://h.org/c"), ("https://h.org/a/b?q", "https://other.net/x"), ("https://h.org/a/b", "https://h.org/a/d"), ("https://h.org", "http://z.org/")}
 
 
+def test_page_edges_in_one_pass(spark):
+    """Tags that never end, many attributes and quotes cost one pass, not one for each."""
+    n = 2_000_000
+    texts = ["<link " * (n // 6), "<link rel" + " " * n, "<link rel=" + " " * n + "x>", "<meta " + "a='b' " * (n // 6) + ">", "<link rel=canonical href=" + '"' * n + ">", "<LINK rel=canonical rel='x' href='/y'>" + "<" * n]
+    rows = [("http://h/", t) for t in texts]
+    began = time.perf_counter()
+    assert [tuple(r) for r in page_edges(spark.createDataFrame(rows, "url string, html string")).collect()] == [("http://h/", "http://h/y")]
+    assert time.perf_counter() - began < 30
+
+
 # -- vectors ---------------------------------------------------------------------
 def test_embeddings(spark, monkeypatch):
     from genoframe.llm import embeddings
