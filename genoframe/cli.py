@@ -5,12 +5,12 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.operators import runs
+from genoframe.operators.fai import fasta_text
 from genoframe.operators.regions import parse_regions
 from genoframe.sources.containers import extract_regions, read_container, write_container
 from genoframe.sources.fasta import read_fasta, write_fasta, write_indexed_fasta
@@ -28,53 +28,70 @@ def session() -> SparkSession:
     return spark
 
 
+#: Regions of the command line come behind all lines of a list.
+BEHIND = 1 << 62
+
+
 def regions_of(spark: SparkSession, specs: list[str], listed: str | None) -> DataFrame:
     """Regions of a list file, then those named; parsed by tasks."""
-    named = spark.createDataFrame(list(enumerate(specs)), "k long, spec string").select((F.col("k") + (1 << 40)).alias("ordinal"), "spec")
+    named = spark.createDataFrame(list(enumerate(specs)), "k long, spec string").select((F.col("k") + BEHIND).alias("ordinal"), "spec")
     if listed:
         lines = spark.read.text(listed).select(F.monotonically_increasing_id().alias("ordinal"), F.col("value").alias("spec"))
         named = lines.unionByName(named)
     return parse_regions(named)
 
 
-def extract(spark: SparkSession, path: str, specs: list[str], listed: str | None) -> DataFrame:
-    """The asked-for windows, in the order of the requests, or all sequences."""
+def extract(spark: SparkSession, path: str, specs: list[str], listed: str | None, used: tuple | None = None) -> DataFrame:
+    """The asked-for windows, in the order of the requests, or all sequences. ``used`` are
+    accumulators of the tasks' requests and bytes."""
     if specs or listed:
-        found = extract_regions(spark, path, regions_of(spark, specs, listed))
+        found = extract_regions(spark, path, regions_of(spark, specs, listed), used)
         name = F.when(F.col("end").isNull(), F.col("name")).otherwise(F.concat("name", F.lit(":"), "start", F.lit("-"), "end"))
         return found.select("ordinal", name.alias("name"), "bases")
-    reader = open_reader(path)
-    whole = spark.createDataFrame([(i, n, 0, None) for i, n in enumerate(reader.names())], "ordinal long, name string, start long, end long")
-    return extract_regions(spark, path, whole).select("ordinal", "name", "bases")
+    names = [(i, n, 0, None) for i, n in enumerate(open_reader(path).names())]
+    whole = spark.createDataFrame(names, "ordinal long, name string, start long, end long")
+    return extract_regions(spark, path, whole, used).select("ordinal", "name", "bases")
 
 
 def show_fasta(rows: DataFrame, out: str | None, width: int) -> None:
+    """Written by tasks with ``out``; else printed, a partition of rows at a time."""
     if out:
         return write_fasta(rows, out, width)
-    with tempfile.TemporaryDirectory() as folder:
-        write_fasta(rows, f"{folder}/out.fa", width)
-        with open(f"{folder}/out.fa") as f:
-            for line in f:
-                sys.stdout.write(line)
+    for row in rows.orderBy("ordinal").select(fasta_text(width).alias("text")).toLocalIterator():
+        sys.stdout.write(row["text"] + "\n")
     return None
 
 
-def info(spark: SparkSession, path: str) -> list[str]:
-    """What a file is, and a line for each of its sequences."""
+#: What the kinds of files are called.
+KINDS = {"twobit": "2-bit", "twobe": "2-bit with edits", "fourbit": "4-bit", "faidx": "indexed FASTA"}
+
+
+def info(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each sequence of a file: its place, name, length and, where the format
+    has them, its blocks or edits. The file's own properties are repeated in each."""
     reader = open_reader(path)
     if reader.kind == "twobit":
-        seqs = read_container(spark, path, "twobit")
-        rows = runs.twobit_stats(seqs).orderBy("ordinal").collect()
-        what = f"twoBit {'long (v1)' if reader.long else 'standard (v0)'}{' + IUB extension' if reader.iub else ''}{' + name index' if reader.index != 'none' else ''}"
-        return [f"{path}: {what}", f"  sequences: {len(rows)}", f"  {'name':<20} {'length':>12} {'N-blocks':>9} {'mask':>9} {'IUB':>9}", *(f"  {r['name']:<20} {r['len']:>12} {r['n_blocks']:>9} {r['mask_blocks']:>9} {r['iub_blocks']:>9}" for r in rows)]
-    if reader.kind == "twobe":
-        rows = [(n, reader.length_at(p), reader.edits_at(p)) for n, p in reader.toc()]
-        return [f"{path}: 2be (B+ tree TOC + merged tagged-edit stream)", f"  sequences: {len(rows)}", f"  {'name':<24} {'length':>12} {'edits':>10}", *(f"  {n:<24} {k:>12} {e:>10}" for n, k, e in rows)]
-    what = "4-bit sequence file (BWA/BAM nibble encoding)"
-    if reader.kind == "faidx":
-        what = "BGZF-compressed FASTA (samtools .fai/.gzi)" if reader.bgzf else "FASTA (samtools .fai)"
-    rows = reader.infos()
-    return [f"{path}: {what}", f"  sequences: {len(rows)}", f"  {'name':<24} {'length':>12}", *(f"  {n:<24} {k:>12}" for n, k in rows)]
+        rows = runs.twobit_stats(read_container(spark, path, "twobit"))
+        about = f"{KINDS['twobit']}, {'64' if reader.long else '32'}-bit offsets, codes {'kept' if reader.iub else 'lost'}, index {reader.index}"
+    elif reader.kind == "twobe":
+        table = [(i, n, reader.length_at(p), reader.edits_at(p)) for i, (n, p) in enumerate(reader.toc())]
+        rows, about = spark.createDataFrame(table, "ordinal long, name string, len long, edits long"), KINDS["twobe"]
+    else:
+        table = [(i, n, size) for i, (n, size) in enumerate(reader.infos())]
+        rows, about = spark.createDataFrame(table, "ordinal long, name string, len long"), KINDS[reader.kind] + (", in BGZF blocks" if getattr(reader, "bgzf", False) else "")
+    return rows.withColumn("format", F.lit(about))
+
+
+def show_info(spark: SparkSession, path: str) -> None:
+    rows = info(spark, path)
+    columns = [c for c in rows.columns if c not in ("ordinal", "format")]
+    count = 0
+    for row in rows.orderBy("ordinal").toLocalIterator():
+        if not count:
+            print(f"# {row['format']}", "\t".join(columns), sep="\n")
+        count += 1
+        print(*(row[c] for c in columns), sep="\t")
+    print(f"# {count} sequences")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -127,19 +144,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif o.command == "fa2faidx":
         write_indexed_fasta(read_fasta(spark, o.source), o.target, o.width, o.bgzip, o.level)
     elif o.command == "extract":
-        show_fasta(extract(spark, o.source, o.regions, o.seq_list), o.out, o.width)
+        used = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+        show_fasta(extract(spark, o.source, o.regions, o.seq_list, used), o.out, o.width)
         if o.http_stats and is_url(o.source):
-            reader = open_reader(o.source)  # what one task's lookups cost
-            for spec in o.regions:
-                name, _, span = spec.rpartition(":") if ":" in spec else (spec, "", "")
-                start, _, end = span.partition("-")
-                reader.extract(name, int(start or 0), int(end) if end else None)
-            requests, fetched = reader.http_stats()
-            print(f"http: {requests} requests, {fetched} bytes", file=sys.stderr)
+            print(f"requests {used[0].value}, bytes {used[1].value}", file=sys.stderr)
     elif o.command == "random":
         write_fasta(generate(spark, Options(o.seqs, o.length, o.n_frac, o.iub_frac, o.seed, o.prefix, o.n_runs, o.iub_runs)), o.target, o.width)
     else:
-        print("\n".join(info(spark, o.source)))
+        show_info(spark, o.source)
     return 0
 
 

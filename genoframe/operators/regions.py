@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoframe.functions.alphabet import region_name, window
-
-#: Names up to which a table of contents is broadcast; beyond, it is joined by shuffle.
-BROADCAST_NAMES = 200_000
+from genoframe.functions.alphabet import clamp, region_name
 
 
 def parse_regions(specs: DataFrame, spec: str = "spec", ordinal: str = "ordinal") -> DataFrame:
@@ -37,11 +34,15 @@ def extract(sequences: DataFrame, regions: DataFrame, unique: bool = False) -> D
     end, region, bases``. An unknown name is an error. ``unique`` says that names are
     known not to repeat, which saves the search for the last of each."""
     found = sequences if unique else last_by_name(sequences)
-    found = found.select(F.col("name").alias("of"), F.col("bases").alias("whole"))
+    # where a base is a byte, a window of the bytes needs no walk from the first base
+    plain = F.octet_length("bases") == F.length("bases")
+    found = found.select(F.col("name").alias("of"), F.col("bases").cast("binary").alias("raw"), F.length("bases").cast("long").alias("size"), plain.alias("plain"))
     joined = regions.join(found, regions["name"] == found["of"], "left")
-    missing = F.raise_error(F.concat(F.lit('no sequence named "'), regions["name"], F.lit('"'))).cast("string")
-    whole = F.coalesce("whole", missing)
-    return joined.select(regions["ordinal"], regions["name"], "start", "end", region_name(regions["name"], F.col("start"), F.col("end")).alias("region"), window(whole, F.col("start"), F.col("end")).alias("bases"))
+    missing = F.raise_error(F.concat(F.lit('no sequence named "'), regions["name"], F.lit('"'))).cast("long")
+    s, e = clamp(F.col("start"), F.col("end"), F.coalesce("size", missing))
+    at, size = (s + 1).cast("int"), (e - s).cast("int")
+    bases = F.when(F.col("plain"), F.substring("raw", at, size).cast("string")).otherwise(F.substring(F.col("raw").cast("string"), at, size))
+    return joined.select(regions["ordinal"], regions["name"], "start", "end", region_name(regions["name"], F.col("start"), F.col("end")).alias("region"), bases.alias("bases"))
 
 
 # -- tiles: long sequences in rows of bounded size -------------------------------
@@ -59,38 +60,46 @@ def to_tiles(sequences: DataFrame, tile: int = TILE) -> DataFrame:
 
 def extract_from_tiles(tiles: DataFrame, regions: DataFrame, tile: int = TILE) -> DataFrame:
     """As ``extract``, from tiles of uniquely named sequences. Names are looked up in the
-    table of contents, then tiles by name and number."""
+    table of contents, then tiles by name and number. Equal requests are looked up once,
+    so that a request itself is the key that its pieces are brought together by."""
+    asked = regions.groupBy("ordinal", "name", "start", "end").agg(F.count(F.lit(1)).cast("int").alias("times"))
     toc = tiles.where("tile = 0").select(F.col("name").alias("of"), "total")
-    rows = regions.withColumn("request", F.monotonically_increasing_id()).join(toc, regions["name"] == F.col("of"), "left")
+    rows = asked.join(toc, F.col("name") == F.col("of"), "left")
     missing = F.raise_error(F.concat(F.lit('no sequence named "'), "name", F.lit('"'))).cast("long")
-    total = F.coalesce("total", missing)
-    e = F.least(F.coalesce("end", total), total)
-    rows = rows.withColumns({"e": e}).withColumn("s", F.least("start", "e")).drop("of", "total")
-    touched = F.sequence((F.col("s") / tile).cast("int"), F.greatest((F.col("e") - 1) / tile, F.col("s") / tile).cast("int"))
-    wanted = rows.where("e > s").select("request", "name", "s", "e", F.explode(touched).alias("tile"))
-    t = tiles.select("name", "tile", "bases")
+    s, e = clamp(F.col("start"), F.col("end"), F.coalesce("total", missing))
+    rows = rows.withColumns({"s": s, "e": e}).drop("of", "total")
+    touched = F.when(F.col("e") > F.col("s"), F.sequence((F.col("s") / tile).cast("int"), ((F.col("e") - 1) / tile).cast("int")))
+    wanted = rows.withColumn("tile", F.explode_outer(touched))
+    t = tiles.select(F.col("name").alias("of"), F.col("tile").alias("number"), "bases")
     first = F.col("tile") * F.lit(tile).cast("long")
     low = F.greatest(F.col("s"), first) - first
     piece = F.substring("bases", (low + 1).cast("int"), (F.least(F.col("e"), first + tile) - first - low).cast("int"))
-    pieces = wanted.join(t, ["name", "tile"]).select("request", "tile", piece.alias("piece"))
-    whole = pieces.groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "piece"))), lambda x: x["piece"]), "").alias("bases"))
-    out = rows.join(whole, "request", "left")
-    return out.select("ordinal", "name", "start", "end", region_name(F.col("name"), F.col("start"), F.col("end")).alias("region"), F.coalesce("bases", F.lit("")).alias("bases"))
+    pieces = wanted.join(t, (F.col("name") == F.col("of")) & (F.col("tile") == F.col("number")), "left").withColumn("piece", piece)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "piece"))), lambda x: x["piece"]), "")
+    whole = pieces.groupBy("ordinal", "name", "start", "end", "times").agg(joined.alias("bases"))
+    whole = whole.withColumn("repeat", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return whole.select("ordinal", "name", "start", "end", region_name(F.col("name"), F.col("start"), F.col("end")).alias("region"), "bases")
 
 
 # -- sums over all rows before ---------------------------------------------------
-#: Rows of a range of ordinals that one window adds up.
+#: Rows of a range that one window adds up.
 RANGE = 1 << 16
 
 
-def prefix_sums(df: DataFrame, size: str, order: str = "ordinal", out: str = "offset") -> DataFrame:
-    """Adds the sum of ``size`` over all rows before, by a dense row number. Ranges of
-    RANGE numbers are added up apart; only their totals pass through one task."""
+def prefix_sums(df: DataFrame, size: str, order: str = "ordinal", out: str = "offset", by: str | None = None) -> DataFrame:
+    """Adds the sum of ``size`` over all rows before, in the order of a number that rows
+    share with no other row; with ``by``, over those of the same file or other group.
+
+    Ranges of the number are added up apart, and only their totals pass through one task.
+    Their width follows from the rows and the span of the number, so that there is a range
+    for every RANGE rows or so, whether or not the number has gaps."""
     kept = df.columns
-    rows = df.withColumn("_range", F.floor(F.col(order) / RANGE))
-    totals = rows.groupBy("_range").agg(F.sum(size).alias("_total"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    local = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn("_local", F.coalesce(F.sum(size).over(local), F.lit(0))).join(bases, "_range")
+    groups = [by] if by else []
+    span = df.agg(F.min(order).alias("_low"), F.ceil((F.max(order) - F.min(order) + 1) / F.ceil(F.count(F.lit(1)) / RANGE)).alias("_width"))
+    rows = df.crossJoin(F.broadcast(span)).withColumn("_range", F.floor((F.col(order) - F.col("_low")) / F.col("_width"))).drop("_low", "_width")
+    totals = rows.groupBy(*groups, "_range").agg(F.sum(size).alias("_total"))
+    before = (Window.partitionBy(by) if by else Window).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*groups, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    local = Window.partitionBy(*groups, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("_local", F.coalesce(F.sum(size).over(local), F.lit(0))).join(bases, [*groups, "_range"])
     return summed.select(*kept, (F.col("_local") + F.col("_base")).cast("long").alias(out))

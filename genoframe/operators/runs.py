@@ -34,6 +34,49 @@ def runs(sequences: DataFrame, pattern: str, rest: str) -> DataFrame:
     return cut.where(F.col("base").rlike(f"^(?:{pattern})$")).select("ordinal", "name", "start", "size", F.upper("base").alias("code"))
 
 
+def _across_tiles(found: DataFrame, tile: int) -> DataFrame:
+    """Runs of whole sequences from those of tiles: of each tile only the runs that touch
+    its ends are compared with their neighbours, the others are moved as they are."""
+    kept = [c for c in found.columns if c not in ("tile", "start", "size", "total")]
+    low = F.col("tile") * F.lit(tile).cast("long")
+    placed = found.withColumns({"inner": (F.col("start") > 0) & (F.col("start") + F.col("size") < F.least(F.lit(tile).cast("long"), F.col("total") - low)), "start": F.col("start") + low})
+    ends = placed.where("NOT inner")
+    order = Window.partitionBy("ordinal", "name").orderBy("start")
+    # a run goes on where the one before it ends here with the same code
+    goes_on = (F.lag(F.col("start") + F.col("size")).over(order) == F.col("start")) & F.lag("code").over(order).eqNullSafe(F.col("code"))
+    number = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    joined = ends.withColumn("run", number).groupBy(*kept, "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"))
+    return placed.where("inner").select(*kept, "start", "size").unionByName(joined.drop("run"))
+
+
+def tile_runs(tiles: DataFrame, pattern: str, rest: str, tile: int, code: bool = False) -> DataFrame:
+    """As ``runs``, from rows of ``name, ordinal, tile, total, bases`` with up to ``tile`` bases:
+    no task needs more than a tile's bases. Without ``code`` all matches are of one kind."""
+    parts = F.regexp_extract_all("bases", F.lit(f"((?:{pattern})|(?:{rest}))"), F.lit(1))
+    cut = tiles.select("ordinal", "name", "tile", "total", F.posexplode(parts).alias("k", "part"))
+    cut = cut.select("ordinal", "name", "tile", "total", "k", F.length("part").cast("long").alias("size"), F.substring("part", 1, 1).alias("base"))
+    before = Window.partitionBy("ordinal", "name", "tile").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long")).where(F.col("base").rlike(f"^(?:{pattern})$"))
+    found = cut.select("ordinal", "name", "tile", "total", "start", "size", (F.upper("base") if code else F.lit("")).alias("code"))
+    return _across_tiles(found, tile).select("ordinal", "name", "start", "size", "code")
+
+
+def tile_blocks(tiles: DataFrame, tile: int) -> DataFrame:
+    """All three kinds of blocks, with their ``kind``, as ``blocks`` gives them."""
+    none = F.lit(None).cast("string").alias("code")
+    n, mask = (tile_runs(tiles, p, rest, tile).select("ordinal", "name", "start", "size", none, F.lit(kind).alias("kind")) for p, rest, kind in ((N_BLOCKS, "[ACGTacgt]+", "N"), (MASK_BLOCKS, "[^a-z]+", "MASK")))
+    iub = tile_runs(tiles, IUB_BLOCKS, f"[^{_CODE_CLASS}]+", tile, True).withColumn("kind", F.lit("IUB"))
+    return n.unionByName(mask).unionByName(iub)
+
+
+def tile_stats(tiles: DataFrame, tile: int) -> DataFrame:
+    """Length and numbers of N, mask and IUB blocks of every sequence, from its tiles."""
+    counts = tile_blocks(tiles, tile).groupBy("ordinal", "name").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"{k.lower()}_blocks") for k in ("N", "MASK", "IUB")))
+    whole = tiles.where("tile = 0").select("ordinal", "name", F.col("total").alias("len"))
+    found = whole.join(counts, ["ordinal", "name"], "left")
+    return found.select("ordinal", "name", "len", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_blocks", "mask_blocks", "iub_blocks")))
+
+
 def n_blocks(sequences: DataFrame) -> DataFrame:
     """Runs of whatever is not ACGT: N, codes and junk together."""
     return runs(sequences, N_BLOCKS, "[ACGTacgt]+").drop("code")
@@ -98,11 +141,21 @@ def sequence_infos(sequences: DataFrame) -> DataFrame:
 
 
 # -- overlap and overlay ---------------------------------------------------------
-def overlapping(regions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Parts of blocks within regions: an equi-join on ``name`` with the overlap as a
-    condition. ``regions`` have ``name, start, end``; ``clip_start`` is relative to the
-    region's start, as is usual for a decoded window."""
+BIN = 1 << 17
+
+
+def overlapping(regions: DataFrame, blocks: DataFrame, size: int = BIN) -> DataFrame:
+    """Parts of blocks within regions. ``regions`` have ``name, start, end``; ``clip_start``
+    is relative to the region's start, as is usual for a decoded window.
+
+    An equi-join on the name and the bins of ``size`` bases that both touch, so that a long
+    sequence's blocks and regions meet only near each other; a pair counts in the first
+    bin that it shares."""
+    bins = lambda low, high: F.explode(F.sequence(F.floor(low / size), F.floor((high - 1) / size)))
     b = blocks.select(F.col("name").alias("of"), F.col("start").alias("b_start"), F.col("size").alias("b_size"), *[c for c in blocks.columns if c in ("kind", "code")])
-    met = regions.join(b, (F.col("name") == F.col("of")) & (F.col("b_start") < F.col("end")) & (F.col("b_start") + F.col("b_size") > F.col("start")))
+    b = b.where("b_size > 0").withColumn("b_bin", bins(F.col("b_start"), F.col("b_start") + F.col("b_size")))
+    r = regions.where(F.col("end") > F.col("start")).withColumn("_bin", bins(F.col("start"), F.col("end")))
+    met = r.join(b, (F.col("name") == F.col("of")) & (F.col("_bin") == F.col("b_bin")) & (F.col("b_start") < F.col("end")) & (F.col("b_start") + F.col("b_size") > F.col("start")))
+    met = met.where(F.col("_bin") == F.floor(F.greatest("b_start", "start") / size))
     s, e = F.greatest("b_start", "start"), F.least(F.col("b_start") + F.col("b_size"), F.col("end"))
-    return met.drop("of").withColumns({"clip_start": s - F.col("start"), "clip_size": e - s})
+    return met.drop("of", "_bin", "b_bin").withColumns({"clip_start": s - F.col("start"), "clip_size": e - s})

@@ -130,13 +130,19 @@ def fourbit_record(name: str, bases: str | bytes) -> bytes:
     return bytes([len(raw)]) + raw + struct.pack("<Q", len(a)) + pack4(a)
 
 
-def lay(window: np.ndarray, start: int, starts: np.ndarray, sizes: np.ndarray, value) -> None:
-    """Write blocks over a window that begins at ``start``; a value of None lower-cases."""
-    end = start + len(window)
-    for s, n, v in zip(starts.tolist(), sizes.tolist(), value if value is not None else [None] * len(starts), strict=True):
-        a, b = max(s, start) - start, min(s + n, end) - start
-        if a < b:
-            window[a:b] = window[a:b] | 0x20 if v is None else v
+def lay(window: np.ndarray, start: int, starts: np.ndarray, sizes: np.ndarray, values=None) -> None:
+    """Write blocks over a window that begins at ``start``: ``values`` is a code for all or
+    one for each block; without any, bases are lower-cased. Blocks don't overlap."""
+    low = np.maximum(starts, start) - start
+    n = np.minimum(starts + sizes, start + len(window)) - start - low
+    keep = n > 0
+    low, n = low[keep], n[keep]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
+    if values is None:
+        window[at] |= 0x20
+    else:
+        window[at] = np.repeat(values[keep], n) if isinstance(values, np.ndarray) else values
 
 
 # -- B+ tree of names ------------------------------------------------------------

@@ -7,8 +7,10 @@ only the named entries are looked up, by the file's index if it has one.
 
 Writing takes rows in the order of their partitions, so sort by ``ordinal`` first.
 Tasks encode records, which hold no absolute offsets, into part files beside the
-target; the commit writes header, table of contents and index, appends the parts and
-renames the whole. Target and parts must be in a folder that all executors share.
+target; the commit writes header, table of contents and index around a gap, and
+``write_container`` lets tasks copy the parts into it before the whole is renamed. A plain
+``df.write`` copies them in the commit. Target and parts must be in a folder that all
+executors share.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
@@ -36,13 +38,14 @@ SLICE = 2048
 COPIED = 16 << 20
 
 
-def files_of(path: str) -> list[str]:
-    """The files that a path, a folder or a pattern stands for."""
+def files_of(path: str, sidecars: bool = False) -> list[str]:
+    """The files that a path, a folder or a pattern stands for, without indexes in a folder
+    unless ``sidecars``."""
     if is_url(path):
         return [path]
     path = local_path(path)
     if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_")) and not p.endswith((".fai", ".gzi")))
+        return sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_")) and (sidecars or not p.endswith((".fai", ".gzi"))))
     found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
     if not found or not all(map(os.path.exists, found)):
         raise FileNotFoundError(path)
@@ -121,8 +124,8 @@ class Part(WriterCommitMessage):
 class PartsWriter(DataSourceArrowWriter):
     """Writes what ``encode`` makes of a row to part files and joins them in ``commit``."""
 
-    def __init__(self, path: str, columns: list[str]):
-        self.path = local_path(path)
+    def __init__(self, path: str, columns: list[str], plan: str = ""):
+        self.path, self.plan = local_path(path), plan
         self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
         self.columns = columns
 
@@ -152,13 +155,24 @@ class PartsWriter(DataSourceArrowWriter):
     def commit(self, messages):
         parts = sorted((m for m in messages if m), key=lambda m: m.number)
         head, tail = self.frame([n for p in parts for n in p.names], [s for p in parts for s in p.sizes])
-        whole = f"{self.parts}.whole"
+        whole, at = f"{self.parts}.whole", len(head)
+        places = []
+        for p in parts:
+            places.append((at, p.path))
+            at += sum(p.sizes)
         with open(whole, "wb") as out:
             out.write(head)
-            for p in parts:
-                with open(p.path, "rb") as part:
-                    shutil.copyfileobj(part, out, COPIED)
+            out.seek(at)
             out.write(tail)
+            out.truncate()
+            for at, part in [] if self.plan else places:
+                out.seek(at)
+                with open(part, "rb") as data:
+                    shutil.copyfileobj(data, out, COPIED)
+        if self.plan:  # tasks copy the parts
+            with open(self.plan, "w", encoding="utf-8") as f:
+                f.writelines(f"{x}\n" for x in (whole, self.parts, *(f"{at} {part}" for at, part in places)))
+            return
         os.replace(whole, self.path)
         shutil.rmtree(self.parts, ignore_errors=True)
 
@@ -172,8 +186,8 @@ class ConcatenatedWriter(PartsWriter):
 
 
 class TwoBitWriter(PartsWriter):
-    def __init__(self, path, columns, long: bool, iub: bool, index: str):
-        super().__init__(path, columns)
+    def __init__(self, path, columns, long: bool, iub: bool, index: str, plan: str = ""):
+        super().__init__(path, columns, plan)
         if index not in ("none", "ptr", "bpt"):
             raise ValueError(f"unknown index {index}")
         self.long, self.iub, self.index = long, iub, index
@@ -245,21 +259,21 @@ class TwoBit(Container):
     kind = "twobit"
 
     def writer(self, schema, overwrite):
-        return TwoBitWriter(self.options["path"], schema.names, self.flag("long"), self.flag("iub"), self.options.get("index", "none"))
+        return TwoBitWriter(self.options["path"], schema.names, self.flag("long"), self.flag("iub"), self.options.get("index", "none"), self.options.get("plan", ""))
 
 
 class FourBit(Container):
     kind = "fourbit"
 
     def writer(self, schema, overwrite):
-        return FourBitWriter(self.options["path"], schema.names)
+        return FourBitWriter(self.options["path"], schema.names, self.options.get("plan", ""))
 
 
 class TwoBe(Container):
     kind = "twobe"
 
     def writer(self, schema, overwrite):
-        return TwoBeWriter(self.options["path"], schema.names)
+        return TwoBeWriter(self.options["path"], schema.names, self.options.get("plan", ""))
 
 
 class Faidx(Container):
@@ -275,7 +289,7 @@ class Concatenated(DataSource):
         return "data binary"
 
     def writer(self, schema, overwrite):
-        return ConcatenatedWriter(self.options["path"], schema.names)
+        return ConcatenatedWriter(self.options["path"], schema.names, self.options.get("plan", ""))
 
 
 def register(spark: SparkSession) -> None:
@@ -294,24 +308,72 @@ def write_container(sequences: DataFrame, path: str, kind: str, **options) -> No
     """Write ``ordinal, name, bases`` as one file, in the order of ``ordinal``."""
     register(sequences.sparkSession)
     rows = sequences.orderBy("ordinal").select("name", "bases")
-    rows.write.format(kind).options(path=path, **{k: str(v).lower() for k, v in options.items()}).mode("append").save()
+    _write_joined(rows.write.format(kind).options(**{k: str(v).lower() for k, v in options.items()}), path, sequences.sparkSession)
 
 
 def write_bytes(rows: DataFrame, path: str, data: str, order: str) -> None:
     """Write a binary column as one file, in order."""
     register(rows.sparkSession)
-    rows.orderBy(order).select(F.col(data).alias("data")).write.format("concatenated").option("path", path).mode("append").save()
+    _write_joined(rows.orderBy(order).select(F.col(data).alias("data")).write.format("concatenated"), path, rows.sparkSession)
+
+
+def _write_joined(write: DataFrameWriter, path: str, spark: SparkSession) -> None:
+    """Let tasks write the parts, then let tasks copy each part to its place in the target,
+    so that no data passes through the driver."""
+    target = local_path(path)
+    plan = f"{target}.plan-{uuid.uuid4().hex}"
+    write.option("path", path).option("plan", plan).mode("append").save()
+    with open(plan, encoding="utf-8") as f:
+        whole, parts, *pieces = f.read().splitlines()
+    os.remove(plan)
+    rows = [(i, path, int(at)) for i, (at, path) in enumerate(x.split(" ", 1) for x in pieces)]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with open(whole, "r+b") as out:
+                for part, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    out.seek(at)
+                    with open(part, "rb") as data:
+                        shutil.copyfileobj(data, out, COPIED)
+            yield batch
+
+    if rows:
+        table = spark.createDataFrame(rows, "i long, part string, at long").repartition(min(len(rows), spark.sparkContext.defaultParallelism), "i")
+        table.mapInArrow(place, table.schema).write.format("noop").mode("overwrite").save()
+    os.replace(whole, target)
+    shutil.rmtree(parts, ignore_errors=True)
+
+
+#: Bases up to which a sequence is decoded whole for its windows.
+WHOLE = 1 << 20
 
 
-def extract_regions(spark: SparkSession, path: str, regions: DataFrame) -> DataFrame:
-    """Windows of a container: each task opens the file and decodes only what its
-    regions ask for. ``ordinal, name, start, end, bases``; an unknown name is an error."""
+def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tuple | None = None) -> DataFrame:
+    """Windows of a container: ``ordinal, name, start, end, bases``; an unknown name is an
+    error. Regions are dealt by their name and place, so that a task looks a name up once
+    and reads on from one window to the next. A short sequence is decoded once for all of a
+    task's windows; of a longer one only what its windows ask for. ``used`` are
+    accumulators that the tasks add their HTTP requests and bytes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = open_reader(path)
+        known, place, whole = None, None, None
         for batch in batches:
             names, starts, ends = (c.to_pylist() for c in batch.columns[1:])
-            bases = [reader.extract(n, s or 0, e) for n, s, e in zip(names, starts, ends, strict=True)]
+            bases = []
+            for name, start, end in zip(names, starts, ends, strict=True):
+                if name != known:
+                    place, whole = reader.find(name), None
+                    if place is None:
+                        raise KeyError(f'no sequence named "{name}"')
+                    known, short = name, reader.length_at(place) <= WHOLE
+                if short and whole is None:
+                    whole = reader.extract_at(place)
+                bases.append(whole[start or 0 : end] if short else reader.extract_at(place, start or 0, end))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bases, pa.string())], names=["ordinal", "name", "start", "end", "bases"])
+        for counter, n in zip(used or (), reader.http_stats(), strict=False):
+            counter.add(n)
 
-    return regions.select("ordinal", "name", "start", "end").mapInArrow(run, "ordinal long, name string, start long, end long, bases string")
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = regions.select("ordinal", "name", "start", "end").repartition(shuffled, F.col("name"), F.floor(F.col("start") / (4 * WHOLE))).sortWithinPartitions("name", "start")
+    return dealt.mapInArrow(run, "ordinal long, name string, start long, end long, bases string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from genoframe.operators.fai import fai_lines, fai_table, fasta_text
 from genoframe.operators.regions import prefix_sums
-from genoframe.sources.containers import write_bytes
+from genoframe.sources.containers import files_of, write_bytes
 from genoframe.sources.ranged import open_source
 from genoframe.sources.readers import bgzf_blocks
 
@@ -54,32 +55,43 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_fai_table(spark: SparkSession, path: str) -> DataFrame:
-    """``name, length, offset, linebases, linewidth`` of a FASTA file without an index,
-    by its records' byte lengths. Carriage returns are not counted as bases."""
+    """``file, name, length, offset, linebases, linewidth`` of FASTA files without an index,
+    each file's by its own records' byte lengths. Carriage returns are not counted as bases."""
     rows = _records(spark, path).withColumn("record", F.when(F.col("first"), F.regexp_replace("record", "^>", "")).otherwise(F.col("record")))
     rows = rows.withColumn("size", (F.octet_length("record") + 2).cast("long"))
-    rows = prefix_sums(rows, "size", out="begin")
+    rows = prefix_sums(rows, "size", out="begin", by="file")
     header = F.regexp_extract("record", "^([^\\n]*)", 1)
     data = F.regexp_replace("record", "^[^\\n]*\\n?", "")
     line = F.regexp_extract(data, "^([^\\n]*)", 1)
     length = F.octet_length(F.regexp_replace(data, "[\\r\\n]", "")).cast("long")
     return rows.select(
-        F.regexp_extract(header, f"^[{SPACE}]*([^{SPACE}]*)", 1).alias("name"), length.alias("length"), (F.col("begin") + F.octet_length(header) + 2).cast("long").alias("offset"),
+        "file", F.regexp_extract(header, f"^[{SPACE}]*([^{SPACE}]*)", 1).alias("name"), length.alias("length"), (F.col("begin") + F.octet_length(header) + 2).cast("long").alias("offset"),
         F.octet_length(F.regexp_replace(line, "\\r", "")).cast("long").alias("linebases"), F.when(data == "", 0).otherwise(F.octet_length(line) + 1).cast("long").alias("linewidth"),
     )
 
 
 def format_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """``file, size, format`` of the files of a folder, by their first bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, 64)
+    """``file, size, format`` of the files of a folder, by their first 64 bytes. Files are
+    listed without being read; each task then reads those of a few files."""
+    listed = spark.createDataFrame([(f, os.path.getsize(f)) for f in files_of(path, sidecars=True)], "file string, size long")
+
+    def peek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for file in batch.column(0).to_pylist():
+                source = open_source(file)
+                heads.append(source.read_at(0, min(64, source.size)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["file", "size", "head"])
+
+    head = F.col("head")
     magic = F.hex(F.substring(head, 1, 4))
     text = F.ltrim(F.regexp_replace(F.decode(head, "ISO-8859-1"), f"^[{SPACE}]+", ""))
     kind = (
         F.when(magic.isin("4327411A", "1A412743"), "twobit").when(magic == "32424531", "twobe").when(magic == "34424954", "fourbit")
         .when((magic == "1F8B0804") & (F.hex(F.substring(head, 13, 2)) == "4243"), "bgzf").when(F.startswith(text, F.lit(">")), "fasta").otherwise("unknown")
     )
-    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), kind.alias("format"))
+    files = listed.repartition(max(1, min(listed.count(), spark.sparkContext.defaultParallelism)))
+    return files.mapInArrow(peek, "file string, size long, head binary").select("file", "size", kind.alias("format"))
 
 
 def bgzf_block_table(spark: SparkSession, path: str) -> DataFrame:

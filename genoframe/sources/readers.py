@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -16,6 +17,8 @@ from genoframe.operators.runs import MASK_RUN, N_RUN
 from genoframe.sources import codec as C
 from genoframe.sources.ranged import is_url, local_path, open_source
 
+#: Bytes of a table of contents that are read at once.
+TOC_CHUNK = 1 << 20
 #: Block tables up to which a table is read whole; larger ones are searched by halves.
 WHOLE_TABLE = 4096
 
@@ -98,18 +101,25 @@ class TwoBitReader(Reader):
 
     def _entry(self, at: int) -> tuple[str, int, int]:
         """Name, place and end of a table-of-contents entry."""
-        n = self.source.read_at(at, 1)[0]
-        width = 8 if self.long else 4
-        raw = self.source.read_at(at + 1, n + width)
-        return raw[:n].decode("utf-8", "replace"), struct.unpack(self.order + ("Q" if self.long else "I"), raw[n:])[0], at + 1 + n + width
+        return next(self._entries(at, 1, 1 + 255 + 8))
+
+    def _entries(self, at: int, count: int, chunk: int = TOC_CHUNK) -> Iterator[tuple[str, int, int]]:
+        """Entries that follow one another, read a chunk at a time."""
+        width, kind = (8, "Q") if self.long else (4, "I")
+        held, i = b"", 0
+        for _ in range(count):
+            if i >= len(held) or i + 1 + held[i] + width > len(held):
+                at, i = at + i, 0
+                held = self.source.read_at(at, min(chunk, self.source.size - at))
+                if not held or 1 + held[0] + width > len(held):
+                    raise ValueError("the table of contents is cut short")
+            end = i + 1 + held[i]
+            yield held[i + 1 : end].decode("utf-8", "replace"), struct.unpack_from(self.order + kind, held, end)[0], at + end + width
+            i = end + width
 
     @cached_property
     def _toc(self) -> list[tuple[str, int]]:
-        out, at = [], 16
-        for _ in range(self.count):
-            name, place, at = self._entry(at)
-            out.append((name, place))
-        return out
+        return [(name, place) for name, place, _ in self._entries(16, self.count)]
 
     def toc(self):
         return self._toc
@@ -153,10 +163,9 @@ class TwoBitReader(Reader):
         if (starts + sizes > size).any():
             raise ValueError("a block reaches over the end of its sequence")
         keep = starts >= 0
-        values = None if value is None else [value] * int(keep.sum())
         if codes_at is not None:
-            values = np.frombuffer(self.source.read_at(codes_at + low, len(starts)), np.uint8)[keep].tolist()
-        C.lay(window, start, starts[keep], sizes[keep], values)
+            value = np.frombuffer(self.source.read_at(codes_at + low, len(starts)), np.uint8)[keep]
+        C.lay(window, start, starts[keep], sizes[keep], value)
 
     def extract_at(self, place, start=0, end=None):
         size = self._u32(place)
@@ -275,7 +284,7 @@ class TwoBeReader(Reader):
             if (own["pos"].astype(np.int64) + own["len"] > size).any():
                 raise ValueError("an edit reaches over the end of its sequence")
             mask = len(own) and own["etype"][0] == MASK_RUN
-            values = None if mask else np.where(own["etype"] == N_RUN, ord("N"), own["code"]).tolist()
+            values = None if mask else np.where(own["etype"] == N_RUN, ord("N"), own["code"]).astype(np.uint8)
             C.lay(window, s, own["pos"].astype(np.int64), own["len"].astype(np.int64), values)
         return window.tobytes().decode("latin-1")
 
@@ -305,6 +314,28 @@ def bgzf_blocks(source) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def indexed_blocks(source, gzi: bytes) -> list[tuple[int, int, int, int]]:
+    """As ``bgzf_blocks``, by a ``.gzi`` index; only the last block's header is read."""
+    count = struct.unpack("<Q", gzi[:8])[0]
+    if len(gzi) < 8 + 16 * count:
+        raise ValueError("the block index is cut short")
+    starts = np.concatenate([np.zeros((1, 2), np.int64), np.frombuffer(gzi, "<u8", 2 * count, 8).astype(np.int64).reshape(-1, 2)])
+    whole = np.diff(starts, axis=0)
+    c, u = (int(x) for x in starts[-1])
+    last = [(c + a, size, u + b, plain) for a, size, b, plain in bgzf_blocks(_Tail(source, c))]
+    return [(int(a), int(n), int(b), int(m)) for (a, b), (n, m) in zip(starts[:-1], whole, strict=True)] + last
+
+
+class _Tail:
+    """A source from a place on."""
+
+    def __init__(self, source, at: int):
+        self.source, self.at, self.size = source, at, source.size - at
+
+    def read_at(self, offset: int, n: int) -> bytes:
+        return self.source.read_at(self.at + offset, n)
+
+
 def inflate_block(block: bytes) -> bytes:
     plain = zlib.decompress(block[18:-8], -15)
     crc, size = struct.unpack("<II", block[-8:])
@@ -316,8 +347,8 @@ def inflate_block(block: bytes) -> bytes:
 class _Inflated:
     """A BGZF source as the bytes that it holds."""
 
-    def __init__(self, source):
-        self.under, self.blocks = source, bgzf_blocks(source)
+    def __init__(self, source, gzi: bytes | None = None):
+        self.under, self.blocks = source, bgzf_blocks(source) if gzi is None else indexed_blocks(source, gzi)
         self.starts = np.array([b[2] for b in self.blocks], np.int64)
         self.size = self.blocks[-1][2] + self.blocks[-1][3] if self.blocks else 0
 
@@ -369,9 +400,9 @@ def scan_fai(data: bytes) -> list[tuple[str, int, int, int, int]]:
 class FaidxReader(Reader):
     kind = "faidx"
 
-    def __init__(self, source, fai: list[tuple[str, int, int, int, int]] | None = None):
+    def __init__(self, source, fai: list[tuple[str, int, int, int, int]] | None = None, gzi: bytes | None = None):
         self.bgzf = is_bgzf(source.read_at(0, min(18, source.size)))
-        super().__init__(_Inflated(source) if self.bgzf else source)
+        super().__init__(_Inflated(source, gzi) if self.bgzf else source)
         self.fai = fai if fai is not None else scan_fai(self.source.read_at(0, self.source.size))
         self.index_requests = (0, 0)
 
@@ -414,7 +445,7 @@ def open_reader(path: str) -> Reader:
     source = open_source(path)
     kind = detect(source.read_at(0, min(64, source.size)))
     if kind in ("bgzf", "fasta"):
-        fai, used = None, (0, 0)
+        fai, gzi, used = None, None, (0, 0)
         if is_url(path):
             side = open_source(path + ".fai")
             fai = parse_fai(side.read_at(0, side.size).decode("utf-8", "replace"))
@@ -425,7 +456,12 @@ def open_reader(path: str) -> Reader:
                     fai = parse_fai(f.read())
             except FileNotFoundError:
                 pass
-        reader = FaidxReader(source, fai)
+            try:
+                with open(local_path(path) + ".gzi", "rb") as f:
+                    gzi = f.read()
+            except FileNotFoundError:
+                pass
+        reader = FaidxReader(source, fai, gzi)
         reader.index_requests = used
         return reader
     return {"twobit": TwoBitReader, "twobe": TwoBeReader, "fourbit": FourBitReader}[kind](source)

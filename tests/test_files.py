@@ -12,7 +12,7 @@ from genoframe import cli
 from genoframe.sources import fasta
 from genoframe.sources.containers import extract_regions, read_container, write_container
 from genoframe.sources.generator import Options, Stream, generate, make
-from genoframe.sources.readers import open_reader
+from genoframe.sources.readers import bgzf_blocks, indexed_blocks, open_reader
 
 SEQS = [("seqZ", "ACGTNNNryacgtRRRYYYacgtNacgtKMB"), ("seqA", "RRRRRRRRRRacgtACGTNNNN"), ("seqM", "ACGTacgtACGTnnnNNNacgtryswKMB"), ("empty", "")]
 
@@ -76,6 +76,7 @@ def test_bgzf_blocks(spark, tmp_path):
     with open(path + ".gzi", "rb") as f:
         gzi = f.read()
     blocks = r.source.blocks
+    assert blocks == bgzf_blocks(r.source.under) == indexed_blocks(r.source.under, gzi)
     assert int.from_bytes(gzi[:8], "little") == len(blocks) - 1
     assert [int.from_bytes(gzi[8 + 8 * i : 16 + 8 * i], "little") for i in range(2)] == [blocks[1][0], blocks[1][2]]
 
@@ -105,8 +106,10 @@ def test_scanned_index(spark, tmp_path, end):
     p = tmp_path / "x.fa"
     text = "".join(f">r{i} x{end}" + "".join(f"{'ACGT' * 3}{end}" for _ in range(i % 4)) + (f"AC{end}" if i % 2 else "") for i in range(50))
     p.write_bytes(text.encode())
-    got = sorted(map(tuple, fasta.scan_fai_table(spark, str(p)).collect()))
-    assert got == sorted(scan_fai(text.encode()))
+    (tmp_path / "y.fa").write_bytes(text.replace("ACGT", "GG").encode())
+    got = sorted(map(tuple, fasta.scan_fai_table(spark, str(tmp_path)).collect()))
+    own = {f: scan_fai((tmp_path / f).read_bytes()) for f in ("x.fa", "y.fa")}
+    assert [(os.path.basename(f), *r) for f, *r in got] == sorted((f, *r) for f, rows in own.items() for r in rows)
 
 
 def test_catalog(spark, seqs, tmp_path):
@@ -128,6 +131,22 @@ def test_read_fai(spark, tmp_path):
         fasta.read_fai(spark, str(p)).collect()
 
 
+def test_long_sequences_are_read_by_windows(spark, seqs, tmp_path, monkeypatch):
+    """Windows that are decoded apart equal slices of sequences that are decoded whole."""
+    from genoframe.sources import containers
+
+    asked = spark.createDataFrame([(10 * i + k, n, a, b) for i, (n, s) in enumerate(SEQS) for k, (a, b) in enumerate([(0, None), (3, 9), (9, 3), (len(s) - 2 if s else 0, 99)])], "ordinal long, name string, start long, end long")
+    for kind, whole in (("twobit", SEQS), ("fourbit", [(n, s.upper()) for n, s in SEQS]), ("twobe", SEQS)):
+        path = str(tmp_path / kind)
+        write_container(seqs, path, kind, **({"iub": True} if kind == "twobit" else {}))
+        want = [s[r["start"] : r["end"]] for n, s in whole for r in asked.orderBy("ordinal").collect() if r["name"] == n]
+        for limit in (0, 1 << 20):
+            monkeypatch.setattr(containers, "WHOLE", max(limit, 1))
+            assert [r["bases"] for r in extract_regions(spark, path, asked).orderBy("ordinal").collect()] == want
+        with pytest.raises(Exception, match='no sequence named "nope"'):
+            extract_regions(spark, path, spark.createDataFrame([(0, "nope", 0, 1)], asked.schema)).collect()
+
+
 def reference_stream(seed: int, n: int) -> list[int]:
     """SplitMix64 step by step."""
     out, mask = [], 2**64 - 1
@@ -183,7 +202,9 @@ def test_remote(spark, seqs, tmp_path):
             requests, fetched = r.http_stats()
             assert requests >= 1 and fetched >= 1
             asked = spark.createDataFrame([(0, "seqA", 2, 9), (1, "seqA", 2, 9), (2, "seqZ", 0, None)], "ordinal long, name string, start long, end long")
-            assert [r["bases"] for r in extract_regions(spark, url, asked).orderBy("ordinal").collect()] == [SEQS[1][1][2:9]] * 2 + [SEQS[0][1]]
+            used = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+            assert [r["bases"] for r in extract_regions(spark, url, asked, used).orderBy("ordinal").collect()] == [SEQS[1][1][2:9]] * 2 + [SEQS[0][1]]
+            assert used[0].value >= requests and used[1].value >= fetched
     finally:
         server.shutdown()
 
@@ -207,10 +228,11 @@ def test_commands(spark, tmp_path, capsys):
     bases = {n: b for n, b in rows(fasta.read_fasta(spark, t("r.fa")))}
     assert out == f">seq1:5-15\n{bases['seq1'][5:15]}\n" * 2 + f">seq0:190-900\n{bases['seq0'][190:]}\n"
     run("info", t("r.2bit"))
-    assert "twoBit standard (v0) + IUB extension + name index" in capsys.readouterr().out
+    out = capsys.readouterr().out.splitlines()
+    assert out[:2] == ["# 2-bit, 32-bit offsets, codes kept, index bpt", "name\tlen\tn_blocks\tmask_blocks\tiub_blocks"] and out[2].startswith("seq0\t200\t")
     for name in ("r.2be", "r.4bit", "r5.fa", "r.fa"):
         run("info", t(name))
-        assert "sequences: 4" in capsys.readouterr().out
+        assert "# 4 sequences" in capsys.readouterr().out
     with pytest.raises(Exception, match="no sequence named"):
         run("extract", t("r.2bit"), "nope")
     with pytest.raises(Exception, match="bad region"):

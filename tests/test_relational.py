@@ -88,11 +88,44 @@ def test_last_of_equal_names(spark):
     assert regions.extract(s, r).first()["bases"] == "CC"
 
 
+def test_tiles_of_shuffled_regions(spark):
+    """Every request gets its own bases, whatever the order of rows."""
+    s = seqs(spark, *("".join("ACGT"[(i * j + j // 7) % 4] for j in range(300)) for i in range(1, 40)))
+    r = spark.range(4000).select(F.col("id").alias("ordinal"), F.concat(F.lit("s"), F.col("id") % 39).alias("name"), (F.col("id") % 290).alias("start"), (F.col("id") % 290 + F.col("id") % 23).alias("end"))
+    want = sorted(map(tuple, regions.extract(s, r, unique=True).collect()))
+    got = regions.extract_from_tiles(regions.to_tiles(s, 64), r.repartition(16), 64)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_runs_of_tiles_are_those_of_whole_sequences(spark):
+    texts = ["N" * 50, "ACGT" * 5 + "R" * 9 + "nnnn" + "yyYY" * 4 + "ACGTNNN", "RYRYRY" * 4, "", "acgtNNNNNNNNNNNNNNNNNNNNNNNNNNNNNacgt", "A" * 16]
+    s = seqs(spark, *texts)
+    for tile in (4, 5, 16):
+        t = regions.to_tiles(s, tile)
+        columns = ("ordinal", "name", "start", "size", "code", "kind")
+        assert sorted(found(runs.tile_blocks(t, tile), *columns), key=str) == sorted(found(runs.blocks(s), *columns), key=str)
+        assert found(runs.tile_stats(t, tile), "ordinal", "len", "n_blocks", "mask_blocks", "iub_blocks") == found(runs.twobit_stats(s), "ordinal", "len", "n_blocks", "mask_blocks", "iub_blocks")
+
+
+def test_overlaps_by_bins(spark):
+    b = spark.createDataFrame([("c", i * 7, i % 9) for i in range(60)], "name string, start long, size long")
+    r = spark.createDataFrame([("c", i * 11, i * 11 + i) for i in range(40)], "name string, start long, end long")
+    want = sorted((s, max(x, s) - s, min(x + n, e) - max(x, s)) for _, s, e in map(tuple, r.collect()) for _, x, n in map(tuple, b.collect()) if x < e and x + n > s and n)
+    for size in (4, 16, 1 << 17):
+        assert found(runs.overlapping(r, b, size), "start", "clip_start", "clip_size") == want
+
+
 def test_prefix_sums_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(regions, "RANGE", 7)
     df = spark.range(100).select(F.col("id").alias("ordinal"), (F.col("id") % 5).alias("size")).repartition(4)
-    got = [r["offset"] for r in regions.prefix_sums(df, "size").orderBy("ordinal").collect()]
-    assert got == [sum(i % 5 for i in range(k)) for k in range(100)]
+    want = [sum(i % 5 for i in range(k)) for k in range(100)]
+    assert [r["offset"] for r in regions.prefix_sums(df, "size").orderBy("ordinal").collect()] == want
+    sparse = df.withColumn("ordinal", F.col("ordinal") * (1 << 40) + 5)
+    assert [r["offset"] for r in regions.prefix_sums(sparse, "size").orderBy("ordinal").collect()] == want
+    by = df.withColumn("file", F.col("ordinal") % 3)
+    got = regions.prefix_sums(by, "size", by="file").orderBy("ordinal").collect()
+    assert [r["offset"] for r in got] == [sum(i % 5 for i in range(k) if i % 3 == k % 3) for k in range(100)]
+    assert regions.prefix_sums(df.limit(0), "size").count() == 0
 
 
 @pytest.mark.parametrize("width", [0, 4, 60])
