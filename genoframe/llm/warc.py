@@ -299,7 +299,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     first = scratch.table(first.select(F.col("record_id").alias("of"), "first"), "referred")
     rows = records.join(_small(first), F.col("refers") == F.col("of"), "left")
     again = F.col("type") == "revisit"
-    stored = F.when(~again, F.col("found").eqNullSafe(F.col("digest")) | F.when(F.col("digest").isNull(), None))
+    stored = F.when(~again & F.col("digest").isNotNull(), F.col("found").eqNullSafe(F.col("digest")))
     return rows.select(
         "file", F.col("at").alias("offset"), "type", "record_id", "page_id", "target",
         F.when(again, F.col("first.payload_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
