@@ -13,8 +13,10 @@ only those that share one are fingerprinted; texts are scanned whole for shared
 shingles. The similarity at which pairs are kept lies at an expected distance of
 under 10 bits, RADIUS is over four standard deviations above it.
 
-The items' index goes to the executors in slices of SLICE items, one pass over the
-documents for each, so that what is broadcast is bounded.
+The items' index goes to the executors in slices of SLICE_BYTES of text or so. Where
+there are several, they are taken one after another, each with a pass over the documents
+whose result is written before the next slice is read, so neither the driver nor an
+executor holds more than one.
 
 Defined results: an item of under five words is one shingle of its own length; a
 document shorter than an item is compared as a whole; null or empty items and
@@ -26,7 +28,6 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -35,19 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.llm.rows import keep_rows
+from genoframe.llm.scratch import Scratch
 from genoframe.llm.shingles import WORDS, gram_sequence, word_hashes, words_of
 
 SIMILARITY = 0.8
 BLOCKS, NEAR = 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
-SLICE = 20_000
-#: Windows that are looked up together.
-TOGETHER = 4096
+SLICE_BYTES = 64 << 20
+#: Pairs of windows and items that are looked up together.
+TOGETHER = 1 << 21
 
 _bytes = np.arange(256, dtype=np.uint8)
-_ones = np.unpackbits(_bytes[:, None], axis=1).sum(1)
-#: Whether two block values differ in NEAR bits or fewer.
-_close = _ones[_bytes[:, None] ^ _bytes[None, :]] <= NEAR
+#: What a block's value is combined with to get all values that differ in NEAR bits or fewer.
+NEIGHBOURS = _bytes[np.bitwise_count(_bytes) <= NEAR]
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:
@@ -62,22 +63,32 @@ def fingerprints(grams: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(sums[width:] > sums[:-width], axis=1)
 
 
-@dataclass
 class Items:
-    """The items of one length in words."""
-
-    length: int
-    ids: list[int] = field(default_factory=list)
-    grams: list[np.ndarray] = field(default_factory=list)
-
-    def seal(self) -> Items:
-        self.k = min(self.length, WORDS)
-        self.counts = [dict(zip(*(x.tolist() for x in np.unique(g, return_counts=True)), strict=True)) for g in self.grams]
-        self.known = np.unique(np.concatenate(self.grams))
-        self.prints = np.concatenate([fingerprints(g, len(g)) for g in self.grams])
-        #: of each block and value, the items whose block is near that value
-        self.near = _close[:, self.prints].transpose(2, 0, 1).copy()
-        return self
+    """The items of one length in words: ``grams`` has a row of them for each item.
+
+    For each block, the items are kept in the order of their value in that block, with
+    the place where each value begins."""
+
+    def __init__(self, length: int, ids: list[int], grams: np.ndarray):
+        self.length, self.ids, self.grams = length, ids, np.sort(grams, axis=1)
+        self.k = min(length, WORDS)
+        self.known = np.unique(grams)
+        self.prints = np.concatenate([fingerprints(g, len(g)) for g in grams])
+        self.lists = np.argsort(self.prints, axis=0, kind="stable").T.astype(np.int32)
+        self.begins = np.array([np.searchsorted(self.prints[row, b], np.arange(257)) for b, row in enumerate(self.lists)])
+
+    def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a fingerprint and an item that have blocks within NEAR bits."""
+        n = len(self.ids)
+        found = [np.zeros(0, np.int64)]
+        for b in range(BLOCKS):
+            values = (prints[:, b, None] ^ NEIGHBOURS[None, :]).astype(np.int64)
+            low, size = self.begins[b][values], self.begins[b][values + 1] - self.begins[b][values]
+            of = np.repeat(np.arange(len(prints)), size.sum(1))
+            flat = size.ravel()
+            at = np.arange(len(of)) - np.repeat(np.cumsum(flat) - flat, flat) + np.repeat(low.ravel(), flat)
+            found.append(of * n + self.lists[b][at])
+        return np.divmod(np.unique(np.concatenate(found)), n)
 
     def search(self, grams: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """Similarity, first gram and distance of the best window for each item found."""
@@ -86,39 +97,41 @@ class Items:
         shared = np.concatenate([[0], np.cumsum(self.known[at] == grams)])
         starts = np.flatnonzero(shared[width:] > shared[:-width])
         best: dict[int, tuple[float, int, int]] = {}
-        for i in range(0, len(starts), TOGETHER):
-            some = starts[i : i + TOGETHER]
-            low = int(some[0])
-            prints = fingerprints(grams[low : int(some[-1]) + width], width)[some - low]
-            near = reduce(np.logical_or, (self.near[b, prints[:, b]] for b in range(BLOCKS)))
-            w, item = np.nonzero(near)
-            far = _ones[prints[w] ^ self.prints[item]].sum(1)
-            for j in np.flatnonzero(far <= RADIUS):
-                window, one = int(some[w[j]]), int(item[j])
-                s = self.similarity(grams[window : window + width], one)
-                if s >= SIMILARITY and s > best.get(one, (0.0,))[0]:
-                    best[one] = s, window, int(far[j])
+        together = max(1, min(4096, TOGETHER // len(self.ids)))
+        for i in range(0, len(starts), together):
+            some = starts[i : i + together]
+            # windows that stand far apart are fingerprinted apart
+            for near in np.split(some, np.flatnonzero(np.diff(some) > 4 * width + 1024) + 1):
+                low = int(near[0])
+                prints = fingerprints(grams[low : int(near[-1]) + width], width)[near - low]
+                w, item = self.lookup(prints)
+                far = np.bitwise_count(prints[w] ^ self.prints[item]).sum(1)
+                for j in np.flatnonzero(far <= RADIUS):
+                    window, one = int(near[w[j]]), int(item[j])
+                    s = self.similarity(grams[window : window + width], one)
+                    if s >= SIMILARITY and s > best.get(one, (0.0,))[0]:
+                        best[one] = s, window, int(far[j])
         return best
 
     def similarity(self, window: np.ndarray, item: int) -> float:
-        theirs = self.counts[item]
-        own: dict[int, int] = {}
-        for g in window.tolist():
-            own[g] = own.get(g, 0) + 1
-        both = sum(min(n, theirs.get(g, 0)) for g, n in own.items())
-        return both / (len(window) + len(self.grams[item]) - both)
+        """Smaller counts over larger ones, of the grams of a window and of an item."""
+        theirs = self.grams[item]
+        own, n = np.unique(window, return_counts=True)
+        has = np.searchsorted(theirs, own, side="right") - np.searchsorted(theirs, own)
+        both = int(np.minimum(n, has).sum())
+        return both / (len(window) + len(theirs) - both)
 
 
 def index_items(rows: list[tuple[int, str | None]]) -> list[Items]:
     """The index of (id, text) items, by length."""
-    found: dict[int, Items] = {}
+    found: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     for one, text in rows:
         h = word_hashes(words_of(text))
         if len(h):
-            items = found.setdefault(len(h), Items(len(h)))
-            items.ids.append(one)
-            items.grams.append(gram_sequence(h, min(len(h), WORDS)))
-    return [found[n].seal() for n in sorted(found)]
+            ids, grams = found.setdefault(len(h), ([], []))
+            ids.append(one)
+            grams.append(gram_sequence(h, min(len(h), WORDS)))
+    return [Items(n, ids, np.array(grams)) for n, (ids, grams) in sorted(found.items())]
 
 
 def matches(text: str | None, index: list[Items], known: dict[int, np.ndarray]) -> list[tuple[int, float, int, int, int]]:
@@ -139,18 +152,21 @@ def matches(text: str | None, index: list[Items], known: dict[int, np.ndarray])
     return sorted(out)
 
 
-def shared_indexes(benchmark: DataFrame, item: str, text: str) -> list:
-    """Broadcast indexes of the benchmark, each of SLICE items or so."""
+def each_slice(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[object, bool]]:
+    """A broadcast index of each slice of the benchmark, and whether it is the only one."""
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    slices = max(1, -(-rows.count() // SLICE))
-    out = []
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = max(1, -(-size // SLICE_BYTES))
     for number in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == number).orderBy("id", "text").collect()
+        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == number).orderBy("id", "text").collect()
         index = index_items([tuple(r) for r in part])
         known = {k: np.unique(np.concatenate([i.known for i in index if i.k == k])) for k in {i.k for i in index}}
-        out.append(spark.sparkContext.broadcast((index, known)))
-    return out
+        shared = spark.sparkContext.broadcast((index, known))
+        del part, index, known
+        yield shared, slices == 1
+        if slices > 1:
+            shared.destroy()
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -177,11 +193,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
         return slim.mapInArrow(run, f"`{key}` {kind}, item_id long, similarity double, first_word int, n_words int, distance int")
 
-    return reduce(DataFrame.unionAll, map(searched, shared_indexes(benchmark, item, item_text)))
+    scratch = Scratch(docs.sparkSession)
+    return reduce(DataFrame.unionAll, [searched(shared) if only else scratch.table(searched(shared), "passages") for shared, only in each_slice(benchmark, item, item_text)])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows, as they are, that hold no passage of a benchmark item."""
+    given = docs
+
     def kept(docs: DataFrame, shared) -> DataFrame:
         def decider():
             index, known = shared.value
@@ -189,4 +208,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
 
         return keep_rows(docs, text, decider)
 
-    return reduce(kept, shared_indexes(benchmark, item, item_text), docs)
+    scratch = Scratch(docs.sparkSession)
+    for shared, only in each_slice(benchmark, item, item_text):
+        before, docs = docs, kept(docs, shared) if only else scratch.table(kept(docs, shared), "clean")
+        if before is not given:
+            scratch.drop(before)
+    return docs
