@@ -220,7 +220,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     digest = ["d1", "d2", "n"]
     some = sets.where("n > 0 AND doc IS NOT NULL")
     first = some.groupBy(*digest).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    copies = scratch.table(some.select("doc", *digest).join(first, digest).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")), "copies")
+    first = scratch.table(first, "firsts")
+    copies = scratch.table(some.select("doc", *digest).join(_small(first), digest).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")), "copies")
     alone = some.join(_small(copies.select(F.col("a").alias("doc"))), "doc", "left_anti")
 
     # buckets of two or more, and all parts of frequent shingles
