@@ -167,7 +167,7 @@ def learned_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Field:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, with the number of its offending spans."""
+    """Toxicity of every document, with its offending spans by character offset."""
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, learned_toxicity(docs, table(spark, sf_dir, "labels")))
     return found.select(
@@ -175,7 +175,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (fold("doc_id", 5) == 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        F.size("spans").alias("n_spans"),
+        "spans",
     )
 
 

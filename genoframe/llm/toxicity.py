@@ -4,10 +4,12 @@ Tokens are runs of letters, lower-cased. Labels are known for documents only, so
 tokens are labelled first: a token of a toxic training document is toxic if it or
 one of its prefixes occurs in toxic documents and, beyond chance, not in others.
 The field has two states (other, toxic), weights for a token's word and prefixes
-and one weight for each transition, and is fitted by gradient ascent on the
-conditional likelihood. With two states forward and backward messages are ratios
-of one number, so a batch of documents is run through as one array a token at a
-time. The marginals give offending offsets; their largest log-odds, their sum and
+and one weight for each transition. All of them are fitted by gradient ascent on the
+conditional likelihood: forward and backward messages give the marginals of tokens
+and of neighbouring pairs, whose sums are what the labels' counts are compared with.
+A step that would lower the likelihood is halved, and the fit ends where it no longer
+rises. With two states messages are ratios of one number, so a batch of documents is
+run through as one array a token at a time. The marginals give offending offsets; their largest log-odds, their sum and
 their mean make a document's score through a logistic regression.
 
 Defined results: null and empty texts and texts without letters score as a
@@ -39,7 +41,10 @@ SAMPLE_CHARS = 8_000
 #: logarithm of how many features are tried.
 RATIO_ABOVE = 6.0
 PREFIXES = (4, 5, 6)
-ROUNDS = 25
+#: Steps of the fit at most, and the relative gain in likelihood below which it ends.
+ROUNDS = 60
+GAIN = 1e-3
+RIDGE = 0.05
 #: Documents that are run through the chain together, and the most places of them all.
 LANES = 256
 PLACES = 1 << 20
@@ -68,26 +73,33 @@ class Field:
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
 
-def chain(x: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Marginal odds of toxic for emissions' odds ``x`` (steps by lanes, lanes
-    sorted by falling length; steps beyond a lane's length are ignored)."""
+def messages(x: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward odds, of all tokens up to one, and backward odds, of all behind it, of toxic
+    for emissions' odds ``x`` (steps by lanes, lanes sorted by falling length; steps
+    beyond a lane's length are ignored)."""
     m = np.exp(moves)
-    steps, lanes = x.shape
+    steps = len(x)
     live = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
-    ahead = np.empty_like(x)
-    r = x[0].copy()
-    ahead[0] = r
+    ahead, behind = x.copy(), np.ones_like(x)
     for t in range(1, steps):
         k = live[t]
         r = ahead[t - 1, :k]
-        ahead[t, :k] = x[t, :k] * (m[0, 1] + r * m[1, 1]) / (m[0, 0] + r * m[1, 0])
-    back = np.ones(lanes)
+        ahead[t, :k] *= (m[0, 1] + r * m[1, 1]) / (m[0, 0] + r * m[1, 0])
     for t in range(steps - 2, -1, -1):
         k = live[t + 1]
-        s = x[t + 1, :k] * back[:k]
-        back[:k] = (m[1, 0] + m[1, 1] * s) / (m[0, 0] + m[0, 1] * s)
-        ahead[t, : live[t]] *= back[: live[t]]
-    return ahead
+        s = x[t + 1, :k] * behind[t + 1, :k]
+        behind[t, :k] = (m[1, 0] + m[1, 1] * s) / (m[0, 0] + m[0, 1] * s)
+    return ahead, behind
+
+
+def expected_pairs(x: np.ndarray, ahead: np.ndarray, behind: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected number of each transition, and the logarithm of the sum over all paths."""
+    m = np.exp(moves)
+    inside = np.arange(1, len(x))[:, None] < lengths[None, :]
+    r, s = ahead[:-1][inside], (x * behind)[1:][inside]
+    joint = np.array([[np.full_like(r, m[0, 0]), m[0, 1] * s], [m[1, 0] * r, m[1, 1] * r * s]])
+    ends = ahead[lengths - 1, np.arange(len(lengths))]
+    return (joint / joint.sum((0, 1))).sum(2), float(np.log1p(ends).sum() + np.log(m[0, 0] + m[1, 0] * r).sum())
 
 
 def lanes_of(sizes: list[int]) -> Iterator[list[int]]:
@@ -100,21 +112,44 @@ def lanes_of(sizes: list[int]) -> Iterator[list[int]]:
         at += lanes
 
 
-def odds_of(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
-    """Each document's marginal odds, token by token."""
-    out = [np.zeros(0)] * len(emissions)
+def _lanes(emissions: list[np.ndarray], moves: np.ndarray) -> Iterator[tuple]:
     for rows in lanes_of([len(e) for e in emissions]):
         lengths = np.array([len(emissions[i]) for i in rows])
         x = np.zeros((lengths[0], len(rows)))
         for lane, i in enumerate(rows):
             x[: lengths[lane], lane] = emissions[i]
         np.exp(np.clip(x, -60, 60), out=x)
-        odds = chain(x, lengths, moves)
+        yield rows, lengths, x, *messages(x, lengths, moves)
+
+
+def odds_of(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+    """Each document's marginal odds, token by token."""
+    out = [np.zeros(0)] * len(emissions)
+    for rows, lengths, _, ahead, behind in _lanes(emissions, moves):
+        odds = ahead * behind
         for lane, i in enumerate(rows):
             out[i] = odds[: lengths[lane], lane]
     return out
 
 
+def likelihood(emissions: list[np.ndarray], gold: list[np.ndarray], moves: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """The labels' log-likelihood, each token's slope by its emission, and the slope by
+    each transition's weight."""
+    value, slopes, pairs = 0.0, [np.zeros(0)] * len(emissions), np.zeros((2, 2))
+    for rows, lengths, x, ahead, behind in _lanes(emissions, moves):
+        odds = ahead * behind
+        expected, log_z = expected_pairs(x, ahead, behind, lengths, moves)
+        pairs -= expected
+        value -= log_z
+        for lane, i in enumerate(rows):
+            y, o = gold[i], odds[: lengths[lane], lane]
+            slopes[i] = y - o / (1 + o)
+            counts = np.bincount(2 * y[:-1].astype(int) + y[1:], minlength=4).reshape(2, 2)
+            pairs += counts
+            value += float(np.clip(emissions[i], -60, 60)[y].sum() + (counts * moves).sum())
+    return value, slopes, pairs
+
+
 def summary(odds: np.ndarray) -> tuple[float, float, float, float]:
     if not len(odds):
         return 1.0, -30.0, 0.0, 0.0
@@ -170,32 +205,39 @@ def fit_field(toxic: list[str], other: list[str], share_toxic: float | None = No
     if not any(g.any() for g in gold):
         return Field()
     del seen, known, rows, index
-    flat, y = np.concatenate([ids[i] for i in use]), np.concatenate([gold[i] for i in use])
+    flat, y = np.concatenate([ids[i] for i in use]), [gold[i] for i in use]
     lengths = np.array([len(ids[i]) for i in use])
-    starts = np.cumsum(lengths) - lengths
-    inner = np.ones(len(y), dtype=bool)
-    inner[starts] = False
-    here = np.flatnonzero(inner)
-    pairs = np.zeros((2, 2))
-    np.add.at(pairs, (y[here - 1].astype(int), y[here].astype(int)), 1)
-    # transitions start at the labels' own rates; weights and bias follow the gradient
+    starts = (np.cumsum(lengths) - lengths)[1:]
+    pairs = sum(np.bincount(2 * g[:-1].astype(int) + g[1:], minlength=4).reshape(2, 2) for g in y)
+    n_gold = sum(int(g.sum()) for g in y)
+    # weights start at 0, transitions at the labels' rates; that of other to other stays 0
     moves = np.log((pairs + 0.5) / (pairs + 0.5).sum(1, keepdims=True))
-    w = np.zeros(len(kept) + 1)
-    # a feature in several tokens: each update is divided by how many there are
-    bias, total = -2.0, np.bincount(flat.ravel(), minlength=len(w)).astype(float)
-    got = np.bincount(flat[y].ravel(), minlength=len(w)).astype(float)
-    speed = 4.0 / np.sqrt(total + 4)
-    speed[0] = 0
-    first = np.zeros(len(w))
-    for step in range(ROUNDS):
-        e = bias + w[flat].sum(1)
-        odds = np.concatenate(odds_of(np.split(e, starts[1:]), moves))
-        p = odds / (1 + odds)
-        grad = got - np.bincount(flat.ravel(), weights=np.repeat(p, width), minlength=len(w)) - 0.05 * w
-        first = 0.8 * first + grad
-        w += speed * np.clip(first, -50, 50) / np.sqrt(total + 4)
-        w[0] = 0
-        bias += float(np.clip((y.sum() - p.sum()) / (y.sum() + 10), -1, 1))
+    moves, bias, w = moves - moves[0, 0], -2.0, np.zeros(len(kept) + 1)
+    # steps are divided by how many tokens, or pairs of them, a weight stands in
+    total = np.bincount(flat.ravel(), minlength=len(w)).astype(float)
+    speed_w, speed_moves = 4 / (total + 4), 1 / (pairs + 10)
+    speed_w[0] = speed_moves[0, 0] = 0
+
+    def valued(w: np.ndarray, bias: float, moves: np.ndarray) -> tuple:
+        value, slopes, by_move = likelihood(np.split(bias + w[flat].sum(1), starts), y, moves)
+        slope = np.concatenate(slopes)
+        by_w = np.bincount(flat.ravel(), weights=np.repeat(slope, width), minlength=len(w)) - RIDGE * w
+        return value - RIDGE / 2 * float(w @ w), by_w, float(slope.sum()), by_move
+
+    value, by_w, by_bias, by_move = valued(w, bias, moves)
+    pace, push_w, push_bias, push_move = 1.0, 0.0, 0.0, 0.0
+    for _ in range(ROUNDS):
+        push_w = 0.8 * push_w + np.clip(speed_w * by_w, -1, 1)
+        push_bias = 0.5 * push_bias + float(np.clip(by_bias / (n_gold + 10), -1, 1))
+        push_move = 0.5 * push_move + np.clip(speed_moves * by_move, -1, 1)
+        tried = w + pace * push_w, bias + pace * push_bias, moves + pace * push_move
+        found = valued(*tried)
+        if found[0] < value:
+            pace, push_w, push_bias, push_move = pace / 2, 0.0, 0.0, 0.0
+            continue
+        gain, (w, bias, moves), (value, by_w, by_bias, by_move) = found[0] - value, tried, found
+        if gain < GAIN * abs(value):
+            break
     model = Field({f: float(w[i]) for i, f in enumerate(kept, 1) if abs(w[i]) > 1e-3}, bias, moves)
     found = odds_of([bias + w[x].sum(1) for x in ids], moves)
     a = np.array([summary(o) for o in found])

@@ -142,6 +142,45 @@ def test_chain_equals_enumeration():
         assert np.allclose(odds / (1 + odds), on / total)
 
 
+def test_slopes_are_the_likelihoods():
+    """Of emissions and of transitions, against differences of the likelihood by enumeration."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    e, moves = [rng.normal(size=n) for n in (5, 1, 3)], rng.normal(size=(2, 2))
+    gold = [rng.random(len(x)) < 0.5 for x in e]
+
+    def value(e, moves):
+        score = lambda x, path: sum(a * b for a, b in zip(x, path, strict=True)) + sum(moves[int(a), int(b)] for a, b in itertools.pairwise(path))
+        return sum(score(x, g) - np.log(sum(np.exp(score(x, p)) for p in itertools.product((0, 1), repeat=len(x)))) for x, g in zip(e, gold, strict=True))
+
+    got, slopes, by_move = toxicity.likelihood(e, gold, moves)
+    assert np.isclose(got, value(e, moves))
+    h = 1e-6
+    for i, j in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[i, j] = h
+        assert np.isclose(by_move[i, j], (value(e, moves + step) - value(e, moves - step)) / (2 * h), atol=1e-5)
+    for k, x in enumerate(e):
+        for t in range(len(x)):
+            up, down = [v.copy() for v in e], [v.copy() for v in e]
+            up[k][t] += h
+            down[k][t] -= h
+            assert np.isclose(slopes[k][t], (value(up, moves) - value(down, moves)) / (2 * h), atol=1e-5)
+
+
+def test_transitions_are_learned():
+    """Toxic words come in runs in these texts, so staying toxic weighs more than turning so."""
+    rng = random.Random(9)
+    bad = [" ".join([*words(rng, 20), *rng.choices(["grumble", "snarl", "zokkal"], k=4), *words(rng, 20)]) for _ in range(80)]
+    model = toxicity.fit_field(bad, [" ".join(words(rng, 44)) for _ in range(160)])
+    assert model.moves[1, 1] > model.moves[0, 1] + 1
+    scorer = toxicity.Scorer(model)
+    assert scorer.scores([bad[0], " ".join(words(rng, 44)), None])[0] > 0.9 > 0.1 > max(scorer.scores([" ".join(words(rng, 44)), None]))
+
+
 # -- n-gram Jaccard join ---------------------------------------------------------
 def shingle_set(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
@@ -247,8 +286,10 @@ def test_decontamination(spark, monkeypatch):
     assert got == want and any(s < 1 for _, _, s in want)
     from genoframe.llm import decontaminate
 
-    monkeypatch.setattr(decontaminate, "SLICE", 3)
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 200)
     assert {(r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in find_passages(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in clean_documents(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _, _ in want}
+    monkeypatch.undo()
     kept = clean_documents(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _, _ in want}
     assert find_passages(docs, bench.limit(0)).count() == 0 and find_passages(docs.limit(0), bench).count() == 0
@@ -257,15 +298,19 @@ def test_decontamination(spark, monkeypatch):
 def test_blocks_find_all_within_radius():
     import numpy as np
 
-    from genoframe.llm.decontaminate import BLOCKS, NEAR, RADIUS, _close
+    from genoframe.llm.decontaminate import BLOCKS, NEAR, RADIUS, Items
 
     rng = np.random.default_rng(1)
+    items = Items(9, list(range(40)), rng.integers(1 << 63, size=(40, 5)).astype(np.uint64))
     for _ in range(300):
-        a = rng.integers(0, 256, BLOCKS, dtype=np.uint8)
-        bits = np.unpackbits(a)
+        one = int(rng.integers(40))
+        bits = np.unpackbits(items.prints[one])
         bits[rng.choice(64, RADIUS, replace=False)] ^= 1
-        b = np.packbits(bits)
-        assert _close[a, b].any()
+        other = rng.integers(0, 256, BLOCKS, dtype=np.uint8)
+        w, item = items.lookup(np.array([np.packbits(bits), other]))
+        assert one in item[w == 0]
+        close = np.bitwise_count(items.prints ^ other).astype(int) <= NEAR
+        assert set(item[w == 1]) == set(np.flatnonzero(close.any(1)))
     assert NEAR * BLOCKS < RADIUS
 
 
