@@ -20,6 +20,7 @@ the key and the text are not read.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import os
@@ -35,6 +36,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 SCAN_LIMIT = 48
 #: A worker keeps the ids of so many new words, and of as many older ones.
@@ -252,3 +254,31 @@ def bpe_decode(coded: DataFrame, tokenizer_path: str, key: str = "doc_id", ids:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "decoded"])
 
     return coded.select(F.col(key), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, f"`{key}` {kind}, decoded string")
+
+
+#: What ``with_tokens`` adds.
+TOKEN_COLUMNS = ("n_tokens", "ids", "decoded_sha256")
+
+
+def with_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+    """All columns of every row, with ``n_tokens long``, ``ids array<int>`` and the SHA-256
+    of the decoded text. Input columns named like one of these, in any case, are left out."""
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    kept = docs.select([F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in TOKEN_COLUMNS])
+    at_text = kept.columns.index(text)
+    schema = StructType([*kept.schema.fields, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("decoded_sha256", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _tokenizer(spec.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                coded = [np.frombuffer(bpe.encode_bytes(None if t is None else str(t)), dtype=np.int32) for t in part.column(at_text).to_pylist()]
+                sizes = np.array([len(c) for c in coded], np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.concatenate([*coded, np.zeros(0, np.int32)])
+                sums = [hashlib.sha256(bpe.decode(c.tolist()).encode("utf-8")).hexdigest() for c in coded]
+                columns = [pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sums, pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *TOKEN_COLUMNS])
+
+    return kept.mapInArrow(run, schema)
