@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +43,10 @@ SAMPLE_CHARS = 8_000
 RATIO_ABOVE = 6.0
 PREFIXES = (4, 5, 6)
 #: Steps of the fit at most, and the relative gain in likelihood below which it ends.
-ROUNDS = 60
+ROUNDS = 40
 GAIN = 1e-3
 RIDGE = 0.05
+SKETCH = 32
 #: Documents that are run through the chain together, and the most places of them all.
 LANES = 256
 PLACES = 1 << 20
@@ -169,8 +171,33 @@ def fit_logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return w
 
 
+def without_copies(texts: list[str]) -> list[str]:
+    """One text of each group of near copies, whose words would pass for evidence: those
+    that share a quarter of the SKETCH smallest hashes of their runs of three words."""
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders: dict[int, list[int]] = {}
+    for i, text in enumerate(texts):
+        words = words_of(text.lower())
+        runs = {xxhash.xxh64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))}
+        sketch = sorted(runs)[:SKETCH]
+        met = Counter(j for h in sketch for j in holders.get(h, ()))
+        for j, n in met.items():
+            if 4 * n >= len(sketch):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+        for h in sketch:
+            holders.setdefault(h, []).append(i)
+    return [t for i, t in enumerate(texts) if parent[i] == i]
+
+
 def fit_field(toxic: list[str], other: list[str], share_toxic: float | None = None) -> Field:
     """Fit the field on texts of toxic documents and of others."""
+    toxic, other = without_copies(toxic), without_copies(other)
     docs = [words_of(t.lower()) for t in [*toxic, *other]]
     n_tox, n_other = len(toxic), len(other)
     if not n_tox or not n_other:
