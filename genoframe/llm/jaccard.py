@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from genoframe.llm.components import components
 from genoframe.llm.scratch import Scratch
-from genoframe.llm.shingles import shingle_set
+from genoframe.llm.shingles import shingle_sequence, shingle_set, word_hashes, words_of
 
 #: Similarity as a whole percentage, so that bounds are exact.
 PERCENT = 80
@@ -52,6 +52,7 @@ FREQUENT = 1 << 17
 #: Shingles of a task that are counted together, and the count from which one is reported.
 COUNTED = 4_000_000
 REPORTED = 3
+LOW_BITS = np.uint64((1 << 22) - 1)
 MAX_MATCHES = 4
 VERIFY_COST = 12
 BUCKET = 2048
@@ -67,8 +68,12 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all documents, sorted, and their counts. Counts
-    leave out what a task saw fewer than REPORTED times."""
+    """The most frequent shingles of all documents, sorted, and how often they occur.
+
+    Counts are for cost only. They leave out what a task saw fewer than REPORTED times
+    among COUNTED shingles, and the list is cut to FREQUENT entries, so a shingle that isn't
+    in it stands in less than one of a million, or is rarer than FREQUENT others: its bucket
+    is no larger than a few even shares of the rows among as many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -83,17 +88,17 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for text in batch.column(0).slice(at, 500).to_pylist():
-                    s = shingle_set(text)
                     # an exact copy adds nothing: copies go on as one document
-                    if len(s) and (d := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
+                    if text and (d := xxhash.xxh3_128_digest(text)) not in seen:
                         seen.add(d)
+                        s = shingle_sequence(word_hashes(words_of(text)))
                         held.append(s)
                         size += len(s)
                         if size >= COUNTED:
                             yield flush()
                             held, size = [], 0
                             seen.clear()
-        if held:
+        if size:
             yield flush()
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -120,6 +125,8 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
+        seen = np.zeros(int(LOW_BITS) + 1, bool)  # the low bits that frequent shingles have
+        seen[(tokens & LOW_BITS).astype(np.int64)] = True
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -132,11 +139,16 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                     halves = [(h ^ 1 << 63) - (1 << 63) for h in divmod(digest, 1 << 64)]
                     cost = np.zeros(n, np.int64)
                     if n and len(tokens):
-                        i = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        known = tokens[i] == s
-                        cost[known] = counts[i[known]]
-                        order = np.lexsort((s, cost))
-                        s, cost = s[order], cost[order]
+                        maybe = np.flatnonzero(seen[(s & LOW_BITS).astype(np.int64)])
+                        i = np.minimum(np.searchsorted(tokens, s[maybe]), len(tokens) - 1)
+                        known = maybe[tokens[i] == s[maybe]]
+                        if len(known):
+                            # the others are in order by their hash already
+                            found, at_cost = s[known], counts[i[tokens[i] == s[maybe]]]
+                            order = np.lexsort((found, at_cost))
+                            rest = np.delete(s, known)
+                            s = np.concatenate([rest, found[order]])
+                            cost[len(rest) :] = at_cost[order]
                     rare, wanted = int((cost == 0).sum()), 1
                     if n:
                         base = n - (PERCENT * n + 99) // 100 + 1
