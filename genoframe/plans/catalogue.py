@@ -13,18 +13,15 @@ from pyspark.sql import functions as F
 
 from genoframe.functions import alphabet as A
 from genoframe.operators import fai, regions, runs
-from genoframe.plans.derived import CHARS, REGIONS, SEQS, islands, sequences
+from genoframe.plans.derived import CHARS, IUB_SQL, MASK_SQL, N_SQL, REGIONS, SEQS, counts_sql, islands, sequences
 from genoframe.plans.derived import regions as item_regions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-N_VALUE = "CASE WHEN upper(c) NOT IN ('A', 'C', 'G', 'T') THEN 'N' END"
-MASK_VALUE = "CASE WHEN c >= 'a' AND c <= 'z' THEN 'M' END"
-IUB_VALUE = "CASE WHEN strpos('RYSWKMBDHV', upper(c)) > 0 THEN upper(c) END"
 BASE_VALUE = "CASE WHEN strpos('ACGT', upper(c)) > 0 THEN NULL WHEN strpos('RYSWKMBDHV', upper(c)) > 0 THEN upper(c) ELSE 'N' END"
 RUNS = f"WITH {SEQS}, {CHARS}"
-N_SQL, MASK_SQL, IUB_SQL, EDIT_SQL = (islands("n", N_VALUE, "n"), islands("m", MASK_VALUE, "m"), islands("i", IUB_VALUE, "i"), islands("b", BASE_VALUE, "b"))
+EDIT_SQL = islands("b", BASE_VALUE, "b")
 ALL_EDITS = f"""{EDIT_SQL}, {MASK_SQL}, edits AS (
   SELECT ordinal, name, start AS pos, size AS len, CASE WHEN code = 'N' THEN 0 WHEN size = 1 THEN 1 ELSE 2 END AS etype, CASE WHEN code = 'N' THEN '' ELSE code END AS code FROM b
   UNION ALL SELECT ordinal, name, start, size, 3, '' FROM m)"""
@@ -76,10 +73,23 @@ def sampled_names(spark, sf_dir):
     return sequences(spark, sf_dir).where("ordinal % 7 = 0").select("ordinal", "name").orderBy("ordinal").limit(50)
 
 
-@query(f"{RUNS} SELECT name, sum(CASE WHEN strpos('ACGT', upper(c)) > 0 THEN 1 ELSE 0 END)::BIGINT AS plain, sum(CASE WHEN strpos('RYSWKMBDHV', upper(c)) > 0 THEN 1 ELSE 0 END)::BIGINT AS iub, sum(CASE WHEN upper(c) = 'N' THEN 1 ELSE 0 END)::BIGINT AS n FROM chars GROUP BY name")
+@query(f"""{RUNS} SELECT s.name, count(c) FILTER (strpos('ACGT', upper(c)) > 0) AS plain, count(c) FILTER (strpos('RYSWKMBDHV', upper(c)) > 0) AS iub, count(c) FILTER (upper(c) = 'N') AS n
+FROM seqs s LEFT JOIN chars ON chars.ordinal = s.ordinal GROUP BY s.name""")
 def base_classes(spark, sf_dir):
     count = lambda pattern: F.length(F.regexp_replace("bases", pattern, "")).cast("long")
-    return sequences(spark, sf_dir).where("bases <> ''").select("name", count("[^ACGTacgt]").alias("plain"), count("[^RYSWKMBDHVryswkmbdhv]").alias("iub"), count("[^Nn]").alias("n"))
+    return sequences(spark, sf_dir).select("name", count("[^ACGTacgt]").alias("plain"), count("[^RYSWKMBDHVryswkmbdhv]").alias("iub"), count("[^Nn]").alias("n"))
+
+
+@query(f"""WITH {SEQS} SELECT name, substr(bases, 1, 1) AS base, CASE WHEN bases = '' THEN NULL WHEN strpos('ACGT', upper(substr(bases, 1, 1))) > 0 THEN 'plain' WHEN strpos('RYSWKMBDHV', upper(substr(bases, 1, 1))) > 0 THEN 'iub' ELSE 'n' END AS class FROM seqs""")
+def first_base_class(spark, sf_dir):
+    base = F.substring("bases", 1, 1)
+    return sequences(spark, sf_dir).select("name", base.alias("base"), F.when(base != "", A.base_class(base)).alias("class"))
+
+
+@query(f"WITH {SEQS} SELECT name, md5(bases) AS joined FROM seqs")
+def strip_lines(spark, sf_dir):
+    """Bases that were wrapped, with their line ends taken out again."""
+    return sequences(spark, sf_dir).select("name", F.md5(A.strip_line_ends(A.wrap(F.col("bases"), 60))).alias("joined"))
 
 
 # -- runs ------------------------------------------------------------------------
@@ -116,25 +126,21 @@ def run_index(spark, sf_dir):
     return runs.run_index(runs.edits(sequences(spark, sf_dir))).select("ordinal", "name", "place", "pos", "len", "etype")
 
 
-def _counts(parts: str) -> str:
-    return ", ".join(f"(SELECT count(*) FROM {t} WHERE {t}.ordinal = s.ordinal) AS {name}" for t, name in (x.split(":") for x in parts.split()))
-
-
-@query(f"{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL} SELECT s.ordinal, s.name, CAST(length(s.bases) AS BIGINT) AS len, {_counts('n:n_blocks m:mask_blocks i:iub_blocks')} FROM seqs s")
+@query(f"{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL} SELECT s.ordinal, s.name, CAST(length(s.bases) AS BIGINT) AS len, {counts_sql('n:n_blocks m:mask_blocks i:iub_blocks')} FROM seqs s")
 def twobit_stats(spark, sf_dir):
     return runs.twobit_stats(sequences(spark, sf_dir))
 
 
-@query(f"{RUNS}, {ALL_EDITS} SELECT s.ordinal, s.name, CAST(length(s.bases) AS BIGINT) AS len, {_counts('edits:edits')} FROM seqs s")
+@query(f"{RUNS}, {ALL_EDITS} SELECT s.ordinal, s.name, CAST(length(s.bases) AS BIGINT) AS len, {counts_sql('edits:edits')} FROM seqs s")
 def twobe_stats(spark, sf_dir):
     return runs.twobe_stats(sequences(spark, sf_dir))
 
 
 # -- codecs ----------------------------------------------------------------------
 @query(f"""{RUNS}, quads AS (SELECT name, p // 4 AS q, CAST(sum((CASE upper(c) WHEN 'C' THEN 1 WHEN 'A' THEN 2 WHEN 'G' THEN 3 ELSE 0 END) * (1 << CAST(6 - 2 * (p % 4) AS INTEGER))) AS INTEGER) AS b FROM chars GROUP BY name, q)
-SELECT name, md5(string_agg(upper(format('{{:02x}}', b)), '' ORDER BY q)) AS packed FROM quads GROUP BY name""")
+SELECT s.name, md5(coalesce(string_agg(upper(format('{{:02x}}', b)), '' ORDER BY q), '')) AS packed FROM seqs s LEFT JOIN quads ON s.name = quads.name GROUP BY s.name""")
 def pack2_hex(spark, sf_dir):
-    return sequences(spark, sf_dir).where("bases <> ''").select("name", F.md5(F.hex(A.pack2(F.col("bases")))).alias("packed"))
+    return sequences(spark, sf_dir).select("name", F.md5(F.hex(A.pack2(F.col("bases")))).alias("packed"))
 
 
 @query(f"WITH {SEQS} SELECT name, md5(regexp_replace(upper(bases), '[^ACGT]', 'T', 'g')) AS unpacked FROM seqs")
@@ -181,7 +187,14 @@ def extract_regions(spark, sf_dir):
   s.bases[least(r.s, least(r.e, length(s.bases))) + 1 : least(r.e, length(s.bases))] AS bases FROM regions r JOIN seqs s ON r.name = s.name""")
 def extract_from_tiles(spark, sf_dir):
     tiles = regions.to_tiles(sequences(spark, sf_dir), 256)
-    return regions.extract_from_tiles(tiles, item_regions(spark, sf_dir), 256)
+    # the rows' order must not matter
+    return regions.extract_from_tiles(tiles, item_regions(spark, sf_dir).repartition(16), 256)
+
+
+@query(f"{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL} SELECT s.ordinal, s.name, CAST(length(s.bases) AS BIGINT) AS len, {counts_sql('n:n_blocks m:mask_blocks i:iub_blocks')} FROM seqs s")
+def tile_stats(spark, sf_dir):
+    """Block counts of sequences that are stored as tiles."""
+    return runs.tile_stats(regions.to_tiles(sequences(spark, sf_dir), 1024), 1024)
 
 
 @query(f'WITH {SEQS} SELECT ordinal, name, CAST(0 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS "end", name AS region, bases FROM seqs')
@@ -234,7 +247,7 @@ def wrap_fasta(spark, sf_dir):
     return sequences(spark, sf_dir).select("name", F.md5(fai.fasta_text(60)).alias("record"))
 
 
-BYTES_SQL = f"""{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL}, stats AS (SELECT s.ordinal, s.name, CAST(length(s.bases) AS BIGINT) AS len, {_counts('n:n m:mask i:iub')} FROM seqs s),
+BYTES_SQL = f"""{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL}, stats AS (SELECT s.ordinal, s.name, CAST(length(s.bases) AS BIGINT) AS len, {counts_sql('n:n m:mask i:iub')} FROM seqs s),
 sized AS (SELECT *, 16 + 8 * n + 8 * mask + (len + 3) // 4 + 4 + 9 * iub AS bytes FROM stats)"""
 
 
@@ -258,23 +271,26 @@ def ptr_order(spark, sf_dir):
     return prefix(sized).select("name", (F.col("offset") + 16).alias("entry")).orderBy("name")
 
 
-@query(f"""{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL}, {EDIT_SQL}, stats AS (SELECT s.name, CAST(length(s.bases) AS BIGINT) AS len, {_counts('n:n m:mask i:iub')},
+@query(f"""{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL}, {EDIT_SQL}, stats AS (SELECT s.name, CAST(length(s.bases) AS BIGINT) AS len, {counts_sql('n:n m:mask i:iub')},
   (SELECT count(*) FROM b WHERE b.ordinal = s.ordinal) AS base_edits, (SELECT count(*) FROM b WHERE b.ordinal = s.ordinal AND (b.code = 'N' OR b.size > 1)) AS base_runs FROM seqs s)
 SELECT CAST(sum(len) AS BIGINT) AS bases,
   CAST(sum(16 + 8 * n + 8 * mask + (len + 3) // 4) AS BIGINT) AS twobit, CAST(sum(16 + 8 * n + 8 * mask + (len + 3) // 4 + 4 + 9 * iub) AS BIGINT) AS twobit_iub,
-  CAST(sum(1 + strlen(name) + 8 + (len + 1) // 2) AS BIGINT) AS fourbit, CAST(sum(12 + 10 * (base_edits + mask) + 4 * (base_runs + mask) + (len + 3) // 4) AS BIGINT) AS twobe FROM stats""")
+  CAST(sum(1 + strlen(name) + 8 + (len + 1) // 2) AS BIGINT) AS fourbit, CAST(sum(12 + 10 * (base_edits + mask) + 4 * (base_runs + mask) + (len + 3) // 4) AS BIGINT) AS twobe,
+  CAST(sum(16 + 8 * n + 8 * mask + (len + 3) // 4) * 8 AS DOUBLE) / CAST(sum(len) AS DOUBLE) AS twobit_bits, CAST(sum(1 + strlen(name) + 8 + (len + 1) // 2) * 8 AS DOUBLE) / CAST(sum(len) AS DOUBLE) AS fourbit_bits FROM stats""")
 def bits_per_base(spark, sf_dir):
-    """Bytes of all records in each format; eight times a column over ``bases`` is its bits a base."""
+    """Bytes of all records in each format, and bits a base of the two plain ones."""
     seqs = sequences(spark, sf_dir)
     n, e = F.length("bases").cast("long"), runs.N_ONLY
     count = lambda p: F.regexp_count("bases", F.lit(p)).cast("long")
     points = F.regexp_count("bases", F.lit("|".join(f"(?<![{c}{c.lower()}])[{c}{c.lower()}](?![{c}{c.lower()}])" for c in A.IUB_CODES))).cast("long")
     s = seqs.select("name", n.alias("len"), count(runs.N_BLOCKS).alias("n"), count(runs.MASK_BLOCKS).alias("mask"), count(runs.IUB_BLOCKS).alias("iub"), count(e).alias("gaps"), points.alias("points"))
     edits = F.col("gaps") + F.col("iub") + F.col("mask")
-    return s.agg(
+    sums = s.agg(
         F.sum("len").alias("bases"),
         F.sum(fai.twobit_record_bytes(F.col("len"), F.col("n"), F.col("mask"))).alias("twobit"),
         F.sum(fai.twobit_record_bytes(F.col("len"), F.col("n"), F.col("mask"), F.col("iub"))).alias("twobit_iub"),
         F.sum(fai.fourbit_record_bytes(F.col("name"), F.col("len"))).alias("fourbit"),
         F.sum(fai.twobe_record_bytes(F.col("len"), edits, edits - F.col("points"))).alias("twobe"),
     )
+    bits = {f"{c}_bits": (F.col(c) * 8).cast("double") / F.col("bases").cast("double") for c in ("twobit", "fourbit")}
+    return sums.withColumns(bits)

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoframe.plans.derived import SEQS, regions, sequences
+from genoframe import cli
+from genoframe.plans.derived import REGIONS, SEQS, STATS_SQL, regions, sequences
 from genoframe.sources.containers import extract_regions, read_container, write_container
-from genoframe.sources.fasta import read_fasta, write_fasta, write_indexed_fasta
+from genoframe.sources.fasta import bgzf_block_table, format_catalog, read_fai, read_fasta, scan_fai_table, write_fasta, write_indexed_fasta
 from genoframe.sources.generator import Options, generate
 
 _folders: list[str] = []
@@ -67,38 +68,224 @@ def bgzf_container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_container(spark, path, "faidx").select("name", F.md5("bases").alias("digest"))
 
 
-def twobe_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows decoded by seeking in a container."""
-    path = f"{folder(spark)}/x.2be"
-    write_container(sequences(spark, sf_dir), path, "twobe")
+# -- windows decoded by seeking ---------------------------------------------------
+def _windows(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
+    path = f"{folder(spark)}/x"
+    if kind == "faidx":
+        write_indexed_fasta(sequences(spark, sf_dir), path, 60, **options)
+    else:
+        write_container(sequences(spark, sf_dir), path, kind, **options)
     return extract_regions(spark, path, regions(spark, sf_dir)).select("ordinal", F.md5("bases").alias("digest"))
 
 
+def twobe_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "twobe")
+
+
+def twobit_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names found by the sorted pointer index."""
+    return _windows(spark, sf_dir, "twobit", iub=True, index="ptr")
+
+
+def twobit_flat_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names found in the table of contents, codes lost."""
+    return _windows(spark, sf_dir, "twobit")
+
+
+def fourbit_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "fourbit")
+
+
+def faidx_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "faidx")
+
+
+def bgzf_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "faidx", bgzip=True)
+
+
+def named_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on names that is pushed down to the container's name tree."""
+    path = f"{folder(spark)}/x"
+    write_container(sequences(spark, sf_dir), path, "twobit", iub=True, index="bpt")
+    found = read_container(spark, path, "twobit").where(F.col("name").isin("doc7", "doc42", "doc99", "none"))
+    return found.select("ordinal", "name", F.md5("bases").alias("digest"))
+
+
+# -- files as tables ---------------------------------------------------------------
+def format_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats by the files' first bytes; sizes where they follow from the sequences alone."""
+    path, seqs = folder(spark), sequences(spark, sf_dir)
+    for kind in ("twobit", "twobe", "fourbit"):
+        write_container(seqs, f"{path}/a.{kind}", kind)
+    write_fasta(seqs, f"{path}/a.fasta")
+    write_indexed_fasta(seqs, f"{path}/a.bgzf", 60, True)
+    name = F.regexp_extract("file", "([^/]+)$", 1)
+    size = F.when(F.col("format").isin("fasta", "fourbit"), F.col("size"))
+    return format_catalog(spark, path).select(name.alias("file"), "format", size.alias("size"))
+
+
+def scanned_fai(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of two FASTA files, found by scanning them."""
+    path = folder(spark)
+    for k in (0, 1):
+        write_fasta(sequences(spark, sf_dir).where(F.col("ordinal") % 2 == k), f"{path}/{k}.fa")
+    found = scan_fai_table(spark, path)
+    return found.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "name", "length", "offset", "linebases", "linewidth")
+
+
+def fai_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written index file, read back as a table."""
+    path = f"{folder(spark)}/x.fa"
+    write_indexed_fasta(sequences(spark, sf_dir), path)
+    return read_fai(spark, path + ".fai")
+
+
+def bgzf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the blocks of a BGZF file stand in what they hold."""
+    path = f"{folder(spark)}/x.fa"
+    write_indexed_fasta(sequences(spark, sf_dir), path, 60, True)
+    return bgzf_block_table(spark, path).select("u_start", "u_len")
+
+
+def random_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated bases with scattered N."""
+    return generate(spark, Options(300, 200, 0.05, 0.0, 20_240_601, "r"))
+
+
+# -- commands ----------------------------------------------------------------------
+def _commanded(spark: SparkSession, sf_dir: str, *commands: str) -> DataFrame:
+    """Commands on a FASTA file of all sequences, ``in``, that end in the file ``out``."""
+    path = folder(spark)
+    write_fasta(sequences(spark, sf_dir), f"{path}/in")
+    for command in commands:
+        name, *words = command.split()
+        cli.main([name, *(w if w.startswith("--") or w.isdigit() else f"{path}/{w}" for w in words)], spark)
+    return read_fasta(spark, f"{path}/out").select("name", F.md5("bases").alias("digest"))
+
+
+def cli_twobit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _commanded(spark, sf_dir, "fa2twobit in x --iub --long --index", "twobit2fa x out --width 50")
+
+
+def cli_fourbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _commanded(spark, sf_dir, "fa2fourbit in x", "fourbit2fa x out")
+
+
+def cli_twobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _commanded(spark, sf_dir, "fa2be in x", "be2fa x out")
+
+
+def cli_faidx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed FASTA in BGZF blocks, all of it extracted."""
+    return _commanded(spark, sf_dir, "fa2faidx in x --bgzip --level 1", "extract x --out out")
+
+
+def cli_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of a list, in the order of its lines."""
+    path = folder(spark)
+    write_container(sequences(spark, sf_dir), f"{path}/x", "twobit", iub=True, index="bpt")
+    asked = regions(spark, sf_dir).select(F.concat("name", F.lit(":"), "start", F.lit("-"), "end").alias("value"))
+    asked.write.text(f"{path}/list")
+    cli.main(["extract", f"{path}/x", "--seq-list", f"{path}/list", "--out", f"{path}/out"], spark)
+    return read_fasta(spark, f"{path}/out").select("name", F.md5("bases").alias("digest"))
+
+
+def cli_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{folder(spark)}/x"
+    write_container(sequences(spark, sf_dir), path, "twobit", iub=True)
+    return cli.info(spark, path).select("name", "len", "n_blocks", "mask_blocks", "iub_blocks")
+
+
+def cli_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{folder(spark)}/out"
+    cli.main(["random", path, "--seqs", "300", "--length", "200", "--n-frac", "0.05", "--iub-frac", "0", "--seed", "20240601", "--prefix", "r"], spark)
+    return read_fasta(spark, path).select("name", "bases")
+
+
 def _digest(value: str) -> str:
     return f"WITH {SEQS} SELECT name, md5({value}) AS digest FROM seqs"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (twobit_container_roundtrip, twobit_iub_container_roundtrip, twobe_container_roundtrip, fourbit_container_roundtrip, fasta_roundtrip, bgzf_container_roundtrip, twobe_extract_regions)
-}
+    f.__name__: f
+    for f in (
+        twobit_container_roundtrip, twobit_iub_container_roundtrip, twobe_container_roundtrip, fourbit_container_roundtrip, fasta_roundtrip, bgzf_container_roundtrip,
+        twobe_extract_regions, twobit_extract_regions, twobit_flat_extract_regions, fourbit_extract_regions, faidx_extract_regions, bgzf_extract_regions, named_sequences,
+        format_catalogue, scanned_fai, fai_file, bgzf_blocks, random_sequences, cli_twobit, cli_fourbit, cli_twobe, cli_faidx, cli_extract, cli_info, cli_random,
+    )
+}
+_DEGRADED = "regexp_replace(regexp_replace({}, '[^ACGTa-z]', 'N', 'g'), '[bd-fh-su-z]', 'n', 'g')"
+_WINDOW = "s.bases[least(r.s, least(r.e, length(s.bases))) + 1 : least(r.e, length(s.bases))]"
+
+
+def _window_digest(value: str = "{}", key: str = "r.ordinal") -> str:
+    return f"WITH {SEQS}, {REGIONS} SELECT {key}, md5({value.format(_WINDOW)}) AS digest FROM regions r JOIN seqs s ON r.name = s.name"
+
+
+_FASTA_BYTES = "strlen(name) + 2 + length(bases) + greatest(CAST(ceil(length(bases) / 60.0) AS BIGINT), 1)"
+
+
+def _fai(by: str) -> str:
+    """The index of a FASTA file of lines of 60, by its records' bytes."""
+    return f"""sized AS (SELECT ordinal, name, CAST(length(bases) AS BIGINT) AS length, {_FASTA_BYTES} AS bytes FROM seqs),
+fai AS (SELECT *, CAST(coalesce(sum(bytes) OVER ({by} ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + strlen(name) + 2 AS "offset" FROM sized)"""
+
+
+def _mixed(state: str) -> str:
+    """SplitMix64's output for a state, in 128-bit arithmetic."""
+    z = f"(({state}) % 18446744073709551616::UHUGEINT)"
+    for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931)):
+        z = f"((xor({z}, {z} // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    return f"xor({z}, {z} // {1 << 31}::UHUGEINT)"
+
+
+def _draw(k: str) -> str:
+    return _mixed(f"20240601::UHUGEINT + ({k})::UHUGEINT * 11400714819323198485::UHUGEINT")
+
+
+#: Of each sequence of 200 bases 200 numbers for letters, 200 for codes, 200 for N.
+_RANDOM = f"""WITH places AS (SELECT i, p FROM range(300) a(i), range(200) b(p)),
+made AS (SELECT i, p, CASE WHEN ({_draw("i * 600 + 400 + p + 1")} // 2048::UHUGEINT)::DOUBLE / 9007199254740992 < 0.05 THEN 'N'
+  ELSE substr('ACGT', CAST({_draw("i * 600 + p + 1")} % 4::UHUGEINT AS INTEGER) + 1, 1) END AS base FROM places)"""
+
 ORACLES = {
-    "twobit_container_roundtrip": _digest("regexp_replace(regexp_replace(bases, '[^ACGTa-z]', 'N', 'g'), '[bd-fh-su-z]', 'n', 'g')"),
+    "twobit_container_roundtrip": _digest(_DEGRADED.format("bases")),
     "twobit_iub_container_roundtrip": _digest("bases"),
     "twobe_container_roundtrip": _digest("bases"),
     "fourbit_container_roundtrip": _digest("upper(bases)"),
     "fasta_roundtrip": _digest("bases"),
     "bgzf_container_roundtrip": _digest("bases"),
-    "twobe_extract_regions": f"""WITH {SEQS}, r AS (SELECT l_orderkey * 10 + l_linenumber AS ordinal, 'doc' || (l_orderkey % (SELECT count(*) FROM documents)) AS name,
-  CAST(l_partkey AS BIGINT) AS s, CAST(l_partkey + CAST(l_quantity AS BIGINT) * 10 AS BIGINT) AS e FROM lineitem)
-SELECT r.ordinal, md5(seqs.bases[least(r.s, least(r.e, length(bases))) + 1 : least(r.e, length(bases))]) AS digest FROM r JOIN seqs ON r.name = seqs.name""",
+    "twobe_extract_regions": _window_digest(),
+    "twobit_extract_regions": _window_digest(),
+    "twobit_flat_extract_regions": _window_digest(_DEGRADED),
+    "fourbit_extract_regions": _window_digest("upper({})"),
+    "faidx_extract_regions": _window_digest(),
+    "bgzf_extract_regions": _window_digest(),
+    "named_sequences": f"WITH {SEQS} SELECT ordinal, name, md5(bases) AS digest FROM seqs WHERE name IN ('doc7', 'doc42', 'doc99')",
+    "format_catalogue": f"""WITH {SEQS} SELECT 'a.fasta' AS file, 'fasta' AS format, CAST(sum({_FASTA_BYTES}) AS BIGINT) AS size FROM seqs
+UNION ALL SELECT 'a.fourbit', 'fourbit', CAST(16 + sum(9 + strlen(name) + (length(bases) + 1) // 2) AS BIGINT) FROM seqs
+UNION ALL VALUES ('a.twobit', 'twobit', NULL), ('a.twobe', 'twobe', NULL), ('a.bgzf', 'bgzf', NULL), ('a.bgzf.fai', 'unknown', NULL), ('a.bgzf.gzi', 'unknown', NULL)""",
+    "scanned_fai": f"""WITH {SEQS}, {_fai("PARTITION BY ordinal % 2")} SELECT ordinal % 2 || '.fa' AS file, name, length, "offset", least(60, length) AS linebases, least(60, length) + 1 AS linewidth FROM fai""",
+    "fai_file": f"""WITH {SEQS}, {_fai("")} SELECT name, length, "offset", least(60, length) AS linebases, least(60, length) + 1 AS linewidth FROM fai""",
+    "bgzf_blocks": f"""WITH {SEQS}, total AS (SELECT CAST(sum({_FASTA_BYTES}) AS BIGINT) AS t FROM seqs)
+SELECT k * 65280 AS u_start, least(65280, t - k * 65280) AS u_len FROM total, range(100000000) r(k) WHERE k * 65280 < t""",
+    "random_sequences": f"{_RANDOM} SELECT i AS ordinal, 'r' || i AS name, string_agg(base, '' ORDER BY p) AS bases FROM made GROUP BY i",
+    "cli_twobit": _digest("bases"),
+    "cli_fourbit": _digest("upper(bases)"),
+    "cli_twobe": _digest("bases"),
+    "cli_faidx": _digest("bases"),
+    "cli_extract": _window_digest(key="r.name || ':' || r.s || '-' || r.e AS name"),
+    "cli_info": STATS_SQL,
+    "cli_random": f"{_RANDOM} SELECT 'r' || i AS name, string_agg(base, '' ORDER BY p) AS bases FROM made GROUP BY i",
 }
 
 
-def figures(spark: SparkSession, seqs: int = 20_000, length: int = 300) -> dict[str, dict[str, float]]:
+def figures(spark: SparkSession, seqs: int = 500_000, length: int = 300) -> dict[str, dict[str, float]]:
     """Bits a base and seconds to write generated short sequences in each container."""
     made = generate(spark, Options(seqs, length, seed=1, n_runs=1)).persist()
     made.count()
-    path = tempfile.mkdtemp(prefix="figures-")
+    path = folder(spark)
     out: dict[str, dict[str, float]] = {}
     try:
         for name, kind, options in (

@@ -44,3 +44,17 @@ def islands(kind: str, value: str, out: str) -> str:
     return f"""{kind}_v AS (SELECT ordinal, name, p, {value} AS v FROM chars),
 {out} AS (SELECT ordinal, name, min(p) AS start, count(*) AS size, v AS code FROM (
   SELECT *, p - row_number() OVER (PARTITION BY ordinal, v ORDER BY p) AS g FROM {kind}_v WHERE v IS NOT NULL) GROUP BY ordinal, name, v, g)"""
+
+
+N_SQL = islands("n", "CASE WHEN upper(c) NOT IN ('A', 'C', 'G', 'T') THEN 'N' END", "n")
+MASK_SQL = islands("m", "CASE WHEN c >= 'a' AND c <= 'z' THEN 'M' END", "m")
+IUB_SQL = islands("i", "CASE WHEN strpos('RYSWKMBDHV', upper(c)) > 0 THEN upper(c) END", "i")
+
+
+def counts_sql(parts: str) -> str:
+    """Numbers of a sequence's rows in tables, from ``table:name`` words."""
+    return ", ".join(f"(SELECT count(*) FROM {t} WHERE {t}.ordinal = s.ordinal) AS {name}" for t, name in (x.split(":") for x in parts.split()))
+
+
+STATS_SQL = f"""WITH {SEQS}, {CHARS}, {N_SQL}, {MASK_SQL}, {IUB_SQL}
+SELECT s.name, CAST(length(s.bases) AS BIGINT) AS len, {counts_sql('n:n_blocks m:mask_blocks i:iub_blocks')} FROM seqs s"""

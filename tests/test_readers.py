@@ -62,6 +62,26 @@ def test_twobit_bytes_by_hand():
     assert data == struct.pack("<IIII", 0x1A412743, 0, 1, 0) + b"\x01a" + struct.pack("<I", 22) + record
 
 
+def test_blocks_over_the_end_are_errors():
+    data = bytearray(twobit([("a", "NNgt")]))
+    assert TwoBitReader(MemorySource(bytes(data))).extract("a") == "NNgt"
+    at = 22 + 4 + 4 + 4  # behind the length, the number of N blocks and the block's start
+    data[at : at + 4] = struct.pack("<I", 5)
+    with pytest.raises(ValueError, match="over the end"):
+        TwoBitReader(MemorySource(bytes(data))).extract("a")
+    data = bytearray(image(TwoBeWriter("/x", []), [("a", "NNAC")]))
+    data[32 + 8 + 4 : 32 + 12 + 4] = struct.pack("<I", 9)
+    with pytest.raises(ValueError, match="over the end"):
+        TwoBeReader(MemorySource(bytes(data))).extract("a")
+
+
+def test_long_tables_of_contents_are_read_in_chunks():
+    data = twobit([(f"name{i:03d}" * (1 + i % 5), "ACGT") for i in range(300)], long=True)
+    whole = TwoBitReader(MemorySource(data)).names()
+    r = TwoBitReader(MemorySource(data))
+    assert [n for n, _, _ in r._entries(16, r.count, 300)] == whole and len(whole) == 300
+
+
 def test_big_endian_twobit():
     record = struct.pack(">IIIIIII", 5, 1, 1, 2, 0, 0, 0)[:24] + bytes([0x9C, 0x80])
     record = struct.pack(">I", 5) + struct.pack(">III", 1, 1, 2) + struct.pack(">I", 0) + struct.pack(">I", 0) + bytes([0x9C, 0x80])
