@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from genoframe.llm.rows import by_place
+
 SCAN_LIMIT = 48
 #: A worker keeps the ids of so many new words, and of as many older ones.
 CACHE_WORDS = 150_000
@@ -264,8 +266,9 @@ def with_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Dat
     """All columns of every row, with ``n_tokens long``, ``ids array<int>`` and the SHA-256
     of the decoded text. Input columns named like one of these, in any case, are left out."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
-    kept = docs.select([F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in TOKEN_COLUMNS])
-    at_text = kept.columns.index(text)
+    left = [i for i, c in enumerate(docs.columns) if c.lower() not in TOKEN_COLUMNS]
+    kept = by_place(docs).select([f"c{i}" for i in left])
+    at_text = left.index(docs.columns.index(text))
     schema = StructType([*kept.schema.fields, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("decoded_sha256", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,4 +284,4 @@ def with_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Dat
                 columns = [pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sums, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *TOKEN_COLUMNS])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*(docs.columns[i] for i in left), *TOKEN_COLUMNS)

@@ -14,7 +14,7 @@ TOGETHER = 1000
 def keep_rows(docs: DataFrame, text: str, decider: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """The rows, with all their columns, that are decided to be kept. ``decider`` runs
     once in each task and gives the function from texts to decisions."""
-    at_text, schema = docs.columns.index(text), docs.schema
+    at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = decider()
@@ -23,4 +23,10 @@ def keep_rows(docs: DataFrame, text: str, decider: Callable[[], Callable[[list],
                 piece = batch.slice(at, TOGETHER)
                 yield piece.filter(pa.array(decide(piece.column(at_text).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    plain = by_place(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def by_place(docs: DataFrame) -> DataFrame:
+    """The columns named by their places, since not every name can stand in an expression."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))

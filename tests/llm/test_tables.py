@@ -278,3 +278,40 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_columns_and_repeated_ids(spark):
+    """Columns of any name pass through all stages; of rows of one id, texts that differ stay."""
+    import corpus_pipeline
+    from tests.llm.test_texts import words
+
+    rng = random.Random(12)
+    long, short, other = (" ".join(words(rng, n)) for n in (60, 40, 50))
+    rows = [(1, long, "b"), (1, long, "a"), (1, short, "c"), (2, long + " end", "d"), (3, other, "e"), (3, other, "e"), (None, other, "f"), (4, None, "g"), (4, None, "h"), (5, "", "i")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _gone int, _again int, component_id long, `it``s` map<string,int>, n_tokens string, IDS int"
+    docs = spark.createDataFrame([(i, t, "x", None, 1, mark, 1, 2, 3, {"k": 1}, "clash", 7) for i, t, mark in rows], schema)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["a.b"]) for r in kept.collect() if r["doc_id"]) == sorted([(1, long, "a"), (1, short, "c"), (3, other, "e"), (4, None, "g"), (5, "", "i")], key=lambda r: (r[0], r[1] or ""))
+    assert [r["a.b"] for r in kept.collect() if r["doc_id"] is None] == ["f"]
+    coded = corpus_pipeline.encode(spark, docs, "")
+    assert coded.columns == [*docs.columns[:-2], "n_tokens", "ids", "decoded_sha256"]
+    got = {(r["doc_id"], r["a.b"]): r for r in coded.collect()}
+    assert got[4, "g"]["ids"] == [] and got[4, "g"]["n_tokens"] == 0 and got[3, "e"]["n_tokens"] == len(got[3, "e"]["ids"]) > 10 and len(got) == 9
+    assert corpus_pipeline.encode(spark, docs.limit(0), "").columns == coded.columns and corpus_pipeline.encode(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_drops_what_stages_wrote(spark, tmp_path):
+    import corpus_pipeline
+    from genoframe.llm import scratch
+
+    docs = [(i, f"plain text number {i} of a few words", "aa", "s", 1) for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = set(scratch._made)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(scratch._made) - before
+    assert len(left) == 1 and out.count() == 30
+    scratch.clear(spark)
+    assert not scratch._made
