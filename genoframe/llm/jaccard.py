@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from genoframe.llm.components import components
 from genoframe.llm.scratch import Scratch
-from genoframe.llm.shingles import shingle_sequence, shingle_set, word_hashes, words_of
+from genoframe.llm.shingles import shingle_set
 
 #: Similarity as a whole percentage, so that bounds are exact.
 PERCENT = 80
@@ -68,7 +68,7 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all documents, sorted, and how often they occur.
+    """The shingles that most documents have, sorted, and how many have them.
 
     Counts are for cost only. They leave out what a task saw fewer than REPORTED times
     among COUNTED shingles, and the list is cut to FREQUENT entries, so a shingle that isn't
@@ -88,10 +88,10 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for text in batch.column(0).slice(at, 500).to_pylist():
+                    s = shingle_set(text)
                     # an exact copy adds nothing: copies go on as one document
-                    if text and (d := xxhash.xxh3_128_digest(text)) not in seen:
+                    if len(s) and (d := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
                         seen.add(d)
-                        s = shingle_sequence(word_hashes(words_of(text)))
                         held.append(s)
                         size += len(s)
                         if size >= COUNTED:
