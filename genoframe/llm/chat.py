@@ -99,21 +99,22 @@ def levels(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``k`` and ``level`` of all calls that depend on others: of ``edges`` (``k`` waits
     for ``dep``, which costs ``w``) the dearest chain's cost, NEVER in or behind a cycle."""
     edges = scratch.table(edges.groupBy("k", "dep").agg(F.max("w").cast("long").alias("w")), "waits")
-    longest = edges.select("k").distinct().count().bit_length()
+    calls = edges.select("k").distinct().count()
+    near = F.broadcast if calls <= BROADCAST_ROWS else lambda df: df
     level = None
     while True:
         known = edges.withColumn("cost", F.col("w"))
         if level is not None:
-            before = _small(level).select(F.col("k").alias("dep"), F.col("level").alias("dep_level"))
+            before = near(level).select(F.col("k").alias("dep"), F.col("level").alias("dep_level"))
             known = edges.join(before, "dep", "left").withColumn("cost", F.least(F.coalesce("dep_level", F.lit(0)) + F.col("w"), F.lit(NEVER)))
         best = known.groupBy("k").agg(F.max(F.struct("cost", "dep", "w")).alias("best"))
         best = scratch.table(best.select("k", "best.cost", F.col("best.dep").alias("to"), F.col("best.w").alias("sum")), "chosen")
-        if level is not None and best.join(_small(level), "k").where("cost > level").isEmpty():
+        if level is not None and best.join(near(level), "k").where("cost > level").isEmpty():
             scratch.drop(best, edges)
             return level
         chain = scratch.table(best.select("k", "to", "sum", F.lit(True).alias("moves")), "chain")
-        for _ in range(longest + 1):
-            further = _small(chain).select(F.col("k").alias("to"), F.col("to").alias("then"), F.col("sum").alias("more"))
+        for _ in range(calls.bit_length() + 1):
+            further = near(chain).select(F.col("k").alias("to"), F.col("to").alias("then"), F.col("sum").alias("more"))
             over = chain.join(further, "to", "left")
             over = over.select("k", F.coalesce("then", "to").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"), F.col("then").isNotNull().alias("moves"))
             over = scratch.table(over, "chain")
