@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
 from genoframe.sources import codec as C
-from genoframe.sources.ranged import is_url, local_path
-from genoframe.sources.readers import TwoBeReader, open_reader
+from genoframe.sources.ranged import in_store, is_url, list_store, local_path, open_source, read_beside
+from genoframe.sources.readers import TwoBeReader, detect, open_reader
 
 SCHEMA = "file string, ordinal long, name string, bases string"
 #: Sequences of one input partition.
@@ -44,8 +44,9 @@ def files_of(path: str, sidecars: bool = False) -> list[str]:
     if is_url(path):
         return [path]
     path = local_path(path)
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_")) and (sidecars or not p.endswith((".fai", ".gzi"))))
+    if in_store(path) or os.path.isdir(path):
+        inside = list_store(path) if in_store(path) else sorted(filter(os.path.isfile, glob.glob(os.path.join(path, "*"))))
+        return [p for p in inside if not os.path.basename(p).startswith((".", "_")) and (sidecars or not p.endswith((".fai", ".gzi")))]
     found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
     if not found or not all(map(os.path.exists, found)):
         raise FileNotFoundError(path)
@@ -344,6 +345,17 @@ def _write_joined(write: DataFrameWriter, path: str, spark: SparkSession) -> Non
     shutil.rmtree(parts, ignore_errors=True)
 
 
+def _scanned_index(spark: SparkSession, path: str) -> list[tuple] | None:
+    from genoframe.sources.fasta import scan_fai_table
+
+    if is_url(path) or read_beside(path, ".fai") is not None:
+        return None
+    source = open_source(path)
+    if detect(source.read_at(0, min(64, source.size))) != "fasta":
+        return None
+    return [tuple(r) for r in scan_fai_table(spark, path).select("name", "length", "offset", "linebases", "linewidth").orderBy("offset").collect()]
+
+
 #: Bases up to which a sequence is decoded whole for its windows.
 WHOLE = 1 << 20
 
@@ -353,10 +365,12 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
     error. Regions are dealt by their name and place, so that a task looks a name up once
     and reads on from one window to the next. A short sequence is decoded once for all of a
     task's windows; of a longer one only what its windows ask for. ``used`` are
-    accumulators that the tasks add their HTTP requests and bytes to."""
+    accumulators that the tasks add their HTTP requests and bytes to. A plain FASTA file
+    without an index is scanned once, by tasks."""
+    index = _scanned_index(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = open_reader(path)
+        reader = open_reader(path, index)
         known, place, whole = None, None, None
         for batch in batches:
             names, starts, ends = (c.to_pylist() for c in batch.columns[1:])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -73,15 +72,14 @@ def scan_fai_table(spark: SparkSession, path: str) -> DataFrame:
 def format_catalog(spark: SparkSession, path: str) -> DataFrame:
     """``file, size, format`` of the files of a folder, by their first 64 bytes. Files are
     listed without being read; each task then reads those of a few files."""
-    listed = spark.createDataFrame([(f, os.path.getsize(f)) for f in files_of(path, sidecars=True)], "file string, size long")
+    files = files_of(path, sidecars=True)
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism)), "file")
 
     def peek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = []
-            for file in batch.column(0).to_pylist():
-                source = open_source(file)
-                heads.append(source.read_at(0, min(64, source.size)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["file", "size", "head"])
+            sources = [open_source(file) for file in batch.column(0).to_pylist()]
+            heads = pa.array([s.read_at(0, min(64, s.size)) for s in sources], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sources], pa.int64()), heads], names=["file", "size", "head"])
 
     head = F.col("head")
     magic = F.hex(F.substring(head, 1, 4))
@@ -90,8 +88,7 @@ def format_catalog(spark: SparkSession, path: str) -> DataFrame:
         F.when(magic.isin("4327411A", "1A412743"), "twobit").when(magic == "32424531", "twobe").when(magic == "34424954", "fourbit")
         .when((magic == "1F8B0804") & (F.hex(F.substring(head, 13, 2)) == "4243"), "bgzf").when(F.startswith(text, F.lit(">")), "fasta").otherwise("unknown")
     )
-    files = listed.repartition(max(1, min(listed.count(), spark.sparkContext.defaultParallelism)))
-    return files.mapInArrow(peek, "file string, size long, head binary").select("file", "size", kind.alias("format"))
+    return listed.mapInArrow(peek, "file string, size long, head binary").select("file", "size", kind.alias("format"))
 
 
 def bgzf_block_table(spark: SparkSession, path: str) -> DataFrame:

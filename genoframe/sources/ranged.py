@@ -1,4 +1,5 @@
-"""Bytes read by position: in memory, from a file, or over HTTP ranges."""
+"""Bytes read by position: in memory, from a file, over HTTP ranges or from a store that
+Arrow's file systems know, such as ``s3://`` or ``hdfs://``."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ import os
 import urllib.request
 from collections import OrderedDict
 
+from pyarrow import fs
+
 HTTP_BLOCK = 8192
 #: Blocks that an HTTP source keeps.
 HTTP_KEPT = 4096
@@ -37,6 +40,22 @@ class FileSource:
         return self.file.read(n)
 
 
+class StoreSource:
+    """A file of a remote store, by its URI."""
+
+    requests = fetched = 0
+
+    def __init__(self, uri: str):
+        store, path = fs.FileSystem.from_uri(uri)
+        self.file = store.open_input_file(path)
+        self.size = self.file.size()
+
+    def read_at(self, offset: int, n: int) -> bytes:
+        if offset < 0 or n < 0 or offset + n > self.size:
+            raise ValueError(f"read of {n} bytes at {offset} is past the end ({self.size})")
+        return self.file.read_at(n, offset)
+
+
 class HttpSource:
     """Aligned blocks are cached; missing neighbours are fetched by one request."""
 
@@ -91,9 +110,35 @@ def is_url(path: str) -> bool:
     return path.startswith(("http://", "https://"))
 
 
+def in_store(path: str) -> bool:
+    """Whether a path names a remote store other than HTTP."""
+    scheme, colon, _ = path.partition("://")
+    return bool(colon) and scheme.lower() not in ("http", "https", "file")
+
+
 def local_path(path: str) -> str:
     return path.removeprefix("file://")
 
 
-def open_source(path: str) -> FileSource | HttpSource:
-    return HttpSource(path) if is_url(path) else FileSource(local_path(path))
+def list_store(uri: str) -> list[str]:
+    """The URIs of a store's files under a folder, or of the one file."""
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type == fs.FileType.File:
+        return [uri]
+    found = store.get_file_info(fs.FileSelector(path))
+    return sorted(uri.rstrip("/") + "/" + f.base_name for f in found if f.type == fs.FileType.File)
+
+
+def open_source(path: str) -> FileSource | HttpSource | StoreSource:
+    if is_url(path):
+        return HttpSource(path)
+    return StoreSource(path) if in_store(path) else FileSource(local_path(path))
+
+
+def read_beside(path: str, suffix: str) -> bytes | None:
+    """An index file that stands beside a file, if it is there; a URL's must be."""
+    try:
+        source = open_source(path + suffix)
+    except FileNotFoundError:
+        return None
+    return source.read_at(0, source.size)

@@ -15,7 +15,7 @@ import numpy as np
 
 from genoframe.operators.runs import MASK_RUN, N_RUN
 from genoframe.sources import codec as C
-from genoframe.sources.ranged import is_url, local_path, open_source
+from genoframe.sources.ranged import is_url, open_source, read_beside
 
 #: Bytes of a table of contents that are read at once.
 TOC_CHUNK = 1 << 20
@@ -440,8 +440,9 @@ def detect(head: bytes) -> str:
     raise ValueError("unknown format")
 
 
-def open_reader(path: str) -> Reader:
-    """A reader for a local path or a URL."""
+def open_reader(path: str, index: list[tuple] | None = None) -> Reader:
+    """A reader for a local path, a store's URI or a URL. ``index`` stands in for a FASTA
+    file's missing index; without either the file is scanned."""
     source = open_source(path)
     kind = detect(source.read_at(0, min(64, source.size)))
     if kind in ("bgzf", "fasta"):
@@ -451,16 +452,8 @@ def open_reader(path: str) -> Reader:
             fai = parse_fai(side.read_at(0, side.size).decode("utf-8", "replace"))
             used = side.requests, side.fetched
         else:
-            try:
-                with open(local_path(path) + ".fai", encoding="utf-8", errors="replace") as f:
-                    fai = parse_fai(f.read())
-            except FileNotFoundError:
-                pass
-            try:
-                with open(local_path(path) + ".gzi", "rb") as f:
-                    gzi = f.read()
-            except FileNotFoundError:
-                pass
+            text, gzi = read_beside(path, ".fai"), read_beside(path, ".gzi")
+            fai = index if text is None else parse_fai(text.decode("utf-8", "replace"))
         reader = FaidxReader(source, fai, gzi)
         reader.index_requests = used
         return reader

@@ -131,6 +131,27 @@ def test_read_fai(spark, tmp_path):
         fasta.read_fai(spark, str(p)).collect()
 
 
+def test_stores_are_read_by_uri(seqs, tmp_path):
+    """Arrow's file systems, here the local one, give the same bytes."""
+    from genoframe.sources.ranged import StoreSource, in_store, list_store
+    from genoframe.sources.readers import TwoBeReader
+
+    write_container(seqs, str(tmp_path / "x.2be"), "twobe")
+    r = TwoBeReader(StoreSource(f"file://{tmp_path}/x.2be"))
+    assert all(r.extract(n, 2, 9) == b[2:9] for n, b in SEQS)
+    with pytest.raises(ValueError, match="past the end"):
+        r.source.read_at(r.source.size, 1)
+    assert list_store(f"file://{tmp_path}") == list_store(f"file://{tmp_path}/x.2be") == [f"file://{tmp_path}/x.2be"]
+    assert [in_store(x) for x in ("s3://b/k", "hdfs://h/x", "file:///x", "/x", "http://h/x")] == [True, True, False, False, False]
+
+
+def test_missing_index_is_scanned_by_tasks(spark, seqs, tmp_path):
+    path = str(tmp_path / "x.fa")
+    fasta.write_fasta(seqs, path, 7)
+    asked = spark.createDataFrame([(i, n, 2, 12) for i, (n, _) in enumerate(SEQS)], "ordinal long, name string, start long, end long")
+    assert [r["bases"] for r in extract_regions(spark, path, asked).orderBy("ordinal").collect()] == [b[2:12] for _, b in SEQS]
+
+
 def test_long_sequences_are_read_by_windows(spark, seqs, tmp_path, monkeypatch):
     """Windows that are decoded apart equal slices of sequences that are decoded whole."""
     from genoframe.sources import containers
