@@ -98,12 +98,6 @@ def clamp(start: Column, end: Column, size: Column) -> tuple[Column, Column]:
     return F.least(start, end), end
 
 
-def window(bases: Column, start: Column, end: Column) -> Column:
-    """The bases of a window; empty, never an error, where it is out of range or inverted."""
-    s, e = clamp(start, end, F.length(bases).cast("long"))
-    return F.substring(bases, (s + 1).cast("int"), (e - s).cast("int"))
-
-
 def region_name(name: Column, start: Column, end: Column) -> Column:
     """A region as it was asked for; the name alone without an end."""
     return F.when(end.isNull(), name).otherwise(F.concat(name, F.lit(":"), start, F.lit("-"), end))

@@ -34,6 +34,12 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def clear() -> None:
+    """Drop all written files; results that read them can't be used any more."""
+    while _folders:
+        shutil.rmtree(_folders.pop(), ignore_errors=True)
+
+
 def _back(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
     path = f"{folder(spark)}/x"
     write_container(sequences(spark, sf_dir), path, kind, **options)
@@ -269,7 +275,7 @@ UNION ALL VALUES ('a.twobit', 'twobit', NULL), ('a.twobe', 'twobe', NULL), ('a.b
     "scanned_fai": f"""WITH {SEQS}, {_fai("PARTITION BY ordinal % 2")} SELECT ordinal % 2 || '.fa' AS file, name, length, "offset", least(60, length) AS linebases, least(60, length) + 1 AS linewidth FROM fai""",
     "fai_file": f"""WITH {SEQS}, {_fai("")} SELECT name, length, "offset", least(60, length) AS linebases, least(60, length) + 1 AS linewidth FROM fai""",
     "bgzf_blocks": f"""WITH {SEQS}, total AS (SELECT CAST(sum({_FASTA_BYTES}) AS BIGINT) AS t FROM seqs)
-SELECT k * 65280 AS u_start, least(65280, t - k * 65280) AS u_len FROM total, range(100000000) r(k) WHERE k * 65280 < t""",
+SELECT k * 65280 AS u_start, least(65280, t - k * 65280) AS u_len FROM (SELECT t, unnest(generate_series(0, (t - 1) // 65280)) AS k FROM total)""",
     "random_sequences": f"{_RANDOM} SELECT i AS ordinal, 'r' || i AS name, string_agg(base, '' ORDER BY p) AS bases FROM made GROUP BY i",
     "cli_twobit": _digest("bases"),
     "cli_fourbit": _digest("upper(bases)"),
