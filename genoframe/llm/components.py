@@ -36,11 +36,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch |
     state, before = _state(now), None
 
     def meet(edges: DataFrame, least: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
-        # no more nodes than ends of edges
-        if 2 * state[0] <= BROADCAST_ROWS:
-            return edges.join(F.broadcast(least), on), least
         least = scratch.table(least, "least")
-        return edges.join(F.broadcast(least) if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else least, on), least
+        # there are no more nodes than ends of edges
+        few = 2 * state[0] <= BROADCAST_ROWS or least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return edges.join(F.broadcast(least) if few else least, on), least
 
     while state[0] and state != before:
         # larger neighbours of a node go to the least of the node and its neighbours

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoframe.llm.components import components
-from genoframe.llm.scratch import Scratch
+from genoframe.llm.scratch import Scratch, collected
 from genoframe.llm.shingles import shingle_set
 
 #: Similarity as a whole percentage, so that bounds are exact.
@@ -234,6 +234,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     first = some.groupBy(*digest).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     first = scratch.table(first, "firsts")
     copies = scratch.table(some.select("doc", *digest).join(_small(first), digest).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")), "copies")
+    scratch.drop(first)
     alone = some.join(_small(copies.select(F.col("a").alias("doc"))), "doc", "left_anti")
 
     # buckets of two or more, and all parts of frequent shingles
@@ -253,7 +254,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     links = verified(docs, stars.unionAll(heads).distinct(), scratch)
 
     # what is left: pairs of different components that share a bucket
-    found = scratch.table(components(links, scratch=scratch), "components")
+    def settled(edges: DataFrame) -> DataFrame:
+        """Their components as a table, without those that it was made from."""
+        keep: list[str] = []
+        with collected(spark, keep):
+            table = scratch.table(components(edges, scratch=scratch), "components")
+            keep.append(table._genoframe_path)
+        return table
+
+    found = settled(links)
     # of a prefix's shingles, those in a bucket of their own are in no set whose prefix ends later
     seen = entries.groupBy(F.col("doc").alias("of")).agg(F.count(F.lit(1)).alias("seen"))
     prefix = F.expr(f"n - (({PERCENT} * n + 99) div 100) + wanted")
@@ -263,6 +272,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rest = entries.select("token", "doc", "pos").join(_small(facts), "doc")
     mixed = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     rest = scratch.table(rest.join(mixed, "token"), "mixed")
+    scratch.drop(entries, facts, found)
     a, b = rest.alias("a"), rest.alias("b")
     # what the set whose prefix ends first can share at most: all it has but what only its own bucket holds
     most = f"{100 + PERCENT} * if(a.last <= b.last, a.most, b.most) >= {PERCENT} * (a.n + b.n)"
@@ -271,12 +281,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     early = f"a.pos <= a.prefix - {m} AND b.pos <= b.prefix - {m}"
     pairs = a.join(b, F.expr("a.token = b.token AND a.doc > b.doc AND a.component <> b.component AND " + most + " AND " + early + " AND " + _FIT.format(a="a", b="b")))
     pairs = pairs.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), F.expr(f"greatest({m}, least(a.wanted, b.wanted))").alias("m")).distinct()
-    pairs = scratch.table(pairs, "pairs")
+    pairs = kept = scratch.table(pairs, "pairs")
+    scratch.drop(rest)
     tokens = alone.select("doc", F.zip_with("bucket", "salt", lambda x, y: x.bitwiseXOR(F.shiftleft(y.cast("long"), PART_BIT))).alias("tokens"))
     pairs = pairs.join(tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
     pairs = pairs.where(F.size(F.array_intersect("x", "y")) >= F.col("m")).select("a", "b")
     more = verified(docs, pairs, scratch)
 
-    found = scratch.table(components(copies.unionAll(links).unionAll(more), scratch=scratch), "components")
+    found = settled(copies.unionAll(links).unionAll(more))
+    scratch.drop(copies, links, more, kept)
     out = sets.select("doc", "n").join(found, F.col("doc") == F.col("node"), "left")
     return out.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
