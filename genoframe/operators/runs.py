@@ -69,12 +69,19 @@ def tile_blocks(tiles: DataFrame, tile: int) -> DataFrame:
     return n.unionByName(mask).unionByName(iub)
 
 
-def tile_stats(tiles: DataFrame, tile: int) -> DataFrame:
-    """Length and numbers of N, mask and IUB blocks of every sequence, from its tiles."""
-    counts = tile_blocks(tiles, tile).groupBy("ordinal", "name").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"{k.lower()}_blocks") for k in ("N", "MASK", "IUB")))
-    whole = tiles.where("tile = 0").select("ordinal", "name", F.col("total").alias("len"))
-    found = whole.join(counts, ["ordinal", "name"], "left")
-    return found.select("ordinal", "name", "len", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_blocks", "mask_blocks", "iub_blocks")))
+def tile_stats(tiles: DataFrame) -> DataFrame:
+    """Length and numbers of N, mask and IUB blocks of every sequence, from its tiles: blocks
+    are counted in each, less those that go on from the tile before. Only the tiles' counts
+    and their first and last bases are shuffled."""
+    rows = tiles.select(
+        "ordinal", "name", "tile", "total", F.substring("bases", 1, 1).alias("first"), F.substring("bases", -1, 1).alias("last"),
+        _count(N_BLOCKS).alias("n_blocks"), _count(MASK_BLOCKS).alias("mask_blocks"), _count(IUB_BLOCKS).alias("iub_blocks"),
+    )
+    before = F.lag("last").over(Window.partitionBy("ordinal", "name").orderBy("tile"))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit("")))
+    both = lambda pattern: F.col("before").rlike(f"^{pattern}$") & F.col("first").rlike(f"^{pattern}$")
+    goes_on = {"n_blocks": both("[^ACGTacgt]"), "mask_blocks": both("[a-z]"), "iub_blocks": both(f"[{_CODE_CLASS}]") & (F.upper("before") == F.upper("first"))}
+    return rows.groupBy("ordinal", "name").agg(F.max("total").alias("len"), *(F.sum(F.col(c) - F.when(joined, 1).otherwise(0)).alias(c) for c, joined in goes_on.items()))
 
 
 def n_blocks(sequences: DataFrame) -> DataFrame:

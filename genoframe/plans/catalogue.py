@@ -136,6 +136,14 @@ def twobe_stats(spark, sf_dir):
     return runs.twobe_stats(sequences(spark, sf_dir))
 
 
+@query(f"""{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL} SELECT ordinal, name, 'N' AS kind, start, size, '' AS code FROM n
+UNION ALL SELECT ordinal, name, 'MASK', start, size, '' FROM m UNION ALL SELECT ordinal, name, 'IUB', start, size, code FROM i""")
+def tile_blocks(spark, sf_dir):
+    """All blocks of sequences that are stored as tiles, joined where tiles cut them."""
+    found = runs.tile_blocks(regions.to_tiles(sequences(spark, sf_dir), 1024), 1024)
+    return found.select("ordinal", "name", "kind", "start", "size", F.coalesce("code", F.lit("")).alias("code"))
+
+
 # -- codecs ----------------------------------------------------------------------
 @query(f"""{RUNS}, quads AS (SELECT name, p // 4 AS q, CAST(sum((CASE upper(c) WHEN 'C' THEN 1 WHEN 'A' THEN 2 WHEN 'G' THEN 3 ELSE 0 END) * (1 << CAST(6 - 2 * (p % 4) AS INTEGER))) AS INTEGER) AS b FROM chars GROUP BY name, q)
 SELECT s.name, md5(coalesce(string_agg(upper(format('{{:02x}}', b)), '' ORDER BY q), '')) AS packed FROM seqs s LEFT JOIN quads ON s.name = quads.name GROUP BY s.name""")
@@ -194,7 +202,7 @@ def extract_from_tiles(spark, sf_dir):
 @query(f"{RUNS}, {N_SQL}, {MASK_SQL}, {IUB_SQL} SELECT s.ordinal, s.name, CAST(length(s.bases) AS BIGINT) AS len, {counts_sql('n:n_blocks m:mask_blocks i:iub_blocks')} FROM seqs s")
 def tile_stats(spark, sf_dir):
     """Block counts of sequences that are stored as tiles."""
-    return runs.tile_stats(regions.to_tiles(sequences(spark, sf_dir), 1024), 1024)
+    return runs.tile_stats(regions.to_tiles(sequences(spark, sf_dir), 1024))
 
 
 @query(f'WITH {SEQS} SELECT ordinal, name, CAST(0 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS "end", name AS region, bases FROM seqs')

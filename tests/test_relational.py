@@ -104,7 +104,7 @@ def test_runs_of_tiles_are_those_of_whole_sequences(spark):
         t = regions.to_tiles(s, tile)
         columns = ("ordinal", "name", "start", "size", "code", "kind")
         assert sorted(found(runs.tile_blocks(t, tile), *columns), key=str) == sorted(found(runs.blocks(s), *columns), key=str)
-        assert found(runs.tile_stats(t, tile), "ordinal", "len", "n_blocks", "mask_blocks", "iub_blocks") == found(runs.twobit_stats(s), "ordinal", "len", "n_blocks", "mask_blocks", "iub_blocks")
+        assert found(runs.tile_stats(t), "ordinal", "len", "n_blocks", "mask_blocks", "iub_blocks") == found(runs.twobit_stats(s), "ordinal", "len", "n_blocks", "mask_blocks", "iub_blocks")
 
 
 def test_overlaps_by_bins(spark):
