@@ -70,17 +70,35 @@ def code_range(text: str) -> range:
 
 
 NEWER = {c: int(to, 16) + i for upper, to in (x.split(":") for x in NEW_LOWER.split()) for i, c in enumerate(code_range(upper))}
-_has_newer = re.compile("[" + "".join(map(chr, NEWER)) + "]").search
+
+
+@lru_cache
+def held_by(major: str) -> np.ndarray:
+    """Whether each code point is in the general categories of a first letter."""
+    held = np.array([unicodedata.category(chr(c))[0] == major for c in range(sys.maxunicode + 1)])
+    for part in NEW_CLASSES.get(major, "").split():
+        held[list(code_range(part))] = True
+    return held
+
+
+@lru_cache
+def odd_points() -> np.ndarray:
+    """Whether the ``regex`` module or Python's lower case differs for a code point."""
+    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, sys.maxunicode + 1)))
+    odd = np.zeros(len(every), bool)
+    for major in "LN":
+        theirs = np.zeros(len(every), bool)
+        for m in regex.finditer(rf"\p{{{major}}}+", every):
+            theirs[m.start() : m.end()] = True
+        odd |= theirs != held_by(major)
+    odd[list(NEWER)] = True
+    return odd
 
 
 @lru_cache
 def code_points(major: str) -> str:
     """The code points of a general category's first letter, as ranges of a character class."""
-    held = [unicodedata.category(chr(c))[0] == major for c in range(sys.maxunicode + 1)]
-    for part in NEW_CLASSES.get(major, "").split():
-        for c in code_range(part):
-            held[c] = True
-    edges = np.flatnonzero(np.diff(np.array([False, *held, False], np.int8))).reshape(-1, 2)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], held_by(major).astype(np.int8), [0]]))).reshape(-1, 2)
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
 
 
@@ -110,9 +128,11 @@ class WordBpe:
         # Unicode's White_Space only: Python's \s also has the separators 1C to 1F
         space = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         pattern = split["pattern"]["Regex"].replace(r"[^\s", "[^" + space)
+        self.words = regex.compile(pattern).findall
+        # a class of many ranges is slow, so it is for texts only that have odd code points
         for major in "LN":
             pattern = re.sub(rf"(\[[^]]*)\\p\{{{major}\}}", lambda m: m.group(1) + code_points(major), pattern).replace(rf"\p{{{major}}}", f"[{code_points(major)}]")  # noqa: B023
-        self.words = regex.compile(pattern).findall
+        self.odd, self.odd_words = odd_points(), regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -166,12 +186,13 @@ class WordBpe:
 
     # -- whole texts --------------------------------------------------------
     def _plain(self, text: str) -> bytes:
+        find = self.words
         if not text.isascii():
             # each character is lower-cased by itself, so a final sigma has no form of its own
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if _has_newer(text):
-                text = text.translate(NEWER)
-        words = self.words(text.lower())
+            if self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+                find, text = self.odd_words, text.translate(NEWER)
+        words = find(text.lower())
         cache = self.cache
         try:
             return b"".join([cache[w] for w in words])
