@@ -12,8 +12,12 @@ from genoframe.llm.bpe import bpe_encode
 from genoframe.llm.chat import link_calls, turns_as_calls
 from genoframe.llm.decontaminate import find_passages
 from genoframe.llm.embeddings import near_duplicates
+from genoframe.llm.fim import fill_in_middle, restored
 from genoframe.llm.jaccard import jaccard_components
+from genoframe.llm.merkle import folded, leaf_digest, manifest, proof
+from genoframe.llm.scratch import new_path
 from genoframe.llm.sharding import SHARDS, assign_shards
+from genoframe.llm.tokens import read_tokens, with_crc32, write_tokens
 from genoframe.llm.urls import judge, page_edges
 from genoframe.llm.warc import read_archives, write_archives
 
@@ -179,6 +183,85 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its form for filling in the middle, and made whole again from it."""
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents
+), numbers AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS b,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS d FROM drawn
+), cut AS (
+  SELECT *, array_to_string(units[1:least(a, b)], '') AS p, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(units[greatest(a, b) + 1:], '') AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 50 THEN 'plain' WHEN d < 80 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from the files they were written to."""
+    path = write_tokens(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), tokenizer_path())
+    return with_crc32(read_tokens(spark, path))
+
+
+#: The fields of a leaf, in order.
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether it still leads to the root after one in
+    seven was tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    forged = leaf_digest(*(F.col(f) if f != "n_chars" else F.col(f).cast("decimal(20,0)") + 1 for f in LEAF_FIELDS))
+    found = manifest(docs, LEAF_FIELDS, also={"forged": F.when(fold("doc_id", 7) == 0, forged)})
+    found = found.withColumn("folded_root", folded(F.coalesce("forged", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: Checksums by their table of 256, nodes by level with their siblings, then each leaf's fold.
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))
+), docs AS (
+  SELECT d.*, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, o: xor(c // 256, t[xor(c, o) % 256 + 1])), 4294967295) % 7 = 0 AS forged
+  FROM documents d, crc
+), texts AS (
+  SELECT doc_id, lang, {fields} AS own, {altered} AS other, forged FROM docs
+), leaves AS (
+  SELECT doc_id, lang, sha256(own) AS leaf, sha256(CASE WHEN forged THEN other ELSE own END) AS given, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM texts
+), low AS (
+  SELECT g, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL SELECT g, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY g, level, i // 2, (n + 1) // 2
+), high AS (
+  SELECT 0 AS level, g AS i, (SELECT max(g) + 1 FROM leaves) AS n, h FROM low WHERE n = 1
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 2, (n + 1) // 2
+), steps AS (
+  SELECT l.doc_id, own.level AS step, own.i % 2 AS side, coalesce(sib.h, '') AS sib FROM leaves l
+  JOIN low own ON own.g = l.g AND own.n > 1 AND own.i = l.i // (1 << own.level) LEFT JOIN low sib ON sib.g = own.g AND sib.level = own.level AND sib.i = xor(own.i, 1)
+  UNION ALL
+  SELECT l.doc_id, 64 + own.level, own.i % 2, coalesce(sib.h, '') FROM leaves l
+  JOIN high own ON own.n > 1 AND own.i = l.g // (1 << own.level) LEFT JOIN high sib ON sib.level = own.level AND sib.i = xor(own.i, 1)
+), paths AS (SELECT doc_id, list(struct_pack(side := side, sib := sib) ORDER BY step) AS path, string_agg(sib, '' ORDER BY step) AS siblings FROM steps GROUP BY doc_id),
+fold AS (
+  SELECT l.doc_id, l.given AS h, 0 AS done, coalesce(p.path, []) AS path FROM leaves l LEFT JOIN paths p ON p.doc_id = l.doc_id
+  UNION ALL SELECT doc_id, sha256(CASE WHEN path[done + 1].side = 0 THEN h || path[done + 1].sib ELSE path[done + 1].sib || h END), done + 1, path FROM fold WHERE done < len(path)
+)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaves l JOIN fold f ON f.doc_id = l.doc_id AND f.done = len(f.path) JOIN low s ON s.g = l.g AND s.n = 1 JOIN high r ON r.n = 1 LEFT JOIN paths p ON p.doc_id = l.doc_id
+""".format(
+    **{name: " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) for name, columns in (("fields", LEAF_FIELDS), ("altered", [f if f != "n_chars" else "n_chars + 1" for f in LEAF_FIELDS]))}
+)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
@@ -190,9 +273,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
+    "op11_fim": op11_fim,
+    "op12_tokens": op12_tokens,
+    "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op4_urls": OP4_SQL,
+    "op11_fim": OP11_SQL,
+    "op13_merkle": OP13_SQL,
 }
