@@ -29,6 +29,9 @@ TYPES = {
     "op8_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
     "op9_jaccard": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
     "op10_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11_fim": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint", "output_sha256": "string", "restored_sha256": "string"},
+    "op12_tokens": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op13_merkle": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
 }
 _found: dict[str, list] = {}
 
@@ -96,6 +99,19 @@ def test_bpe(rows, texts):
     assert {tuple(r) for r in rows("op3_bpe")} == {(i, len(x), sha(" ".join(map(str, x))), sha(t.decode(x, skip_special_tokens=False))) for i, x in want.items()}
 
 
+def test_tokens(rows, texts):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    t.no_truncation()
+    t.no_padding()
+    want, at = set(), 0
+    for i, x in sorted(texts.items()):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want.add((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows("op12_tokens")} == want
+
+
 def plain_language(text, dictionaries):
     """Sizes under each dictionary, one compressor at a time."""
     if not text or not any(c.isalpha() for c in text):
