@@ -7,7 +7,8 @@ follows the logarithm of the largest label's size, so that buckets keep their si
 and the number of tables is what finds a pair at the threshold with probability
 RECALL.
 
-Equal vectors are one class and are compared once. Buckets are dealt into parts of
+Vectors are first scaled by a power of two that brings their largest component near 1.
+Equal ones are one class then and are compared once. Buckets are dealt into parts of
 PART vectors, and each pair of parts is one group of rows, so none is larger than
 two parts. Groups first hold the signs only, a bit for each plane of all tables: pairs that
 share an earlier table are compared there, and pairs whose signs differ in more planes than
@@ -55,8 +56,11 @@ def usable(vector: list | None) -> np.ndarray | None:
     if not vector or any(x is None for x in vector):
         return None
     v = np.array(vector, dtype=np.float64)
-    norm = float(v @ v)
-    return v if np.isfinite(v).all() and np.isfinite(norm) and norm > 0 else None
+    most = np.abs(v).max()
+    if not np.isfinite(v).all() or most == 0:
+        return None
+    # a power of two changes no cosine and keeps squares from running over or out
+    return np.ldexp(v, -int(np.frexp(most)[1]))
 
 
 def spanning(linked: np.ndarray) -> np.ndarray:

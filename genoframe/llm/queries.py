@@ -16,7 +16,7 @@ from genoframe.llm.fim import fill_in_middle, restored
 from genoframe.llm.jaccard import jaccard_components
 from genoframe.llm.merkle import folded, leaf_digest, manifest, proof
 from genoframe.llm.scratch import new_path
-from genoframe.llm.sharding import SHARDS, assign_shards
+from genoframe.llm.sharding import SEED, SHARDS, assign_shards
 from genoframe.llm.tokens import read_tokens, with_crc32, write_tokens
 from genoframe.llm.urls import judge, page_edges
 from genoframe.llm.warc import read_archives, write_archives
@@ -160,6 +160,26 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))"
+
+
+def _crc_sql(numbers: str) -> str:
+    """The checksum of a list of bytes, by the table ``t``."""
+    return f"xor(list_reduce([4294967295] || {numbers}, lambda c, o: xor(c // 256, t[xor(c, o) % 256 + 1])), 4294967295)"
+
+
+OP8_SQL = f"""
+WITH crc AS ({_CRC_TABLE}), hashed AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, source, {_crc_sql("list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))")} AS text_crc32,
+         sha256('{SEED}|' || coalesce('=' || doc_id, '-') || '|' || coalesce('=' || sha256(text), '-') || '|' || coalesce('=' || source, '-')) AS h FROM documents, crc
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction, count(*) OVER () AS total FROM hashed
+), placed AS (SELECT *, row_number() OVER (ORDER BY fraction, h) - 1 AS pos FROM ranked),
+dealt AS (SELECT *, pos * {SHARDS} // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
+"""
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that are alike, by components of exact links."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -228,10 +248,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Checksums by their table of 256, nodes by level with their siblings, then each leaf's fold.
 OP13_SQL = """
-WITH RECURSIVE crc AS (
-  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))
-), docs AS (
-  SELECT d.*, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, o: xor(c // 256, t[xor(c, o) % 256 + 1])), 4294967295) % 7 = 0 AS forged
+WITH RECURSIVE crc AS ({table}), docs AS (
+  SELECT d.*, {crc} % 7 = 0 AS forged
   FROM documents d, crc
 ), texts AS (
   SELECT doc_id, lang, {fields} AS own, {altered} AS other, forged FROM docs
@@ -258,8 +276,9 @@ fold AS (
 SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
 FROM leaves l JOIN fold f ON f.doc_id = l.doc_id AND f.done = len(f.path) JOIN low s ON s.g = l.g AND s.n = 1 JOIN high r ON r.n = 1 LEFT JOIN paths p ON p.doc_id = l.doc_id
 """.format(
+    table=_CRC_TABLE, crc=_crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"),
     **{name: " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) for name, columns in (("fields", LEAF_FIELDS), ("altered", [f if f != "n_chars" else "n_chars + 1" for f in LEAF_FIELDS]))}
-)
+)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -281,6 +300,7 @@ ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op4_urls": OP4_SQL,
+    "op8_shards": OP8_SQL,
     "op11_fim": OP11_SQL,
     "op13_merkle": OP13_SQL,
 }

@@ -6,6 +6,10 @@ its source. All rows are sorted by fractional rank and cut into shards whose row
 counts differ by one at most, so each shard holds of every source the same share,
 give or take a row.
 
+A row's place in the shuffle is the SHA-256 of the seed, its key, its text's digest and its
+source, so it doesn't depend on how rows are stored or dealt to tasks. Only rows that are
+equal in all of these are told apart by number, and any of them is as good as another.
+
 Ranks come from two range-partitioned sorts. A sort splits a source that holds
 much of the rows over many tasks; what joins the tasks' local positions are row
 counts by task. Texts are not moved: rows carry their size and checksum only.
@@ -16,7 +20,7 @@ of their own; repeated rows get slots of their own; an empty table gives none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.llm.ranking import positions
@@ -28,6 +32,12 @@ SEED = 20_240_601
 BROADCAST_SOURCES = 100_000
 
 
+def shuffle_hash(seed: int, key: Column, text: Column, source: Column) -> Column:
+    """What orders rows; nulls differ from all texts."""
+    parts = (F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in (key, F.sha2(text, 256), source))
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256)
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``key``, ``size``, ``text_crc32``, ``source``, ``shard`` and gapless ``slot`` of every row."""
     scratch = Scratch(docs.sparkSession)
@@ -37,9 +47,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, key:
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.col(source).cast("string").alias("source"),
+        shuffle_hash(seed, F.col(key).cast("string"), F.col(text).cast("string"), F.col(source).cast("string")).alias("h"),
     )
-    # the row's number breaks ties of repeated rows
-    rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64(F.lit(seed), "key", "text_crc32", "row")), "shard-rows")
+    rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     ranked = positions(rows, ["source", "h", "row"], "shard-ranks", scratch)
     sizes = ranked.groupBy("source").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
     sizes = scratch.table(sizes.select(F.col("source").alias("of"), "first", "n"), "shard-sources")

@@ -9,7 +9,10 @@ the aliases is allowed by a rule, else block if one is blocked by a rule, else a
 All of it is DataFrame operations: no Python runs on rows. Up to INLINE_RULES rules
 are one expression; more are joined by the suffixes of hosts.
 
-Links and refreshes are taken from ``<link>`` and ``<meta>`` tags that hold no ``<``.
+Links and refreshes are taken from ``<link>`` and ``<meta>`` tags as a browser sees them: not
+from comments, scripts, styles or other tags' values; quoted values may hold ``<`` and ``>``;
+``rel`` is a list of words; references such as ``&amp;`` are decoded; targets are resolved
+against the page's url, dots included.
 
 Defined results: a null url or one without ``://`` has an empty host and path and no
 rule; of equally long rules block wins, then the first by name; repeated rows give
@@ -31,15 +34,24 @@ INLINE_RULES = 64
 BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The edges a page declares: a canonical link, or a refresh to another url. Tags are cut
-#: out first; they hold no ``<`` and quantifiers don't backtrack, so each pattern passes
-#: over a text once.
-TAGS = r"(?i)<(?:link|meta)\b[^<>]*+>"
-_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))"""
-CANONICAL = r"""(?i)^<link\b.*\brel\s*+=\s*+["']?+\s*+canonical\b"""
-REFRESH = r"""(?i)^<meta\b.*\bhttp-equiv\s*+=\s*+["']?+\s*+refresh\b"""
-HREF, CONTENT = r"(?is)\bhref" + _VALUE, r"(?is)\bcontent" + _VALUE
-_WAIT_URL = r"(?is)\burl\s*+=\s*+['\"]?+([^'\"]*+)"
+# Pages are cut by one pattern that takes whatever comes next whole: a comment, an element
+# whose content is text, a tag with its quoted values. So nothing within these passes for a
+# tag. All quantifiers keep what they took and what is not closed reaches to the end, so a
+# pattern passes over a text once.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)?+)*+"""
+_TEXT_ELEMENTS = "script style textarea title xmp iframe noembed noframes template".split()
+PIECES = (
+    r"(?is)<!--.*?(?:-->|\z)|"
+    + "|".join(rf"<{x}(?=[\s/>]){_REST}(?:>|\z).*?(?:</{x}(?=[\s/>])|\z)" for x in _TEXT_ELEMENTS)
+    + rf"|(<(?:link|meta)(?=[\s/>]){_REST}>)|<[a-z/!?]{_REST}(?:>|\z)"
+)
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s>"'][^\s>]*+))"""
+ATTRIBUTE = rf"""(?s)[^\s/>=][^\s/>=]*+(?:{_VALUE.replace("([", "(?:[")})?+"""
+WAIT_URL = r"(?is)^\s*+[0-9.]*+\s*+[;,]?+\s*+(?:url\s*+=\s*+)?+(?:\"([^\"]*+)|'([^']*+)|(.*))"
+#: Named references that urls are read with, besides those by number.
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+#: A url of more segments keeps its dots.
+MAX_SEGMENTS = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -76,16 +88,35 @@ def fit_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return urls.join(fitted, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "ruled": F.col("best.ruled")}).drop("best")
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without its segments of one or two dots."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    last = F.element_at(parts, -1)
+    open_end = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+    def step(kept: Column, part: Column) -> Column:
+        above = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", above).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    dotted = path.rlike(r"/\.{1,2}(?:/|$)") & (F.size(parts) <= MAX_SEGMENTS)
+    return F.when(dotted, F.concat(F.lit("/"), F.array_join(F.aggregate(open_end, F.array().cast("array<string>"), step), "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What edges join: a url without its fragment."""
-    return F.regexp_replace(F.trim(url), "#.*$", "")
+    """What edges join: a url without its fragment and the dots of its path, its scheme and
+    host in lower case, its empty path a slash."""
+    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    pattern = r"(?s)^([^:/?#]*://[^/?#]*)([^?]*)(.*)$"
+    site, path, rest = (F.regexp_extract(whole, pattern, i) for i in (1, 2, 3))
+    return F.when(site != "", F.concat(F.translate(site, UPPER, LOWER), F.when(path == "", "/").otherwise(without_dots(path)), rest)).otherwise(whole)
 
 
 def resolve(base: Column, target: Column) -> Column:
     """A target as written in a page, as an absolute url."""
-    t = F.trim(target)
+    t = F.trim(F.regexp_replace(target, r"[\t\n\r]", ""))
     scheme = F.regexp_extract(base, "^([^:/?#]*:)//", 1)
     site = F.regexp_extract(base, "^([^:/?#]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, "^([^:/?#]*://[^?#]*)", 1)
     folder = F.regexp_extract(base, "^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
     return (
@@ -93,23 +124,55 @@ def resolve(base: Column, target: Column) -> Column:
         .when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(t.contains("://"), t))
         .when(F.startswith(t, F.lit("//")), F.concat(scheme, t))
         .when(F.startswith(t, F.lit("/")), F.concat(site, t))
+        .when(F.startswith(t, F.lit("?")), F.concat(page, t))
+        .when(F.startswith(t, F.lit("#")), base)
         .otherwise(F.concat(folder, t))
     )
 
 
+def unescaped(text: Column) -> Column:
+    """Character references by number, and the named ones that urls use, as characters."""
+    named = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+
+    def read(part: Column) -> Column:
+        hexed = F.regexp_extract(part, "(?i)^&#x0*+([0-9a-f]{1,6});$", 1)
+        plain = F.regexp_extract(part, "^&#0*+([0-9]{1,7});$", 1)
+        number = F.when(hexed != "", F.conv(hexed, 16, 10).cast("long")).when(plain != "", plain.cast("long"))
+        character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(valid, character).otherwise(F.coalesce(F.try_element_at(named, F.lower(part)), part))
+
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#?+[0-9A-Za-z]++;|[^&]++|&"), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, read), "")).otherwise(text)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of a name; empty if it has none."""
+    inside = F.regexp_replace(tag, r"(?i)^<(?:link|meta)", "")
+    named = F.filter(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(rf"(?i)^{name}(?:[\s=]|$)"))
+    first = F.coalesce(F.get(named, F.lit(0)), F.lit(""))
+    return unescaped(F.concat(*(F.regexp_extract(first, r"(?s)^[^\s/>=]++" + _VALUE, i) for i in (1, 2, 3))))
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``src`` and ``dst`` urls of canonical links and refreshes in pages: of each page the
     first link and the first refresh that have a target."""
     body, base = F.col(html).cast("string"), F.col(url).cast("string")
-    value = lambda tag, pattern: F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
-    tags = pages.where(base.isNotNull() & F.lower(body).rlike("<(?:link|meta)\\b")).select(base.alias("src"), F.regexp_extract_all(body, F.lit(TAGS), F.lit(0)).alias("tags"))
+    linked = body.rlike(r"(?i)<link[\s/]") & body.rlike("(?i)canonical") | body.rlike(r"(?i)<meta[\s/]") & body.rlike("(?i)refresh")
+    tags = pages.where(base.isNotNull() & linked).select(base.alias("src"), F.filter(F.regexp_extract_all(body, F.lit(PIECES), F.lit(1)), lambda t: t != "").alias("tags"))
+
+    def first(fits, target) -> Column:
+        return F.get(F.filter(F.transform(F.filter("tags", fits), target), lambda t: t != ""), F.lit(0))
+
+    words = lambda tag: F.split(F.lower(attribute(tag, "rel")), r"[ \t\n\f\r]+")
+    canonical = first(lambda tag: tag.rlike("(?i)^<link") & F.array_contains(words(tag), "canonical"), lambda tag: F.trim(attribute(tag, "href")))
 
-    def first(pattern: str, target) -> Column:
-        of = F.transform(F.filter("tags", lambda tag: tag.rlike("(?s)" + pattern)), target)
-        return F.get(F.filter(of, lambda t: t != ""), F.lit(0))
+    def waited(tag: Column) -> Column:
+        content = attribute(tag, "content")
+        return F.trim(F.concat(*(F.regexp_extract(content, WAIT_URL, i) for i in (1, 2, 3))))
 
-    refresh = first(REFRESH, lambda tag: F.regexp_extract(value(tag, CONTENT), _WAIT_URL, 1))
-    found = tags.select("src", F.explode(F.array(first(CANONICAL, lambda tag: value(tag, HREF)), refresh)).alias("to"))
+    refresh = first(lambda tag: tag.rlike("(?i)^<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh"), waited)
+    found = tags.select("src", F.explode(F.array(canonical, refresh)).alias("to"))
     return found.where("to <> ''").select("src", resolve(F.col("src"), F.col("to")).alias("dst")).where("dst IS NOT NULL")
 
 

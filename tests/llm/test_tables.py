@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genoframe.llm.chat import link_calls, turns_as_calls
 from genoframe.llm.components import components
@@ -143,13 +144,62 @@ def test_page_edges(spark):
     assert got == {("https://h.org/a/b?q", "https://h.org/c"), ("https://h.org/a/b?q", "https://other.net/x"), ("https://h.org/a/b", "https://h.org/a/d"), ("https://h.org", "http://z.org/")}
 
 
+ODD_PAGES = {
+    '<link rel="canonical" data-href="http://x.net/" href="/a">': ["/a"],
+    '<link rel=canonical title="href=http://x.net/t" href=/b>': ["/b"],
+    '<!-- <link rel=canonical href=/no> --><script>"<link rel=canonical href=/no>"</script><style>a>b{}<link rel=canonical href=/no></style><link rel=canonical href=/c>': ["/c"],
+    '<title><link rel=canonical href=/no></title><a title="<link rel=canonical href=/no>">x</a><link rel=canonical href=/d>': ["/d"],
+    '<link rel=canonical href="/e?x=1&amp;y=2&#38;z=&#x4e2d;&unknown;&#0;&">': ["/e?x=1&y=2&z=中&unknown;&#0;&"],
+    '<link rel="alternate Canonical" href="/f">': ["/f"],
+    '<link title="a > b" rel="canonical" href="/g">': ["/g"],
+    '<link title="a < b" rel="canonical" href="/h">': ["/h"],
+    '<link rel=canonical href=/i href=/no><link rel=canonical href=/no>': ["/i"],
+    '<link rel=canonical href=""><link\nrel = \'canonical\'\nhref = /j >': ["/j"],
+    '<link rel=canonicals href=/no><linkx rel=canonical href=/no><link rel=nocanonical href=/no>': [],
+    '<link rel=canonical href=/k <p>': ["/k"],
+    "<p don't><link rel=canonical href=/l><p isn't>": ["/l"],
+    '<!-- never closed <link rel=canonical href=/no>': [],
+    '<script>never closed <link rel=canonical href=/no>': [],
+    '<link rel=canonical href="/no>': [],
+    '<link rel=canonical xhref=/no data-x=href=/no>': [],
+    '<META content="5;URL=/m" HTTP-EQUIV=Refresh>': ["/m"],
+    '<meta http-equiv=refresh content="7"><meta http-equiv="refresh" content="0 ; url = &quot;/n&quot; tail">': ["/n"],
+    '<meta name=refresh content="0;url=/no"><meta http-equiv=refresh content="0,/o">': ["/o"],
+    '<link/rel="canonical"/href="/p">': ["/p"],
+    '<link/rel=canonical/href=/no>': [],
+}
+
+
+def test_odd_pages(spark):
+    rows = [(f"http://h.org/{i}", page) for i, page in enumerate(ODD_PAGES)]
+    got = {}
+    for src, dst in page_edges(spark.createDataFrame(rows, "url string, html string")).collect():
+        got.setdefault(src, []).append(dst)
+    want = {f"http://h.org/{i}": [f"http://h.org{t}" for t in to] for i, to in enumerate(ODD_PAGES.values()) if to}
+    assert got == want
+
+
+def test_targets_are_resolved(spark):
+    from genoframe.llm.urls import node_of, resolve
+
+    base = "HTTP://H.org/a/b/c?q#f"
+    cases = [
+        ("../q", "http://h.org/a/q"), ("./q", "http://h.org/a/b/q"), ("/x/./y/../z", "http://h.org/x/z"), ("../../../q", "http://h.org/q"), ("..", "http://h.org/a/"), (".", "http://h.org/a/b/"),
+        ("?z=1/../2", "http://h.org/a/b/c?z=1/../2"), ("#g", "http://h.org/a/b/c?q"), ("//O.net", "http://o.net/"), ("HTTPS://O.net?X=Y", "https://o.net/?X=Y"), ("/..a/.b/c..", "http://h.org/..a/.b/c.."),
+        ("mailto:x@y", None), ("", None), ("/q//../r", "http://h.org/q/r"), ("q r\n", "http://h.org/a/b/q r"), ("/" + "x/" * 1500 + "../y", "http://h.org/" + "x/" * 1500 + "../y"),
+    ]
+    df = spark.createDataFrame([(base, t) for t, _ in cases], "b string, t string")
+    assert [r[0] for r in df.select(node_of(resolve(F.col("b"), F.col("t")))).collect()] == [w for _, w in cases]
+
+
 def test_page_edges_in_one_pass(spark):
     """Tags that never end, many attributes and quotes cost one pass, not one for each."""
     n = 2_000_000
-    texts = ["<link " * (n // 6), "<link rel" + " " * n, "<link rel=" + " " * n + "x>", "<meta " + "a='b' " * (n // 6) + ">", "<link rel=canonical href=" + '"' * n + ">", "<LINK rel=canonical rel='x' href='/y'>" + "<" * n]
+    texts = ["<link " * (n // 6), "<link rel" + " " * n, "<link rel=" + " " * n + "x>", "<meta " + "a='b' " * (n // 6) + ">", "<link rel=canonical href=" + '"' * n + ">", '<link "' * (n // 7), "<link a='" * (n // 9), "<!-- " * (n // 5), "<script> " * (n // 9), "<style></styl" * (n // 13), "<link a=b " * (n // 10), "<link rel=canonical href=" + "../" * (n // 3) + ">", "<link rel=canonical href=" + "&amp;" * (n // 5) + "></link>", "<LINK rel=canonical rel='x' href='/y'>" + "<" * n]
     rows = [("http://h/", t) for t in texts]
     began = time.perf_counter()
-    assert [tuple(r) for r in page_edges(spark.createDataFrame(rows, "url string, html string")).collect()] == [("http://h/", "http://h/y")]
+    got = [r["dst"] for r in page_edges(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert sorted(got) == sorted(["http://h/" + "../" * (n // 3), "http://h/" + "&" * (n // 5), "http://h/y"])
     assert time.perf_counter() - began < 30
 
 
@@ -166,9 +216,13 @@ def test_embeddings(spark, monkeypatch):
         rows.append((i, v.astype(np.float32).tolist(), int(rng.integers(2))))
     rows += [(300 + k, rows[7][1], rows[7][2]) for k in range(40)]
     rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] * 16, 1), (403, [None] + [1.0] * 15, 1), (404, rows[7][1], None), (405, [], 1), (406, [1.0, 2.0], 1), (407, [2.0, 4.0], 1), (408, [float("inf")] * 16, 0)]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<float>, label int, kept int").repartition(3)
+    # squares that run over or out, and a component beside which another one vanishes
+    rows += [(410, [1e200, 0.0], 3), (411, [2e200, 1e180], 3), (412, [3e-200, 0.0], 3), (413, [0.0, 5e-324], 3), (414, [1e-300, 4e-310], 3), (415, [0.0, -1e308], 3)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<double>, label int, kept int").repartition(3)
     good = [(i, np.array(v, dtype=float), y) for i, v, y in rows if y is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    good = [(i, x / np.abs(x).max(), y) for i, x, y in good]
     links = {(a, b) for a, x, p in good for b, y, q in good if a < b and p == q and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93}
+    assert {(410, 411), (410, 412), (411, 414)} <= links
     got = {r["vec_id"]: r for r in near_duplicates(df).collect()}
     assert {i: got[i]["component_id"] for i, _, _ in rows} == union([r[0] for r in rows], links)
     n = {i: sum(i in x for x in links) for i, _, _ in rows}

@@ -1,7 +1,9 @@
 """Operators on texts against brute force, round trips and held-out accuracy."""
 
+import hashlib
 import random
 import re
+import zlib
 
 import pytest
 
@@ -10,7 +12,7 @@ from genoframe.llm.bpe import WordBpe, bpe_decode, bpe_encode
 from genoframe.llm.decontaminate import clean_documents, find_passages
 from genoframe.llm.jaccard import jaccard_components
 from genoframe.llm.queries import tokenizer_path
-from genoframe.llm.sharding import assign_shards
+from genoframe.llm.sharding import SEED, assign_shards
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -335,3 +337,24 @@ def test_sharding(spark):
 
 def test_words_are_bytes_between_ascii_spaces():
     assert shingles.words_of("A b\x0bC\x1cd É") == ["a b".encode(), b"c\x1cd", "É".encode()]
+
+
+def test_shards_dont_depend_on_partitions(spark):
+    """The law by plain sorting, however the rows are stored."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "", "a", "é" * i, "same"]), rng.choice(["x", "x", "x", "y", None, "-"])) for i in range(300)]
+    rows += [rows[3]] * 3 + [(None, "t", "x"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    part = lambda x: "-" if x is None else f"={x}"
+    hashed = [(sha(f"{SEED}|{part(k)}|{part(t if t is None else sha(t))}|{part(s)}"), k, t, s) for k, t, s in rows]
+    by_source = {}
+    for r in sorted(hashed, key=lambda r: r[0]):
+        by_source.setdefault(r[3], []).append(r)
+    order = sorted(((i + 0.5) / len(own), r[0], r) for own in by_source.values() for i, r in enumerate(own))
+    want = []
+    for at, (_, _, (_, k, t, s)) in enumerate(order):
+        shard = at * 7 // len(rows)
+        want.append((k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), s, shard, at - -(-shard * len(rows) // 7)))
+    for n in (1, 3, 11):
+        assert sorted((tuple(r) for r in assign_shards(df.repartition(n), 7).collect()), key=str) == sorted(want, key=str)
