@@ -16,18 +16,24 @@ nothing rises. Calls in or behind a cycle never reach the end of a chain; they c
 Positions come from a sort over all rows that may split a conversation over many tasks.
 
 Arguments are parsed as variants. A variant's objects have sorted keys, so writing it
-gives canonical JSON: sorted keys at every level and no spaces. Schemas are a table that
-is joined by the tool's name, so their number is not bounded.
+gives canonical JSON: sorted keys at every level and no spaces. Schemas are tables: a row for
+each place in a schema with its rules, and one for each step from a place to a property or to
+the items. A call's arguments are taken apart level by level along these steps, by joins, as
+deep as schemas go; only what breaks a rule is brought together again. An object with
+``properties`` takes no others unless ``additionalProperties`` says so. A schema with a
+keyword that is not among RULES or NOTES is an error.
 
 Defined results: a call without a result, a result without a call, a repeated result
 and a null identifier are statuses; a null conversation is one of its own; arguments that
-are null or not a JSON object are invalid; calls of unknown tools are invalid; repeated
+are null or not a JSON object are invalid, and those that can't be parsed (which includes
+objects that repeat a key) stand as text in the canonical record; calls of unknown tools are invalid; repeated
 calls are rows of their own; an empty table gives none. Columns that are not named are
 not read.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +52,13 @@ TYPES = {
     "array": "ARRAY.*",
     "null": "VOID",
 }
+#: Keywords of a schema that are checked, and those that say nothing on validity.
+RULES = {"type", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems", "properties", "required", "additionalProperties", "items"}
+NOTES = {"title", "description", "default", "examples", "$schema", "$comment", "format", "deprecated"}
+NODE = (
+    "node int, types array<string>, enum array<string>, minimum double, maximum double, min_length long, max_length long, min_items long, max_items long, "
+    "required array<string>, names array<string>"
+)
 #: Rows up to which a table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: The level of calls in or behind a cycle.
@@ -57,20 +70,46 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def schema_table(spark: SparkSession, schemas: dict[str, dict]) -> DataFrame:
-    """``tool``, its ``required`` properties and the ``types`` of those that it names.
-    A schema has ``properties`` (name to ``type``, one or a list; without it, any) and a
-    list ``required``, as in JSON Schema."""
-    rows = []
-    for tool, schema in sorted(schemas.items()):
-        types = {}
-        for p, rule in schema.get("properties", {}).items():
-            kinds = rule.get("type", list(TYPES))
-            types[p] = [kinds] if isinstance(kinds, str) else list(kinds)
-            if unknown := set(types[p]) - set(TYPES):
-                raise ValueError(f"{tool}.{p}: no JSON type {', '.join(sorted(unknown))}")
-        rows.append((tool, sorted(schema.get("required", [])), types))
-    return spark.createDataFrame(rows, "tool string, required array<string>, types map<string, array<string>>")
+def _listed(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
+    df = spark.createDataFrame(rows, kind)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
+def schema_rows(schemas: dict[str, dict]) -> tuple[list[tuple], list[tuple], list[tuple], int]:
+    """Tools with their first places, places with their rules (see NODE), steps (from, name or
+    null for items, to), and how many steps the longest way has."""
+    nodes: list[tuple] = []
+    steps: list[tuple] = []
+
+    def add(schema, where: str) -> tuple[int, int]:
+        if schema is True:
+            schema = {}
+        if not isinstance(schema, dict):
+            raise ValueError(f"{where}: a schema must be an object, not {schema!r}")
+        if unknown := set(schema) - RULES - NOTES:
+            raise ValueError(f"{where}: keywords that are not checked: {', '.join(sorted(unknown))}")
+        kinds = schema.get("type")
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        if unknown := set(kinds or []) - set(TYPES):
+            raise ValueError(f"{where}: no JSON type {', '.join(sorted(unknown))}")
+        among = schema["enum"] if "enum" in schema else [schema["const"]] if "const" in schema else None
+        closed = schema.get("additionalProperties", "properties" not in schema)
+        if not isinstance(closed, bool):
+            raise ValueError(f"{where}: additionalProperties must be true or false")
+        own, number, deepest = schema.get("properties", {}), len(nodes), 0
+        number_of = lambda key, kind: None if key not in schema else kind(schema[key])
+        nodes.append((
+            number, kinds, None if among is None else [json.dumps(x) for x in among], number_of("minimum", float), number_of("maximum", float), number_of("minLength", int), number_of("maxLength", int),
+            number_of("minItems", int), number_of("maxItems", int), sorted(schema.get("required", [])), None if closed else sorted(own),
+        ))
+        for name, part in [*sorted(own.items()), *([(None, schema["items"])] if "items" in schema else [])]:
+            to, depth = add(part, f"{where}.{name or 'items'}")
+            steps.append((number, name, to))
+            deepest = max(deepest, depth + 1)
+        return number, deepest
+
+    first = [(tool, *add(schema, tool)) for tool, schema in sorted(schemas.items())]
+    return [f[:2] for f in first], nodes, steps, max([d for _, _, d in first], default=0)
 
 
 def fits(value: Column, kinds: Column) -> Column:
@@ -83,16 +122,42 @@ def fits(value: Column, kinds: Column) -> Column:
     return F.coalesce(named | (F.array_contains(kinds, "integer") & fraction_free), F.lit(False))
 
 
-def argument_errors(arguments: Column) -> Column:
-    """What is wrong with a call's arguments, as an array of texts, by the columns of
-    ``schema_table`` beside it (null: no such tool)."""
-    found = F.try_variant_get(F.try_parse_json(arguments), "$", "map<string,variant>")
-    keys, required, types = F.map_keys(found), F.col("required"), F.col("types")
-    say = lambda what, names: F.transform(F.array_sort(names), lambda k: F.concat(F.lit(f"{what}:"), k))
-    missing = say("missing", F.array_except(required, keys))
-    wrong = say("type", F.filter(F.array_intersect(F.map_keys(types), keys), lambda k: ~fits(F.element_at(found, k), F.element_at(types, k))))
-    unknown = say("unknown", F.array_except(keys, F.map_keys(types)))
-    return F.when(found.isNull(), F.array(F.lit("not_an_object"))).when(types.isNull(), F.array(F.lit("unknown_tool"))).otherwise(F.concat(missing, wrong, unknown))
+def argument_errors(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """``row`` and sorted ``wrong`` of calls (``row``, ``name``, ``arguments``) whose arguments
+    are an object that breaks their tool's schema. A place is written as its names, with a
+    slash between them, and the numbers of items."""
+    spark = calls.sparkSession
+    tools, nodes, steps, depth = schema_rows(schemas)
+    tools, nodes = _listed(spark, tools, "tool string, node int"), _listed(spark, nodes, NODE)
+    named = _listed(spark, [s for s in steps if s[1] is not None], "node int, step string, to int")
+    items = _listed(spark, [(a, b) for a, n, b in steps if n is None], "node int, to int")
+    parsed = F.try_parse_json("arguments")
+    at = calls.select("row", "name", parsed.alias("v")).join(tools, F.col("name") == F.col("tool")).select("row", "node", F.lit("").alias("at"), "v")
+    at = at.where(F.schema_of_variant("v").rlike("^OBJECT"))
+    found = []
+    for k in range(depth + 1):
+        kind = F.schema_of_variant("v")
+        with_rules = at.join(nodes, "node").withColumns({"obj": F.try_variant_get("v", "$", "map<string,variant>"), "arr": F.when(kind.rlike("^ARRAY"), F.try_variant_get("v", "$", "array<variant>"))})
+        keys, number = F.map_keys("obj"), F.when(kind.rlike(f"^{TYPES['number']}$"), F.try_variant_get("v", "$", "double"))
+        text = F.when(kind == "STRING", F.try_variant_get("v", "$", "string"))
+        below = F.when(F.col("at") == "", "").otherwise(F.concat("at", F.lit("/")))
+        rule = lambda rank, what, broken: F.when(broken, F.array(F.struct(F.lit(rank).alias("rank"), F.concat(F.lit(f"{what}:"), "at").alias("text"))))
+        each = lambda rank, what, names: F.transform(names, lambda n: F.struct(F.lit(rank).alias("rank"), F.concat(F.lit(f"{what}:"), below, n).alias("text")))  # noqa: E731, B023
+        equal = lambda one: (F.to_json(F.parse_json(one)) == F.to_json("v")) | F.coalesce(F.try_variant_get(F.parse_json(one), "$", "double") == number, F.lit(False)) & F.schema_of_variant(F.parse_json(one)).rlike(f"^{TYPES['number']}$")  # noqa: E731, B023
+        outside = (number < F.col("minimum")) | (number > F.col("maximum"))
+        size = (F.length(text) < F.col("min_length")) | (F.length(text) > F.col("max_length")) | (F.size("arr") < F.col("min_items")) | (F.size("arr") > F.col("max_items"))
+        parts = [
+            each(0, "missing", F.array_except("required", keys)), rule(1, "type", F.col("types").isNotNull() & ~fits(F.col("v"), F.col("types"))), rule(2, "enum", ~F.exists("enum", equal)), rule(3, "range", outside),
+            rule(4, "length", size), each(5, "unknown", F.when(F.col("names").isNotNull(), F.array_except(keys, "names"))),
+        ]
+        none = F.array().cast("array<struct<rank:int,text:string>>")
+        found.append(with_rules.select("row", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("error")))
+        if k < depth:
+            above = with_rules.select("row", "node", below.alias("below"), "at", "obj", "arr")
+            inner = above.join(named, "node").where(F.map_contains_key("obj", F.col("step"))).select("row", F.col("to").alias("node"), F.concat("below", "step").alias("at"), F.try_element_at("obj", F.col("step")).alias("v"))
+            listed = above.join(items, "node").select("row", F.col("to").alias("node"), "at", F.posexplode("arr").alias("i", "v"))
+            at = inner.unionAll(listed.select("row", "node", F.concat("at", F.lit("["), "i", F.lit("]")).alias("at"), "v"))
+    return reduce(DataFrame.unionAll, found).groupBy("row").agg(F.transform(F.array_sort(F.collect_list("error")), lambda e: e["text"]).alias("wrong"))
 
 
 def levels(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -141,7 +206,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     none = F.array().cast("array<string>")
     # a call's key in its conversation; structs with equal nulls are equal
     key = lambda id_: F.when(F.col(id_).isNotNull(), F.struct("conv", F.col(id_).alias("id")))
-    calls = scratch.table(calls.select("conv", "seq", "id", "name", "arguments", "depends", key("id").alias("k")), "calls")
+    calls = scratch.table(calls.select("conv", "seq", "id", "name", "arguments", "depends", key("id").alias("k"), F.monotonically_increasing_id().alias("row")), "calls")
     one = results.where("id IS NOT NULL").groupBy(key("id").alias("k")).agg(F.min(F.struct("seq", "content")).alias("got"), F.count(F.lit(1)).alias("results"))
     one = scratch.table(one, "results")
 
@@ -155,11 +220,13 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         open_ = waits.where("dep_seq IS NOT NULL").withColumn("of", F.struct("conv")).join(_small(late), "of", "left_semi")
         level = levels(open_.select("k", "dep", (F.col("dep_seq") >= F.col("seq")).cast("long").alias("w")), scratch)
 
-    tools = schema_table(spark, schemas)
-    tools = F.broadcast(tools) if len(schemas) <= BROADCAST_ROWS else tools
-    rows = calls.join(one, "k", "left").join(lost, "k", "left").join(level, "k", "left").join(tools, F.col("name") == F.col("tool"), "left")
+    wrong = scratch.table(argument_errors(calls, schemas), "wrong")
+    tools = _listed(spark, [(tool,) for tool in sorted(schemas)], "tool string")
+    rows = calls.join(one, "k", "left").join(lost, "k", "left").join(level, "k", "left").join(tools, F.col("name") == F.col("tool"), "left").join(_small(wrong), "row", "left")
     cycle = F.coalesce(F.col("level") == NEVER, F.lit(False))
-    errors = F.concat(argument_errors(F.col("arguments")), F.coalesce("lost", none), F.when(cycle, F.array(F.lit("cycle"))).otherwise(none))
+    parsed = F.try_parse_json("arguments")
+    known = F.when(parsed.isNull() | ~F.schema_of_variant(parsed).rlike("^OBJECT"), F.array(F.lit("not_an_object"))).when(F.col("tool").isNull(), F.array(F.lit("unknown_tool"))).otherwise(F.coalesce("wrong", none))
+    errors = F.concat(known, F.coalesce("lost", none), F.when(cycle, F.array(F.lit("cycle"))).otherwise(none))
     status = F.when(F.col("results").isNull(), "missing_result").when(F.col("results") > 1, "repeated_result").otherwise("linked")
     rows = rows.select("conv", "seq", "id", "name", "arguments", "depends", F.coalesce("level", F.lit(0)).cast("long").alias("level"), F.col("got.content").alias("content"), status.alias("status"), errors.alias("errors"))
     orphans = one.join(calls.where("k IS NOT NULL").select("k"), "k", "left_anti").select(
@@ -168,14 +235,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         F.array(F.lit("no_call")).alias("errors"),
     )
     rows = scratch.table(rows.unionByName(orphans).withColumn("row", F.monotonically_increasing_id()), "linked")
-    scratch.drop(calls, one, waits, late, level)
+    scratch.drop(calls, one, waits, late, level, wrong)
 
     placed = positions(rows.select("conv", "level", "seq", "id", "row"), ["conv", "level", "seq", "id", "row"], "placed", scratch)
     placed = scratch.table(placed.select("conv", "row", "pos"), "places")
     starts = scratch.table(placed.groupBy(F.col("conv").alias("of")).agg(F.min("pos").alias("start")), "starts")
     placed = placed.join(_small(starts), F.col("conv").eqNullSafe(F.col("of"))).select("row", (F.col("pos") - F.col("start")).alias("position"))
     record = F.struct(
-        F.try_parse_json("arguments").alias("arguments"), F.array_sort(F.coalesce("depends", none)).alias("depends_on"),
+        F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"), F.array_sort(F.coalesce("depends", none)).alias("depends_on"),
         F.col("id"), F.col("name"), F.col("content").alias("result"), F.col("status"),
     )
     return rows.join(placed, "row").select("conv", "id", "position", "name", "status", (F.size("errors") == 0).alias("valid"), "errors", F.to_json(record, {"ignoreNullFields": "false"}).alias("canonical"))

@@ -285,6 +285,36 @@ def test_arguments_fit_schemas(spark):
         link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"f": {"properties": {"a": {"type": "int"}}}})
 
 
+def test_arguments_fit_nested_schemas(spark):
+    point = {"type": "object", "properties": {"x": {"type": "number", "minimum": 0, "maximum": 10}, "tag": {"enum": ["a", 1, None, {"k": [1]}]}}, "required": ["x"]}
+    schema = {
+        "type": "object", "description": "a tool",
+        "properties": {
+            "o": point, "free": {"type": "object"}, "e": {"enum": ["u", "v"], "title": "one of"}, "list": {"type": "array", "items": point, "minItems": 1, "maxItems": 2}, "s": {"type": "string", "minLength": 2, "maxLength": 3},
+            "deep": {"items": {"items": {"type": "integer"}}}, "open": {"properties": {"a": {"const": 7}}, "additionalProperties": True}, "any": True,
+        },
+    }
+    cases = {
+        '{"o":{"x":1,"tag":"a"},"e":"u"}': [], '{"o":{"y":"no"},"e":"zzz"}': ["missing:o/x", "enum:e", "unknown:o/y"], '{"o":{"x":"1"}}': ["type:o/x"], '{"o":{"x":11}}': ["range:o/x"], '{"o":{"x":-0.5}}': ["range:o/x"],
+        '{"o":{"x":1,"tag":1.0}}': [], '{"o":{"x":1,"tag":null}}': [], '{"o":{"x":1,"tag":{"k":[1]}}}': [], '{"o":{"x":1,"tag":{"k":[2]}}}': ["enum:o/tag"], '{"o":{"x":1,"tag":"1"}}': ["enum:o/tag"], '{"o":[]}': ["type:o"],
+        '{"free":{"q":{"r":1}}}': [], '{"list":[]}': ["length:list"], '{"list":[{"x":1},{"x":true},{"z":1}]}': ["missing:list[2]/x", "type:list[1]/x", "length:list", "unknown:list[2]/z"], '{"list":{"x":1}}': ["type:list"],
+        '{"s":"é"}': ["length:s"], '{"s":"éé"}': [], '{"s":"long"}': ["length:s"], '{"deep":[[1,2],[3,"x"],"no list"]}': ["type:deep[1][1]"], '{"open":{"a":7,"more":1}}': [], '{"open":{"a":8}}': ["enum:open/a"], '{"any":[{}]}': [], "{}": [],
+    }
+    calls = [(i, 0, "c", "t", text, None) for i, text in enumerate(cases)]
+    got = link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"t": schema}).collect()
+    assert {r["conv"]: r["errors"] for r in got} == dict(enumerate(cases.values()))
+    for bad, why in (({"properties": {"a": {"properties": {"b": {"pattern": "x"}}}}}, "t.a.b: keywords"), ({"additionalProperties": {}}, "true or false"), ({"items": {"type": "int"}}, "t.items: no JSON type"), ({"properties": {"a": 3}}, "must be an object")):
+        with pytest.raises(ValueError, match=why):
+            link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"t": bad})
+
+
+def test_unparsable_arguments_are_kept(spark):
+    calls = [(1, i, f"c{i}", "f", text, None) for i, text in enumerate(['{"a":1,"a":2}', "not json", None, '{"a": 1}'])]
+    got = {r["id"]: r for r in link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), TOOLS).collect()}
+    assert [json.loads(got[f"c{i}"]["canonical"])["arguments"] for i in range(4)] == ['{"a":1,"a":2}', "not json", None, {"a": 1}]
+    assert [got[f"c{i}"]["valid"] for i in range(4)] == [False, False, False, True]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_order_is_topological(spark, seed):
     """A chain of 500 that stands in the wrong order, and random graphs."""
