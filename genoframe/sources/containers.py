@@ -23,11 +23,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
+from genoframe.sources import batch as B
 from genoframe.sources import codec as C
 from genoframe.sources.ranged import in_store, is_url, list_store, local_path, open_source, read_beside
 from genoframe.sources.readers import TwoBeReader, detect, open_reader
@@ -116,24 +118,28 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Part(WriterCommitMessage):
+    """What a task wrote: names one behind another, and sizes of names and records as bytes."""
+
     number: int
     path: str
-    names: list[str]
-    sizes: list[int]
+    names: bytes
+    name_sizes: bytes
+    sizes: bytes
 
 
 class PartsWriter(DataSourceArrowWriter):
-    """Writes what ``encode`` makes of a row to part files and joins them in ``commit``."""
+    """Writes what ``encode`` makes of batches to part files and joins them in ``commit``."""
 
     def __init__(self, path: str, columns: list[str], plan: str = ""):
         self.path, self.plan = local_path(path), plan
         self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
         self.columns = columns
 
-    def encode(self, row: dict) -> bytes:
+    def encode(self, batch: pa.RecordBatch) -> Iterator[tuple[B.Ragged, B.Ragged]]:
+        """Names and records of a batch, some rows at a time."""
         raise NotImplementedError
 
-    def frame(self, names: list[str], sizes: list[int]) -> tuple[bytes, bytes]:
+    def frame(self, names: B.Ragged, sizes: np.ndarray) -> tuple[bytes, bytes]:
         """What stands before and after the records."""
         return b"", b""
 
@@ -143,24 +149,27 @@ class PartsWriter(DataSourceArrowWriter):
         task = TaskContext.get()
         os.makedirs(self.parts, exist_ok=True)
         number = task.partitionId()
-        part = Part(number, f"{self.parts}/{number}-{task.taskAttemptId()}", [], [])
-        with open(part.path, "wb") as out:
+        path = f"{self.parts}/{number}-{task.taskAttemptId()}"
+        names, name_sizes, sizes = [], [], []
+        with open(path, "wb") as out:
             for batch in iterator:
-                for row in batch.to_pylist():
-                    data = self.encode(row)
-                    out.write(data)
-                    part.names.append(row.get("name") or "")
-                    part.sizes.append(len(data))
-        return part
+                for own, records in self.encode(batch):
+                    out.write(records.data)
+                    names.append(own.data.tobytes())
+                    name_sizes.append(own.sizes.astype("<i4").tobytes())
+                    sizes.append(records.sizes.astype("<i8").tobytes())
+        return Part(number, path, b"".join(names), b"".join(name_sizes), b"".join(sizes))
 
     def commit(self, messages):
         parts = sorted((m for m in messages if m), key=lambda m: m.number)
-        head, tail = self.frame([n for p in parts for n in p.names], [s for p in parts for s in p.sizes])
+        sizes = np.frombuffer(b"".join(p.sizes for p in parts), "<i8")
+        of_names = np.frombuffer(b"".join(p.name_sizes for p in parts), "<i4")
+        head, tail = self.frame(B.Ragged(np.frombuffer(b"".join(p.names for p in parts), np.uint8), B.sums(of_names)), sizes)
         whole, at = f"{self.parts}.whole", len(head)
         places = []
         for p in parts:
             places.append((at, p.path))
-            at += sum(p.sizes)
+            at += int(np.frombuffer(p.sizes, "<i8").sum())
         with open(whole, "wb") as out:
             out.write(head)
             out.seek(at)
@@ -182,61 +191,64 @@ class PartsWriter(DataSourceArrowWriter):
 
 
 class ConcatenatedWriter(PartsWriter):
-    def encode(self, row):
-        return row["data"] or b""
+    def encode(self, batch):
+        data = B.ragged(batch.column("data").fill_null(b""))
+        yield B.Ragged(data.data[:0], np.zeros_like(data.at)), data
+
+
+class SequenceWriter(PartsWriter):
+    def encode(self, batch):
+        names, bases = B.ragged(batch.column("name")), B.one_byte_a_base(batch.column("bases"))
+        for low, high in B.pieces(bases):
+            own = names.part(low, high)
+            yield own, self.records(own, bases.part(low, high))
+
+    def records(self, names: B.Ragged, bases: B.Ragged) -> B.Ragged:
+        raise NotImplementedError
 
 
-class TwoBitWriter(PartsWriter):
+class TwoBitWriter(SequenceWriter):
     def __init__(self, path, columns, long: bool, iub: bool, index: str, plan: str = ""):
         super().__init__(path, columns, plan)
         if index not in ("none", "ptr", "bpt"):
             raise ValueError(f"unknown index {index}")
         self.long, self.iub, self.index = long, iub, index
 
-    def encode(self, row):
-        C.check_name(row["name"])
-        return C.twobit_record(row["bases"], self.iub)
+    def records(self, names, bases):
+        B.check_names(names)
+        return B.twobit_records(bases, self.iub)
 
     def frame(self, names, sizes):
-        raw = [C.check_name(n) for n in names]
-        width = 8 if self.long else 4
-        at = 16 + sum(1 + len(r) + width for r in raw)
-        toc, entries, places, place = [], [], [], 16
-        for r, size in zip(raw, sizes, strict=True):
-            if not self.long and at >= 1 << 32:
-                raise ValueError("a record begins over 4 GiB: write with long=true")
-            entries.append(place)
-            places.append(at)
-            toc.append(bytes([len(r)]) + r + at.to_bytes(width, "little"))
-            place, at = place + 1 + len(r) + width, at + size
-        head = struct.pack("<IIII", C.TWOBIT_MAGIC, int(self.long), len(raw), 0) + b"".join(toc)
-        footer = struct.pack("<QQI", at, len(raw), int(self.iub))
+        count, width = len(sizes), 8 if self.long else 4
+        at = 16 + len(names.data) + (1 + width) * count + B.sums(sizes)
+        if not self.long and count and at[-2] >= 1 << 32:
+            raise ValueError("a record begins over 4 GiB: write with long=true")
+        toc, entries = B.twobit_toc(names, at[:-1], width)
+        head = struct.pack("<IIII", C.TWOBIT_MAGIC, int(self.long), count, 0) + toc
+        footer = struct.pack("<QQI", int(at[-1]), count, int(self.iub))
         if self.index == "ptr":
-            order = sorted(range(len(raw)), key=raw.__getitem__)
-            return head, b"".join(struct.pack("<Q", entries[i]) for i in order) + footer + C.PTR_FOOTER
+            order = np.argsort(names.padded(), kind="stable")
+            return head, (16 + entries[order]).astype("<u8").tobytes() + footer + C.PTR_FOOTER
         if self.index == "bpt":
-            return head, C.build_tree(list(zip(raw, places, strict=True))) + footer + C.BPT_FOOTER
+            return head, C.build_tree(names.padded(), at[:-1]) + footer + C.BPT_FOOTER
         return head, C.IUB_TRAILER + struct.pack("<I", 1) if self.iub else b""
 
 
-class FourBitWriter(PartsWriter):
-    def encode(self, row):
-        return C.fourbit_record(row["name"], row["bases"])
+class FourBitWriter(SequenceWriter):
+    def records(self, names, bases):
+        return B.fourbit_records(names, bases)
 
     def frame(self, names, sizes):
-        return C.FOURBIT_MAGIC + struct.pack("<III", 1, len(names), 0), b""
+        return C.FOURBIT_MAGIC + struct.pack("<III", 1, len(sizes), 0), b""
 
 
-class TwoBeWriter(PartsWriter):
-    def encode(self, row):
-        return C.twobe_record(row["bases"])
+class TwoBeWriter(SequenceWriter):
+    def records(self, names, bases):
+        return B.twobe_records(bases)
 
     def frame(self, names, sizes):
-        at, items = 32, []
-        for n, size in zip(names, sizes, strict=True):
-            items.append((n.encode("utf-8"), at))
-            at += size
-        return C.TWOBE_MAGIC + struct.pack("<HHQQQ", 1, 0, len(names), at, 0), C.build_tree(items)
+        at = 32 + B.sums(sizes)
+        return C.TWOBE_MAGIC + struct.pack("<HHQQQ", 1, 0, len(sizes), int(at[-1]), 0), C.build_tree(names.padded(), at[:-1])
 
 
 class Container(DataSource):

@@ -2,15 +2,19 @@
 
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from genoframe.operators.runs import IUB_POINT, IUB_RUN, MASK_RUN, N_RUN
+from genoframe.sources import batch as B
 from genoframe.sources import codec as C
 from genoframe.sources.containers import FourBitWriter, TwoBeWriter, TwoBitWriter
 from genoframe.sources.ranged import MemorySource
 from genoframe.sources.readers import FourBitReader, TwoBeReader, TwoBitReader, detect, parse_fai, scan_fai
+from tests import plain_codec
 
 F7 = [("c", "ACGTNNNryacgtRRRYYYacgtNacgtKMBacgtACGTnnnNNN"), ("d", "RRRRRRRRRRacgtACGTNNNN")]
 
@@ -21,9 +25,10 @@ def degrade(s: str, iub: bool = False) -> str:
 
 
 def image(writer, seqs) -> bytes:
-    records = [writer.encode({"name": n, "bases": b}) for n, b in seqs]
-    head, tail = writer.frame([n for n, _ in seqs], [len(r) for r in records])
-    return head + b"".join(records) + tail
+    batch = pa.RecordBatch.from_arrays([pa.array([s[i] for s in seqs], pa.string()) for i in (0, 1)], names=["name", "bases"])
+    records = [r for _, r in writer.encode(batch)]
+    head, tail = writer.frame(B.ragged(batch.column(0)), np.concatenate([np.zeros(0, np.int64), *(r.sizes for r in records)]))
+    return head + b"".join(r.data.tobytes() for r in records) + tail
 
 
 def twobit(seqs, long=False, iub=False, index="none"):
@@ -104,22 +109,22 @@ def test_twobe_windows_and_edits():
     for a in range(len(bases) + 1):
         for b in range(a, len(bases) + 1):
             assert r.extract("mix", a, b) == bases[a:b]
-    kinds = [tuple(e)[:3] for e in C.edits_of(C.as_bytes("NRYN"))]
+    kinds = [tuple(e)[:3] for e in plain_codec.edits_of(C.as_bytes("NRYN"))]
     assert kinds == [(0, 1, N_RUN), (1, 1, IUB_POINT), (2, 1, IUB_POINT), (3, 1, N_RUN)]
-    assert [tuple(e)[:3] for e in C.edits_of(C.as_bytes("Rr"))] == [(0, 2, IUB_RUN), (1, 1, MASK_RUN)]
+    assert [tuple(e)[:3] for e in plain_codec.edits_of(C.as_bytes("Rr"))] == [(0, 2, IUB_RUN), (1, 1, MASK_RUN)]
 
 
 def test_fourbit():
     r = FourBitReader(MemorySource(image(FourBitWriter("/x", []), [("c", "acgtryswn"), ("d", "ACGTA"), ("e", "AC-x*U=")])))
     assert [r.extract(n) for n in r.names()] == ["ACGTRYSWN", "ACGTA", "ACNNNN="]
     assert r.extract("d", 1, 4) == "CGT" and r.extract("d", 5, 3) == "" and r.extract("d", 100, 200) == ""
-    assert C.pack4(C.as_bytes("ACG")).hex() == "1240" and C.pack2(C.as_bytes("TCAG")).hex() == "1b"
+    assert plain_codec.pack4(C.as_bytes("ACG")).hex() == "1240" and plain_codec.pack2(C.as_bytes("TCAG")).hex() == "1b"
 
 
 @pytest.mark.parametrize("writer", [TwoBitWriter("/x", [], False, False, "none"), FourBitWriter("/x", [])])
 def test_long_names_are_errors(writer):
     with pytest.raises(ValueError, match="255"):
-        writer.encode({"name": "n" * 256, "bases": "A"})
+        image(writer, [("n" * 256, "A")])
 
 
 def test_detection():
@@ -143,3 +148,35 @@ def test_any_bases(bases, a, b):
     r = TwoBitReader(MemorySource(twobit(seqs, iub=True)))
     assert r.extract("s", a, b) == degrade(bases, True)[a:b]
     assert TwoBeReader(MemorySource(image(TwoBeWriter("/x", []), seqs))).extract("s", a, b) == degrade(bases, True)[a:b]
+
+
+ROWS = st.lists(st.tuples(st.text(alphabet="abZ é", max_size=9), st.text(alphabet="ACGTNNNRRYSacgtnnrry-*é漢", max_size=40)), max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(ROWS, st.sampled_from([1, 7, 4 << 20]))
+def test_batches_equal_single_records(seqs, together):
+    """Whatever rows a batch has, empty ones among them, and however it is cut."""
+    batch = pa.RecordBatch.from_arrays([pa.array([s[i] for s in seqs], pa.string()) for i in (0, 1)], names=["name", "bases"])
+    batch = pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(["x"], pa.string()), c])[1:] for c in batch.columns], names=["name", "bases"])
+    old, B.TOGETHER = B.TOGETHER, together
+    try:
+        for writer, single in (
+            (TwoBitWriter("/x", [], False, True, "none"), lambda n, b: plain_codec.twobit_record(b, True)), (TwoBitWriter("/x", [], False, False, "none"), lambda n, b: plain_codec.twobit_record(b, False)),
+            (TwoBeWriter("/x", []), lambda n, b: plain_codec.twobe_record(b)), (FourBitWriter("/x", []), plain_codec.fourbit_record),
+        ):
+            parts = list(writer.encode(batch))
+            assert b"".join(r.data.tobytes() for _, r in parts) == b"".join(single(n, b) for n, b in seqs)
+            assert b"".join(n.data.tobytes() for n, _ in parts).decode() == "".join(n for n, _ in seqs)
+            assert [x for _, r in parts for x in r.sizes.tolist()] == [len(single(n, b)) for n, b in seqs]
+    finally:
+        B.TOGETHER = old
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab\u00e9c", max_size=6), max_size=700), st.randoms())
+def test_trees_equal_plain_ones(names, rng):
+    raw = [n.encode() for n in names]
+    numbers = sorted(rng.sample(range(1 << 40), len(raw)))
+    strings = B.Ragged(np.frombuffer(b"".join(raw), np.uint8), B.sums(np.array([len(r) for r in raw], np.int64)))
+    assert C.build_tree(strings.padded(), np.array(numbers, np.int64)) == plain_codec.build_tree(list(zip(raw, numbers, strict=True)))
