@@ -96,12 +96,24 @@ def odd_points() -> np.ndarray:
 
 
 @lru_cache
-def code_points(major: str) -> str:
+def code_points(major: str, below: int) -> str:
     """The code points of a general category's first letter, as ranges of a character class."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], held_by(major).astype(np.int8), [0]]))).reshape(-1, 2)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], held_by(major)[:below].astype(np.int8), [0]]))).reshape(-1, 2)
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
 
 
+#: Code points below this one are Latin, and none of them is odd.
+NEAR = 0x180
+
+
+def by_ranges(pattern: str, below: int = sys.maxunicode + 1) -> str:
+    """A pattern with ranges for its letters and numbers."""
+    for major in "LN":
+        points = code_points(major, below)
+        pattern = re.sub(rf"(\[[^]]*)\\p\{{{major}\}}", lambda m: m.group(1) + points, pattern).replace(rf"\p{{{major}}}", f"[{points}]")  # noqa: B023
+    return pattern
+
+
 class WordBpe:
     """Encoder and decoder of a word-end BPE file."""
 
@@ -109,12 +121,14 @@ class WordBpe:
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = dict(model["vocab"])
-        #: rank of a pair, under its left id times 2**32 plus its right id; id of a rank's result
-        self.ranks: dict[int, int] = {}
+        #: ranks of an id's pairs, by its right neighbour; id of a rank's result
+        self.ranks: list[dict[int, int]] = [{}] * (1 + max(vocab.values()))
         self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[left] << 32 | vocab[right]] = rank
+            of_left = vocab[left]
+            self.ranks[of_left] = self.ranks[of_left] or {}
+            self.ranks[of_left][vocab[right]] = rank
             self.made.append(vocab[left + right])
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
@@ -129,9 +143,10 @@ class WordBpe:
         space = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         pattern = split["pattern"]["Regex"].replace(r"[^\s", "[^" + space)
         self.words = regex.compile(pattern).findall
+        # texts of Latin letters only are cut by the plainer module, whose classes are short here
+        self.near_words = re.compile(by_ranges(pattern, NEAR).replace(space, r"\x09-\x0d\x20\x85\xa0")).findall
         # a class of many ranges is slow, so it is for texts only that have odd code points
-        for major in "LN":
-            pattern = re.sub(rf"(\[[^]]*)\\p\{{{major}\}}", lambda m: m.group(1) + code_points(major), pattern).replace(rf"\p{{{major}}}", f"[{code_points(major)}]")  # noqa: B023
+        pattern = by_ranges(pattern)
         self.odd, self.odd_words = odd_points(), regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -145,24 +160,24 @@ class WordBpe:
 
     def scan(self, ids: list[int]) -> list[int]:
         """Contiguous rank array: for short words."""
-        rank_of, made = self.ranks.get, self.made
-        found = [rank_of(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        ranks, made = self.ranks, self.made
+        found = [ranks[a].get(b, NO_RANK) for a, b in zip(ids, ids[1:])]  # noqa: B905
         while found and (best := min(found)) != NO_RANK:
             at = found.index(best)
             new = ids[at] = made[best]
             del ids[at + 1], found[at]
             if at:
-                found[at - 1] = rank_of(ids[at - 1] << 32 | new, NO_RANK)
+                found[at - 1] = ranks[ids[at - 1]].get(new, NO_RANK)
             if at < len(found):
-                found[at] = rank_of(new << 32 | ids[at + 1], NO_RANK)
+                found[at] = ranks[new].get(ids[at + 1], NO_RANK)
         return ids
 
     def heaped(self, ids: list[int]) -> list[int]:
         """The same merges in n log n, for long words."""
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank_of = self.ranks.get
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank_of(a << 32 | b)) is not None]  # noqa: B905
+        ranks = self.ranks
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := ranks[a].get(b)) is not None]  # noqa: B905
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -174,9 +189,9 @@ class WordBpe:
             k, h = after[i], before[i]
             if k >= 0:
                 before[k] = i
-                if (r := rank_of(new << 32 | ids[k])) is not None:
+                if (r := ranks[new].get(ids[k])) is not None:
                     heapq.heappush(heap, (r, i, new, ids[k]))
-            if h >= 0 and (r := rank_of(ids[h] << 32 | new)) is not None:
+            if h >= 0 and (r := ranks[ids[h]].get(new)) is not None:
                 heapq.heappush(heap, (r, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
@@ -186,25 +201,26 @@ class WordBpe:
 
     # -- whole texts --------------------------------------------------------
     def _plain(self, text: str) -> bytes:
-        find = self.words
+        find = self.near_words
         if not text.isascii():
             # each character is lower-cased by itself, so a final sigma has no form of its own
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
-                find, text = self.odd_words, text.translate(NEWER)
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            # a letter that has two characters in lower case passes the border
+            if points.max(initial=0) >= NEAR or "İ" in text:
+                find = self.words
+                if self.odd[points].any():
+                    find, text = self.odd_words, text.translate(NEWER)
         words = find(text.lower())
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
+        if new := set(words).difference(cache):
             if len(cache) > CACHE_WORDS:
                 self.older, self.cache = cache, {}
-                cache = self.cache
+                cache, new = self.cache, set(words)
             older = self.older.get
-            for w in words:
-                if w not in cache:
-                    cache[w] = older(w) or array("i", self.word(w)).tobytes()
-            return b"".join([cache[w] for w in words])
+            for w in new:
+                cache[w] = older(w) or array("i", self.word(w)).tobytes()
+        return b"".join([cache[w] for w in words])
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids as int32 in the machine's byte order."""
