@@ -111,13 +111,23 @@ def bgzf_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter on names that is pushed down to the container's name tree."""
+    """A filter on names that is pushed down: tasks look them up by the container's name tree,
+    whose leaves give their ordinals too."""
     path = f"{folder(spark)}/x"
     write_container(sequences(spark, sf_dir), path, "twobit", iub=True, index="bpt")
     found = read_container(spark, path, "twobit").where(F.col("name").isin("doc7", "doc42", "doc99", "none"))
     return found.select("ordinal", "name", F.md5("bases").alias("digest"))
 
 
+def pointed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the sorted pointers, without ordinals: only pointers and entries on the
+    searches' ways are read."""
+    path = f"{folder(spark)}/x"
+    write_container(sequences(spark, sf_dir), path, "twobit", iub=True, index="ptr")
+    found = read_container(spark, path, "twobit", ordinals=False).where(F.col("name").isin("doc7", "doc42", "doc99", "none"))
+    return found.select("name", F.md5("bases").alias("digest"))
+
+
 # -- files as tables ---------------------------------------------------------------
 def format_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats by the files' first bytes; sizes where they follow from the sequences alone."""
@@ -217,7 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         twobit_container_roundtrip, twobit_iub_container_roundtrip, twobe_container_roundtrip, fourbit_container_roundtrip, fasta_roundtrip, bgzf_container_roundtrip,
-        twobe_extract_regions, twobit_extract_regions, twobit_flat_extract_regions, fourbit_extract_regions, faidx_extract_regions, bgzf_extract_regions, named_sequences,
+        twobe_extract_regions, twobit_extract_regions, twobit_flat_extract_regions, fourbit_extract_regions, faidx_extract_regions, bgzf_extract_regions, named_sequences, pointed_sequences,
         format_catalogue, scanned_fai, fai_file, bgzf_blocks, random_sequences, cli_twobit, cli_fourbit, cli_twobe, cli_faidx, cli_extract, cli_info, cli_random,
     )
 }
@@ -269,6 +279,7 @@ ORACLES = {
     "faidx_extract_regions": _window_digest(),
     "bgzf_extract_regions": _window_digest(),
     "named_sequences": f"WITH {SEQS} SELECT ordinal, name, md5(bases) AS digest FROM seqs WHERE name IN ('doc7', 'doc42', 'doc99')",
+    "pointed_sequences": f"WITH {SEQS} SELECT name, md5(bases) AS digest FROM seqs WHERE name IN ('doc7', 'doc42', 'doc99')",
     "format_catalogue": f"""WITH {SEQS} SELECT 'a.fasta' AS file, 'fasta' AS format, CAST(sum({_FASTA_BYTES}) AS BIGINT) AS size FROM seqs
 UNION ALL SELECT 'a.fourbit', 'fourbit', CAST(16 + sum(9 + strlen(name) + (length(bases) + 1) // 2) AS BIGINT) FROM seqs
 UNION ALL VALUES ('a.twobit', 'twobit', NULL), ('a.twobe', 'twobe', NULL), ('a.bgzf', 'bgzf', NULL), ('a.bgzf.fai', 'unknown', NULL), ('a.bgzf.gzi', 'unknown', NULL)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 
@@ -112,6 +113,21 @@ class Tree:
                 return int(values[i]) if i >= 0 and keys[i] == key else None
             at = int(values[i])
 
+    def find_all(self, name: str) -> list[int]:
+        """All numbers of a name, in the tree's order: along one path, and on to the next
+        leaves where a leaf's end doesn't settle it."""
+        key = name.encode("utf-8")
+        out: list[int] = []
+        stack = [self.root] if len(key) <= self.width else []
+        while stack:
+            leaf, keys, values = self._node(stack.pop())
+            low, high = bisect_left(keys, key), bisect_right(keys, key)
+            if leaf:
+                out += values[low:high].tolist()
+            else:  # the first may begin in the child before it
+                stack += values[max(0, low - 1) : high][::-1].tolist()
+        return out
+
     def items(self) -> list[tuple[str, int]]:
         """All names with their numbers, in name order."""
         out: list[tuple[str, int]] = []

@@ -2,8 +2,11 @@
 ``faidx``, to read; the first three, and ``concatenated`` bytes, to write.
 
 Reading gives ``file, ordinal, name, bases``. The driver reads the table of contents
-and deals it out in slices; tasks seek and decode. A filter on ``name`` is pushed down:
-only the named entries are looked up, by the file's index if it has one.
+and deals it out in slices; tasks seek and decode. A filter on ``name`` is pushed down: where
+a file has an index of names, tasks look up the named entries by it and the table of contents
+isn't read; else the table is read and its other entries are left out. An ``ordinal`` of an
+entry found by its index costs the places of all entries (8 bytes each by the pointer index,
+the tree's leaves else), so it is left out where the schema given to the reader has none.
 
 Writing takes rows in the order of their partitions, so sort by ``ordinal`` first.
 Tasks encode records, which hold no absolute offsets, into part files beside the
@@ -35,8 +38,9 @@ from genoframe.sources.ranged import in_store, is_url, list_store, local_path, o
 from genoframe.sources.readers import TwoBeReader, detect, open_reader
 
 SCHEMA = "file string, ordinal long, name string, bases string"
-#: Sequences of one input partition.
+#: Sequences of one input partition, and names that are looked up in one.
 SLICE = 2048
+NAMES = 512
 COPIED = 16 << 20
 
 
@@ -61,9 +65,18 @@ class Slice(InputPartition):
     entries: list[tuple[int, str, int]]
 
 
+@dataclass
+class Named(InputPartition):
+    """Names to look up by a file's index."""
+
+    file: str
+    names: list[str]
+
+
 class ContainerReader(DataSourceReader):
-    def __init__(self, kind: str, path: str, size: int):
+    def __init__(self, kind: str, path: str, size: int, columns: list[str] | None = None):
         self.kind, self.path, self.size = kind, path, size
+        self.columns = columns or [c.split()[0] for c in SCHEMA.split(", ")]
         self.names: set[str] | None = None
 
     def pushFilters(self, filters):  # noqa: N802
@@ -78,7 +91,7 @@ class ContainerReader(DataSourceReader):
                 yield f
                 continue
             self.names = named if self.names is None else self.names & named
-            yield f  # names may repeat in an index, so rows are filtered once more
+            yield f  # a name may be longer than an index keeps, so rows are filtered once more
 
     def entries(self, reader) -> list[tuple[int, str, int]]:
         toc = reader.toc()
@@ -92,23 +105,33 @@ class ContainerReader(DataSourceReader):
             reader = open_reader(file)
             if reader.kind != self.kind:
                 raise ValueError(f"{file} is a {reader.kind} file, not {self.kind}")
+            if self.names is not None and reader.indexed:
+                names = sorted(n for n in self.names if n is not None)
+                out += [Named(file, names[i : i + NAMES]) for i in range(0, len(names), NAMES)]
+                continue
             entries = self.entries(reader)
             out += [Slice(file, entries[i : i + self.size]) for i in range(0, len(entries), self.size)]
         return out or [Slice("", [])]
 
+    def found(self, reader, names: list[str]) -> Iterator[tuple[int | None, str, int]]:
+        """Ordinal, name and place of all sequences of some names."""
+        hits = [(name, place, mark) for name in names for place, mark in reader.find_all(name)]
+        ordinals = reader.ordinals_of([m for _, _, m in hits]) if hits and "ordinal" in self.columns else [None] * len(hits)
+        return ((i, name, place) for i, (name, place, _) in zip(ordinals, hits, strict=True))
+
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        if not partition.entries:
+        if not partition.file:
             return
         reader = open_reader(partition.file)
         held, size = [], 0
-        for i, name, place in partition.entries:
+        for i, name, place in self.found(reader, partition.names) if isinstance(partition, Named) else partition.entries:
             held.append((partition.file, i, name, reader.extract_at(place)))
             size += len(held[-1][3])
             if size > COPIED:
-                yield _batch(held)
+                yield _batch(held).select(self.columns)
                 held, size = [], 0
         if held:
-            yield _batch(held)
+            yield _batch(held).select(self.columns)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -262,7 +285,7 @@ class Container(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return ContainerReader(self.kind, self.options["path"], int(self.options.get("slice", SLICE)))
+        return ContainerReader(self.kind, self.options["path"], int(self.options.get("slice", SLICE)), schema.names)
 
     def flag(self, name: str) -> bool:
         return self.options.get(name, "false").lower() == "true"
@@ -312,9 +335,12 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_container(spark: SparkSession, path: str, kind: str, slice: int = SLICE) -> DataFrame:  # noqa: A002
+def read_container(spark: SparkSession, path: str, kind: str, slice: int = SLICE, ordinals: bool = True) -> DataFrame:  # noqa: A002
+    """``file, ordinal, name, bases``; without ``ordinals``, a few names are found in an
+    indexed file by their nodes alone."""
     register(spark)
-    return spark.read.format(kind).option("path", path).option("slice", slice).load()
+    read = spark.read.format(kind).option("path", path).option("slice", slice)
+    return (read if ordinals else read.schema("file string, name string, bases string")).load()
 
 
 def write_container(sequences: DataFrame, path: str, kind: str, **options) -> None:

@@ -28,6 +28,11 @@ def window_of(start: int, end: int | None, size: int) -> tuple[int, int]:
     return min(start, end), end
 
 
+def ranks(marks: list[int], among) -> list[int]:
+    """How many of some numbers are below each mark."""
+    return np.searchsorted(np.sort(np.array(among, np.int64)), np.array(marks, np.int64)).tolist()
+
+
 class Reader:
     kind = ""
 
@@ -51,6 +56,17 @@ class Reader:
     def find(self, name: str) -> int | None:
         return self._by_name.get(name)
 
+    #: Whether names are found without the table of contents.
+    indexed = False
+
+    def find_all(self, name: str) -> list[tuple[int, int]]:
+        """Of an indexed file, places of all sequences of a name, with what ``ordinals_of`` takes."""
+        raise NotImplementedError
+
+    def ordinals_of(self, marks: list[int]) -> list[int]:
+        """How many sequences stand before each of some, by their marks."""
+        raise NotImplementedError
+
     def names(self) -> list[str]:
         return [n for n, _ in self.toc()]
 
@@ -128,16 +144,44 @@ class TwoBitReader(Reader):
         if self.index == "bpt":
             return C.Tree(self.source, self.index_at).find(name)
         if self.index == "ptr" and "_by_name" not in self.__dict__:
-            key, low, high = name.encode("utf-8"), 0, self.count
-            while low < high:
-                mid = (low + high) // 2
-                found, place, _ = self._entry(struct.unpack("<Q", self.source.read_at(self.index_at + 8 * mid, 8))[0])
-                if found.encode("utf-8") == key:
-                    return place
-                low, high = (mid + 1, high) if found.encode("utf-8") < key else (low, mid)
-            return None
+            found = self._pointed(name, last=True)
+            return found[0][0] if found else None
         return super().find(name)
 
+    indexed = property(lambda self: self.index != "none")
+
+    def _pointed(self, name: str, last: bool = False) -> list[tuple[int, int]]:
+        """Places and entries of a name by the sorted pointers: a search by halves for the
+        first, or the last, and its equals behind it."""
+        key = name.encode("utf-8")
+
+        def entry(i: int) -> tuple[bytes, int, int]:
+            at = struct.unpack("<Q", self.source.read_at(self.index_at + 8 * i, 8))[0]
+            found, place, _ = self._entry(at)
+            return found.encode("utf-8"), place, at
+
+        low, high = 0, self.count
+        while low < high:
+            mid = (low + high) // 2
+            own = entry(mid)[0]
+            low, high = (mid + 1, high) if own < key or last and own == key else (low, mid)
+        out = []
+        for i in range(low - 1, low) if last else range(low, self.count):
+            if i < 0 or (found := entry(i))[0] != key:
+                break
+            out.append(found[1:])
+        return out
+
+    def find_all(self, name):
+        if self.index == "bpt":
+            return [(place, place) for place in C.Tree(self.source, self.index_at).find_all(name)]
+        return self._pointed(name)
+
+    def ordinals_of(self, marks):
+        if self.index == "bpt":
+            return ranks(marks, [place for _, place in C.Tree(self.source, self.index_at).items()])
+        return ranks(marks, np.frombuffer(self.source.read_at(self.index_at, 8 * self.count), "<u8"))
+
     def length_at(self, place):
         return self._u32(place)
 
@@ -245,6 +289,14 @@ class TwoBeReader(Reader):
     def find(self, name):
         return self.tree.find(name)
 
+    indexed = True
+
+    def find_all(self, name):
+        return [(place, place) for place in self.tree.find_all(name)]
+
+    def ordinals_of(self, marks):
+        return ranks(marks, [place for _, place in self.toc()])
+
     def length_at(self, place):
         return self._u32(place)
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from genoframe.operators.runs import IUB_POINT, IUB_RUN, MASK_RUN, N_RUN
 from genoframe.sources import batch as B
 from genoframe.sources import codec as C
-from genoframe.sources.containers import FourBitWriter, TwoBeWriter, TwoBitWriter
+from genoframe.sources.containers import ContainerReader, FourBitWriter, TwoBeWriter, TwoBitWriter
 from genoframe.sources.ranged import MemorySource
 from genoframe.sources.readers import FourBitReader, TwoBeReader, TwoBitReader, detect, parse_fai, scan_fai
 from tests import plain_codec
@@ -180,3 +180,68 @@ def test_trees_equal_plain_ones(names, rng):
     numbers = sorted(rng.sample(range(1 << 40), len(raw)))
     strings = B.Ragged(np.frombuffer(b"".join(raw), np.uint8), B.sums(np.array([len(r) for r in raw], np.int64)))
     assert C.build_tree(strings.padded(), np.array(numbers, np.int64)) == plain_codec.build_tree(list(zip(raw, numbers, strict=True)))
+
+
+class Counted:
+    """A source that keeps what was read of it."""
+
+    requests = fetched = 0
+
+    def __init__(self, data: bytes):
+        self.under, self.size, self.reads = MemorySource(data), len(data), []
+
+    def read_at(self, offset, n):
+        self.reads.append((offset, n))
+        return self.under.read_at(offset, n)
+
+
+REPEATED = sorted([(f"seq{i:05d}", "ACGTNNac"[: 1 + i % 8]) for i in range(3000)] + [("seq00255", "AAAA"), ("seq00256", "CCCC"), ("seq00256", "GGGG"), ("seq01000", "TT")], key=lambda x: x[1])
+
+
+@pytest.mark.parametrize("kind", ["ptr", "bpt", "twobe"])
+def test_lookups_read_few_nodes(kind):
+    """Names that repeat or stand at a node's border are all found; no table of contents is read."""
+    data = image(TwoBeWriter("/x", []), REPEATED) if kind == "twobe" else twobit(REPEATED, iub=True, index=kind)
+    source = Counted(data)
+    reader = TwoBeReader(source) if kind == "twobe" else TwoBitReader(source)
+    at = {}
+    for i, (n, b) in enumerate(REPEATED):
+        at.setdefault(n, []).append((i, b))
+    for name in [*dict(REPEATED), "seq", "seq99999", "", "z" * 300]:
+        source.reads.clear()
+        hits = reader.find_all(name)
+        # the tree's header, two levels of nodes, each a header and its entries, and one more at a border
+        assert len(source.reads) <= (1 + 2 * (2 + 1) if kind != "ptr" else 2 * (12 + 1 + len(hits)))
+        assert sum(n for _, n in source.reads) < 12_000
+        if name in at:
+            assert sorted(reader.extract_at(p) for p, _ in hits) == sorted(b for _, b in at[name])
+            assert reader.find(name) in [p for p, _ in hits]
+        else:
+            assert hits == [] and reader.find(name) is None
+    name = "seq00256"
+    marks = [m for _, m in reader.find_all(name)]
+    source.reads.clear()
+    assert sorted(reader.ordinals_of(marks)) == [i for i, _ in at[name]]
+    if kind == "ptr":
+        assert source.reads == [(reader.index_at, 8 * len(REPEATED))]
+
+
+@pytest.mark.parametrize("kind", ["ptr", "bpt", "twobe", "flat"])
+def test_named_scans(kind, tmp_path, monkeypatch):
+    """Planning a named scan of an indexed file reads its header only."""
+    from pyspark.sql.datasource import EqualTo, In
+
+    data = image(TwoBeWriter("/x", []), REPEATED) if kind == "twobe" else twobit(REPEATED, iub=True, index="none" if kind == "flat" else kind)
+    path = tmp_path / "x"
+    path.write_bytes(data)
+    if kind != "flat":
+        for c in (TwoBeReader, TwoBitReader):
+            monkeypatch.setattr(c, "toc", lambda self: pytest.fail("the table of contents is read") if kind == "ptr" else self._toc)
+    for columns in (["file", "ordinal", "name", "bases"], ["name", "bases"]):
+        reader = ContainerReader("twobe" if kind == "twobe" else "twobit", str(path), 100, columns)
+        assert list(reader.pushFilters([In(("name",), ("seq00256", "seq00007", "nope", None)), EqualTo(("bases",), "x")]))
+        parts = reader.partitions()
+        assert kind == "flat" or [p.names for p in parts] == [["nope", "seq00007", "seq00256"]]
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        want = [{"file": str(path), "ordinal": i, "name": n, "bases": b} for i, (n, b) in enumerate(REPEATED) if n in ("seq00256", "seq00007")]
+        assert sorted(rows, key=str) == sorted(({c: r[c] for c in columns} for r in want), key=str)
