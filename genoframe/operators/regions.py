@@ -84,6 +84,32 @@ def extract_from_tiles(tiles: DataFrame, regions: DataFrame, tile: int = TILE) -
 # -- sums over all rows before ---------------------------------------------------
 #: Rows of a range that one window adds up.
 RANGE = 1 << 16
+#: Quantiles that are found beside the count of rows; more take a job of their own.
+GRID = 2048
+
+
+def quantiles(df: DataFrame, order: str) -> list[int]:
+    """Numbers that cut the rows, by ``order``, into ranges of about RANGE rows and never,
+    unless they are equal, of over twice that."""
+    cuts = lambda n: F.percentile_approx(order, [i / n for i in range(1, n)], max(10_000, 8 * n))
+    found = df.agg(F.count(order).alias("rows"), cuts(GRID).alias("cuts")).first()
+    ranges = -(-found["rows"] // RANGE)
+    if ranges <= 1:
+        return []
+    if ranges > GRID // 2:
+        return sorted(set(df.agg(cuts(ranges).alias("cuts")).first()["cuts"]))
+    # every so many of the grid's cuts, rounded down
+    return sorted({found["cuts"][k * GRID // ranges - 1] for k in range(1, ranges)})
+
+
+def with_range(df: DataFrame, order: str, cuts: list[int], out: str = "_range") -> DataFrame:
+    """Adds the number of cuts below or at each row's ``order``, found by halves."""
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+    one = df.sparkSession.createDataFrame([(cuts,)], f"_cuts array<{df.schema[order].dataType.simpleString()}>")
+    number = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get("_cuts", low + step - 1) <= F.col(order), low + step).otherwise(low))
+    return df.crossJoin(F.broadcast(one)).withColumn(out, number).drop("_cuts")
 
 
 def prefix_sums(df: DataFrame, size: str, order: str = "ordinal", out: str = "offset", by: str | None = None) -> DataFrame:
@@ -91,12 +117,11 @@ def prefix_sums(df: DataFrame, size: str, order: str = "ordinal", out: str = "of
     share with no other row; with ``by``, over those of the same file or other group.
 
     Ranges of the number are added up apart, and only their totals pass through one task.
-    Their width follows from the rows and the span of the number, so that there is a range
-    for every RANGE rows or so, whether or not the number has gaps."""
+    They are cut at quantiles of the number, so that each has RANGE rows or so however the
+    numbers lie. Finding these is a job at once, which reads the number only."""
     kept = df.columns
     groups = [by] if by else []
-    span = df.agg(F.min(order).alias("_low"), F.ceil((F.max(order) - F.min(order) + 1) / F.ceil(F.count(F.lit(1)) / RANGE)).alias("_width"))
-    rows = df.crossJoin(F.broadcast(span)).withColumn("_range", F.floor((F.col(order) - F.col("_low")) / F.col("_width"))).drop("_low", "_width")
+    rows = with_range(df, order, quantiles(df, order))
     totals = rows.groupBy(*groups, "_range").agg(F.sum(size).alias("_total"))
     before = (Window.partitionBy(by) if by else Window).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*groups, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))

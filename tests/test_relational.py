@@ -129,6 +129,26 @@ def test_prefix_sums_over_ranges(spark, monkeypatch):
     assert regions.prefix_sums(df.limit(0), "size").count() == 0
 
 
+@pytest.mark.parametrize("grid", [16, 2048])
+def test_ranges_are_balanced(spark, monkeypatch, grid):
+    """Clusters and outliers put no more rows into one range than numbers without gaps do."""
+    monkeypatch.setattr(regions, "RANGE", 500)
+    monkeypatch.setattr(regions, "GRID", grid)
+    n = F.col("id")
+    for number in (n, n * n, F.when(n == 7, 1 << 60).otherwise(n), (n % 4) * (1 << 33) + n, -n * (1 << 40), F.lit(5).cast("long")):
+        df = spark.range(20_000).select(number.alias("ordinal"), (n % 7).alias("size"))
+        cuts = regions.quantiles(df, "ordinal")
+        each = [r["count"] for r in regions.with_range(df, "ordinal", cuts).groupBy("_range").count().collect()]
+        distinct = df.distinct().count() > 7
+        assert sum(each) == 20_000 and (max(each) <= 1000 or not distinct)
+        if distinct:
+            got = regions.prefix_sums(df, "size").orderBy("ordinal").collect()
+            at = 0
+            for r in got:
+                assert r["offset"] == at
+                at += r["size"]
+
+
 @pytest.mark.parametrize("width", [0, 4, 60])
 def test_fai(spark, width):
     s = seqs(spark, "ACGTACGTA", "", "AC")
