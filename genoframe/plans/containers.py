@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from genoframe import cli
 from genoframe.plans.derived import REGIONS, SEQS, STATS_SQL, regions, sequences
+from genoframe.sources.chunks import bgzf_block_table, fasta_tiles
 from genoframe.sources.containers import extract_regions, read_container, write_container
-from genoframe.sources.fasta import bgzf_block_table, format_catalog, read_fai, read_fasta, scan_fai_table, write_fasta, write_indexed_fasta
+from genoframe.sources.fasta import format_catalog, read_fai, read_fasta, scan_fai_table, write_fasta, write_indexed_fasta
 from genoframe.sources.generator import Options, generate
 
 _folders: list[str] = []
@@ -74,6 +75,35 @@ def bgzf_container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_container(spark, path, "faidx").select("name", F.md5("bases").alias("digest"))
 
 
+def _tiled(spark: SparkSession, sf_dir: str, name: str, bgzip: bool) -> DataFrame:
+    """Tiles of a file that is read in small chunks, so that records span them."""
+    path = f"{folder(spark)}/{name}"
+    seqs = sequences(spark, sf_dir)
+    if bgzip:
+        write_indexed_fasta(seqs, path, 60, True)
+    else:
+        write_fasta(seqs, path)
+    tiles = fasta_tiles(spark, path, 1024, 1 << 17)
+    return tiles.select("name", F.col("tile").cast("long").alias("tile"), "total", F.md5("bases").alias("digest"))
+
+
+def fasta_tile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiled(spark, sf_dir, "x.fa", False)
+
+
+def bgzf_tile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from BGZF blocks that tasks find by themselves."""
+    return _tiled(spark, sf_dir, "x.fa.gz", True)
+
+
+def unindexed_bgzf_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A BGZF file without its index, read whole by many tasks."""
+    path = f"{folder(spark)}/x.fa"
+    write_indexed_fasta(sequences(spark, sf_dir), path, 60, True)
+    os.remove(path + ".fai")
+    return read_container(spark, path, "faidx").select("name", F.md5("bases").alias("digest"))
+
+
 # -- windows decoded by seeking ---------------------------------------------------
 def _windows(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
     path = f"{folder(spark)}/x"
@@ -106,6 +136,13 @@ def faidx_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, "faidx")
 
 
+def unindexed_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a plain FASTA file whose index is found by scanning it."""
+    path = f"{folder(spark)}/x.fa"
+    write_fasta(sequences(spark, sf_dir), path)
+    return extract_regions(spark, path, regions(spark, sf_dir)).select("ordinal", F.md5("bases").alias("digest"))
+
+
 def bgzf_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, "faidx", bgzip=True)
 
@@ -227,7 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         twobit_container_roundtrip, twobit_iub_container_roundtrip, twobe_container_roundtrip, fourbit_container_roundtrip, fasta_roundtrip, bgzf_container_roundtrip,
-        twobe_extract_regions, twobit_extract_regions, twobit_flat_extract_regions, fourbit_extract_regions, faidx_extract_regions, bgzf_extract_regions, named_sequences, pointed_sequences,
+        twobe_extract_regions, twobit_extract_regions, twobit_flat_extract_regions, fourbit_extract_regions, faidx_extract_regions, bgzf_extract_regions, unindexed_extract_regions, fasta_tile_scan, bgzf_tile_scan, unindexed_bgzf_sequences, named_sequences, pointed_sequences,
         format_catalogue, scanned_fai, fai_file, bgzf_blocks, random_sequences, cli_twobit, cli_fourbit, cli_twobe, cli_faidx, cli_extract, cli_info, cli_random,
     )
 }
@@ -239,6 +276,8 @@ def _window_digest(value: str = "{}", key: str = "r.ordinal") -> str:
     return f"WITH {SEQS}, {REGIONS} SELECT {key}, md5({value.format(_WINDOW)}) AS digest FROM regions r JOIN seqs s ON r.name = s.name"
 
 
+_TILES = f"""WITH {SEQS} SELECT name, k AS tile, CAST(length(bases) AS BIGINT) AS total, md5(substr(bases, k * 1024 + 1, 1024)) AS digest
+FROM (SELECT *, unnest(generate_series(0, greatest((length(bases) - 1) // 1024, 0))) AS k FROM seqs)"""
 _FASTA_BYTES = "strlen(name) + 2 + length(bases) + greatest(CAST(ceil(length(bases) / 60.0) AS BIGINT), 1)"
 
 
@@ -278,6 +317,10 @@ ORACLES = {
     "fourbit_extract_regions": _window_digest("upper({})"),
     "faidx_extract_regions": _window_digest(),
     "bgzf_extract_regions": _window_digest(),
+    "unindexed_extract_regions": _window_digest(),
+    "fasta_tile_scan": _TILES,
+    "bgzf_tile_scan": _TILES,
+    "unindexed_bgzf_sequences": _digest("bases"),
     "named_sequences": f"WITH {SEQS} SELECT ordinal, name, md5(bases) AS digest FROM seqs WHERE name IN ('doc7', 'doc42', 'doc99')",
     "pointed_sequences": f"WITH {SEQS} SELECT name, md5(bases) AS digest FROM seqs WHERE name IN ('doc7', 'doc42', 'doc99')",
     "format_catalogue": f"""WITH {SEQS} SELECT 'a.fasta' AS file, 'fasta' AS format, CAST(sum({_FASTA_BYTES}) AS BIGINT) AS size FROM seqs

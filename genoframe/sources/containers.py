@@ -34,7 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from genoframe.sources import batch as B
 from genoframe.sources import codec as C
-from genoframe.sources.ranged import in_store, is_url, list_store, local_path, open_source, read_beside
+from genoframe.sources.ranged import in_store, is_url, list_store, local_path, open_source
 from genoframe.sources.readers import TwoBeReader, detect, open_reader
 
 SCHEMA = "file string, ordinal long, name string, bases string"
@@ -338,6 +338,11 @@ def register(spark: SparkSession) -> None:
 def read_container(spark: SparkSession, path: str, kind: str, slice: int = SLICE, ordinals: bool = True) -> DataFrame:  # noqa: A002
     """``file, ordinal, name, bases``; without ``ordinals``, a few names are found in an
     indexed file by their nodes alone."""
+    if kind == "faidx" and not is_url(path) and not all(map(has_index, files_of(path))):
+        from genoframe.sources.fasta import fasta_sequences
+
+        found = fasta_sequences(spark, path)
+        return found if ordinals else found.drop("ordinal")
     register(spark)
     read = spark.read.format(kind).option("path", path).option("slice", slice)
     return (read if ordinals else read.schema("file string, name string, bases string")).load()
@@ -383,19 +388,19 @@ def _write_joined(write: DataFrameWriter, path: str, spark: SparkSession) -> Non
     shutil.rmtree(parts, ignore_errors=True)
 
 
-def _scanned_index(spark: SparkSession, path: str) -> list[tuple] | None:
-    from genoframe.sources.fasta import scan_fai_table
-
-    if is_url(path) or read_beside(path, ".fai") is not None:
-        return None
-    source = open_source(path)
-    if detect(source.read_at(0, min(64, source.size))) != "fasta":
-        return None
-    return [tuple(r) for r in scan_fai_table(spark, path).select("name", "length", "offset", "linebases", "linewidth").orderBy("offset").collect()]
+def has_index(path: str) -> bool:
+    """Whether a FASTA file's ``.fai`` stands beside it; a URL's must."""
+    try:
+        open_source(path + ".fai")
+    except FileNotFoundError:
+        return False
+    return True
 
 
 #: Bases up to which a sequence is decoded whole for its windows.
 WHOLE = 1 << 20
+#: Requests of one place up to which one task has them all.
+HOT = 1 << 16
 
 
 def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tuple | None = None) -> DataFrame:
@@ -403,12 +408,19 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
     error. Regions are dealt by their name and place, so that a task looks a name up once
     and reads on from one window to the next. A short sequence is decoded once for all of a
     task's windows; of a longer one only what its windows ask for. ``used`` are
-    accumulators that the tasks add their HTTP requests and bytes to. A plain FASTA file
-    without an index is scanned once, by tasks."""
-    index = _scanned_index(spark, path)
+    accumulators that the tasks add their HTTP requests and bytes to. The requests of a place
+    that has over HOT of them are dealt to several tasks. Of FASTA files without an index and
+    of BGZF files, requests are joined with index and blocks, see ``indexed``."""
+    if not is_url(path):
+        source = open_source(path)
+        kind = detect(source.read_at(0, min(64, source.size)))
+        if kind == "bgzf" or kind == "fasta" and not has_index(path):
+            from genoframe.sources import indexed
+
+            return indexed.extract_regions(spark, path, regions, kind == "bgzf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = open_reader(path, index)
+        reader = open_reader(path)
         known, place, whole = None, None, None
         for batch in batches:
             names, starts, ends = (c.to_pylist() for c in batch.columns[1:])
@@ -427,5 +439,15 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
             counter.add(n)
 
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = regions.select("ordinal", "name", "start", "end").repartition(shuffled, F.col("name"), F.floor(F.col("start") / (4 * WHOLE))).sortWithinPartitions("name", "start")
-    return dealt.mapInArrow(run, "ordinal long, name string, start long, end long, bases string")
+    dealt = with_parts(regions).repartition(shuffled, "name", "_place", "_part").sortWithinPartitions("name", "start")
+    return dealt.select("ordinal", "name", "start", "end").mapInArrow(run, "ordinal long, name string, start long, end long, bases string")
+
+
+def with_parts(regions: DataFrame) -> DataFrame:
+    """Requests with the place and part by which they are dealt: a name's requests by where
+    they start, and those of a place with over HOT of them by their own hash too."""
+    asked = regions.select("ordinal", "name", "start", "end", F.floor(F.col("start") / (4 * WHOLE)).alias("_place"))
+    hot = asked.groupBy("name", "_place").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("_parts")).where("_parts > 1")
+    hot = hot.select(F.col("name").alias("_name"), F.col("_place").alias("_at"), "_parts")
+    met = asked.join(hot, F.col("name").eqNullSafe(F.col("_name")) & F.col("_place").eqNullSafe(F.col("_at")), "left")
+    return met.withColumn("_part", F.pmod(F.xxhash64("ordinal", "start", "end"), F.coalesce("_parts", F.lit(1)))).drop("_name", "_at", "_parts")

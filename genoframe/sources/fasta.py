@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.operators.fai import fai_lines, fai_table, fasta_text
-from genoframe.operators.regions import prefix_sums
+from genoframe.operators.regions import TILE, prefix_sums
+from genoframe.sources.chunks import fasta_index, fasta_tiles
 from genoframe.sources.containers import files_of, write_bytes
 from genoframe.sources.ranged import open_source
-from genoframe.sources.readers import bgzf_blocks
 
 SPACE = " \\t\\n\\f\\r"
 BGZF_CHUNK = 0xFF00
@@ -53,20 +53,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "ordinal", name.alias("name"), bases.alias("bases"))
 
 
+def fasta_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """``file, ordinal, name, bases`` of FASTA files, plain or all of them BGZF, from tiles that
+    many tasks read: whole rows, for sequences that are to be rows."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "bases"))), lambda x: x["bases"]), "")
+    tiles = fasta_tiles(spark, path)
+    several = F.col("total") > TILE
+    joined = tiles.where(several).groupBy("file", "ordinal", "name").agg(whole.alias("bases"))
+    return tiles.where(~several).select("file", "ordinal", "name", "bases").unionAll(joined)
+
+
 def scan_fai_table(spark: SparkSession, path: str) -> DataFrame:
     """``file, name, length, offset, linebases, linewidth`` of FASTA files without an index,
-    each file's by its own records' byte lengths. Carriage returns are not counted as bases."""
-    rows = _records(spark, path).withColumn("record", F.when(F.col("first"), F.regexp_replace("record", "^>", "")).otherwise(F.col("record")))
-    rows = rows.withColumn("size", (F.octet_length("record") + 2).cast("long"))
-    rows = prefix_sums(rows, "size", out="begin", by="file")
-    header = F.regexp_extract("record", "^([^\\n]*)", 1)
-    data = F.regexp_replace("record", "^[^\\n]*\\n?", "")
-    line = F.regexp_extract(data, "^([^\\n]*)", 1)
-    length = F.octet_length(F.regexp_replace(data, "[\\r\\n]", "")).cast("long")
-    return rows.select(
-        "file", F.regexp_extract(header, f"^[{SPACE}]*([^{SPACE}]*)", 1).alias("name"), length.alias("length"), (F.col("begin") + F.octet_length(header) + 2).cast("long").alias("offset"),
-        F.octet_length(F.regexp_replace(line, "\\r", "")).cast("long").alias("linebases"), F.when(data == "", 0).otherwise(F.octet_length(line) + 1).cast("long").alias("linewidth"),
-    )
+    found in chunks by many tasks. Carriage returns are not counted as bases."""
+    return fasta_index(spark, path).drop("ordinal")
 
 
 def format_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -91,11 +91,6 @@ def format_catalog(spark: SparkSession, path: str) -> DataFrame:
     return listed.mapInArrow(peek, "file string, size long, head binary").select("file", "size", kind.alias("format"))
 
 
-def bgzf_block_table(spark: SparkSession, path: str) -> DataFrame:
-    """``c_start, c_len, u_start, u_len`` of a BGZF file's blocks, by hopping over headers."""
-    return spark.createDataFrame(bgzf_blocks(open_source(path)), "c_start long, c_len long, u_start long, u_len long")
-
-
 def write_fasta(sequences: DataFrame, path: str, width: int = 60) -> None:
     """One FASTA file, in the order of ``ordinal``."""
     line = F.encode(F.concat(fasta_text(width), F.lit("\n")), "UTF-8")

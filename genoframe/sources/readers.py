@@ -19,6 +19,8 @@ from genoframe.sources.ranged import is_url, open_source, read_beside
 
 #: Bytes of a table of contents that are read at once.
 TOC_CHUNK = 1 << 20
+#: Bytes that are read at once in search of headers that stand between bases.
+HEADERS = 1 << 13
 #: Block tables up to which a table is read whole; larger ones are searched by halves.
 WHOLE_TABLE = 4096
 
@@ -243,12 +245,17 @@ class FourBitReader(Reader):
 
     @cached_property
     def _toc(self):
-        out, at = [], 16
+        # headers stand between bases: what is near the last one is read with it
+        out, at, held, begin = [], 16, b"", 0
         for _ in range(self.count):
-            n = self.source.read_at(at, 1)[0]
-            raw = self.source.read_at(at + 1, n + 8)
-            out.append((raw[:n].decode("utf-8", "replace"), at + 1 + n))
-            at += 9 + n + (struct.unpack("<Q", raw[n:])[0] + 1) // 2
+            if not begin <= at <= begin + len(held) - 264:
+                begin, held = at, self.source.read_at(at, min(HEADERS, self.source.size - at))
+            i = at - begin
+            if len(held) < i + 9 or len(held) < i + 9 + held[i]:
+                raise ValueError("the last header is cut short")
+            n = held[i]
+            out.append((held[i + 1 : i + 1 + n].decode("utf-8", "replace"), at + 1 + n))
+            at += 9 + n + (struct.unpack_from("<Q", held, i + 1 + n)[0] + 1) // 2
         return out
 
     def toc(self):
@@ -492,9 +499,9 @@ def detect(head: bytes) -> str:
     raise ValueError("unknown format")
 
 
-def open_reader(path: str, index: list[tuple] | None = None) -> Reader:
-    """A reader for a local path, a store's URI or a URL. ``index`` stands in for a FASTA
-    file's missing index; without either the file is scanned."""
+def open_reader(path: str) -> Reader:
+    """A reader for a local path, a store's URI or a URL. A FASTA file without an index is
+    scanned."""
     source = open_source(path)
     kind = detect(source.read_at(0, min(64, source.size)))
     if kind in ("bgzf", "fasta"):
@@ -505,7 +512,7 @@ def open_reader(path: str, index: list[tuple] | None = None) -> Reader:
             used = side.requests, side.fetched
         else:
             text, gzi = read_beside(path, ".fai"), read_beside(path, ".gzi")
-            fai = index if text is None else parse_fai(text.decode("utf-8", "replace"))
+            fai = None if text is None else parse_fai(text.decode("utf-8", "replace"))
         reader = FaidxReader(source, fai, gzi)
         reader.index_requests = used
         return reader

@@ -3,6 +3,7 @@
 import gzip
 import http.server
 import os
+import random
 import threading
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from genoframe import cli
 from genoframe.sources import fasta
+from genoframe.sources.chunks import bgzf_block_table
 from genoframe.sources.containers import extract_regions, read_container, write_container
 from genoframe.sources.generator import Options, Stream, generate, make
 from genoframe.sources.readers import bgzf_blocks, indexed_blocks, open_reader
@@ -119,7 +121,7 @@ def test_catalog(spark, seqs, tmp_path):
     fasta.write_indexed_fasta(seqs, str(tmp_path / "bgzf"), 60, True)
     found = {os.path.basename(r["file"]): r["format"] for r in fasta.format_catalog(spark, str(tmp_path)).collect()}
     assert found == {k: k for k in ("twobit", "twobe", "fourbit", "fasta", "bgzf")} | {"bgzf.fai": "unknown", "bgzf.gzi": "unknown"}
-    assert [tuple(r)[2:] for r in fasta.bgzf_block_table(spark, str(tmp_path / "bgzf")).collect()] == [(0, sum(len(n) + len(b) + 3 for n, b in SEQS))]
+    assert [tuple(r)[3:] for r in bgzf_block_table(spark, str(tmp_path / "bgzf")).collect()] == [(0, sum(len(n) + len(b) + 3 for n, b in SEQS))]
 
 
 def test_read_fai(spark, tmp_path):
@@ -152,6 +154,42 @@ def test_missing_index_is_scanned_by_tasks(spark, seqs, tmp_path):
     assert [r["bases"] for r in extract_regions(spark, path, asked).orderBy("ordinal").collect()] == [b[2:12] for _, b in SEQS]
 
 
+@pytest.mark.parametrize("indexed", [True, False])
+def test_each_block_is_inflated_once(spark, tmp_path, indexed):
+    """Requests that repeat, overlap, are empty or reach over ends, of a file of several blocks."""
+    from genoframe.sources import indexed as I
+
+    rng = random.Random(3)
+    data = [(i, f"s{i}", "".join(rng.choices("ACGTN", k=n))) for i, n in enumerate((90_000, 0, 10, 300_000))]
+    path = str(tmp_path / "x.fa")
+    fasta.write_indexed_fasta(spark.createDataFrame(data, "ordinal long, name string, bases string"), path, 60, True)
+    if not indexed:
+        os.remove(path + ".fai")
+    bases = {n: b for _, n, b in data}
+    asked = [(i, n, s, s + rng.choice([0, 5, 70, 70_000, 10**9])) for i, (n, s) in enumerate((rng.choice(list(bases)), rng.randrange(310_000)) for _ in range(300))] + [(7, "s3", 5, 9)] * 3 + [(900, "s0", 0, None)]
+    df = spark.createDataFrame(asked, "ordinal long, name string, start long, end long").repartition(3)
+    count = spark.sparkContext.accumulator(0)
+    got = sorted((tuple(r) for r in I.extract_regions(spark, path, df, True, count).collect()), key=str)
+    assert got == sorted(((i, n, s, e, bases[n][s:e]) for i, n, s, e in asked), key=str)
+    assert 0 < count.value <= len(bgzf_blocks(open_reader(path).source.under))
+    assert sorted((tuple(r) for r in extract_regions(spark, path, df).collect()), key=str) == got
+    with pytest.raises(Exception, match='no sequence named "nope"'):
+        extract_regions(spark, path, spark.createDataFrame([(0, "nope", 0, 1)], df.schema)).collect()
+
+
+def test_hot_names_are_dealt_to_several_tasks(spark, seqs, tmp_path, monkeypatch):
+    from genoframe.sources import containers
+
+    monkeypatch.setattr(containers, "HOT", 50)
+    asked = spark.range(2000).select(F.col("id").alias("ordinal"), F.when(F.col("id") % 10 < 9, "seqM").otherwise("seqA").alias("name"), (F.col("id") % 20).alias("start"), (F.col("id") % 31).alias("end"))
+    dealt = containers.with_parts(asked)
+    assert dealt.count() == 2000 and dealt.where("name = 'seqM'").select("_part").distinct().count() > 20
+    write_container(seqs, str(tmp_path / "x"), "twobe")
+    got = extract_regions(spark, str(tmp_path / "x"), asked).orderBy("ordinal").collect()
+    bases = dict(SEQS)
+    assert [r["bases"] for r in got] == [bases[r["name"]][r["start"] : r["end"]] for r in got] and len(got) == 2000
+
+
 def test_long_sequences_are_read_by_windows(spark, seqs, tmp_path, monkeypatch):
     """Windows that are decoded apart equal slices of sequences that are decoded whole."""
     from genoframe.sources import containers
