@@ -10,7 +10,9 @@ A pair must share the smaller of its two demands. Sizes and the positions of a
 shared shingle must also allow the similarity.
 
 Which shingles are frequent changes the cost only. They are counted over all
-documents; the list is cut to FREQUENT entries, which bounds what is broadcast.
+documents; the list is cut to FREQUENT entries, which bounds what is broadcast. What decides
+on skew are exact counts of the buckets' rows, partly summed before they are shuffled: a
+bucket of over HOT rows is dealt out in parts, whether its shingle is listed or not.
 
 Links, not pairs, are wanted, so groups of copies aren't expanded:
 
@@ -22,7 +24,10 @@ Links, not pairs, are wanted, so groups of copies aren't expanded:
    components in a bucket are left. Up to the end of the prefix that ends first every
    common shingle is known, so a pair must share there what that set cannot have beyond
    it. The pair's first common shingle is then early in both prefixes, which finds it,
-   and all that they share there are counted before it is verified.
+   and all that they share there are counted before it is verified. How early follows from
+   both sizes, so a shingle's documents are classed by size, each is met with the classes
+   that it may be similar to, and only if it has the shingle early enough for that class.
+   So documents that share a passage, but no more, form no pairs.
 
 Verification sends each text once to each of its leaders; a leader's followers are
 dealt out in parts of FOLLOWERS. No text is cut, and no bucket is capped.
@@ -57,6 +62,10 @@ MAX_MATCHES = 4
 VERIFY_COST = 12
 BUCKET = 2048
 FOLLOWERS = 64
+#: Rows of a bucket from which it is dealt out in parts of BUCKET.
+HOT = 4 * BUCKET
+#: Sizes up to which each is a class of its own; beyond, a class spans a twentieth or so.
+OWN_CLASS = 32
 #: Rows up to which a table of ids is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: A part's number is put over a shingle's hash from this bit on.
@@ -70,10 +79,8 @@ def _signed(a: np.ndarray) -> pa.Array:
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most documents have, sorted, and how many have them.
 
-    Counts are for cost only. They leave out what a task saw fewer than REPORTED times
-    among COUNTED shingles, and the list is cut to FREQUENT entries, so a shingle that isn't
-    in it stands in less than one of a million, or is rarer than FREQUENT others: its bucket
-    is no larger than a few even shares of the rows among as many tasks."""
+    Counts order shingles, which any order would do, so they may leave out what a task saw
+    fewer than REPORTED times among COUNTED shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -221,6 +228,28 @@ _FIT = (
 )
 
 
+def early_enough(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of a shingle's documents, once for each class of sizes (``own`` is their class,
+    ``other`` that one) in which it may be the first that they share with a similar one.
+
+    Let t be what two similar sets share at least. If the document's own prefix ends first,
+    at least t less what lies behind that prefix is shared within both, else t less what lies
+    behind the other one's. The first is least for the smallest size of a class, the second for
+    the largest."""
+    own = F.when(F.col("n") < OWN_CLASS, F.col("n")).otherwise(OWN_CLASS + F.floor(20 * F.log(F.col("n") / OWN_CLASS))).cast("int")
+    rest = rest.withColumn("own", own)
+    classes = rest.groupBy("token", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("wanted").alias("least"))
+    classes = scratch.table(classes.select(F.col("token").alias("of"), F.col("own").alias("other"), "low", "high", "least"), "classes")
+    met = rest.join(_small(classes), F.col("token") == F.col("of")).where(f"100 * high >= {PERCENT} * n AND {PERCENT} * low <= 100 * n")
+    met = met.withColumns({"low": F.expr(f"greatest(low, ({PERCENT} * n + 99) div 100)"), "high": F.expr(f"least(high, (100 * n) div {PERCENT})")})
+    shared = f"({PERCENT} * (n + {{}}) + {99 + PERCENT}) div {100 + PERCENT}"
+    first = f"{shared.format('low')} - (n - prefix)"
+    behind = f"(({PERCENT} * high + 99) div 100 - least)"
+    # of one size it is exact; over a range of sizes rounding may take one off
+    second = f"{shared.format('high')} - {behind} - if(low = high, 0, 1)"
+    return met.where(f"pos <= prefix - greatest(1, least({first}, {second}))").drop("of", "low", "high", "least")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` of every row."""
     spark = docs.sparkSession
@@ -240,15 +269,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # buckets of two or more, and all parts of frequent shingles
     entries = alone.select("doc", "n", "rare", "wanted", F.posexplode(F.arrays_zip("bucket", "salt")).alias("pos", "at"))
     entries = entries.select(F.col("at.bucket").alias("bucket"), F.col("at.salt").alias("salt"), "doc", "n", "rare", "wanted", "pos")
-    of = Window.partitionBy("bucket")
+    hot = entries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts")).where(f"parts > {HOT // BUCKET}")
+    hot = scratch.table(hot.withColumnRenamed("bucket", "hot"), "hot")
+    entries = entries.join(_small(hot), F.col("bucket") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), "parts") + 1, F.lit(0)))
+    of = Window.partitionBy("bucket", "part")
     entries = entries.withColumn("leader", F.min(F.struct("rare", "doc", "n", "pos")).over(of)).withColumn("size", F.count(F.lit(1)).over(of))
-    entries = entries.where("size > 1 OR salt > 0").drop("size")
+    entries = entries.where("size > 1 OR salt > 0 OR part > 0").drop("size")
     entries = entries.withColumn("token", F.expr(f"bucket ^ shiftleft(cast(salt AS bigint), {PART_BIT})"))
-    entries = scratch.table(entries.drop("bucket"), "buckets")
+    entries = scratch.table(entries.select("token", "doc", "n", "rare", "wanted", "pos", "leader", F.expr("salt > 0 OR part > 0").alias("split")), "buckets")
+    scratch.drop(hot)
 
     me = F.struct("n", "pos")
     stars = entries.where("leader.doc <> doc").withColumn("me", me).where(_FIT.format(a="me", b="leader")).select(F.col("doc").alias("a"), F.col("leader.doc").alias("b"))
-    parts = entries.where("salt > 0").select("token", "leader").distinct()
+    parts = entries.where("split").select("token", "leader").distinct()
     heads = parts.groupBy("token").agg(F.min("leader").alias("head"))
     heads = parts.join(heads, "token").where("head.doc <> leader.doc").where(_FIT.format(a="leader", b="head")).select(F.col("leader.doc").alias("a"), F.col("head.doc").alias("b"))
     links = verified(docs, stars.unionAll(heads).distinct(), scratch)
@@ -273,13 +306,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     mixed = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     rest = scratch.table(rest.join(mixed, "token"), "mixed")
     scratch.drop(entries, facts, found)
+    rest = early_enough(rest, scratch)
     a, b = rest.alias("a"), rest.alias("b")
     # what the set whose prefix ends first can share at most: all it has but what only its own bucket holds
     most = f"{100 + PERCENT} * if(a.last <= b.last, a.most, b.most) >= {PERCENT} * (a.n + b.n)"
     # common shingles up to the end of that prefix must number m, so the first of them has m - 1 behind it in both prefixes
     m = f"(({PERCENT} * (a.n + b.n) + {99 + PERCENT}) div {100 + PERCENT} - if(a.last <= b.last, a.n - a.prefix, b.n - b.prefix))"
     early = f"a.pos <= a.prefix - {m} AND b.pos <= b.prefix - {m}"
-    pairs = a.join(b, F.expr("a.token = b.token AND a.doc > b.doc AND a.component <> b.component AND " + most + " AND " + early + " AND " + _FIT.format(a="a", b="b")))
+    pairs = a.join(b, F.expr("a.token = b.token AND a.own = b.other AND a.other = b.own AND a.doc > b.doc AND a.component <> b.component AND " + most + " AND " + early + " AND " + _FIT.format(a="a", b="b")))
     pairs = pairs.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), F.expr(f"greatest({m}, least(a.wanted, b.wanted))").alias("m")).distinct()
     pairs = kept = scratch.table(pairs, "pairs")
     scratch.drop(rest)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from genoframe.llm import language, shingles, toxicity
 from genoframe.llm.bpe import WordBpe, bpe_decode, bpe_encode
@@ -229,6 +230,8 @@ def test_jaccard(spark, seed, monkeypatch):
     rows = [*copies(rng), (900, None), (901, ""), (902, " \n "), (903, "One two"), (904, "one TWO"), (905, "x" * 5000), (906, "É a b"), (907, "é a b")]
     if seed == 2:  # with parts, chunks and shuffles as for large inputs
         monkeypatch.setattr(jaccard, "BUCKET", 3)
+        monkeypatch.setattr(jaccard, "HOT", 6)
+        monkeypatch.setattr(jaccard, "OWN_CLASS", 8)
         monkeypatch.setattr(jaccard, "FOLLOWERS", 2)
         monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
     df = spark.createDataFrame([(i, t, "e", 7) for i, t in rows], "doc_id long, text string, component string, n int").repartition(2)
@@ -236,6 +239,37 @@ def test_jaccard(spark, seed, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("own_class", [4, 32])
+def test_shared_passages_of_many_sizes(spark, own_class, monkeypatch):
+    """Documents around the threshold whose sizes differ, with shared passages in all."""
+    from genoframe.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "OWN_CLASS", own_class)
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "BUCKET", 2)
+    rng = random.Random(own_class)
+    passages = [words(rng, n) for n in (8, 12, 20, 40)]
+    rows = []
+    for i in range(400):
+        w = list(rng.choice(passages)) + words(rng, rng.randrange(0, 12))
+        w = words(rng, rng.randrange(0, 4)) + w + (rng.choice(passages) if rng.random() < 0.5 else [])
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) < 380
+
+
+def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts that share eight words and no more, which none of the joins may pair with each other."""
+    from genoframe.llm import jaccard
+
+    kept = []
+    whole = jaccard.early_enough
+    monkeypatch.setattr(jaccard, "early_enough", lambda rest, scratch: kept.append((rest.count(), whole(rest, scratch).count())) or whole(rest, scratch))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id", F.lit(" b1 b2 b3 b4 b5 b6 b7 b8")).alias("text"))
+    assert jaccard_components(df).where("doc_id <> component_id").count() == 0
+    assert kept[0][0] >= 3000 and kept[0][1] == 0
+
+
 def test_jaccard_odd_rows(spark):
     text = " ".join(words(random.Random(4), 40))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
