@@ -138,8 +138,8 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-def learned_languages(docs: DataFrame) -> dict[str, bytes]:
-    return language.fit_dictionaries(docs.where(fold("doc_id", 4) != 2))
+def learned_languages(docs: DataFrame) -> language.Learned:
+    return language.Learned(docs.where(fold("doc_id", 4) != 2))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

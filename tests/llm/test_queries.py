@@ -127,7 +127,7 @@ def plain_language(text, dictionaries):
 
 
 def test_language(spark, rows, texts, duck):
-    dictionaries = queries.learned_languages(queries.table(spark, SF, "documents"))
+    (dictionaries,) = queries.learned_languages(queries.table(spark, SF, "documents")).slices()
     learned = {x for x, _ in duck.sql("SELECT lang, doc_id FROM documents WHERE lang IS NOT NULL").fetchall()}
     got = rows("op5_language")
     assert set(dictionaries) == learned and {r["doc_id"] for r in got} == set(texts)
@@ -237,7 +237,7 @@ def test_pipeline(spark, texts, duck):
     docs = queries.table(spark, SF, "documents")
     model = queries.learned_toxicity(docs, queries.table(spark, SF, "labels"))
     kept = {i: x for i, x in texts.items() if plain_toxicity(x, model) < 0.5}
-    dictionaries = queries.learned_languages(docs.where(docs["doc_id"].isin(list(kept))))
+    (dictionaries,) = queries.learned_languages(docs.where(docs["doc_id"].isin(list(kept)))).slices()
     codecs = language.Compressors(dictionaries)
     kept = {i: x for i, x in kept.items() if codecs.predict(x)[2]}
     kept = {i: kept[i] for i, (_, group) in brute_components(sorted(kept.items())).items() if i == group}

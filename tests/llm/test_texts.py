@@ -100,6 +100,27 @@ def test_language(spark):
     assert language.fit_dictionaries(df.limit(0)) == {}
 
 
+def test_slices_of_languages(spark, monkeypatch):
+    """Languages that are compared in slices give what all of them together do."""
+    rng = random.Random(2)
+    sound = {f"l{k:02d}": [rng.choice("abcdefghij") + rng.choice("aeiou") + rng.choice(["", "n", "rt"]) for _ in range(5)] for k in range(11)}
+    text = lambda k, n: " ".join("".join(rng.choice(sound[k]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(k, rng.randrange(5, 90)), k, None, i) for i, k in enumerate(list(sound) * 12)] + [(900, None, "l00", None, 1), (901, "77", "l01", None, 2)]
+    docs = docs_of(spark, rows)
+    everything = language.fit_dictionaries(docs)
+    whole = sorted(map(tuple, language.identify(docs, everything).collect()))
+    kept = sorted(map(tuple, language.drop_unknown(docs, everything).collect()))
+    assert len(everything) == 11 and 0 < len(kept) < len(rows)
+    for size in (1, 3, 11):
+        monkeypatch.setattr(language, "SLICE", size)
+        learned = language.Learned(docs)
+        assert [len(x) for x in learned.slices()] == [min(size, 11 - at) for at in range(0, 11, size)]
+        got = sorted(map(tuple, language.identify(docs, learned).collect()))
+        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in whole]
+        assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, whole, strict=True))
+        assert sorted(map(tuple, language.drop_unknown(docs, learned).collect())) == kept
+
+
 # -- toxicity --------------------------------------------------------------------
 def toxic_texts(n=600, seed=5):
     rng = random.Random(seed)
