@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from genoframe.operators.regions import parse_regions
 from genoframe.sources.containers import extract_regions, read_container, write_container
 from genoframe.sources.fasta import read_fasta, write_fasta, write_indexed_fasta
 from genoframe.sources.generator import Options, generate
+from genoframe.sources.indexed import fai_of
 from genoframe.sources.ranged import is_url
-from genoframe.sources.readers import open_reader
+from genoframe.sources.readers import Reader, open_reader
 
 
 def session() -> SparkSession:
@@ -66,6 +69,24 @@ def show_fasta(rows: DataFrame, out: str | None, width: int) -> None:
 KINDS = {"twobit": "2-bit", "twobe": "2-bit with edits", "fourbit": "4-bit", "faidx": "indexed FASTA"}
 
 
+def measured(spark: SparkSession, path: str, reader: Reader) -> DataFrame:
+    """Lengths of the sequences that a table of contents lists and, of an edit stream, their
+    numbers of edits, read by tasks."""
+    with_edits = reader.kind == "twobe"
+    places = sorted(reader.toc(), key=lambda x: x[1])
+    listed = spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(places)], "ordinal long, name string, place long")
+    names = ["ordinal", "name", "len"] + ["edits"] * with_edits
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = open_reader(path)
+        for batch in batches:
+            at = batch.column(2).to_pylist()
+            numbers = [[own.length_at(p) for p in at], *([[own.edits_at(p) for p in at]] if with_edits else [])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(n, pa.int64()) for n in numbers)], names=names)
+
+    return listed.repartitionByRange(spark.sparkContext.defaultParallelism, "place").mapInArrow(look, "ordinal long, name string, len long" + ", edits long" * with_edits)
+
+
 def info(spark: SparkSession, path: str) -> DataFrame:
     """A row for each sequence of a file: its place, name, length and, where the format
     has them, its blocks or edits. The file's own properties are repeated in each."""
@@ -73,12 +94,11 @@ def info(spark: SparkSession, path: str) -> DataFrame:
     if reader.kind == "twobit":
         rows = runs.twobit_stats(read_container(spark, path, "twobit"))
         about = f"{KINDS['twobit']}, {'64' if reader.long else '32'}-bit offsets, codes {'kept' if reader.iub else 'lost'}, index {reader.index}"
-    elif reader.kind == "twobe":
-        table = [(i, n, reader.length_at(p), reader.edits_at(p)) for i, (n, p) in enumerate(reader.toc())]
-        rows, about = spark.createDataFrame(table, "ordinal long, name string, len long, edits long"), KINDS["twobe"]
+    elif reader.kind == "faidx":
+        rows = fai_of(spark, path).select(F.col("offset").alias("ordinal"), F.col("of").alias("name"), F.col("length").alias("len"))
+        about = KINDS["faidx"] + (", in BGZF blocks" if reader.bgzf else "")
     else:
-        table = [(i, n, size) for i, (n, size) in enumerate(reader.infos())]
-        rows, about = spark.createDataFrame(table, "ordinal long, name string, len long"), KINDS[reader.kind] + (", in BGZF blocks" if getattr(reader, "bgzf", False) else "")
+        rows, about = measured(spark, path, reader), KINDS[reader.kind]
     return rows.withColumn("format", F.lit(about))
 
 

@@ -52,12 +52,17 @@ def _across_tiles(found: DataFrame, tile: int) -> DataFrame:
 def tile_runs(tiles: DataFrame, pattern: str, rest: str, tile: int, code: bool = False) -> DataFrame:
     """As ``runs``, from rows of ``name, ordinal, tile, total, bases`` with up to ``tile`` bases:
     no task needs more than a tile's bases. Without ``code`` all matches are of one kind."""
+    return _tile_runs(tiles, pattern, rest, tile, F.upper("base") if code else F.lit(""))
+
+
+def _tile_runs(tiles: DataFrame, pattern: str, rest: str, tile: int, code: Column) -> DataFrame:
+    """Runs whose ``code`` follows from their first ``base``."""
     parts = F.regexp_extract_all("bases", F.lit(f"((?:{pattern})|(?:{rest}))"), F.lit(1))
     cut = tiles.select("ordinal", "name", "tile", "total", F.posexplode(parts).alias("k", "part"))
     cut = cut.select("ordinal", "name", "tile", "total", "k", F.length("part").cast("long").alias("size"), F.substring("part", 1, 1).alias("base"))
     before = Window.partitionBy("ordinal", "name", "tile").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long")).where(F.col("base").rlike(f"^(?:{pattern})$"))
-    found = cut.select("ordinal", "name", "tile", "total", "start", "size", (F.upper("base") if code else F.lit("")).alias("code"))
+    found = cut.select("ordinal", "name", "tile", "total", "start", "size", code.alias("code"))
     return _across_tiles(found, tile).select("ordinal", "name", "start", "size", "code")
 
 
@@ -84,6 +89,29 @@ def tile_stats(tiles: DataFrame) -> DataFrame:
     return rows.groupBy("ordinal", "name").agg(F.max("total").alias("len"), *(F.sum(F.col(c) - F.when(joined, 1).otherwise(0)).alias(c) for c, joined in goes_on.items()))
 
 
+def tile_edits(tiles: DataFrame, tile: int) -> DataFrame:
+    """As ``edits``, from tiles. What a base adds to its layer is joined across tiles first, so
+    points that meet at a tile's end are a run; base and mask layers are joined apart."""
+    code = F.when(F.col("base").rlike(f"^[{_CODE_CLASS}]$"), F.upper("base")).otherwise("N")
+    base = _tile_runs(tiles, f"{_CODES}|{N_ONLY}", "[ACGTacgt]+", tile, code)
+    kind = F.when(F.col("code") == "N", N_RUN).when(F.col("size") == 1, IUB_POINT).otherwise(IUB_RUN)
+    base = base.select("ordinal", "name", F.col("start").alias("pos"), F.col("size").alias("len"), kind.cast("int").alias("etype"), F.when(F.col("code") == "N", "").otherwise(F.col("code")).alias("code"))
+    mask = tile_runs(tiles, MASK_BLOCKS, "[^a-z]+", tile)
+    return base.unionByName(mask.select("ordinal", "name", F.col("start").alias("pos"), F.col("size").alias("len"), F.lit(MASK_RUN).alias("etype"), F.lit("").alias("code")))
+
+
+def tile_run_index(stream: DataFrame, tile: int) -> DataFrame:
+    """As ``run_index``, by tiles: edits are numbered within the tile that they begin in, and
+    only numbers of edits by tile are summed over a whole sequence."""
+    placed = stream.withColumn("tile", F.floor(F.col("pos") / tile))
+    counts = placed.groupBy("ordinal", "name", "tile").agg(F.count(F.lit(1)).alias("count"))
+    before = Window.partitionBy("ordinal", "name").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("ordinal", "name", "tile", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    local = Window.partitionBy("ordinal", "name", "tile").orderBy("pos", "etype")
+    numbered = placed.withColumn("local", F.row_number().over(local) - 1).where(F.col("etype") != IUB_POINT)
+    return numbered.join(counts, ["ordinal", "name", "tile"]).withColumn("place", (F.col("base") + F.col("local")).cast("long")).drop("tile", "base", "local")
+
+
 def n_blocks(sequences: DataFrame) -> DataFrame:
     """Runs of whatever is not ACGT: N, codes and junk together."""
     return runs(sequences, N_BLOCKS, "[ACGTacgt]+").drop("code")
@@ -166,3 +194,40 @@ def overlapping(regions: DataFrame, blocks: DataFrame, size: int = BIN) -> DataF
     met = met.where(F.col("_bin") == F.floor(F.greatest("b_start", "start") / size))
     s, e = F.greatest("b_start", "start"), F.least(F.col("b_start") + F.col("b_size"), F.col("end"))
     return met.drop("of", "_bin", "b_bin").withColumns({"clip_start": s - F.col("start"), "clip_size": e - s})
+
+
+#: The order in which layers are laid over decoded bases: a later one changes what is there.
+LAYERS = ("N", "IUB", "MASK")
+
+
+def overlay(tiles: DataFrame, blocks: DataFrame, tile: int) -> DataFrame:
+    """Decoded tiles with blocks laid over them, N first, then codes, then the mask: what
+    ``blocks`` were taken from. ``blocks`` have ``name, kind, start, size, code`` and those of
+    a kind don't overlap.
+
+    A sweep over borders: each block's ends within a tile are events that change the layers'
+    states, sums over the events before give the states between two borders, and the pieces
+    that borders cut a tile's bases in are written anew and put together."""
+    span = blocks.where("size > 0").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.col("size") - 1) / tile))))
+    low = F.col("tile") * tile
+    a, b = F.greatest(F.col("start"), low) - low, F.least(F.col("start") + F.col("size"), low + tile) - low
+    change = {k: F.when(F.col("kind") == k, F.col("sign")).otherwise(0) for k in ("N", "MASK")}
+    # a code is a number that its block's end takes away again
+    codes = F.when(F.col("kind") == "IUB", F.col("sign") * F.ascii(F.upper("code"))).otherwise(0)
+    events = span.select("name", "tile", "kind", "code", F.explode(F.array(F.struct(a.alias("at"), F.lit(1).alias("sign")), F.struct(b.alias("at"), F.lit(-1).alias("sign")))).alias("e"))
+    events = events.select("name", "tile", "kind", "code", "e.*").groupBy("name", "tile", "at").agg(F.sum(change["N"]).alias("n"), F.sum(codes).alias("iub"), F.sum(change["MASK"]).alias("mask"))
+    # the part before a tile's first border
+    begin = events.select("name", "tile").distinct().select("name", "tile", F.lit(0).cast("long").alias("at"), *(F.lit(0).cast("long").alias(c) for c in ("n", "iub", "mask")))
+    events = events.unionByName(begin).groupBy("name", "tile", "at").agg(*(F.sum(c).alias(c) for c in ("n", "iub", "mask")))
+    order = Window.partitionBy("name", "tile").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.select("name", "tile", "at", F.coalesce(F.lead("at").over(order), F.lit(tile).cast("long")).alias("stop"), *(F.sum(c).over(so_far).alias(c) for c in ("n", "iub", "mask")))
+    t = tiles.select("ordinal", F.col("name").alias("of"), F.col("tile").cast("long").alias("number"), "total", "bases")
+    met = t.join(swept, (F.col("of") == F.col("name")) & (F.col("number") == F.col("tile")), "left")
+    piece = F.substring("bases", (F.coalesce("at", F.lit(0)) + 1).cast("int"), F.coalesce(F.col("stop") - F.col("at"), F.length("bases")).cast("int"))
+    size = F.length("piece")
+    laid = F.when(F.col("iub") > 0, F.repeat(F.char("iub"), size)).when(F.col("n") > 0, F.repeat(F.lit("N"), size)).otherwise(F.col("piece"))
+    laid = F.when(F.col("mask") > 0, F.lower(laid)).otherwise(laid)
+    pieces = met.withColumn("piece", piece).select("ordinal", "of", "number", "total", F.coalesce("at", F.lit(0)).alias("at"), laid.alias("piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
+    return pieces.groupBy("ordinal", "of", "number", "total").agg(whole.alias("bases")).select(F.col("of").alias("name"), "ordinal", F.col("number").alias("tile"), "total", "bases")

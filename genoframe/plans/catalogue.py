@@ -144,6 +144,29 @@ def tile_blocks(spark, sf_dir):
     return found.select("ordinal", "name", "kind", "start", "size", F.coalesce("code", F.lit("")).alias("code"))
 
 
+@query(f"{RUNS}, {ALL_EDITS} SELECT ordinal, name, pos, len, CAST(etype AS INTEGER) AS etype, code FROM edits")
+def tile_edits(spark, sf_dir):
+    """The edit stream of sequences that are stored as tiles."""
+    return runs.tile_edits(regions.to_tiles(sequences(spark, sf_dir), 1024), 1024)
+
+
+@query(f"""{RUNS}, {ALL_EDITS}, placed AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY pos, etype) - 1 AS place FROM edits)
+SELECT ordinal, name, place, pos, len, CAST(etype AS INTEGER) AS etype FROM placed WHERE etype <> 1""")
+def tile_run_index(spark, sf_dir):
+    stream = runs.tile_edits(regions.to_tiles(sequences(spark, sf_dir), 1024), 1024)
+    return runs.tile_run_index(stream, 1024).select("ordinal", "name", "place", "pos", "len", "etype")
+
+
+@query(f"""WITH {SEQS} SELECT ordinal, name, CAST(k AS BIGINT) AS tile, md5(substr(bases, k * 1024 + 1, 1024)) AS bases
+FROM (SELECT *, unnest(generate_series(0, greatest((length(bases) - 1) // 1024, 0))) AS k FROM seqs)""")
+def overlay_tiles(spark, sf_dir):
+    """Tiles decoded from two bits a base, with all blocks laid over them again."""
+    tiles = regions.to_tiles(sequences(spark, sf_dir), 1024)
+    blocks = runs.tile_blocks(tiles, 1024)
+    decoded = tiles.withColumn("bases", A.unpack2(A.pack2(F.col("bases")), F.length("bases")))
+    return runs.overlay(decoded, blocks, 1024).select("ordinal", "name", "tile", F.md5("bases").alias("bases"))
+
+
 # -- codecs ----------------------------------------------------------------------
 @query(f"""{RUNS}, quads AS (SELECT name, p // 4 AS q, CAST(sum((CASE upper(c) WHEN 'C' THEN 1 WHEN 'A' THEN 2 WHEN 'G' THEN 3 ELSE 0 END) * (1 << CAST(6 - 2 * (p % 4) AS INTEGER))) AS INTEGER) AS b FROM chars GROUP BY name, q)
 SELECT s.name, md5(coalesce(string_agg(upper(format('{{:02x}}', b)), '' ORDER BY q), '')) AS packed FROM seqs s LEFT JOIN quads ON s.name = quads.name GROUP BY s.name""")

@@ -461,10 +461,19 @@ class FaidxReader(Reader):
 
     def __init__(self, source, fai: list[tuple[str, int, int, int, int]] | None = None, gzi: bytes | None = None):
         self.bgzf = is_bgzf(source.read_at(0, min(18, source.size)))
-        super().__init__(_Inflated(source, gzi) if self.bgzf else source)
-        self.fai = fai if fai is not None else scan_fai(self.source.read_at(0, self.source.size))
+        super().__init__(source)
+        self.gzi = gzi
+        self.given = fai
         self.index_requests = (0, 0)
 
+    @cached_property
+    def text(self):
+        return _Inflated(self.source, self.gzi) if self.bgzf else self.source
+
+    @cached_property
+    def fai(self) -> list[tuple[str, int, int, int, int]]:
+        return self.given if self.given is not None else scan_fai(self.text.read_at(0, self.text.size))
+
     def toc(self):
         return [(r[0], i) for i, r in enumerate(self.fai)]
 
@@ -481,7 +490,7 @@ class FaidxReader(Reader):
             return ""
         per = max(bases, 1)
         first, last = (offset + p // per * width + p % per for p in (s, e - 1))
-        return self.source.read_at(first, last + 1 - first).translate(None, b"\r\n").decode("latin-1")
+        return self.text.read_at(first, last + 1 - first).translate(None, b"\r\n").decode("latin-1")
 
 
 def detect(head: bytes) -> str:

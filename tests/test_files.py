@@ -77,8 +77,8 @@ def test_bgzf_blocks(spark, tmp_path):
     assert r.extract("s1", 60_000, 60_020) == "ACGTACGTACACGTACGTAC"
     with open(path + ".gzi", "rb") as f:
         gzi = f.read()
-    blocks = r.source.blocks
-    assert blocks == bgzf_blocks(r.source.under) == indexed_blocks(r.source.under, gzi)
+    blocks = r.text.blocks
+    assert blocks == bgzf_blocks(r.text.under) == indexed_blocks(r.text.under, gzi)
     assert int.from_bytes(gzi[:8], "little") == len(blocks) - 1
     assert [int.from_bytes(gzi[8 + 8 * i : 16 + 8 * i], "little") for i in range(2)] == [blocks[1][0], blocks[1][2]]
 
@@ -171,7 +171,7 @@ def test_each_block_is_inflated_once(spark, tmp_path, indexed):
     count = spark.sparkContext.accumulator(0)
     got = sorted((tuple(r) for r in I.extract_regions(spark, path, df, True, count).collect()), key=str)
     assert got == sorted(((i, n, s, e, bases[n][s:e]) for i, n, s, e in asked), key=str)
-    assert 0 < count.value <= len(bgzf_blocks(open_reader(path).source.under))
+    assert 0 < count.value <= len(bgzf_blocks(open_reader(path).text.under))
     assert sorted((tuple(r) for r in extract_regions(spark, path, df).collect()), key=str) == got
     with pytest.raises(Exception, match='no sequence named "nope"'):
         extract_regions(spark, path, spark.createDataFrame([(0, "nope", 0, 1)], df.schema)).collect()

@@ -108,6 +108,22 @@ def test_runs_of_tiles_are_those_of_whole_sequences(spark):
         assert found(runs.tile_stats(t), "ordinal", "len", "n_blocks", "mask_blocks", "iub_blocks") == found(runs.twobit_stats(s), "ordinal", "len", "n_blocks", "mask_blocks", "iub_blocks")
 
 
+@pytest.mark.parametrize("tile", [1, 3, 8, 64])
+def test_edits_of_tiles(spark, tile):
+    """Runs, points that meet at a tile's end, junk of several kinds, and the mask over all."""
+    s = seqs(spark, "ACGTNNNryacgtRRRYYYacgtNacgtKMB-*NxnN", "RRRRrrRRRRacgtACGTNNNN", "", "rryyRY", "N-n*", "ACGT" * 20)
+    t = regions.to_tiles(s, tile)
+    key = lambda df, *c: sorted(map(tuple, df.select("ordinal", *c).collect()))
+    columns = ("pos", "len", "etype", "code")
+    assert key(runs.tile_edits(t, tile), *columns) == key(runs.edits(s), *columns)
+    assert key(runs.tile_run_index(runs.edits(s), tile), "place", "pos", "etype") == key(runs.run_index(runs.edits(s)), "place", "pos", "etype")
+    decoded = t.withColumn("bases", A.unpack2(A.pack2(F.col("bases")), F.length("bases")))
+    laid = runs.overlay(decoded, runs.tile_blocks(t, tile), tile)
+    want = t.select("ordinal", F.col("tile").cast("long").alias("tile"), A.degrade_iub(F.col("bases")).alias("bases"))
+    assert laid.columns == t.select("name", "ordinal", "tile", "total", "bases").columns
+    assert key(laid, "tile", "bases") == key(want, "tile", "bases")
+
+
 def test_overlaps_by_bins(spark):
     b = spark.createDataFrame([("c", i * 7, i % 9) for i in range(60)], "name string, start long, size long")
     r = spark.createDataFrame([("c", i * 11, i * 11 + i) for i in range(40)], "name string, start long, end long")
