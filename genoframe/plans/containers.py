@@ -3,9 +3,11 @@ containers' sizes and times on generated sequences."""
 
 from __future__ import annotations
 
+import http.server
 import os
 import shutil
 import tempfile
+import threading
 import time
 from collections.abc import Callable
 
@@ -13,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe import cli
-from genoframe.plans.derived import REGIONS, SEQS, STATS_SQL, regions, sequences
+from genoframe.plans.derived import REGIONS, SEQS, STATS_SQL, regions, sequences, table
 from genoframe.sources.chunks import bgzf_block_table, fasta_tiles
 from genoframe.sources.containers import extract_regions, read_container, write_container
 from genoframe.sources.fasta import format_catalog, read_fai, read_fasta, scan_fai_table, write_fasta, write_indexed_fasta
 from genoframe.sources.generator import Options, generate
 
 _folders: list[str] = []
+_servers: list[http.server.ThreadingHTTPServer] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,8 +38,42 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+class Ranges(http.server.SimpleHTTPRequestHandler):
+    """Answers requests for a range of a file's bytes."""
+
+    def do_GET(self):  # noqa: N802
+        path = self.translate_path(self.path)
+        if not os.path.isfile(path):
+            return self.send_error(404)
+        size = os.path.getsize(path)
+        low, high = self.headers["Range"].removeprefix("bytes=").split("-")
+        low, high = int(low), min(int(high), size - 1)
+        self.send_response(206)
+        self.send_header("Content-Range", f"bytes {low}-{high}/{size}")
+        self.send_header("Content-Length", str(high + 1 - low))
+        self.end_headers()
+        with open(path, "rb") as f:
+            f.seek(low)
+            self.wfile.write(f.read(high + 1 - low))
+        return None
+
+    def log_message(self, *args):
+        pass
+
+
+def serve(spark: SparkSession, path: str) -> str:
+    """The URL under which the driver's host serves a folder until ``clear``."""
+    host = spark.sparkContext.getConf().get("spark.driver.host") or "127.0.0.1"
+    server = http.server.ThreadingHTTPServer(("", 0), lambda *a: Ranges(*a, directory=path))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    _servers.append(server)
+    return f"http://{host}:{server.server_port}"
+
+
 def clear() -> None:
     """Drop all written files; results that read them can't be used any more."""
+    while _servers:
+        _servers.pop().shutdown()
     while _folders:
         shutil.rmtree(_folders.pop(), ignore_errors=True)
 
@@ -136,6 +173,21 @@ def faidx_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, "faidx")
 
 
+def _remote(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
+    path = folder(spark)
+    write_container(sequences(spark, sf_dir), f"{path}/x", kind, **options)
+    return extract_regions(spark, f"{serve(spark, path)}/x", regions(spark, sf_dir)).select("ordinal", F.md5("bases").alias("digest"))
+
+
+def remote_twobit_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By range requests to a server, names found by the tree."""
+    return _remote(spark, sf_dir, "twobit", iub=True, index="bpt")
+
+
+def remote_twobe_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _remote(spark, sf_dir, "twobe")
+
+
 def unindexed_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a plain FASTA file whose index is found by scanning it."""
     path = f"{folder(spark)}/x.fa"
@@ -206,6 +258,12 @@ def random_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate(spark, Options(300, 200, 0.05, 0.0, 20_240_601, "r"))
 
 
+def generated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated sequence for each document, with one run of N each."""
+    n = table(spark, sf_dir, "documents").count()
+    return generate(spark, Options(n, 200, 0.05, 0.0, 20_240_601, "r", n_runs=1))
+
+
 # -- commands ----------------------------------------------------------------------
 def _commanded(spark: SparkSession, sf_dir: str, *commands: str) -> DataFrame:
     """Commands on a FASTA file of all sequences, ``in``, that end in the file ``out``."""
@@ -264,7 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         twobit_container_roundtrip, twobit_iub_container_roundtrip, twobe_container_roundtrip, fourbit_container_roundtrip, fasta_roundtrip, bgzf_container_roundtrip,
-        twobe_extract_regions, twobit_extract_regions, twobit_flat_extract_regions, fourbit_extract_regions, faidx_extract_regions, bgzf_extract_regions, unindexed_extract_regions, fasta_tile_scan, bgzf_tile_scan, unindexed_bgzf_sequences, named_sequences, pointed_sequences,
+        twobe_extract_regions, twobit_extract_regions, twobit_flat_extract_regions, fourbit_extract_regions, faidx_extract_regions, bgzf_extract_regions, unindexed_extract_regions, remote_twobit_extract_regions, remote_twobe_extract_regions, generated_runs, fasta_tile_scan, bgzf_tile_scan, unindexed_bgzf_sequences, named_sequences, pointed_sequences,
         format_catalogue, scanned_fai, fai_file, bgzf_blocks, random_sequences, cli_twobit, cli_fourbit, cli_twobe, cli_faidx, cli_extract, cli_info, cli_random,
     )
 }
@@ -304,6 +362,12 @@ _RANDOM = f"""WITH places AS (SELECT i, p FROM range(300) a(i), range(200) b(p))
 made AS (SELECT i, p, CASE WHEN ({_draw("i * 600 + 400 + p + 1")} // 2048::UHUGEINT)::DOUBLE / 9007199254740992 < 0.05 THEN 'N'
   ELSE substr('ACGT', CAST({_draw("i * 600 + p + 1")} % 4::UHUGEINT AS INTEGER) + 1, 1) END AS base FROM places)"""
 
+#: Of each sequence 200 numbers for letters, 200 for codes, and one for the gap before its run of 10.
+_RUNS = f"""WITH places AS (SELECT i, p FROM range((SELECT count(*) FROM documents)) a(i), range(200) b(p)),
+gaps AS (SELECT i, CAST({_draw("i * 401 + 401")} % 191::UHUGEINT AS BIGINT) AS gap FROM range((SELECT count(*) FROM documents)) a(i)),
+made AS (SELECT places.i, p, CASE WHEN p >= gap AND p < gap + 10 THEN 'N' ELSE substr('ACGT', CAST({_draw("places.i * 401 + p + 1")} % 4::UHUGEINT AS INTEGER) + 1, 1) END AS base FROM places JOIN gaps ON gaps.i = places.i)
+SELECT i AS ordinal, 'r' || i AS name, string_agg(base, '' ORDER BY p) AS bases FROM made GROUP BY i"""
+
 ORACLES = {
     "twobit_container_roundtrip": _digest(_DEGRADED.format("bases")),
     "twobit_iub_container_roundtrip": _digest("bases"),
@@ -318,6 +382,9 @@ ORACLES = {
     "faidx_extract_regions": _window_digest(),
     "bgzf_extract_regions": _window_digest(),
     "unindexed_extract_regions": _window_digest(),
+    "remote_twobit_extract_regions": _window_digest(),
+    "remote_twobe_extract_regions": _window_digest(),
+    "generated_runs": _RUNS,
     "fasta_tile_scan": _TILES,
     "bgzf_tile_scan": _TILES,
     "unindexed_bgzf_sequences": _digest("bases"),

@@ -95,10 +95,18 @@ class Tree:
     def __init__(self, source, base: int):
         self.source, self.base = source, base
         self.width, self.fanout, self.count, self.root = struct.unpack("<IIQQ", source.read_at(base, 24))
+        self.top = self.count  # entries of the root
+        while self.top > self.fanout > 1:
+            self.top = -(-self.top // self.fanout)
 
     def _node(self, at: int) -> tuple[bool, list[bytes], np.ndarray]:
-        leaf, count = struct.unpack("<BxH", self.source.read_at(self.base + at, 4))
-        raw = np.frombuffer(self.source.read_at(self.base + at + 4, count * (self.width + 8)), [("k", f"S{self.width}"), ("v", "<u8")])
+        # a node and its header at once: what follows it is at hand then, or near the file's end
+        most = 4 + (self.top if at == self.root else self.fanout) * (self.width + 8)
+        held = self.source.read_at(self.base + at, min(most, self.source.size - self.base - at))
+        leaf, count = struct.unpack_from("<BxH", held)
+        if len(held) < 4 + count * (self.width + 8):
+            raise ValueError("a node of the name tree is cut short")
+        raw = np.frombuffer(held, [("k", f"S{self.width}"), ("v", "<u8")], count, 4)
         return bool(leaf), raw["k"].tolist(), raw["v"]
 
     def find(self, name: str) -> int | None:

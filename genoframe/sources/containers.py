@@ -424,12 +424,19 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
         known, place, whole = None, None, None
         for batch in batches:
             names, starts, ends = (c.to_pylist() for c in batch.columns[1:])
+            places: dict[str, int] = {}
+            for name in names:
+                if name not in places:
+                    found = place if name == known else reader.find(name)
+                    if found is None:
+                        raise KeyError(f'no sequence named "{name}"')
+                    places[name] = found
+            # a reader's places are bytes of the file but for FASTA, where they number its index
+            reader.source.prefetch(list(places.values()) if reader.kind != "faidx" else [])
             bases = []
             for name, start, end in zip(names, starts, ends, strict=True):
                 if name != known:
-                    place, whole = reader.find(name), None
-                    if place is None:
-                        raise KeyError(f'no sequence named "{name}"')
+                    place, whole = places[name], None
                     known, short = name, reader.length_at(place) <= WHOLE
                 if short and whole is None:
                     whole = reader.extract_at(place)

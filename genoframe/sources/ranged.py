@@ -3,20 +3,37 @@ Arrow's file systems know, such as ``s3://`` or ``hdfs://``."""
 
 from __future__ import annotations
 
+import http.client
 import os
+import time
+import urllib.error
 import urllib.request
 from collections import OrderedDict
+from email.message import Message
 
 from pyarrow import fs
 
 HTTP_BLOCK = 8192
-#: Blocks that an HTTP source keeps.
+#: Blocks that an HTTP source keeps, blocks that it fetches without need to save a request, and
+#: blocks of one request.
 HTTP_KEPT = 4096
+GAP = 3
+LONGEST = 512
+#: Tries of a request, seconds before it is given up and before it is tried again at first.
+TRIES, TIMEOUT, PAUSE = 4, 60, 0.2
 
 
-class MemorySource:
+class Source:
+    """Bytes by position. Those that cost nothing to ask for have no use for a plan."""
+
     requests = fetched = 0
 
+    def prefetch(self, places: list[int]) -> None:
+        """What will be read soon."""
+
+
+class MemorySource(Source):
+
     def __init__(self, data: bytes):
         self.data, self.size = data, len(data)
 
@@ -26,9 +43,7 @@ class MemorySource:
         return self.data[offset : offset + n]
 
 
-class FileSource:
-    requests = fetched = 0
-
+class FileSource(Source):
     def __init__(self, path: str):
         self.file = open(path, "rb")
         self.size = os.fstat(self.file.fileno()).st_size
@@ -40,11 +55,9 @@ class FileSource:
         return self.file.read(n)
 
 
-class StoreSource:
+class StoreSource(Source):
     """A file of a remote store, by its URI."""
 
-    requests = fetched = 0
-
     def __init__(self, uri: str):
         store, path = fs.FileSystem.from_uri(uri)
         self.file = store.open_input_file(path)
@@ -56,26 +69,44 @@ class StoreSource:
         return self.file.read_at(n, offset)
 
 
-class HttpSource:
-    """Aligned blocks are cached; missing neighbours are fetched by one request."""
+class HttpSource(Source):
+    """Aligned blocks are cached; missing neighbours are fetched by one request, and a plan's
+    blocks together with small gaps between them. A request that fails is tried again, up to
+    TRIES times in all."""
 
     def __init__(self, url: str, block: int = 0):
+        self.url = url
         self.block = block or int(os.environ.get("GENOFRAME_HTTP_BLOCK", HTTP_BLOCK))
         self.kept: OrderedDict[int, bytes] = OrderedDict()
         self.requests = self.fetched = 0
-        request = urllib.request.Request(url, headers={"Range": "bytes=0-0"})
-        with urllib.request.urlopen(request) as answer:
-            self.url = answer.geturl()
-            whole = (answer.headers.get("Content-Range") or "").rpartition("/")[2]
+        _, headers, self.url = self._get(0, 1)
+        whole = (headers.get("Content-Range") or "").rpartition("/")[2]
         if not whole.isdigit():
             raise ValueError(f"{url}: the server does not answer range requests")
         self.size = int(whole)
 
+    def _get(self, low: int, high: int) -> tuple[bytes, Message, str]:
+        for k in range(TRIES):
+            try:
+                request = urllib.request.Request(self.url, headers={"Range": f"bytes={low}-{high - 1}"})
+                with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
+                    data = answer.read(high - low + 1)
+                    if len(data) == high - low or not answer.headers.get("Content-Range"):
+                        return data, answer.headers, answer.geturl()
+                failed: Exception = ValueError(f"{self.url}: {len(data)} bytes of a range of {high - low}")
+            except urllib.error.HTTPError as e:
+                if e.code < 500 and e.code != 429:
+                    raise
+                failed = e
+            except (OSError, http.client.HTTPException) as e:
+                failed = e
+            if k + 1 < TRIES:
+                time.sleep(PAUSE * 2**k)
+        raise failed
+
     def _fetch(self, first: int, last: int) -> None:
         low, high = first * self.block, min(self.size, (last + 1) * self.block)
-        request = urllib.request.Request(self.url, headers={"Range": f"bytes={low}-{high - 1}"})
-        with urllib.request.urlopen(request) as answer:
-            data = answer.read()
+        data, _, _ = self._get(low, high)
         if len(data) != high - low:
             raise ValueError(f"{self.url}: {len(data)} bytes of a range of {high - low}")
         self.requests += 1
@@ -83,6 +114,21 @@ class HttpSource:
         for k in range(first, last + 1):
             self.kept[k] = data[(k - first) * self.block : (k - first + 1) * self.block]
 
+    def prefetch(self, places: list[int]) -> None:
+        """Fetch the blocks of some places, as many as half the cache holds: those that are
+        near each other by one request."""
+        missing = sorted({p // self.block for p in places if 0 <= p < self.size} - self.kept.keys())[: HTTP_KEPT // 2]
+        while len(self.kept) + len(missing) > HTTP_KEPT and self.kept:
+            self.kept.popitem(last=False)
+        runs: list[list[int]] = []
+        for k in missing:
+            if runs and k - runs[-1][1] <= 1 + GAP and k - runs[-1][0] < LONGEST:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+        for first, last in runs:
+            self._fetch(first, last)
+
     def read_at(self, offset: int, n: int) -> bytes:
         if offset < 0 or n < 0 or offset + n > self.size:
             raise ValueError(f"read of {n} bytes at {offset} is past the end ({self.size})")

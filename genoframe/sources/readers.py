@@ -18,7 +18,7 @@ from genoframe.sources import codec as C
 from genoframe.sources.ranged import is_url, open_source, read_beside
 
 #: Bytes of a table of contents that are read at once.
-TOC_CHUNK = 1 << 20
+TOC_CHUNK = 8 << 20
 #: Bytes that are read at once in search of headers that stand between bases.
 HEADERS = 1 << 13
 #: Block tables up to which a table is read whole; larger ones are searched by halves.
@@ -124,15 +124,19 @@ class TwoBitReader(Reader):
     def _entries(self, at: int, count: int, chunk: int = TOC_CHUNK) -> Iterator[tuple[str, int, int]]:
         """Entries that follow one another, read a chunk at a time."""
         width, kind = (8, "Q") if self.long else (4, "I")
-        held, i = b"", 0
-        for _ in range(count):
+        held, i, first = b"", 0, 0
+        for k in range(count):
             if i >= len(held) or i + 1 + held[i] + width > len(held):
                 at, i = at + i, 0
-                held = self.source.read_at(at, min(chunk, self.source.size - at))
+                # records mostly begin where the table ends, and the first entry says where
+                most = 264 if not k else max(264, min(chunk, first - at)) if first > at else chunk
+                held = self.source.read_at(at, min(most, self.source.size - at))
                 if not held or 1 + held[0] + width > len(held):
                     raise ValueError("the table of contents is cut short")
             end = i + 1 + held[i]
-            yield held[i + 1 : end].decode("utf-8", "replace"), struct.unpack_from(self.order + kind, held, end)[0], at + end + width
+            place = struct.unpack_from(self.order + kind, held, end)[0]
+            first = first or place
+            yield held[i + 1 : end].decode("utf-8", "replace"), place, at + end + width
             i = end + width
 
     @cached_property
@@ -146,15 +150,15 @@ class TwoBitReader(Reader):
         if self.index == "bpt":
             return C.Tree(self.source, self.index_at).find(name)
         if self.index == "ptr" and "_by_name" not in self.__dict__:
-            found = self._pointed(name, last=True)
+            found = self._pointed(name, any_=True)
             return found[0][0] if found else None
         return super().find(name)
 
     indexed = property(lambda self: self.index != "none")
 
-    def _pointed(self, name: str, last: bool = False) -> list[tuple[int, int]]:
+    def _pointed(self, name: str, any_: bool = False) -> list[tuple[int, int]]:
         """Places and entries of a name by the sorted pointers: a search by halves for the
-        first, or the last, and its equals behind it."""
+        first of them and its equals behind it, or for any one."""
         key = name.encode("utf-8")
 
         def entry(i: int) -> tuple[bytes, int, int]:
@@ -165,13 +169,16 @@ class TwoBitReader(Reader):
         low, high = 0, self.count
         while low < high:
             mid = (low + high) // 2
-            own = entry(mid)[0]
-            low, high = (mid + 1, high) if own < key or last and own == key else (low, mid)
+            own, *hit = entry(mid)
+            if any_ and own == key:
+                return [(hit[0], hit[1])]
+            low, high = (mid + 1, high) if own < key else (low, mid)
         out = []
-        for i in range(low - 1, low) if last else range(low, self.count):
-            if i < 0 or (found := entry(i))[0] != key:
+        for i in range(low, low if any_ else self.count):
+            own, *hit = entry(i)
+            if own != key:
                 break
-            out.append(found[1:])
+            out.append((hit[0], hit[1]))
         return out
 
     def find_all(self, name):

@@ -5,14 +5,19 @@ import http.server
 import os
 import random
 import threading
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from genoframe import cli
+from genoframe.plans.containers import Ranges
 from genoframe.sources import fasta
+from genoframe.sources.batch import ragged
 from genoframe.sources.chunks import bgzf_block_table
-from genoframe.sources.containers import extract_regions, read_container, write_container
+from genoframe.sources.containers import TwoBeWriter, TwoBitWriter, extract_regions, read_container, write_container
 from genoframe.sources.generator import Options, Stream, generate, make
 from genoframe.sources.readers import bgzf_blocks, indexed_blocks, open_reader
 
@@ -231,31 +236,90 @@ def test_generator(spark):
     assert make(Stream(1), Options(1, 20, 0, 0, 1)).tobytes().decode() == "".join("ACGT"[x % 4] for x in first)
 
 
-class Ranges(http.server.SimpleHTTPRequestHandler):
-    def do_GET(self):  # noqa: N802
-        with open(self.translate_path(self.path), "rb") as f:
-            data = f.read()
-        a, b = self.headers["Range"].removeprefix("bytes=").split("-")
-        a, b = int(a), min(int(b), len(data) - 1)
-        self.send_response(206)
-        self.send_header("Content-Range", f"bytes {a}-{b}/{len(data)}")
-        self.send_header("Content-Length", str(b + 1 - a))
-        self.end_headers()
-        self.wfile.write(data[a : b + 1])
-
-    def log_message(self, *args):
-        pass
+def test_requests_of_a_fetch(tmp_path):
+    """A short sequence of a file of 500,000, by a reader that is opened for it: requests and
+    bytes stay near what the formats' indexes allow."""
+    n = 500_000
+    rng = np.random.default_rng(1)
+    data = np.frombuffer(b"ACGT", np.uint8)[rng.integers(0, 4, n * 300)]
+    data[rng.random(n * 300) < 0.005] = ord("R")
+    ends = pa.py_buffer((np.arange(n + 1) * 300).astype(np.int32).tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([f"seq{i}" for i in range(n)]), pa.Array.from_buffers(pa.string(), n, [None, ends, pa.py_buffer(data.tobytes())])], names=["name", "bases"])
+    with serving(tmp_path) as url:
+        for name, writer, requests, kib in (
+            ("flat", TwoBitWriter("/x", [], False, False, "none"), 4, 6.7 * 1024), ("ptr", TwoBitWriter("/x", [], False, True, "ptr"), 22, 175),
+            ("bpt", TwoBitWriter("/x", [], False, True, "bpt"), 6.6, 54), ("twobe", TwoBeWriter("/x", []), 7, 51),
+        ):
+            records = [r for _, r in writer.encode(batch)]
+            head, tail = writer.frame(ragged(batch.column(0)), np.concatenate([r.sizes for r in records]))
+            (tmp_path / name).write_bytes(head + b"".join(r.data.tobytes() for r in records) + tail)
+            del records
+            used = []
+            for i in range(5, n, 33_000):
+                r = open_reader(f"{url}/{name}")
+                assert r.extract(f"seq{i}").replace("N", "R") == data[i * 300 : (i + 1) * 300].tobytes().decode()
+                used.append(r.http_stats())
+            assert np.mean(used, axis=0)[0] <= requests and np.mean(used, axis=0)[1] / 1024 <= kib, name
+            # a plan of neighbouring records takes a request for many blocks
+            r = open_reader(f"{url}/{name}")
+            places = [r.find(f"seq{i}") for i in range(0, 3000, 50)]
+            before = r.http_stats()[0]
+            r.source.prefetch(places)
+            assert r.http_stats()[0] - before <= 3
+            before = r.http_stats()[0]
+            assert all(len(r.extract_at(p)) == 300 for p in places) and r.http_stats()[0] - before <= 6
+
+
+def test_failing_requests_are_tried_again(tmp_path, monkeypatch):
+    from genoframe.sources import ranged
+
+    monkeypatch.setattr(ranged, "PAUSE", 0.01)
+    (tmp_path / "x").write_bytes(bytes(range(256)) * 200)
+    faults = []
+
+    class Faulty(Ranges):
+        def do_GET(self):  # noqa: N802
+            fault = faults.pop(0) if faults else None
+            if fault == "busy":
+                return self.send_error(503)
+            if fault == "short":
+                self.send_response(206)
+                self.send_header("Content-Range", "bytes 0-9/51200")
+                self.send_header("Content-Length", "100")
+                self.end_headers()
+                self.wfile.write(b"few")
+                return None
+            if fault == "gone":
+                return self.connection.close()
+            return super().do_GET()
+
+    with serving(tmp_path, Faulty) as url:
+        faults += ["busy", "gone"]
+        source = ranged.HttpSource(f"{url}/x", 1000)
+        faults += ["short", "busy", "gone"]
+        assert source.read_at(5, 3000) == (bytes(range(256)) * 200)[5:3005] and source.requests == 1
+        faults += ["busy"] * 4
+        with pytest.raises(Exception, match="503"):
+            source.read_at(20_000, 10)
+        with pytest.raises(Exception, match="404"):
+            ranged.HttpSource(f"{url}/y")
+
+
+@contextmanager
+def serving(folder, handler=Ranges):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), lambda *a: handler(*a, directory=str(folder)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
 
 
 def test_remote(spark, seqs, tmp_path):
     write_container(seqs, str(tmp_path / "x.2be"), "twobe")
     write_container(seqs, str(tmp_path / "x.2bit"), "twobit", iub=True, index="bpt")
     fasta.write_indexed_fasta(seqs, str(tmp_path / "x.fa"), 10, True)
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), lambda *a: Ranges(*a, directory=str(tmp_path)))
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    try:
+    with serving(tmp_path) as base:
         for name in ("x.2be", "x.2bit", "x.fa"):
-            url = f"http://127.0.0.1:{server.server_port}/{name}"
+            url = f"{base}/{name}"
             r = open_reader(url)
             assert r.extract("seqM", 3, 20) == SEQS[2][1][3:20]
             requests, fetched = r.http_stats()
@@ -264,8 +328,6 @@ def test_remote(spark, seqs, tmp_path):
             used = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
             assert [r["bases"] for r in extract_regions(spark, url, asked, used).orderBy("ordinal").collect()] == [SEQS[1][1][2:9]] * 2 + [SEQS[0][1]]
             assert used[0].value >= requests and used[1].value >= fetched
-    finally:
-        server.shutdown()
 
 
 def test_commands(spark, tmp_path, capsys):
