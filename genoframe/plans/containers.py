@@ -25,12 +25,19 @@ _folders: list[str] = []
 _servers: list[http.server.ThreadingHTTPServer] = []
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that any folder is shared."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def folder(spark: SparkSession) -> str:
     """A folder for written files: under the cluster's shared folder, which must be
     mounted, since containers are written by position; a temporary one where none is set."""
     shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
     if shared and not os.path.isabs(shared):
         raise ValueError(f"containers need a mounted shared folder, not {shared}")
+    if not shared and not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if shared:
         os.makedirs(shared, exist_ok=True)
     path = tempfile.mkdtemp(prefix="containers-", dir=shared or None)
