@@ -409,25 +409,30 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
     and reads on from one window to the next. A short sequence is decoded once for all of a
     task's windows; of a longer one only what its windows ask for. ``used`` are
     accumulators that the tasks add their HTTP requests and bytes to. The requests of a place
-    that has over HOT of them are dealt to several tasks. Of FASTA files without an index and
-    of BGZF files, requests are joined with index and blocks, see ``indexed``."""
+    that has over HOT of them are dealt to several tasks. A file without an index of names has
+    its table of contents read once, and requests are joined with it; those to FASTA files are
+    joined with their index, and to BGZF files with their blocks too, see ``indexed``."""
+    toc = None
     if not is_url(path):
         source = open_source(path)
         kind = detect(source.read_at(0, min(64, source.size)))
-        if kind == "bgzf" or kind == "fasta" and not has_index(path):
+        if kind in ("bgzf", "fasta"):
             from genoframe.sources import indexed
 
             return indexed.extract_regions(spark, path, regions, kind == "bgzf")
+        reader = open_reader(path)
+        if not reader.indexed:  # of equal names the last
+            toc = spark.createDataFrame(list(dict(reader.toc()).items()), "of string, at long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = open_reader(path)
         known, place, whole = None, None, None
         for batch in batches:
-            names, starts, ends = (c.to_pylist() for c in batch.columns[1:])
+            names, starts, ends, given = (c.to_pylist() for c in batch.columns[1:])
             places: dict[str, int] = {}
-            for name in names:
+            for name, at in zip(names, given, strict=True):
                 if name not in places:
-                    found = place if name == known else reader.find(name)
+                    found = place if name == known else reader.find(name) if at is None else at
                     if found is None:
                         raise KeyError(f'no sequence named "{name}"')
                     places[name] = found
@@ -441,13 +446,19 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
                 if short and whole is None:
                     whole = reader.extract_at(place)
                 bases.append(whole[start or 0 : end] if short else reader.extract_at(place, start or 0, end))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bases, pa.string())], names=["ordinal", "name", "start", "end", "bases"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bases, pa.string())], names=["ordinal", "name", "start", "end", "bases"])
         for counter, n in zip(used or (), reader.http_stats(), strict=False):
             counter.add(n)
 
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_parts(regions).repartition(shuffled, "name", "_place", "_part").sortWithinPartitions("name", "start")
-    return dealt.select("ordinal", "name", "start", "end").mapInArrow(run, "ordinal long, name string, start long, end long, bases string")
+    asked = with_parts(regions)
+    if toc is None:
+        asked = asked.withColumn("at", F.lit(None).cast("long"))
+    else:
+        missing = F.raise_error(F.concat(F.lit('no sequence named "'), "name", F.lit('"'))).cast("long")
+        asked = asked.join(toc, F.col("name") == F.col("of"), "left").withColumn("at", F.coalesce("at", missing))
+    dealt = asked.repartition(shuffled, "name", "_place", "_part").sortWithinPartitions("at", "name", "start")
+    return dealt.select("ordinal", "name", "start", "end", "at").mapInArrow(run, "ordinal long, name string, start long, end long, bases string")
 
 
 def with_parts(regions: DataFrame) -> DataFrame:
