@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from genoframe import cli
 from genoframe.plans.derived import REGIONS, SEQS, STATS_SQL, regions, sequences, table
 from genoframe.sources.chunks import bgzf_block_table, fasta_tiles
-from genoframe.sources.containers import extract_regions, read_container, write_container
+from genoframe.sources.containers import extract_regions, read_container, write_container, write_shards
 from genoframe.sources.fasta import format_catalog, read_fai, read_fasta, scan_fai_table, write_fasta, write_indexed_fasta
 from genoframe.sources.generator import Options, generate
 
@@ -224,6 +224,37 @@ def pointed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", F.md5("bases").alias("digest"))
 
 
+# -- containers of many files ------------------------------------------------------
+def _sharded(spark: SparkSession, sf_dir: str, kind: str, **options) -> str:
+    """A folder of containers, of a MiB of records each, so that a task writes several."""
+    path = f"{folder(spark)}/x"
+    write_shards(sequences(spark, sf_dir), path, kind, file_bytes=1 << 20, **options)
+    return path
+
+
+def sharded_twobit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences, numbered through all files."""
+    found = read_container(spark, _sharded(spark, sf_dir, "twobit", iub=True, index="ptr"), "twobit")
+    return found.select("ordinal", "name", F.md5("bases").alias("digest"))
+
+
+def sharded_twobe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_container(spark, _sharded(spark, sf_dir, "twobe"), "twobe")
+    return found.select("ordinal", "name", F.md5("bases").alias("digest"))
+
+
+def sharded_named_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that tasks look up in every file's own tree."""
+    found = read_container(spark, _sharded(spark, sf_dir, "twobit", iub=True, index="bpt"), "twobit").where(F.col("name").isin("doc7", "doc42", "doc99", "none"))
+    return found.select("ordinal", "name", F.md5("bases").alias("digest"))
+
+
+def sharded_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of sequences whose files are found by a join with all tables of contents."""
+    path = _sharded(spark, sf_dir, "fourbit")
+    return extract_regions(spark, path, regions(spark, sf_dir)).select("ordinal", F.md5("bases").alias("digest"))
+
+
 # -- files as tables ---------------------------------------------------------------
 def format_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats by the files' first bytes; sizes where they follow from the sequences alone."""
@@ -330,6 +361,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         twobit_container_roundtrip, twobit_iub_container_roundtrip, twobe_container_roundtrip, fourbit_container_roundtrip, fasta_roundtrip, bgzf_container_roundtrip,
         twobe_extract_regions, twobit_extract_regions, twobit_flat_extract_regions, fourbit_extract_regions, faidx_extract_regions, bgzf_extract_regions, unindexed_extract_regions, remote_twobit_extract_regions, remote_twobe_extract_regions, generated_runs, fasta_tile_scan, bgzf_tile_scan, unindexed_bgzf_sequences, named_sequences, pointed_sequences,
+        sharded_twobit_roundtrip, sharded_twobe_roundtrip, sharded_named_sequences, sharded_extract_regions,
         format_catalogue, scanned_fai, fai_file, bgzf_blocks, random_sequences, cli_twobit, cli_fourbit, cli_twobe, cli_faidx, cli_extract, cli_info, cli_random,
     )
 }
@@ -341,6 +373,11 @@ def _window_digest(value: str = "{}", key: str = "r.ordinal") -> str:
     return f"WITH {SEQS}, {REGIONS} SELECT {key}, md5({value.format(_WINDOW)}) AS digest FROM regions r JOIN seqs s ON r.name = s.name"
 
 
+def _numbered(which: str = "") -> str:
+    """Sequences by their rank, since documents may be numbered with gaps."""
+    return f"WITH {SEQS}, numbered AS (SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, name, md5(bases) AS digest FROM seqs) SELECT * FROM numbered {which}"
+
+
 _TILES = f"""WITH {SEQS} SELECT name, k AS tile, CAST(length(bases) AS BIGINT) AS total, md5(substr(bases, k * 1024 + 1, 1024)) AS digest
 FROM (SELECT *, unnest(generate_series(0, greatest((length(bases) - 1) // 1024, 0))) AS k FROM seqs)"""
 _FASTA_BYTES = "strlen(name) + 2 + length(bases) + greatest(CAST(ceil(length(bases) / 60.0) AS BIGINT), 1)"
@@ -397,6 +434,10 @@ ORACLES = {
     "unindexed_bgzf_sequences": _digest("bases"),
     "named_sequences": f"WITH {SEQS} SELECT ordinal, name, md5(bases) AS digest FROM seqs WHERE name IN ('doc7', 'doc42', 'doc99')",
     "pointed_sequences": f"WITH {SEQS} SELECT name, md5(bases) AS digest FROM seqs WHERE name IN ('doc7', 'doc42', 'doc99')",
+    "sharded_twobit_roundtrip": _numbered(),
+    "sharded_twobe_roundtrip": _numbered(),
+    "sharded_named_sequences": _numbered("WHERE name IN ('doc7', 'doc42', 'doc99')"),
+    "sharded_extract_regions": _window_digest("upper({})"),
     "format_catalogue": f"""WITH {SEQS} SELECT 'a.fasta' AS file, 'fasta' AS format, CAST(sum({_FASTA_BYTES}) AS BIGINT) AS size FROM seqs
 UNION ALL SELECT 'a.fourbit', 'fourbit', CAST(16 + sum(9 + strlen(name) + (length(bases) + 1) // 2) AS BIGINT) FROM seqs
 UNION ALL VALUES ('a.twobit', 'twobit', NULL), ('a.twobe', 'twobe', NULL), ('a.bgzf', 'bgzf', NULL), ('a.bgzf.fai', 'unknown', NULL), ('a.bgzf.gzi', 'unknown', NULL)""",

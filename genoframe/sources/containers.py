@@ -13,7 +13,8 @@ Tasks encode records, which hold no absolute offsets, into part files beside the
 target; the commit writes header, table of contents and index around a gap, and
 ``write_container`` lets tasks copy the parts into it before the whole is renamed. A plain
 ``df.write`` copies them in the commit. Target and parts must be in a folder that all
-executors share.
+executors share. ``write_shards`` writes a folder of containers instead, in any store, see
+``sharded``; it is read like one container, ordinals running through its files.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from genoframe.sources import batch as B
 from genoframe.sources import codec as C
-from genoframe.sources.ranged import in_store, is_url, list_store, local_path, open_source
-from genoframe.sources.readers import TwoBeReader, detect, open_reader
+from genoframe.sources import sharded
+from genoframe.sources.ranged import beside, in_store, is_url, list_store, local_path, open_source
+from genoframe.sources.readers import detect, open_reader
 
 SCHEMA = "file string, ordinal long, name string, bases string"
 #: Sequences of one input partition, and names that are looked up in one.
@@ -45,14 +47,18 @@ COPIED = 16 << 20
 
 
 def files_of(path: str, sidecars: bool = False) -> list[str]:
-    """The files that a path, a folder or a pattern stands for, without indexes in a folder
-    unless ``sidecars``."""
+    """The files that a path, a folder or a pattern stands for, those of its manifest if a
+    folder has one, without indexes in a folder unless ``sidecars``."""
     if is_url(path):
         return [path]
+    listed = sharded.manifest(path)
+    if listed is not None:
+        return [file for file, _ in listed]
     path = local_path(path)
     if in_store(path) or os.path.isdir(path):
         inside = list_store(path) if in_store(path) else sorted(filter(os.path.isfile, glob.glob(os.path.join(path, "*"))))
-        return [p for p in inside if not os.path.basename(p).startswith((".", "_")) and (sidecars or not p.endswith((".fai", ".gzi")))]
+        named = [(p, os.path.basename(p.partition("?")[0] if in_store(p) else p)) for p in inside]
+        return [p for p, name in named if not name.startswith((".", "_")) and (sidecars or not name.endswith((".fai", ".gzi")))]
     found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
     if not found or not all(map(os.path.exists, found)):
         raise FileNotFoundError(path)
@@ -67,10 +73,19 @@ class Slice(InputPartition):
 
 @dataclass
 class Named(InputPartition):
-    """Names to look up by a file's index."""
+    """Names to look up by a file's index, ordinals running on from ``before``."""
 
     file: str
     names: list[str]
+    before: int = 0
+
+
+@dataclass
+class Whole(InputPartition):
+    """A file whose table of contents the task reads."""
+
+    file: str
+    before: int
 
 
 class ContainerReader(DataSourceReader):
@@ -94,17 +109,25 @@ class ContainerReader(DataSourceReader):
             yield f  # a name may be longer than an index keeps, so rows are filtered once more
 
     def entries(self, reader) -> list[tuple[int, str, int]]:
-        toc = reader.toc()
-        if isinstance(reader, TwoBeReader):  # listed by name; places give the file's order
-            toc = sorted(toc, key=lambda x: x[1])
-        return [(i, n, p) for i, (n, p) in enumerate(toc) if self.names is None or n in self.names]
+        return [e for e in sharded.entries(reader) if self.names is None or e[1] in self.names]
+
+    def opened(self, file: str):
+        reader = open_reader(file)
+        if reader.kind != self.kind:
+            raise ValueError(f"{file} is a {reader.kind} file, not {self.kind}")
+        return reader
 
     def partitions(self):
         out = []
+        listed = sharded.manifest(self.path)
+        if listed:  # of one kind and options, so the first tells whether they are indexed
+            names = sorted(n for n in self.names or () if n is not None)
+            if self.names is None or not self.opened(listed[0][0]).indexed:
+                return [Whole(file, before) for file, before in listed]
+            out = [Named(file, names[i : i + NAMES], before) for file, before in listed for i in range(0, len(names), NAMES)]
+            return out or [Slice("", [])]
         for file in files_of(self.path):
-            reader = open_reader(file)
-            if reader.kind != self.kind:
-                raise ValueError(f"{file} is a {reader.kind} file, not {self.kind}")
+            reader = self.opened(file)
             if self.names is not None and reader.indexed:
                 names = sorted(n for n in self.names if n is not None)
                 out += [Named(file, names[i : i + NAMES]) for i in range(0, len(names), NAMES)]
@@ -122,10 +145,14 @@ class ContainerReader(DataSourceReader):
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
-        reader = open_reader(partition.file)
+        reader, before = self.opened(partition.file), getattr(partition, "before", 0)
+        if isinstance(partition, Named):
+            entries = self.found(reader, partition.names)
+        else:
+            entries = self.entries(reader) if isinstance(partition, Whole) else partition.entries
         held, size = [], 0
-        for i, name, place in self.found(reader, partition.names) if isinstance(partition, Named) else partition.entries:
-            held.append((partition.file, i, name, reader.extract_at(place)))
+        for i, name, place in entries:
+            held.append((partition.file, None if i is None else before + i, name, reader.extract_at(place)))
             size += len(held[-1][3])
             if size > COPIED:
                 yield _batch(held).select(self.columns)
@@ -290,31 +317,41 @@ class Container(DataSource):
     def flag(self, name: str) -> bool:
         return self.options.get(name, "false").lower() == "true"
 
+    def encoder(self, columns: list[str]) -> SequenceWriter:
+        raise NotImplementedError
+
+    def writer(self, schema, overwrite):
+        encoder = self.encoder(schema.names)
+        return sharded.ShardsWriter(encoder, self.options["path"], int(self.options.get("file_bytes", sharded.FILE_BYTES))) if self.flag("shards") else encoder
+
 
 class TwoBit(Container):
     kind = "twobit"
 
-    def writer(self, schema, overwrite):
-        return TwoBitWriter(self.options["path"], schema.names, self.flag("long"), self.flag("iub"), self.options.get("index", "none"), self.options.get("plan", ""))
+    def encoder(self, columns):
+        return TwoBitWriter(self.options["path"], columns, self.flag("long"), self.flag("iub"), self.options.get("index", "none"), self.options.get("plan", ""))
 
 
 class FourBit(Container):
     kind = "fourbit"
 
-    def writer(self, schema, overwrite):
-        return FourBitWriter(self.options["path"], schema.names, self.options.get("plan", ""))
+    def encoder(self, columns):
+        return FourBitWriter(self.options["path"], columns, self.options.get("plan", ""))
 
 
 class TwoBe(Container):
     kind = "twobe"
 
-    def writer(self, schema, overwrite):
-        return TwoBeWriter(self.options["path"], schema.names, self.options.get("plan", ""))
+    def encoder(self, columns):
+        return TwoBeWriter(self.options["path"], columns, self.options.get("plan", ""))
 
 
 class Faidx(Container):
     kind = "faidx"
 
+    def writer(self, schema, overwrite):
+        raise ValueError("indexed FASTA is written by write_indexed_fasta")
+
 
 class Concatenated(DataSource):
     @classmethod
@@ -348,8 +385,21 @@ def read_container(spark: SparkSession, path: str, kind: str, slice: int = SLICE
     return (read if ordinals else read.schema("file string, name string, bases string")).load()
 
 
+def write_shards(sequences: DataFrame, path: str, kind: str, **options) -> None:
+    """Write ``ordinal, name, bases`` as a folder of containers, in the order of ``ordinal``,
+    to a path or a store's URI. ``file_bytes`` are the records' bytes from which on a file is
+    closed."""
+    register(sequences.sparkSession)
+    rows = sequences.orderBy("ordinal").select("name", "bases")
+    given = {k: str(v).lower() for k, v in options.items()} | {"shards": "true", "path": path}
+    rows.write.format(kind).options(**given).mode("append").save()
+
+
 def write_container(sequences: DataFrame, path: str, kind: str, **options) -> None:
-    """Write ``ordinal, name, bases`` as one file, in the order of ``ordinal``."""
+    """Write ``ordinal, name, bases`` as one file, in the order of ``ordinal``; in a store,
+    where nothing is written by position, as a folder of files."""
+    if in_store(path):
+        return write_shards(sequences, path, kind, **options)
     register(sequences.sparkSession)
     rows = sequences.orderBy("ordinal").select("name", "bases")
     _write_joined(rows.write.format(kind).options(**{k: str(v).lower() for k, v in options.items()}), path, sequences.sparkSession)
@@ -391,7 +441,7 @@ def _write_joined(write: DataFrameWriter, path: str, spark: SparkSession) -> Non
 def has_index(path: str) -> bool:
     """Whether a FASTA file's ``.fai`` stands beside it; a URL's must."""
     try:
-        open_source(path + ".fai")
+        open_source(beside(path, ".fai"))
     except FileNotFoundError:
         return False
     return True
@@ -413,6 +463,9 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
     its table of contents read once, and requests are joined with it; those to FASTA files are
     joined with their index, and to BGZF files with their blocks too, see ``indexed``."""
     toc = None
+    files = sharded.manifest(path)
+    if files is not None:
+        return sharded.extract_regions(spark, files, with_parts(regions), WHOLE)
     if not is_url(path):
         source = open_source(path)
         kind = detect(source.read_at(0, min(64, source.size)))

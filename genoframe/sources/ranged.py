@@ -166,13 +166,25 @@ def local_path(path: str) -> str:
     return path.removeprefix("file://")
 
 
+def beneath(path: str, name: str) -> str:
+    """The path or URI of a file in a folder; a store's options stay behind it."""
+    head, mark, options = path.partition("?") if in_store(path) else (path, "", "")
+    return f"{head.rstrip('/')}/{name}{mark}{options}"
+
+
+def beside(path: str, suffix: str) -> str:
+    """The path or URI of a file named as another is, and a suffix."""
+    head, mark, options = path.partition("?") if in_store(path) else (path, "", "")
+    return head + suffix + mark + options
+
+
 def list_store(uri: str) -> list[str]:
     """The URIs of a store's files under a folder, or of the one file."""
     store, path = fs.FileSystem.from_uri(uri)
     if store.get_file_info(path).type == fs.FileType.File:
         return [uri]
     found = store.get_file_info(fs.FileSelector(path))
-    return sorted(uri.rstrip("/") + "/" + f.base_name for f in found if f.type == fs.FileType.File)
+    return sorted(beneath(uri, f.base_name) for f in found if f.type == fs.FileType.File)
 
 
 def open_source(path: str) -> FileSource | HttpSource | StoreSource:
@@ -184,7 +196,7 @@ def open_source(path: str) -> FileSource | HttpSource | StoreSource:
 def read_beside(path: str, suffix: str) -> bytes | None:
     """An index file that stands beside a file, if it is there; a URL's must be."""
     try:
-        source = open_source(path + suffix)
+        source = open_source(beside(path, suffix))
     except FileNotFoundError:
         return None
     return source.read_at(0, source.size)

@@ -15,7 +15,7 @@ import numpy as np
 
 from genoframe.operators.runs import MASK_RUN, N_RUN
 from genoframe.sources import codec as C
-from genoframe.sources.ranged import is_url, open_source, read_beside
+from genoframe.sources.ranged import beside, is_url, open_source, read_beside
 
 #: Bytes of a table of contents that are read at once.
 TOC_CHUNK = 8 << 20
@@ -523,7 +523,7 @@ def open_reader(path: str) -> Reader:
     if kind in ("bgzf", "fasta"):
         fai, gzi, used = None, None, (0, 0)
         if is_url(path):
-            side = open_source(path + ".fai")
+            side = open_source(beside(path, ".fai"))
             fai = parse_fai(side.read_at(0, side.size).decode("utf-8", "replace"))
             used = side.requests, side.fetched
         else:
