@@ -292,8 +292,9 @@ def bgzf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated bases with scattered N."""
-    return generate(spark, Options(300, 200, 0.05, 0.0, 20_240_601, "r"))
+    """A generated sequence for each document, with scattered N."""
+    n = table(spark, sf_dir, "documents").count()
+    return generate(spark, Options(n, 200, 0.05, 0.0, 20_240_601, "r"))
 
 
 def generated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,8 +348,8 @@ def cli_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cli_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark)}/out"
-    cli.main(["random", path, "--seqs", "300", "--length", "200", "--n-frac", "0.05", "--iub-frac", "0", "--seed", "20240601", "--prefix", "r"], spark)
+    path, n = f"{folder(spark)}/out", table(spark, sf_dir, "documents").count()
+    cli.main(["random", path, "--seqs", str(n), "--length", "200", "--n-frac", "0.05", "--iub-frac", "0", "--seed", "20240601", "--prefix", "r"], spark)
     return read_fasta(spark, path).select("name", "bases")
 
 
@@ -402,7 +403,7 @@ def _draw(k: str) -> str:
 
 
 #: Of each sequence of 200 bases 200 numbers for letters, 200 for codes, 200 for N.
-_RANDOM = f"""WITH places AS (SELECT i, p FROM range(300) a(i), range(200) b(p)),
+_RANDOM = f"""WITH places AS (SELECT i, p FROM range((SELECT count(*) FROM documents)) a(i), range(200) b(p)),
 made AS (SELECT i, p, CASE WHEN ({_draw("i * 600 + 400 + p + 1")} // 2048::UHUGEINT)::DOUBLE / 9007199254740992 < 0.05 THEN 'N'
   ELSE substr('ACGT', CAST({_draw("i * 600 + p + 1")} % 4::UHUGEINT AS INTEGER) + 1, 1) END AS base FROM places)"""
 
