@@ -18,7 +18,7 @@ from genoframe.sources import fasta
 from genoframe.sources.batch import ragged
 from genoframe.sources.chunks import bgzf_block_table
 from genoframe.sources.containers import TwoBeWriter, TwoBitWriter, extract_regions, read_container, write_container
-from genoframe.sources.generator import Options, Stream, generate, make
+from genoframe.sources.generator import Options, Stream, draws_of, following, generate, long_starts, make, short_starts
 from genoframe.sources.readers import bgzf_blocks, indexed_blocks, open_reader
 
 SEQS = [("seqZ", "ACGTNNNryacgtRRRYYYacgtNacgtKMB"), ("seqA", "RRRRRRRRRRacgtACGTNNNN"), ("seqM", "ACGTacgtACGTnnnNNNacgtryswKMB"), ("empty", "")]
@@ -236,6 +236,44 @@ def test_generator(spark):
     assert make(Stream(1), Options(1, 20, 0, 0, 1)).tobytes().decode() == "".join("ACGT"[x % 4] for x in first)
 
 
+SCATTERED = [Options(700, 40, 0.05, 0.005, 3), Options(900, 7, 0.1, 0.5, 4), Options(500, 5, 0, 1.0, 5), Options(300, 60, 0.1, 0.2, 6, "s", 2), Options(400, 1, 0, 0.4, 7), Options(3, 3000, 0.1, 0.01, 8), Options(4, 2000, 0, 0.9, 9)]
+
+
+def made(o):
+    """Where sequences made one after another start."""
+    stream, out = Stream(o.seed), []
+    for _ in range(o.seqs):
+        out.append(stream.used)
+        make(stream, o)
+    return out
+
+
+@pytest.mark.parametrize("o", SCATTERED, ids=str)
+def test_starts_of_scattered_codes(spark, o):
+    """By spans and by blocks of few numbers, so that there are several levels of them."""
+    want = made(o)
+    to = following(o, 0, want[-1] + 1)
+    assert to[want[:-1]].tolist() == want[1:]
+    most = draws_of(o) + o.length
+    found = []
+    for row in short_starts(spark, o, 2 * most + 11, 4).orderBy("first").collect():
+        at = row["used"]
+        for i in range(row["first"], row["first"] + row["count"]):
+            assert i == len(found)
+            found.append(at)
+            at = int(to[at]) if at < len(to) else None
+    assert found == want
+    assert list(long_starts(spark, o, 64)) == want
+    assert list(long_starts(spark, o)) == want
+
+
+def test_sequences_without_bases_or_codes(spark):
+    assert rows(generate(spark, Options(3, 0, 0.1, 0.1, 1))) == [("seq0", ""), ("seq1", ""), ("seq2", "")]
+    o = Options(600, 20, 0.1, 0.0, 1)
+    stream = Stream(o.seed)
+    assert [b for _, b in rows(generate(spark, o).orderBy("ordinal"))] == [make(stream, o).tobytes().decode() for _ in range(o.seqs)]
+
+
 def test_requests_of_a_fetch(tmp_path):
     """A short sequence of a file of 500,000, by a reader that is opened for it: requests and
     bytes stay near what the formats' indexes allow."""
