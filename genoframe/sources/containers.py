@@ -44,6 +44,9 @@ SCHEMA = "file string, ordinal long, name string, bases string"
 SLICE = 2048
 NAMES = 512
 COPIED = 16 << 20
+#: Where a record must begin below to be placed by 32 bits; a 2-bit file with one beyond it
+#: gets offsets of 64 bits, asked for or not.
+SHORT_OFFSETS = 1 << 32
 
 
 def files_of(path: str, sidecars: bool = False) -> list[str]:
@@ -269,12 +272,13 @@ class TwoBitWriter(SequenceWriter):
         return B.twobit_records(bases, self.iub)
 
     def frame(self, names, sizes):
-        count, width = len(sizes), 8 if self.long else 4
-        at = 16 + len(names.data) + (1 + width) * count + B.sums(sizes)
-        if not self.long and count and at[-2] >= 1 << 32:
-            raise ValueError("a record begins over 4 GiB: write with long=true")
+        count, records = len(sizes), B.sums(sizes)
+        before = 16 + len(names.data) + 5 * count
+        long = self.long or bool(count) and before + int(records[-2]) >= SHORT_OFFSETS
+        width = 8 if long else 4
+        at = before + (width - 4) * count + records
         toc, entries = B.twobit_toc(names, at[:-1], width)
-        head = struct.pack("<IIII", C.TWOBIT_MAGIC, int(self.long), count, 0) + toc
+        head = struct.pack("<IIII", C.TWOBIT_MAGIC, int(long), count, 0) + toc
         footer = struct.pack("<QQI", int(at[-1]), count, int(self.iub))
         if self.index == "ptr":
             order = np.argsort(names.padded(), kind="stable")

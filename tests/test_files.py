@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from genoframe import cli
 from genoframe.plans.containers import Ranges
-from genoframe.sources import fasta
+from genoframe.sources import containers, fasta
 from genoframe.sources.batch import ragged
 from genoframe.sources.chunks import bgzf_block_table
 from genoframe.sources.containers import TwoBeWriter, TwoBitWriter, extract_regions, read_container, write_container
@@ -45,6 +45,20 @@ def test_twobit(spark, seqs, tmp_path, index, long):
     assert rows(back.where("name IN ('seqM', 'seqZ', 'nope')")) == [SEQS[0], SEQS[2]]
 
 
+@pytest.mark.parametrize("index", ["none", "ptr", "bpt"])
+def test_offsets_widen_where_records_begin_too_far(spark, seqs, tmp_path, monkeypatch, index):
+    """A 2-bit file whose records begin beyond what 32 bits place, as those over 4 GiB do."""
+    write_container(seqs, str(tmp_path / "short"), "twobit", iub=True, index=index)
+    write_container(seqs, str(tmp_path / "long"), "twobit", iub=True, long=True, index=index)
+    assert not open_reader(str(tmp_path / "short")).long
+    inner = containers.TwoBitWriter(str(tmp_path / "x"), ["name", "bases"], False, True, index)
+    monkeypatch.setattr(containers, "SHORT_OFFSETS", 60)
+    rows = [(r["name"], r["bases"]) for r in seqs.orderBy("ordinal").collect()]
+    encoded = list(inner.encode(pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["name", "bases"])))
+    head, tail = inner.frame(encoded[0][0], encoded[0][1].sizes)
+    assert head + encoded[0][1].data.tobytes() + tail == (tmp_path / "long").read_bytes()
+
+
 def test_fourbit_and_twobe(spark, seqs, tmp_path):
     write_container(seqs, str(tmp_path / "x.4bit"), "fourbit")
     assert rows(read_container(spark, str(tmp_path / "x.4bit"), "fourbit")) == [(n, b.upper()) for n, b in SEQS]
