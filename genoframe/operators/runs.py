@@ -34,44 +34,53 @@ def runs(sequences: DataFrame, pattern: str, rest: str) -> DataFrame:
     return cut.where(F.col("base").rlike(f"^(?:{pattern})$")).select("ordinal", "name", "start", "size", F.upper("base").alias("code"))
 
 
-def _across_tiles(found: DataFrame, tile: int) -> DataFrame:
-    """Runs of whole sequences from those of tiles: of each tile only the runs that touch
-    its ends are compared with their neighbours, the others are moved as they are."""
-    kept = [c for c in found.columns if c not in ("tile", "start", "size", "total")]
+def _in_tiles(tiles: DataFrame, tile: int, kinds: tuple[str, ...], borders: bool) -> DataFrame:
+    """The runs that touch a border of two tiles, or all others, placed in their sequences."""
+    from genoframe.operators import tiles as T
+
+    # a sequence of one tile has no borders
+    lists = T.found(tiles.where(F.col("total") > tile) if borders else tiles, tile, kinds, borders)
+    rows = lists.select("ordinal", "name", "tile", "kind", F.explode("runs").alias("run"))
     low = F.col("tile") * F.lit(tile).cast("long")
-    placed = found.withColumns({"inner": (F.col("start") > 0) & (F.col("start") + F.col("size") < F.least(F.lit(tile).cast("long"), F.col("total") - low)), "start": F.col("start") + low})
-    ends = placed.where("NOT inner")
-    order = Window.partitionBy("ordinal", "name").orderBy("start")
+    return rows.select("ordinal", "name", "kind", (low + F.col("run.start")).alias("start"), F.col("run.size").cast("long").alias("size"), F.col("run.code").alias("code"))
+
+
+def _joined(ends: DataFrame, *first: str) -> DataFrame:
+    """Runs that touch borders, joined where tiles cut them; of each the ``first`` piece's
+    other columns."""
+    order = Window.partitionBy("ordinal", "name", "kind").orderBy("start")
     # a run goes on where the one before it ends here with the same code
-    goes_on = (F.lag(F.col("start") + F.col("size")).over(order) == F.col("start")) & F.lag("code").over(order).eqNullSafe(F.col("code"))
+    goes_on = (F.lag(F.col("start") + F.col("size")).over(order) == F.col("start")) & (F.lag("code").over(order) == F.col("code"))
     number = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    joined = ends.withColumn("run", number).groupBy(*kept, "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"))
-    return placed.where("inner").select(*kept, "start", "size").unionByName(joined.drop("run"))
+    own = (F.min_by(c, "start").alias(c) for c in first)
+    joined = ends.withColumn("run", number).groupBy("ordinal", "name", "kind", "code", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), *own)
+    return joined.select("ordinal", "name", "kind", "start", "size", "code", *first)
 
 
-def tile_runs(tiles: DataFrame, pattern: str, rest: str, tile: int, code: bool = False) -> DataFrame:
-    """As ``runs``, from rows of ``name, ordinal, tile, total, bases`` with up to ``tile`` bases:
-    no task needs more than a tile's bases. Without ``code`` all matches are of one kind."""
-    return _tile_runs(tiles, pattern, rest, tile, F.upper("base") if code else F.lit(""))
+def tile_runs(tiles: DataFrame, tile: int, kinds: tuple[str, ...]) -> DataFrame:
+    """``ordinal, name, kind, start, size, code`` (a letter's number) of whole sequences' runs,
+    from rows of ``name, ordinal, tile, total, bases`` with up to ``tile`` bases: no task needs
+    more than a tile's bases. Only runs that touch a border of two tiles are compared with
+    their neighbours, the others are rows where they were found."""
+    return _in_tiles(tiles, tile, kinds, False).unionByName(_joined(_in_tiles(tiles, tile, kinds, True)))
 
 
-def _tile_runs(tiles: DataFrame, pattern: str, rest: str, tile: int, code: Column) -> DataFrame:
-    """Runs whose ``code`` follows from their first ``base``."""
-    parts = F.regexp_extract_all("bases", F.lit(f"((?:{pattern})|(?:{rest}))"), F.lit(1))
-    cut = tiles.select("ordinal", "name", "tile", "total", F.posexplode(parts).alias("k", "part"))
-    cut = cut.select("ordinal", "name", "tile", "total", "k", F.length("part").cast("long").alias("size"), F.substring("part", 1, 1).alias("base"))
-    before = Window.partitionBy("ordinal", "name", "tile").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long")).where(F.col("base").rlike(f"^(?:{pattern})$"))
-    found = cut.select("ordinal", "name", "tile", "total", "start", "size", code.alias("code"))
-    return _across_tiles(found, tile).select("ordinal", "name", "start", "size", "code")
+def _lettered(runs: DataFrame) -> DataFrame:
+    return runs.withColumn("code", F.when(F.col("kind") == "IUB", F.char("code")))
 
 
 def tile_blocks(tiles: DataFrame, tile: int) -> DataFrame:
     """All three kinds of blocks, with their ``kind``, as ``blocks`` gives them."""
-    none = F.lit(None).cast("string").alias("code")
-    n, mask = (tile_runs(tiles, p, rest, tile).select("ordinal", "name", "start", "size", none, F.lit(kind).alias("kind")) for p, rest, kind in ((N_BLOCKS, "[ACGTacgt]+", "N"), (MASK_BLOCKS, "[^a-z]+", "MASK")))
-    iub = tile_runs(tiles, IUB_BLOCKS, f"[^{_CODE_CLASS}]+", tile, True).withColumn("kind", F.lit("IUB"))
-    return n.unionByName(mask).unionByName(iub)
+    return _lettered(tile_runs(tiles, tile, ("N", "MASK", "IUB"))).select("ordinal", "name", "start", "size", "code", "kind")
+
+
+def tile_block_lists(tiles: DataFrame, tile: int) -> list[DataFrame]:
+    """The same blocks as lists by tile, which ``overlay_lists`` takes: those within tiles,
+    and those that touch their borders."""
+    from genoframe.operators import tiles as T
+
+    ends = _joined(_in_tiles(tiles, tile, ("N", "MASK", "IUB"), True))
+    return [T.lists(tiles, tile).withColumn("tile", F.col("tile").cast("long")), block_lists(_lettered(ends), tile)]
 
 
 def tile_stats(tiles: DataFrame) -> DataFrame:
@@ -92,12 +101,40 @@ def tile_stats(tiles: DataFrame) -> DataFrame:
 def tile_edits(tiles: DataFrame, tile: int) -> DataFrame:
     """As ``edits``, from tiles. What a base adds to its layer is joined across tiles first, so
     points that meet at a tile's end are a run; base and mask layers are joined apart."""
-    code = F.when(F.col("base").rlike(f"^[{_CODE_CLASS}]$"), F.upper("base")).otherwise("N")
-    base = _tile_runs(tiles, f"{_CODES}|{N_ONLY}", "[ACGTacgt]+", tile, code)
-    kind = F.when(F.col("code") == "N", N_RUN).when(F.col("size") == 1, IUB_POINT).otherwise(IUB_RUN)
-    base = base.select("ordinal", "name", F.col("start").alias("pos"), F.col("size").alias("len"), kind.cast("int").alias("etype"), F.when(F.col("code") == "N", "").otherwise(F.col("code")).alias("code"))
-    mask = tile_runs(tiles, MASK_BLOCKS, "[^a-z]+", tile)
-    return base.unionByName(mask.select("ordinal", "name", F.col("start").alias("pos"), F.col("size").alias("len"), F.lit(MASK_RUN).alias("etype"), F.lit("").alias("code")))
+    return _as_edits(tile_runs(tiles, tile, ("BASE", "MASK")))
+
+
+def _as_edits(runs: DataFrame, *more: str) -> DataFrame:
+    masked, is_n = F.col("kind") == "MASK", F.col("code") == ord("N")
+    etype = F.when(masked, MASK_RUN).when(is_n, N_RUN).when(F.col("size") == 1, IUB_POINT).otherwise(IUB_RUN)
+    return runs.select("ordinal", "name", F.col("start").alias("pos"), F.col("size").alias("len"), etype.cast("int").alias("etype"), F.when(masked | is_n, "").otherwise(F.char("code")).alias("code"), *more)
+
+
+def tile_index(tiles: DataFrame, tile: int) -> DataFrame:
+    """The run index of sequences from their tiles. Edits are numbered within their tile, and
+    only numbers of edits by tile are summed over a sequence: those that go on from the tile
+    before aren't counted again. Points stay where they are found."""
+    from genoframe.operators import tiles as T
+
+    kinds = ("BASE", "MASK")
+    rows = tiles.select("ordinal", "name", "tile", F.substring("bases", 1, 1).alias("first"), F.substring("bases", -1, 1).alias("last"), (_count(N_ONLY) + _count(IUB_BLOCKS) + _count(MASK_BLOCKS)).alias("count"))
+    order = Window.partitionBy("ordinal", "name").orderBy("tile")
+    rows = rows.withColumn("before", F.coalesce(F.lag("last").over(order), F.lit("")))
+    both = lambda pattern: F.col("before").rlike(f"^{pattern}$") & F.col("first").rlike(f"^{pattern}$")
+    base = both(f"[^ACGTacgt{_CODE_CLASS}]") | (both(f"[{_CODE_CLASS}]") & (F.upper("before") == F.upper("first")))
+    rows = rows.withColumn("again", base.cast("long") + both("[a-z]").cast("long"))
+    past = F.coalesce(F.sum(F.col("count") - F.col("again")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = rows.select("ordinal", "name", "tile", (past - F.col("again")).alias("base"))
+
+    def rows_of(lists: DataFrame, *more: str) -> DataFrame:
+        run = lists.select("ordinal", "name", "tile", "kind", *more, F.explode("runs").alias("run"))
+        low = F.col("tile") * F.lit(tile).cast("long")
+        return run.select("ordinal", "name", "tile", "kind", *more, (low + F.col("run.start")).alias("start"), F.col("run.size").cast("long").alias("size"), F.col("run.code").alias("code"), F.col("run.local").alias("local"))
+
+    inner = rows_of(T.found(tiles, tile, kinds, False, True).join(number, ["ordinal", "name", "tile"]), "base")
+    ends = rows_of(T.found(tiles.where(F.col("total") > tile), tile, kinds, True, True))
+    every = _as_edits(inner, "base", "local").unionByName(_as_edits(_joined(ends, "tile", "local").join(number, ["ordinal", "name", "tile"]), "base", "local"))
+    return every.where(F.col("etype") != IUB_POINT).withColumn("place", F.col("base") + F.col("local")).drop("base", "local")
 
 
 def tile_run_index(stream: DataFrame, tile: int) -> DataFrame:
@@ -196,38 +233,34 @@ def overlapping(regions: DataFrame, blocks: DataFrame, size: int = BIN) -> DataF
     return met.drop("of", "_bin", "b_bin").withColumns({"clip_start": s - F.col("start"), "clip_size": e - s})
 
 
-#: The order in which layers are laid over decoded bases: a later one changes what is there.
-LAYERS = ("N", "IUB", "MASK")
+def block_lists(blocks: DataFrame, tile: int) -> DataFrame:
+    """``name, tile`` and lists, by kind, of the starts, sizes and codes of blocks' parts in it."""
+    from genoframe.operators import tiles as T
+
+    span = blocks.where("size > 0").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.col("size") - 1) / tile))))
+    low = F.col("tile") * tile
+    a, b = F.greatest(F.col("start"), low) - low, F.least(F.col("start") + F.col("size"), low + tile) - low
+    values = {"start": a.cast("int"), "size": (b - a).cast("int"), "code": F.ascii(F.upper("code")).cast("tinyint")}
+    return span.groupBy("name", "tile").agg(*(F.collect_list(F.when(F.col("kind") == kind, values[c.rpartition("_")[2]])).alias(c) for c, kind in T.LISTED.items()))
 
 
 def overlay(tiles: DataFrame, blocks: DataFrame, tile: int) -> DataFrame:
     """Decoded tiles with blocks laid over them, N first, then codes, then the mask: what
     ``blocks`` were taken from. ``blocks`` have ``name, kind, start, size, code`` and those of
-    a kind don't overlap.
-
-    A sweep over borders: each block's ends within a tile are events that change the layers'
-    states, sums over the events before give the states between two borders, and the pieces
-    that borders cut a tile's bases in are written anew and put together."""
-    span = blocks.where("size > 0").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.col("size") - 1) / tile))))
-    low = F.col("tile") * tile
-    a, b = F.greatest(F.col("start"), low) - low, F.least(F.col("start") + F.col("size"), low + tile) - low
-    change = {k: F.when(F.col("kind") == k, F.col("sign")).otherwise(0) for k in ("N", "MASK")}
-    # a code is a number that its block's end takes away again
-    codes = F.when(F.col("kind") == "IUB", F.col("sign") * F.ascii(F.upper("code"))).otherwise(0)
-    events = span.select("name", "tile", "kind", "code", F.explode(F.array(F.struct(a.alias("at"), F.lit(1).alias("sign")), F.struct(b.alias("at"), F.lit(-1).alias("sign")))).alias("e"))
-    events = events.select("name", "tile", "kind", "code", "e.*").groupBy("name", "tile", "at").agg(F.sum(change["N"]).alias("n"), F.sum(codes).alias("iub"), F.sum(change["MASK"]).alias("mask"))
-    # the part before a tile's first border
-    begin = events.select("name", "tile").distinct().select("name", "tile", F.lit(0).cast("long").alias("at"), *(F.lit(0).cast("long").alias(c) for c in ("n", "iub", "mask")))
-    events = events.unionByName(begin).groupBy("name", "tile", "at").agg(*(F.sum(c).alias(c) for c in ("n", "iub", "mask")))
-    order = Window.partitionBy("name", "tile").orderBy("at")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.select("name", "tile", "at", F.coalesce(F.lead("at").over(order), F.lit(tile).cast("long")).alias("stop"), *(F.sum(c).over(so_far).alias(c) for c in ("n", "iub", "mask")))
-    t = tiles.select("ordinal", F.col("name").alias("of"), F.col("tile").cast("long").alias("number"), "total", "bases")
-    met = t.join(swept, (F.col("of") == F.col("name")) & (F.col("number") == F.col("tile")), "left")
-    piece = F.substring("bases", (F.coalesce("at", F.lit(0)) + 1).cast("int"), F.coalesce(F.col("stop") - F.col("at"), F.length("bases")).cast("int"))
-    size = F.length("piece")
-    laid = F.when(F.col("iub") > 0, F.repeat(F.char("iub"), size)).when(F.col("n") > 0, F.repeat(F.lit("N"), size)).otherwise(F.col("piece"))
-    laid = F.when(F.col("mask") > 0, F.lower(laid)).otherwise(laid)
-    pieces = met.withColumn("piece", piece).select("ordinal", "of", "number", "total", F.coalesce("at", F.lit(0)).alias("at"), laid.alias("piece"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
-    return pieces.groupBy("ordinal", "of", "number", "total").agg(whole.alias("bases")).select(F.col("of").alias("name"), "ordinal", F.col("number").alias("tile"), "total", "bases")
+    a kind don't overlap."""
+    return overlay_lists(tiles, block_lists(blocks, tile))
+
+
+def overlay_lists(tiles: DataFrame, *lists: DataFrame) -> DataFrame:
+    """The same with blocks as lists by tile: a tile meets its lists, a few bytes a block, and
+    a task lays them over its bases."""
+    from genoframe.operators import tiles as T
+
+    met = tiles.select("name", "ordinal", F.col("tile").cast("long").alias("tile"), "total", "bases")
+    have: dict[str, list[Column]] = {c: [] for c in T.LISTED}
+    for k, more in enumerate(lists):
+        keys = [c for c in ("ordinal", "name", "tile") if c in more.columns]
+        met = met.join(more.select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in T.LISTED)), keys, "left")
+        for c in T.LISTED:
+            have[c].append(F.coalesce(F.col(f"{c}_{k}"), F.array().cast(more.schema[c].dataType)))
+    return T.laid(met.select("name", "ordinal", "tile", "total", "bases", *(F.concat(*v).alias(c) for c, v in have.items())))

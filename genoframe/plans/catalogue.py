@@ -153,8 +153,7 @@ def tile_edits(spark, sf_dir):
 @query(f"""{RUNS}, {ALL_EDITS}, placed AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY pos, etype) - 1 AS place FROM edits)
 SELECT ordinal, name, place, pos, len, CAST(etype AS INTEGER) AS etype FROM placed WHERE etype <> 1""")
 def tile_run_index(spark, sf_dir):
-    stream = runs.tile_edits(regions.to_tiles(sequences(spark, sf_dir), 1024), 1024)
-    return runs.tile_run_index(stream, 1024).select("ordinal", "name", "place", "pos", "len", "etype")
+    return runs.tile_index(regions.to_tiles(sequences(spark, sf_dir), 1024), 1024).select("ordinal", "name", "place", "pos", "len", "etype")
 
 
 @query(f"""WITH {SEQS} SELECT ordinal, name, CAST(k AS BIGINT) AS tile, md5(substr(bases, k * 1024 + 1, 1024)) AS bases
@@ -162,9 +161,9 @@ FROM (SELECT *, unnest(generate_series(0, greatest((length(bases) - 1) // 1024,
 def overlay_tiles(spark, sf_dir):
     """Tiles decoded from two bits a base, with all blocks laid over them again."""
     tiles = regions.to_tiles(sequences(spark, sf_dir), 1024)
-    blocks = runs.tile_blocks(tiles, 1024)
+    blocks = runs.tile_block_lists(tiles, 1024)
     decoded = tiles.withColumn("bases", A.unpack2(A.pack2(F.col("bases")), F.length("bases")))
-    return runs.overlay(decoded, blocks, 1024).select("ordinal", "name", "tile", F.md5("bases").alias("bases"))
+    return runs.overlay_lists(decoded, *blocks).select("ordinal", "name", "tile", F.md5("bases").alias("bases"))
 
 
 # -- codecs ----------------------------------------------------------------------

@@ -52,16 +52,20 @@ def unpack4(packed: bytes, skip: int, n: int) -> np.ndarray:
     return FROM_NIBBLE[np.frombuffer(packed, np.uint8)].reshape(-1)[skip : skip + n].copy()
 
 
-def lay(window: np.ndarray, start: int, starts: np.ndarray, sizes: np.ndarray, values=None) -> None:
+def lay(window: np.ndarray, start: int, starts: np.ndarray, sizes: np.ndarray, values=None, small: np.ndarray | None = None) -> None:
     """Write blocks over a window that begins at ``start``: ``values`` is a code for all or
-    one for each block; without any, bases are lower-cased. Blocks don't overlap."""
+    one for each block; without any, bases are lower-cased, by the table ``small`` where the
+    window may hold what is no letter. Blocks don't overlap."""
     low = np.maximum(starts, start) - start
     n = np.minimum(starts + sizes, start + len(window)) - start - low
     keep = n > 0
     low, n = low[keep], n[keep]
     ends = np.cumsum(n)
     at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
-    if values is None:
+    if values is None and small is not None:
+        own = window[at]
+        window[at] = np.where(own < len(small), small[np.minimum(own, len(small) - 1)], own)
+    elif values is None:
         window[at] |= 0x20
     else:
         window[at] = np.repeat(values[keep], n) if isinstance(values, np.ndarray) else values

@@ -124,6 +124,19 @@ def test_edits_of_tiles(spark, tile):
     assert key(laid, "tile", "bases") == key(want, "tile", "bases")
 
 
+def test_runs_of_tiles_stay_where_they_are_found(spark):
+    """Nothing but what touches a border of two tiles passes through a shuffle."""
+    s = spark.range(40).selectExpr("id AS ordinal", "concat('s', id) AS name", "repeat('ACrNnRRyacgtNNb', 20) AS bases")
+    t = regions.to_tiles(s, 512)
+    for made in (runs.tile_blocks(t, 512), runs.tile_edits(t, 512)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("Window [")[0], plan
+    for tile in (7, 64, 512):
+        t = regions.to_tiles(s, tile)
+        want = sorted(map(tuple, runs.run_index(runs.edits(s)).select("ordinal", "name", "place", "pos", "len", "etype").collect()))
+        assert sorted(map(tuple, runs.tile_index(t, tile).select("ordinal", "name", "place", "pos", "len", "etype").collect())) == want
+
+
 def test_overlaps_by_bins(spark):
     b = spark.createDataFrame([("c", i * 7, i % 9) for i in range(60)], "name string, start long, size long")
     r = spark.createDataFrame([("c", i * 11, i * 11 + i) for i in range(40)], "name string, start long, end long")
