@@ -42,7 +42,13 @@ def byte_ranges(regions: DataFrame, fai: DataFrame) -> DataFrame:
     at = lambda base: fai_position(base, F.col("offset"), F.col("linebases"), F.col("linewidth"))
     rows = rows.withColumns({"s": s, "e": e})
     some = F.col("e") > F.col("s")
-    return rows.select(*REQUEST, "times", F.when(some, at(F.col("s"))).alias("low"), F.when(some, at(F.col("e") - 1) + 1).alias("high"))
+    # requests without bases, which may be most, are dealt as their sequences stand
+    return rows.select(*REQUEST, "times", F.when(some, at(F.col("s"))).alias("low"), F.when(some, at(F.col("e") - 1) + 1).alias("high"), F.coalesce(F.when(some, at(F.col("s"))), "offset").alias("near"))
+
+
+def by_place(ranges: DataFrame, tasks: int) -> DataFrame:
+    """Ranges dealt by where they stand in the file, those of one place by their requests too."""
+    return ranges.repartitionByRange(tasks, "near", "ordinal", "start", "end").sortWithinPartitions("near").drop("near")
 
 
 def _with(rows: DataFrame, name: str) -> StructType:
@@ -60,7 +66,9 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, packed:
     ranges = byte_ranges(regions.select(*REQUEST), fai_of(spark, path))
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not packed:
-        return _repeated(ranges.repartitionByRange(shuffled, "low").sortWithinPartitions("low").mapInArrow(_windows(path), _with(ranges, "bases")))
+        dealt = by_place(ranges, shuffled)
+        return _repeated(dealt.mapInArrow(_windows(path), _with(dealt, "bases")))
+    ranges = ranges.drop("near")
     bins = lambda low, high: F.explode(F.sequence(F.floor(low / BLOCK), F.floor((high - 1) / BLOCK)))
     blocks = bgzf_block_table(spark, path).select("c_start", "c_len", "u_start", (F.col("u_start") + F.col("u_len")).alias("u_end"))
     blocks = blocks.withColumn("block_bin", bins(F.col("u_start"), F.col("u_end")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from genoframe import cli
 from genoframe.plans.containers import Ranges
 from genoframe.sources import containers, fasta
+from genoframe.sources import indexed as by_index
 from genoframe.sources.batch import ragged
 from genoframe.sources.chunks import bgzf_block_table
 from genoframe.sources.containers import TwoBeWriter, TwoBitWriter, extract_regions, read_container, write_container
@@ -173,6 +174,16 @@ def test_missing_index_is_scanned_by_tasks(spark, seqs, tmp_path):
     assert [r["bases"] for r in extract_regions(spark, path, asked).orderBy("ordinal").collect()] == [b[2:12] for _, b in SEQS]
 
 
+def test_requests_beyond_their_sequences_are_dealt_out(spark):
+    """Windows without bases don't all go to one task, and neither do those of one place."""
+    fai = spark.createDataFrame([(f"s{i}", 100 * i, 50, 50, 51) for i in range(50)], "of string, offset long, length long, linebases long, linewidth long")
+    for start in ("id % 40 + 60", "7"):
+        asked = spark.range(4000).selectExpr("id AS ordinal", f"concat('s', {'id % 50' if '60' in start else '3'}) AS name", f"CAST({start} AS long) AS start", "CAST(200 AS long) AS end")
+        dealt = by_index.by_place(by_index.byte_ranges(asked, fai), 8)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1500, sizes
+
+
 @pytest.mark.parametrize("indexed", [True, False])
 def test_each_block_is_inflated_once(spark, tmp_path, indexed):
     """Requests that repeat, overlap, are empty or reach over ends, of a file of several blocks."""
