@@ -18,8 +18,8 @@ from genoframe.sources.containers import extract_regions, read_container, write_
 from genoframe.sources.fasta import read_fasta, write_fasta, write_indexed_fasta
 from genoframe.sources.generator import Options, generate
 from genoframe.sources.indexed import fai_of
-from genoframe.sources.ranged import is_url
-from genoframe.sources.readers import Reader, open_reader
+from genoframe.sources.ranged import is_url, open_source
+from genoframe.sources.readers import Reader, detect, open_reader
 
 
 def session() -> SparkSession:
@@ -51,14 +51,16 @@ def extract(spark: SparkSession, path: str, specs: list[str], listed: str | None
         found = extract_regions(spark, path, regions_of(spark, specs, listed), used)
         name = F.when(F.col("end").isNull(), F.col("name")).otherwise(F.concat("name", F.lit(":"), "start", F.lit("-"), "end"))
         return found.select("ordinal", name.alias("name"), "bases")
-    reader = open_reader(path)
     if is_url(path):
-        names = [(i, n, 0, None) for i, n in enumerate(reader.names())]
+        names = [(i, n, 0, None) for i, n in enumerate(open_reader(path).names())]
         whole = spark.createDataFrame(names, "ordinal long, name string, start long, end long")
         return extract_regions(spark, path, whole, used).select("ordinal", "name", "bases")
-    rows = read_container(spark, path, reader.kind)
+    source = open_source(path)
+    kind = detect(source.read_at(0, min(64, source.size)))
+    kind = "faidx" if kind in ("bgzf", "fasta") else kind
+    rows = read_container(spark, path, kind)
     # an edit stream's sequences are listed by name
-    return rows.select(F.col("name").alias("ordinal") if reader.kind == "twobe" else F.col("ordinal"), "name", "bases")
+    return rows.select(F.col("name").alias("ordinal") if kind == "twobe" else F.col("ordinal"), "name", "bases")
 
 
 def show_fasta(rows: DataFrame, out: str | None, width: int) -> None:

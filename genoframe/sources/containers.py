@@ -91,6 +91,38 @@ class Whole(InputPartition):
     before: int
 
 
+@dataclass
+class Lines(InputPartition):
+    """Bytes of an index of FASTA, from a line's start to another's, and the entries before."""
+
+    file: str
+    low: int
+    high: int
+    before: int
+
+
+def index_slices(file: str, size: int, chunk: int = COPIED) -> Iterator[Lines]:
+    """Slices of a FASTA file's index of ``size`` entries; no more of it is held than a chunk."""
+    source = open_source(beside(file, ".fai"))
+    low = at = before = count = 0
+    rest = b""
+    while at < source.size or rest:
+        held = rest + source.read_at(at, min(chunk, source.size - at))
+        at += len(held) - len(rest)
+        *lines, rest = held.split(b"\n")
+        if at >= source.size:
+            lines, rest = [*lines, rest], b""
+        begin = at - len(held)
+        for line in lines:
+            begin = min(begin + len(line) + 1, source.size)
+            count += bool(line.strip())
+            if count == size:
+                yield Lines(file, low, begin, before)
+                low, before, count = begin, before + count, 0
+    if count:
+        yield Lines(file, low, source.size, before)
+
+
 class ContainerReader(DataSourceReader):
     def __init__(self, kind: str, path: str, size: int, columns: list[str] | None = None):
         self.kind, self.path, self.size = kind, path, size
@@ -114,8 +146,8 @@ class ContainerReader(DataSourceReader):
     def entries(self, reader) -> list[tuple[int, str, int]]:
         return [e for e in sharded.entries(reader) if self.names is None or e[1] in self.names]
 
-    def opened(self, file: str):
-        reader = open_reader(file)
+    def opened(self, file: str, lines: tuple[int, int] | None = None):
+        reader = open_reader(file, lines)
         if reader.kind != self.kind:
             raise ValueError(f"{file} is a {reader.kind} file, not {self.kind}")
         return reader
@@ -130,6 +162,9 @@ class ContainerReader(DataSourceReader):
             out = [Named(file, names[i : i + NAMES], before) for file, before in listed for i in range(0, len(names), NAMES)]
             return out or [Slice("", [])]
         for file in files_of(self.path):
+            if self.kind == "faidx" and not is_url(file) and has_index(file):
+                out += index_slices(file, self.size)
+                continue
             reader = self.opened(file)
             if self.names is not None and reader.indexed:
                 names = sorted(n for n in self.names if n is not None)
@@ -148,11 +183,12 @@ class ContainerReader(DataSourceReader):
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
-        reader, before = self.opened(partition.file), getattr(partition, "before", 0)
+        lines = (partition.low, partition.high) if isinstance(partition, Lines) else None
+        reader, before = self.opened(partition.file, lines), getattr(partition, "before", 0)
         if isinstance(partition, Named):
             entries = self.found(reader, partition.names)
         else:
-            entries = self.entries(reader) if isinstance(partition, Whole) else partition.entries
+            entries = self.entries(reader) if isinstance(partition, (Whole, Lines)) else partition.entries
         held, size = [], 0
         for i, name, place in entries:
             held.append((partition.file, None if i is None else before + i, name, reader.extract_at(place)))

@@ -193,10 +193,11 @@ def open_source(path: str) -> FileSource | HttpSource | StoreSource:
     return StoreSource(path) if in_store(path) else FileSource(local_path(path))
 
 
-def read_beside(path: str, suffix: str) -> bytes | None:
-    """An index file that stands beside a file, if it is there; a URL's must be."""
+def read_beside(path: str, suffix: str, span: tuple[int, int] | None = None) -> bytes | None:
+    """An index file that stands beside a file, or a span of it, if it is there; a URL's must be."""
     try:
         source = open_source(beside(path, suffix))
     except FileNotFoundError:
         return None
-    return source.read_at(0, source.size)
+    low, high = span or (0, source.size)
+    return source.read_at(low, high - low)

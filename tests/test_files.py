@@ -167,6 +167,27 @@ def test_stores_are_read_by_uri(seqs, tmp_path):
     assert [in_store(x) for x in ("s3://b/k", "hdfs://h/x", "file:///x", "/x", "http://h/x")] == [True, True, False, False, False]
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 50, 1 << 20])
+@pytest.mark.parametrize("end", ["", "\n", "\n\n"])
+def test_indexes_are_read_in_slices(tmp_path, chunk, end):
+    """Each task's part of an index, blank lines and all; nothing holds the whole of it."""
+    lines = [f"s{i}\t{i}\t9\t5\t6" for i in range(23)]
+    (tmp_path / "x").write_text(">s0\n")
+    (tmp_path / "x.fai").write_text("\n\n" + "\n \n".join(lines) + end)
+    slices = list(containers.index_slices(str(tmp_path / "x"), 5, chunk))
+    own = [[n for n, _ in open_reader(str(tmp_path / "x"), (s.low, s.high)).toc()] for s in slices]
+    assert [len(x) for x in own] == [5, 5, 5, 5, 3] and sum(own, []) == [f"s{i}" for i in range(23)]
+    assert [s.before for s in slices] == [0, 5, 10, 15, 20]
+
+
+def test_tasks_open_their_part_of_an_index(spark, seqs, tmp_path):
+    fasta.write_indexed_fasta(seqs, str(tmp_path / "x"), 10, True)
+    reader = containers.ContainerReader("faidx", str(tmp_path / "x"), 2)
+    found = [(p, b) for p in reader.partitions() for b in reader.read(p)]
+    assert [len(reader.opened(p.file, (p.low, p.high)).fai) for p, _ in found] == [2, 2]
+    assert [(r["ordinal"], r["name"], r["bases"]) for _, b in found for r in b.to_pylist()] == [(i, *s) for i, s in enumerate(SEQS)]
+
+
 def test_missing_index_is_scanned_by_tasks(spark, seqs, tmp_path):
     path = str(tmp_path / "x.fa")
     fasta.write_fasta(seqs, path, 7)
