@@ -491,6 +491,11 @@ def has_index(path: str) -> bool:
 WHOLE = 1 << 20
 #: Requests of one place up to which one task has them all.
 HOT = 1 << 16
+#: Bytes of a remote file whose requests go to one task, bytes that it looks ahead, and HTTP
+#: blocks between two asked-for sequences up to which they are fetched together.
+STRETCH = 4 << 20
+AHEAD = 8 << 20
+NEAR = 31
 
 
 def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tuple | None = None) -> DataFrame:
@@ -501,7 +506,8 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
     accumulators that the tasks add their HTTP requests and bytes to. The requests of a place
     that has over HOT of them are dealt to several tasks. A file without an index of names has
     its table of contents read once, and requests are joined with it; those to FASTA files are
-    joined with their index, and to BGZF files with their blocks too, see ``indexed``."""
+    joined with their index, and to BGZF files with their blocks too, see ``indexed``. Names of
+    a remote file are looked up first, and requests dealt by stretches of it."""
     toc = None
     files = sharded.manifest(path)
     if files is not None:
@@ -517,6 +523,55 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
         if not reader.indexed:  # of equal names the last
             toc = spark.createDataFrame(list(dict(reader.toc()).items()), "of string, at long")
 
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = with_parts(regions)
+    if is_url(path):
+        # names are looked up in their order, an index's leaf after the other, then requests go
+        # by stretches of the file, each of which is fetched by few requests
+        toc = asked.select("name").distinct().repartition(shuffled, "name").sortWithinPartitions("name").mapInArrow(places_of(path, used), "of string, at long, stretch long")
+        met = asked.join(toc, F.col("name").eqNullSafe(F.col("of")), "left")
+        dealt = met.repartition(shuffled, "stretch", "_place", "_part").sortWithinPartitions("at", "name", "start")
+    else:
+        if toc is None:
+            asked = asked.withColumn("at", F.lit(None).cast("long"))
+        else:
+            missing = F.raise_error(F.concat(F.lit('no sequence named "'), "name", F.lit('"'))).cast("long")
+            asked = asked.join(toc, F.col("name") == F.col("of"), "left").withColumn("at", F.coalesce("at", missing))
+        dealt = asked.repartition(shuffled, "name", "_place", "_part").sortWithinPartitions("at", "name", "start")
+    return dealt.select("ordinal", "name", "start", "end", "at").mapInArrow(windows_of(path, used), "ordinal long, name string, start long, end long, bases string")
+
+
+def _found(reader, name: str) -> int:
+    place = reader.find(name)
+    if place is None:
+        raise KeyError(f'no sequence named "{name}"')
+    return place
+
+
+def _count_used(reader, used: tuple | None) -> None:
+    for counter, n in zip(used or (), reader.http_stats(), strict=False):
+        counter.add(n)
+
+
+def places_of(path: str, used: tuple | None):
+    """Names to their places and stretches of the file, or of its index where places number that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = None
+        for batch in batches:
+            reader = reader or open_reader(path)
+            at = pa.array([_found(reader, name) for name in batch.column(0).to_pylist()], pa.int64())
+            stretch = pa.array(at.to_numpy() // (SLICE if reader.kind == "faidx" else STRETCH), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), at, stretch], names=["of", "at", "stretch"])
+        if reader:
+            _count_used(reader, used)
+
+    return run
+
+
+def windows_of(path: str, used: tuple | None):
+    """Requests' bases, of rows that stand together by name; ``at`` is their place, if known."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = open_reader(path)
         known, place, whole = None, None, None
@@ -525,33 +580,29 @@ def extract_regions(spark: SparkSession, path: str, regions: DataFrame, used: tu
             places: dict[str, int] = {}
             for name, at in zip(names, given, strict=True):
                 if name not in places:
-                    found = place if name == known else reader.find(name) if at is None else at
-                    if found is None:
-                        raise KeyError(f'no sequence named "{name}"')
-                    places[name] = found
+                    places[name] = place if name == known else _found(reader, name) if at is None else at
             # a reader's places are bytes of the file but for FASTA, where they number its index
-            reader.source.prefetch(list(places.values()) if reader.kind != "faidx" else [])
+            soon = list(places.values()) if reader.kind != "faidx" else []
+            numbers = {name: i for i, name in enumerate(places)}
+            ahead = 0
             bases = []
             for name, start, end in zip(names, starts, ends, strict=True):
                 if name != known:
                     place, whole = places[name], None
-                    known, short = name, reader.length_at(place) <= WHOLE
+                    known = name
+                    if soon and numbers[name] >= ahead:
+                        first = ahead = numbers[name]
+                        while ahead < len(soon) and soon[ahead] < soon[first] + AHEAD:
+                            ahead += 1
+                        reader.source.prefetch(soon[first : ahead + 1], NEAR)
+                    short = reader.length_at(place) <= WHOLE
                 if short and whole is None:
                     whole = reader.extract_at(place)
                 bases.append(whole[start or 0 : end] if short else reader.extract_at(place, start or 0, end))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bases, pa.string())], names=["ordinal", "name", "start", "end", "bases"])
-        for counter, n in zip(used or (), reader.http_stats(), strict=False):
-            counter.add(n)
+        _count_used(reader, used)
 
-    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = with_parts(regions)
-    if toc is None:
-        asked = asked.withColumn("at", F.lit(None).cast("long"))
-    else:
-        missing = F.raise_error(F.concat(F.lit('no sequence named "'), "name", F.lit('"'))).cast("long")
-        asked = asked.join(toc, F.col("name") == F.col("of"), "left").withColumn("at", F.coalesce("at", missing))
-    dealt = asked.repartition(shuffled, "name", "_place", "_part").sortWithinPartitions("at", "name", "start")
-    return dealt.select("ordinal", "name", "start", "end", "at").mapInArrow(run, "ordinal long, name string, start long, end long, bases string")
+    return run
 
 
 def with_parts(regions: DataFrame) -> DataFrame:

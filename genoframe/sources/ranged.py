@@ -28,7 +28,7 @@ class Source:
 
     requests = fetched = 0
 
-    def prefetch(self, places: list[int]) -> None:
+    def prefetch(self, places: list[int], gap: int = 0) -> None:
         """What will be read soon."""
 
 
@@ -114,15 +114,15 @@ class HttpSource(Source):
         for k in range(first, last + 1):
             self.kept[k] = data[(k - first) * self.block : (k - first + 1) * self.block]
 
-    def prefetch(self, places: list[int]) -> None:
+    def prefetch(self, places: list[int], gap: int = GAP) -> None:
         """Fetch the blocks of some places, as many as half the cache holds: those that are
-        near each other by one request."""
+        near each other, with up to ``gap`` blocks between them, by one request."""
         missing = sorted({p // self.block for p in places if 0 <= p < self.size} - self.kept.keys())[: HTTP_KEPT // 2]
         while len(self.kept) + len(missing) > HTTP_KEPT and self.kept:
             self.kept.popitem(last=False)
         runs: list[list[int]] = []
         for k in missing:
-            if runs and k - runs[-1][1] <= 1 + GAP and k - runs[-1][0] < LONGEST:
+            if runs and k - runs[-1][1] <= 1 + gap and k - runs[-1][0] < LONGEST:
                 runs[-1][1] = k
             else:
                 runs.append([k, k])

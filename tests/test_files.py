@@ -354,6 +354,48 @@ def test_requests_of_a_fetch(tmp_path):
             assert all(len(r.extract_at(p)) == 300 for p in places) and r.http_stats()[0] - before <= 6
 
 
+def test_stretches_of_a_remote_file_take_few_requests(tmp_path, monkeypatch):
+    """Tasks that have names in no order of the file fetch each record by itself; those that
+    have stretches of it fetch many at once. No server runs here."""
+    from genoframe.sources import ranged
+
+    rng = np.random.default_rng(1)
+    seqs = {f"s{i}": "".join(rng.choice(list("ACGTNacgtRRyk"), int(n))) for i, n in enumerate(rng.integers(0, 6000, 3000))}
+    writer = TwoBeWriter(str(tmp_path / "x"), [])
+    batch = pa.RecordBatch.from_arrays([pa.array(list(seqs)), pa.array(list(seqs.values()))], names=["name", "bases"])
+    names, records = zip(*writer.encode(batch), strict=True)
+    head, tail = writer.frame(ragged(batch.column(0)), np.concatenate([r.sizes for r in records]))
+    data = head + b"".join(r.data.tobytes() for r in records) + tail
+
+    class Answered(ranged.HttpSource):
+        def _get(self, low, high):
+            return data[low:high], {"Content-Range": f"bytes {low}-{high - 1}/{len(data)}"}, self.url
+
+    monkeypatch.setattr(ranged, "HttpSource", Answered)
+
+    def requested(of_task, at) -> int:
+        asked = [pa.array(range(len(of_task)), pa.int64()), pa.array(of_task, pa.string()), pa.array([3] * len(of_task), pa.int64()), pa.array([99] * len(of_task), pa.int64()), pa.array(at, pa.int64())]
+        used = [Count(), Count()]
+        for found in containers.windows_of("http://nowhere/x", used)(iter([pa.RecordBatch.from_arrays(asked, names=["ordinal", "name", "start", "end", "at"])])):
+            assert found.column("bases").to_pylist() == [seqs[n][3:99] for n in of_task]
+        return used[0].n
+
+    class Count:
+        n = 0
+
+        def add(self, n):
+            self.n += n
+
+    used = [Count(), Count()]
+    (found,) = containers.places_of("http://nowhere/x", used)(iter([pa.RecordBatch.from_arrays([pa.array(sorted(seqs))], names=["name"])]))
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("stretch", "at", "of")), strict=True))
+    stretches = [[(n, a) for s, a, n in rows if s == k] for k in sorted({r[0] for r in rows})]
+    dealt = sum(requested([n for n, _ in own], [a for _, a in own]) for own in stretches)
+    by_name = sum(requested(sorted(seqs)[k :: len(stretches) * 4], [None] * len(sorted(seqs)[k :: len(stretches) * 4])) for k in range(len(stretches) * 4))
+    print("requests", dealt, used[0].n, by_name, len(data), len(stretches))
+    assert len(stretches) > 5 and dealt < 40 * len(stretches) and used[0].n < 60 and dealt + used[0].n < by_name / 4
+
+
 def test_failing_requests_are_tried_again(tmp_path, monkeypatch):
     from genoframe.sources import ranged
 
