@@ -117,8 +117,10 @@ def bgzf_block(data: bytes, level: int = 6) -> bytes:
 
 def bgzf_table(pieces: DataFrame, level: int = 6) -> DataFrame:
     """``block`` and its compressed ``data`` from ``ordinal, data``: bytes that follow one
-    another. Each piece is cut where blocks end, so no task needs more than a block."""
-    sized = prefix_sums(pieces.withColumn("size", F.length("data").cast("long")), "size", out="begin").where("size > 0")
+    another. Each piece is cut where blocks end, so no task needs more than a block. Only sizes
+    are summed by ranges of pieces; the pieces themselves meet their places by a hash."""
+    sizes = pieces.select("ordinal", F.length("data").cast("long").alias("size"))
+    sized = pieces.join(prefix_sums(sizes, "size", out="begin").where("size > 0"), "ordinal")
     span = F.sequence(F.floor(F.col("begin") / BGZF_CHUNK), F.floor((F.col("begin") + F.col("size") - 1) / BGZF_CHUNK))
     cut = sized.withColumn("block", F.explode(span))
     low = F.greatest(F.col("begin"), F.col("block") * BGZF_CHUNK)

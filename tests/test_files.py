@@ -103,6 +103,16 @@ def test_bgzf_blocks(spark, tmp_path):
     assert [int.from_bytes(gzi[8 + 8 * i : 16 + 8 * i], "little") for i in range(2)] == [blocks[1][0], blocks[1][2]]
 
 
+def test_places_of_pieces_are_summed_without_them(spark):
+    """Ranges of 65,536 pieces are summed by their sizes; their bytes pass through no window."""
+    pieces = spark.range(50).selectExpr("id AS ordinal", "CAST(repeat('x', CAST(id AS int)) AS binary) AS data")
+    made = fasta.bgzf_table(pieces)
+    plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "formatted")
+    inputs = [part.split("Input")[1].split("\n")[0] for part in plan.split("\n(") if ") Window" in part.split("\n")[0]]
+    assert inputs and not any("data#" in x for x in inputs), inputs
+    assert b"".join(gzip.decompress(bytes(r["data"])) for r in made.orderBy("block").collect()) == b"x" * 1225
+
+
 def test_fasta_scan(spark, tmp_path):
     p = tmp_path / "x.fa"
     p.write_bytes(b"\n >a d\r\nAC GT\r\n\r\n>b\n>c\nTT>T\n  >d\nA\n> e\nC\n")
