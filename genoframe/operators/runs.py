@@ -124,17 +124,19 @@ def tile_index(tiles: DataFrame, tile: int) -> DataFrame:
     base = both(f"[^ACGTacgt{_CODE_CLASS}]") | (both(f"[{_CODE_CLASS}]") & (F.upper("before") == F.upper("first")))
     rows = rows.withColumn("again", base.cast("long") + both("[a-z]").cast("long"))
     past = F.coalesce(F.sum(F.col("count") - F.col("again")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    number = rows.select("ordinal", "name", "tile", (past - F.col("again")).alias("base"))
+    number = rows.select("ordinal", "name", "tile", past.alias("base"), "again")
 
     def rows_of(lists: DataFrame, *more: str) -> DataFrame:
         run = lists.select("ordinal", "name", "tile", "kind", *more, F.explode("runs").alias("run"))
         low = F.col("tile") * F.lit(tile).cast("long")
         return run.select("ordinal", "name", "tile", "kind", *more, (low + F.col("run.start")).alias("start"), F.col("run.size").cast("long").alias("size"), F.col("run.code").alias("code"), F.col("run.local").alias("local"))
 
-    inner = rows_of(T.found(tiles, tile, kinds, False, True).join(number, ["ordinal", "name", "tile"]), "base")
+    inner = rows_of(T.found(tiles, tile, kinds, False, True).join(number, ["ordinal", "name", "tile"]), "base", "again")
     ends = rows_of(T.found(tiles.where(F.col("total") > tile), tile, kinds, True, True))
-    every = _as_edits(inner, "base", "local").unionByName(_as_edits(_joined(ends, "tile", "local").join(number, ["ordinal", "name", "tile"]), "base", "local"))
-    return every.where(F.col("etype") != IUB_POINT).withColumn("place", F.col("base") + F.col("local")).drop("base", "local")
+    every = _as_edits(inner, "base", "again", "local").unionByName(_as_edits(_joined(ends, "tile", "local").join(number, ["ordinal", "name", "tile"]), "base", "again", "local"))
+    # a tile's first edit stands before any that go on, unless it does so itself
+    local = F.when(F.col("local") == 0, F.lit(0).cast("long")).otherwise(F.col("local") - F.col("again"))
+    return every.where(F.col("etype") != IUB_POINT).withColumn("place", F.col("base") + local).drop("base", "again", "local")
 
 
 def tile_run_index(stream: DataFrame, tile: int) -> DataFrame:

@@ -131,6 +131,8 @@ def test_runs_of_tiles_stay_where_they_are_found(spark):
     for made in (runs.tile_blocks(t, 512), runs.tile_edits(t, 512)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan.split("Window [")[0], plan
+    # the mask goes on where a tile's first base begins a run of N
+    s = s.unionByName(spark.createDataFrame([(99, "m", "acacgtannnacnnaRrracg")], s.schema))
     for tile in (7, 64, 512):
         t = regions.to_tiles(s, tile)
         want = sorted(map(tuple, runs.run_index(runs.edits(s)).select("ordinal", "name", "place", "pos", "len", "etype").collect()))
