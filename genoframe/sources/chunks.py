@@ -13,7 +13,9 @@ each place there that looks like one is followed, by the blocks' sizes, beyond t
 end. From a file's first byte on only one of these chains is real in each split, so bytes in
 a block that look like another one are passed over.
 
-What passes through one task is a file's rows of this kind: one for each chunk.
+What passes through one task is a file's rows of this kind: one for each chunk. Of a
+chunk's bytes a worker holds a few times as many, however long the file: a byte or two for
+each, and wider numbers of lines and blanks only.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ CHUNK = 4 << 20
 BLOCK = 1 << 16
 #: At a line's start or in the blanks behind it; in a header; in a line of bases.
 BLANKS, HEADER, BASES = 0, 1, 2
-IS_BLANK = np.isin(np.arange(256), list(b" \t\n\f\r"))
+#: Of each byte, whether it is not blank.
+SOLID = bytes(b not in b" \t\n\f\r" for b in range(256))
 
 
 def _spread(df: DataFrame, *by: str) -> DataFrame:
@@ -171,13 +174,19 @@ class Lines:
 def lines_of(t: np.ndarray) -> Lines:
     ends = np.flatnonzero(t == 10)
     start, stop = np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(t)]])
-    solid = ~IS_BLANK[t]
-    places = np.flatnonzero(solid)
-    low, high = np.searchsorted(places, start), np.searchsorted(places, stop)
+    solid = np.frombuffer(t.tobytes().translate(SOLID), bool)
+    blanks = np.flatnonzero(~solid)
+    low = np.searchsorted(blanks, start)
+    count = stop - start - (np.searchsorted(blanks, stop) - low)
+    # a line that begins with blanks goes on behind the run of them
+    some = np.flatnonzero(count)
+    place = start[some]
+    led = ~solid[place]
+    last = np.append(np.flatnonzero(np.diff(blanks) > 1), len(blanks) - 1)
+    place[led] = blanks[last[np.searchsorted(last, low[some[led]])]] + 1
     first = np.zeros(len(start), np.uint8)
-    some = high > low
-    first[some] = t[places[low[some]]]
-    return Lines(start, stop, first, solid, high - low, bool(len(ends)))
+    first[some] = t[place]
+    return Lines(start, stop, first, solid, count, bool(len(ends)))
 
 
 def settled(first: int, state: int) -> int:
@@ -192,17 +201,20 @@ INDEX = (
 )
 
 
+def summary_row(file: str, k: int, start: int, stop: int, text: int, packed: bool) -> tuple:
+    """What a chunk makes of any state; its arrays are dropped before the next chunk is read."""
+    t = text_of(file, start, stop, packed)
+    x = lines_of(t)
+    heads = np.flatnonzero(x.first[1:] == ord(">")) + 1
+    bases = np.where(x.first == ord(">"), 0, x.count)
+    before, after = (bases[1 : heads[0]].sum(), bases[heads[-1] :].sum()) if len(heads) else (bases[1:].sum(), 0)
+    return file, k, start, stop, text, len(t), int(x.first[0]), int(x.count[0]), x.closed, len(heads), int(before), int(after), settled(int(x.first[-1]), BLANKS) if x.closed else None
+
+
 def _summary(chunks: DataFrame, packed: bool) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for file, k, start, stop, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = text_of(file, start, stop, packed)
-                x = lines_of(t)
-                heads = np.flatnonzero(x.first[1:] == ord(">")) + 1
-                bases = np.where(x.first == ord(">"), 0, x.count)
-                before, after = (bases[1 : heads[0]].sum(), bases[heads[-1] :].sum()) if len(heads) else (bases[1:].sum(), 0)
-                rows.append((file, k, start, stop, text, len(t), int(x.first[0]), int(x.count[0]), x.closed, len(heads), int(before), int(after), settled(int(x.first[-1]), BLANKS) if x.closed else None))
+            rows = [summary_row(*c, packed) for c in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             kinds = (pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[x.split()[0] for x in SUMMARY.split(", ")])
 
@@ -351,6 +363,42 @@ def fasta_tiles(spark: SparkSession, path: str, tile: int = TILE, chunk: int = C
     return whole.unionAll(spanning).select("file", F.col("record").alias("ordinal"), name.alias("name"), "tile", "total", "bases")
 
 
+def index_rows(file: str, start: int, stop: int, text: int, state: int, record: int, packed: bool) -> pa.RecordBatch | None:
+    """Of each record what a chunk holds of its index."""
+    t = text_of(file, start, stop, packed)
+    if not len(t):
+        return None
+    x = lines_of(t)
+    s = segments_of(x, state, record)
+    headers, done = _headers(t, x, s, state)
+    # bytes of lines that are neither header nor ends of lines
+    places = np.flatnonzero(t == 13)
+    returns = np.where(s.is_header, 0, np.searchsorted(places, x.stop) - np.searchsorted(places, x.start))
+    held = np.where(s.is_header, 0, x.stop - x.start - returns)
+    sums = np.concatenate([[0], np.cumsum(held)])
+    length = np.diff(sums[s.bounds])
+    cr = np.concatenate([[0], np.cumsum(returns)])[s.bounds]
+    # the first line of data, and the first that isn't empty; -1 where there is none
+    first = np.where(s.head >= 0, s.head + 1, int(s.is_header[0]))
+    full = np.append(np.flatnonzero(held), len(x.start))
+    line = full[np.searchsorted(full, first)]
+    inside, known = first < s.bounds[1:], line < s.bounds[1:]
+    head_ends = done | ((s.head < 0) & (state == HEADER) & x.closed)
+    last_line = len(x.start) - 1
+    first, line = np.minimum(first, last_line), np.minimum(line, last_line)
+    numbers = (
+        s.record, length, np.diff(cr), np.where(head_ends, text + x.start[first], -1), np.where(known, text + x.start[line], -1), np.where(known & (line < last_line), text + x.stop[line], -1), np.where(known, held[line], 0),
+        np.where(inside & (first < last_line), text + x.stop[first], -1), np.where(inside, held[first], 0), text + x.start[s.bounds[:-1]],
+        np.where(s.bounds[1:] <= last_line, text + x.start[np.minimum(s.bounds[1:], last_line)], text + len(t)),
+    )
+    whole = s.head >= 0
+    whole[-1] = False
+    keep = s.record >= 0
+    record_, *rest = (pa.array(v[keep], pa.int64()) for v in numbers)
+    texts = pa.array([h for h, k in zip(headers, keep.tolist(), strict=True) if k], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([file] * int(keep.sum()), pa.string()), record_, texts, *rest, pa.array(whole[keep])], names=[c.split()[0] for c in INDEX.split(", ")])
+
+
 def fasta_index(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """``file, ordinal, name, length, offset, linebases, linewidth`` of FASTA files without an
     index, plain or all of them BGZF, in which case offsets are places in what they hold. A
@@ -360,37 +408,9 @@ def fasta_index(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, _, start, stop, text, state, record, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = text_of(file, start, stop, packed)
-                if not len(t):
-                    continue
-                x = lines_of(t)
-                s = segments_of(x, state, record)
-                headers, done = _headers(t, x, s, state)
-                # bytes of lines that are neither header nor ends of lines
-                returns = np.concatenate([[0], np.cumsum(t == 13)])
-                held = np.where(s.is_header, 0, (x.stop - x.start) - (returns[x.stop] - returns[x.start]))
-                sums = np.concatenate([[0], np.cumsum(held)])
-                length = np.diff(sums[s.bounds])
-                cr = np.concatenate([[0], np.cumsum(np.where(s.is_header, 0, returns[x.stop] - returns[x.start]))])[s.bounds]
-                # the first line of data, and the first that isn't empty; -1 where there is none
-                first = np.where(s.head >= 0, s.head + 1, int(s.is_header[0]))
-                full = np.append(np.flatnonzero(held), len(x.start))
-                line = full[np.searchsorted(full, first)]
-                inside, known = first < s.bounds[1:], line < s.bounds[1:]
-                head_ends = done | ((s.head < 0) & (state == HEADER) & x.closed)
-                last_line = len(x.start) - 1
-                first, line = np.minimum(first, last_line), np.minimum(line, last_line)
-                numbers = (
-                    s.record, length, np.diff(cr), np.where(head_ends, text + x.start[first], -1), np.where(known, text + x.start[line], -1), np.where(known & (line < last_line), text + x.stop[line], -1), np.where(known, held[line], 0),
-                    np.where(inside & (first < last_line), text + x.stop[first], -1), np.where(inside, held[first], 0), text + x.start[s.bounds[:-1]],
-                    np.where(s.bounds[1:] <= last_line, text + x.start[np.minimum(s.bounds[1:], last_line)], text + len(t)),
-                )
-                whole = s.head >= 0
-                whole[-1] = False
-                keep = s.record >= 0
-                record_, *rest = (pa.array(v[keep], pa.int64()) for v in numbers)
-                texts = pa.array([h for h, k in zip(headers, keep.tolist(), strict=True) if k], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([file] * int(keep.sum()), pa.string()), record_, texts, *rest, pa.array(whole[keep])], names=[c.split()[0] for c in INDEX.split(", ")])
+                found = index_rows(file, start, stop, text, state, record, packed)
+                if found is not None:
+                    yield found
 
     rows = _spread(_entered(_summary(chunks, packed)), "file", "chunk").mapInArrow(look, INDEX)
     known = lambda c: F.when(F.col(c) >= 0, F.col(c))

@@ -3,8 +3,10 @@
 import os
 import random
 import struct
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,30 @@ def test_long_records_of_packed_files(spark, tmp_path):
         assert index == want
     parts = chunks.file_chunks(spark, str(tmp_path / "x.fa"), 70_000)
     assert parts.count() == -(-os.path.getsize(tmp_path / "x.fa") // 70_000) and parts.agg(F.max(F.col("stop") - F.col("start"))).first()[0] == 70_000
+
+
+def test_a_chunk_takes_a_few_times_its_bytes(tmp_path):
+    """Whatever the number of chunks, a worker holds what one of them takes."""
+    text = b"".join(b">doc%d\n" % i + (b"ACGTNacgtn" * 6 + b"\n") * 25 for i in range(2700))
+    text = text[: 4 << 20]
+    (tmp_path / "x.fa").write_bytes(text)
+    path, n = str(tmp_path / "x.fa"), len(text)
+    t = np.frombuffer(text, np.uint8)
+    for look in (lambda: chunks.lines_of(t), lambda: chunks.summary_row(path, 0, 0, n, 0, False), lambda: chunks.index_rows(path, 0, n, 0, chunks.BLANKS, 0, False)):
+        tracemalloc.start()
+        found = look()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 6 * n, peak / n
+    assert found.num_rows == text.count(b">")
+
+
+@pytest.mark.parametrize("letters", [b"A>\n", b"AC \n\r\t\f", b" \n", b"A\x0b \n"])
+def test_lines_by_their_characters(letters):
+    rng = random.Random(len(letters))
+    for n in [0, 1, 2, 3, *range(4, 60)]:
+        text = bytes(rng.choices(letters, k=n))
+        x = chunks.lines_of(np.frombuffer(text, np.uint8))
+        plain = [bytes(c for c in line if c not in b" \t\n\f\r") for line in text.split(b"\n")]
+        assert (x.count.tolist(), x.first.tolist()) == ([len(p) for p in plain], [p[0] if p else 0 for p in plain])
+        assert x.solid.tolist() == [c not in b" \t\n\f\r" for c in text] and x.closed == (b"\n" in text)
