@@ -207,10 +207,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Part(WriterCommitMessage):
-    """What a task wrote: names one behind another, and sizes of names and records as bytes."""
+    """What a task wrote: how many records, of how many bytes; where a table of contents lists
+    them, also names one behind another, and sizes of names and records as bytes."""
 
     number: int
     path: str
+    count: int
+    size: int
     names: bytes
     name_sizes: bytes
     sizes: bytes
@@ -219,6 +222,9 @@ class Part(WriterCommitMessage):
 class PartsWriter(DataSourceArrowWriter):
     """Writes what ``encode`` makes of batches to part files and joins them in ``commit``."""
 
+    #: Whether records are listed, so that the driver needs their names and sizes.
+    listed = False
+
     def __init__(self, path: str, columns: list[str], plan: str = ""):
         self.path, self.plan = local_path(path), plan
         self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
@@ -228,8 +234,8 @@ class PartsWriter(DataSourceArrowWriter):
         """Names and records of a batch, some rows at a time."""
         raise NotImplementedError
 
-    def frame(self, names: B.Ragged, sizes: np.ndarray) -> tuple[bytes, bytes]:
-        """What stands before and after the records."""
+    def around(self, parts: list[Part]) -> tuple[bytes, bytes]:
+        """What stands before and after the records of all tasks."""
         return b"", b""
 
     def write(self, iterator):
@@ -239,26 +245,27 @@ class PartsWriter(DataSourceArrowWriter):
         os.makedirs(self.parts, exist_ok=True)
         number = task.partitionId()
         path = f"{self.parts}/{number}-{task.taskAttemptId()}"
+        count, size = 0, 0
         names, name_sizes, sizes = [], [], []
         with open(path, "wb") as out:
             for batch in iterator:
                 for own, records in self.encode(batch):
                     out.write(records.data)
-                    names.append(own.data.tobytes())
-                    name_sizes.append(own.sizes.astype("<i4").tobytes())
-                    sizes.append(records.sizes.astype("<i8").tobytes())
-        return Part(number, path, b"".join(names), b"".join(name_sizes), b"".join(sizes))
+                    count, size = count + len(records.sizes), size + len(records.data)
+                    if self.listed:
+                        names.append(own.data.tobytes())
+                        name_sizes.append(own.sizes.astype("<i4").tobytes())
+                        sizes.append(records.sizes.astype("<i8").tobytes())
+        return Part(number, path, count, size, b"".join(names), b"".join(name_sizes), b"".join(sizes))
 
     def commit(self, messages):
         parts = sorted((m for m in messages if m), key=lambda m: m.number)
-        sizes = np.frombuffer(b"".join(p.sizes for p in parts), "<i8")
-        of_names = np.frombuffer(b"".join(p.name_sizes for p in parts), "<i4")
-        head, tail = self.frame(B.Ragged(np.frombuffer(b"".join(p.names for p in parts), np.uint8), B.sums(of_names)), sizes)
+        head, tail = self.around(parts)
         whole, at = f"{self.parts}.whole", len(head)
         places = []
         for p in parts:
             places.append((at, p.path))
-            at += int(np.frombuffer(p.sizes, "<i8").sum())
+            at += p.size
         with open(whole, "wb") as out:
             out.write(head)
             out.seek(at)
@@ -286,6 +293,17 @@ class ConcatenatedWriter(PartsWriter):
 
 
 class SequenceWriter(PartsWriter):
+    listed = True
+
+    def around(self, parts):
+        of_names = np.frombuffer(b"".join(p.name_sizes for p in parts), "<i4")
+        names = B.Ragged(np.frombuffer(b"".join(p.names for p in parts), np.uint8), B.sums(of_names))
+        return self.frame(names, np.frombuffer(b"".join(p.sizes for p in parts), "<i8"))
+
+    def frame(self, names: B.Ragged, sizes: np.ndarray) -> tuple[bytes, bytes]:
+        """What stands before and after records of some names and sizes."""
+        raise NotImplementedError
+
     def encode(self, batch):
         names, bases = B.ragged(batch.column("name")), B.one_byte_a_base(batch.column("bases"))
         for low, high in B.pieces(bases):
@@ -325,11 +343,19 @@ class TwoBitWriter(SequenceWriter):
 
 
 class FourBitWriter(SequenceWriter):
+    listed = False
+
     def records(self, names, bases):
         return B.fourbit_records(names, bases)
 
+    def around(self, parts):
+        return self.header(sum(p.count for p in parts)), b""
+
     def frame(self, names, sizes):
-        return C.FOURBIT_MAGIC + struct.pack("<III", 1, len(sizes), 0), b""
+        return self.header(len(sizes)), b""
+
+    def header(self, count: int) -> bytes:
+        return C.FOURBIT_MAGIC + struct.pack("<III", 1, count, 0)
 
 
 class TwoBeWriter(SequenceWriter):

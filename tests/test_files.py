@@ -3,13 +3,16 @@
 import gzip
 import http.server
 import os
+import pickle
 import random
 import threading
 from contextlib import contextmanager
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from genoframe import cli
@@ -68,6 +71,24 @@ def test_fourbit_and_twobe(spark, seqs, tmp_path):
     assert open_reader(str(tmp_path / "x.2be")).names() == ["empty", "seqA", "seqM", "seqZ"]
 
 
+def test_what_a_task_tells_the_driver_does_not_grow_with_its_rows(tmp_path, monkeypatch):
+    """Of files without a table of contents the driver needs how many rows and bytes there are."""
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0))
+    for writer, columns in ((containers.ConcatenatedWriter, [b"ACGT\n"]), (containers.FourBitWriter, ["seq", "ACGT"])):
+        told = []
+        for n in (10, 10_000):
+            names = ["data"] if len(columns) == 1 else ["name", "bases"]
+            batch = pa.RecordBatch.from_arrays([pa.array([c] * n) for c in columns], names=names)
+            one = writer(str(tmp_path / "x"), names)
+            told.append(one.write(iter([batch, batch])))
+            one.commit(told[-1:])
+        assert len(pickle.dumps(told[1])) < len(pickle.dumps(told[0])) + 50
+        if writer is containers.ConcatenatedWriter:
+            assert (tmp_path / "x").read_bytes() == b"ACGT\n" * 20_000
+        else:
+            assert open_reader(str(tmp_path / "x")).names() == ["seq"] * 20_000
+
+
 @pytest.mark.parametrize("bgzip", [False, True])
 @pytest.mark.parametrize("width", [10, 60, 0])
 def test_indexed_fasta(spark, seqs, tmp_path, bgzip, width):
