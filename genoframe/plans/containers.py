@@ -10,6 +10,7 @@ import tempfile
 import threading
 import time
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,12 @@ def serve(spark: SparkSession, path: str) -> str:
     return f"http://{host}:{server.server_port}"
 
 
+def drop(path: str) -> None:
+    """Drop a folder's files, which no result reads any more."""
+    _folders.remove(path)
+    shutil.rmtree(path)
+
+
 def clear() -> None:
     """Drop all written files; results that read them can't be used any more."""
     while _servers:
@@ -257,15 +264,20 @@ def sharded_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- files as tables ---------------------------------------------------------------
 def format_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats by the files' first bytes; sizes where they follow from the sequences alone."""
-    path, seqs = folder(spark), sequences(spark, sf_dir)
-    for kind in ("twobit", "twobe", "fourbit"):
-        write_container(seqs, f"{path}/a.{kind}", kind)
-    write_fasta(seqs, f"{path}/a.fasta")
-    write_indexed_fasta(seqs, f"{path}/a.bgzf", 60, True)
+    """Formats by the files' first bytes; sizes where they follow from the sequences alone.
+    A file goes once it has its row or rows, so the largest takes room, not all of them."""
+    seqs = sequences(spark, sf_dir)
+    writers = {kind: partial(write_container, kind=kind) for kind in ("twobit", "twobe", "fourbit")}
+    writers |= {"fasta": write_fasta, "bgzf": partial(write_indexed_fasta, width=60, bgzip=True)}
+    found = []
+    for kind, write in writers.items():
+        path = folder(spark)
+        write(seqs, f"{path}/a.{kind}")
+        found += format_catalog(spark, path).collect()
+        drop(path)
     name = F.regexp_extract("file", "([^/]+)$", 1)
     size = F.when(F.col("format").isin("fasta", "fourbit"), F.col("size"))
-    return format_catalog(spark, path).select(name.alias("file"), "format", size.alias("size"))
+    return spark.createDataFrame(found, "file string, size long, format string").select(name.alias("file"), "format", size.alias("size"))
 
 
 def scanned_fai(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ the tree's leaves else), so it is left out where the schema given to the reader
 Writing takes rows in the order of their partitions, so sort by ``ordinal`` first.
 Tasks encode records, which hold no absolute offsets, into part files beside the
 target; the commit writes header, table of contents and index around a gap, and
-``write_container`` lets tasks copy the parts into it before the whole is renamed. A plain
-``df.write`` copies them in the commit. Target and parts must be in a folder that all
+``write_container`` lets tasks copy the parts into it before the whole is renamed. A part
+is emptied once it is copied, so that a file's bytes are on disk once, but for parts that are
+being copied. A plain ``df.write`` copies them in the commit. Target and parts must be in a folder that all
 executors share. ``write_shards`` writes a folder of containers instead, in any store, see
 ``sharded``; it is read like one container, ordinals running through its files.
 """
@@ -25,6 +26,7 @@ import shutil
 import struct
 import uuid
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +46,8 @@ SCHEMA = "file string, ordinal long, name string, bases string"
 SLICE = 2048
 NAMES = 512
 COPIED = 16 << 20
+#: Bytes of a part file; a task writes as many as it needs.
+PIECE = 16 << 20
 #: Where a record must begin below to be placed by 32 bits; a 2-bit file with one beyond it
 #: gets offsets of 64 bits, asked for or not.
 SHORT_OFFSETS = 1 << 32
@@ -219,6 +223,44 @@ class Part(WriterCommitMessage):
     sizes: bytes
 
 
+class Pieces:
+    """A task's bytes, in files of PIECE bytes and one of the rest."""
+
+    def __init__(self, path: str):
+        self.path, self.size, self.out = path, 0, None
+
+    def write(self, data: np.ndarray) -> None:
+        at = 0
+        while at < len(data):
+            number, held = divmod(self.size, PIECE)
+            if not held:
+                self.close()
+                self.out = open(f"{self.path}-{number}", "wb")  # noqa: SIM115
+            some = data[at : at + PIECE - held]
+            self.out.write(some)
+            at, self.size = at + len(some), self.size + len(some)
+
+    def close(self) -> None:
+        if self.out:
+            self.out.close()
+
+
+def pieces_of(part: Part) -> Iterator[tuple[int, str]]:
+    """Where the files of a part begin in it, and their paths."""
+    return ((low, f"{part.path}-{low // PIECE}") for low in range(0, part.size, PIECE))
+
+
+def put_piece(out, at: int, piece: str) -> None:
+    """Copy a file to its place and empty it, which gives its room back; an empty one was
+    copied by an attempt before."""
+    with open(piece, "r+b") as data:
+        out.seek(at)
+        shutil.copyfileobj(data, out, COPIED)
+        out.flush()
+        os.fsync(out.fileno())  # nothing else holds these bytes then
+        data.truncate(0)
+
+
 class PartsWriter(DataSourceArrowWriter):
     """Writes what ``encode`` makes of batches to part files and joins them in ``commit``."""
 
@@ -245,18 +287,18 @@ class PartsWriter(DataSourceArrowWriter):
         os.makedirs(self.parts, exist_ok=True)
         number = task.partitionId()
         path = f"{self.parts}/{number}-{task.taskAttemptId()}"
-        count, size = 0, 0
+        count = 0
         names, name_sizes, sizes = [], [], []
-        with open(path, "wb") as out:
+        with closing(Pieces(path)) as out:
             for batch in iterator:
                 for own, records in self.encode(batch):
                     out.write(records.data)
-                    count, size = count + len(records.sizes), size + len(records.data)
+                    count += len(records.sizes)
                     if self.listed:
                         names.append(own.data.tobytes())
                         name_sizes.append(own.sizes.astype("<i4").tobytes())
                         sizes.append(records.sizes.astype("<i8").tobytes())
-        return Part(number, path, count, size, b"".join(names), b"".join(name_sizes), b"".join(sizes))
+        return Part(number, path, count, out.size, b"".join(names), b"".join(name_sizes), b"".join(sizes))
 
     def commit(self, messages):
         parts = sorted((m for m in messages if m), key=lambda m: m.number)
@@ -264,20 +306,18 @@ class PartsWriter(DataSourceArrowWriter):
         whole, at = f"{self.parts}.whole", len(head)
         places = []
         for p in parts:
-            places.append((at, p.path))
+            places += [(at + low, piece) for low, piece in pieces_of(p)]
             at += p.size
         with open(whole, "wb") as out:
             out.write(head)
             out.seek(at)
             out.write(tail)
             out.truncate()
-            for at, part in [] if self.plan else places:
-                out.seek(at)
-                with open(part, "rb") as data:
-                    shutil.copyfileobj(data, out, COPIED)
+            for at, piece in [] if self.plan else places:
+                put_piece(out, at, piece)
         if self.plan:  # tasks copy the parts
             with open(self.plan, "w", encoding="utf-8") as f:
-                f.writelines(f"{x}\n" for x in (whole, self.parts, *(f"{at} {part}" for at, part in places)))
+                f.writelines(f"{x}\n" for x in (whole, self.parts, *(f"{at} {piece}" for at, piece in places)))
             return
         os.replace(whole, self.path)
         shutil.rmtree(self.parts, ignore_errors=True)
@@ -491,14 +531,12 @@ def _write_joined(write: DataFrameWriter, path: str, spark: SparkSession) -> Non
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with open(whole, "r+b") as out:
-                for part, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    out.seek(at)
-                    with open(part, "rb") as data:
-                        shutil.copyfileobj(data, out, COPIED)
+                for piece, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    put_piece(out, at, piece)
             yield batch
 
     if rows:
-        table = spark.createDataFrame(rows, "i long, part string, at long").repartition(min(len(rows), spark.sparkContext.defaultParallelism), "i")
+        table = spark.createDataFrame(rows, "i long, piece string, at long").repartition(min(len(rows), spark.sparkContext.defaultParallelism), "i")
         table.mapInArrow(place, table.schema).write.format("noop").mode("overwrite").save()
     os.replace(whole, target)
     shutil.rmtree(parts, ignore_errors=True)

@@ -89,6 +89,30 @@ def test_what_a_task_tells_the_driver_does_not_grow_with_its_rows(tmp_path, monk
             assert open_reader(str(tmp_path / "x")).names() == ["seq"] * 20_000
 
 
+@pytest.mark.parametrize("size", [0, 1, 99, 100, 101, 250, 300])
+def test_parts_are_emptied_as_they_are_copied(tmp_path, monkeypatch, size):
+    """A file's bytes take room once, but for a piece; a task that is run again copies what is left."""
+    monkeypatch.setattr(containers, "PIECE", 100)
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0))
+    data = random.Random(size).randbytes(size)
+    cut = [data[i : i + 70] for i in range(0, size, 70)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([c], pa.binary())], names=["data"]) for c in cut]
+    writer = containers.ConcatenatedWriter(str(tmp_path / "x"), ["data"], str(tmp_path / "plan"))
+    writer.commit([writer.write(iter(batches))])
+    whole, parts, *pieces = (tmp_path / "plan").read_text().splitlines()
+    assert sorted(os.path.getsize(f"{parts}/{f}") for f in os.listdir(parts)) == sorted([100] * (size // 100) + [size % 100] * (size % 100 > 0))
+    with open(whole, "r+b") as out:
+        for done, (at, piece) in enumerate(x.split(" ", 1) for x in pieces):
+            for _ in range(2):
+                containers.put_piece(out, int(at), piece)
+            assert sum(os.path.getsize(f"{parts}/{f}") for f in os.listdir(parts)) == max(0, size - 100 * (done + 1))
+    with open(whole, "rb") as out:
+        assert out.read() == data
+    plain = containers.ConcatenatedWriter(str(tmp_path / "x"), ["data"])
+    plain.commit([plain.write(iter(batches))])
+    assert (tmp_path / "x").read_bytes() == data
+
+
 @pytest.mark.parametrize("bgzip", [False, True])
 @pytest.mark.parametrize("width", [10, 60, 0])
 def test_indexed_fasta(spark, seqs, tmp_path, bgzip, width):

@@ -10,6 +10,7 @@ import __spark_entry__
 from genoframe.functions import alphabet as A
 from genoframe.operators import fai, regions, runs
 from genoframe.plans import catalogue, containers
+from genoframe.sources.fasta import format_catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -221,3 +222,19 @@ def test_scans_are_pruned(spark):
     assert plan.count("Exchange") == 1
     plan = catalogue.QUERIES["twobit_stats"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_a_catalogued_file_makes_room_for_the_next(spark, monkeypatch):
+    """All of them at once would take nine times the documents' room."""
+    seen, before = [], list(containers._folders)
+
+    def looked(spark, path):
+        assert containers._folders == [*before, path]
+        seen.append(sorted(os.listdir(path)))
+        return format_catalog(spark, path)
+
+    monkeypatch.setattr(containers, "format_catalog", looked)
+    found = containers.QUERIES["format_catalogue"](spark, SF)
+    assert seen == [["a.twobit"], ["a.twobe"], ["a.fourbit"], ["a.fasta"], ["a.bgzf", "a.bgzf.fai", "a.bgzf.gzi"]]
+    assert containers._folders == before
+    assert sorted(r["file"] for r in found.collect()) == sorted(sum(seen, []))
