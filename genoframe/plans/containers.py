@@ -265,9 +265,10 @@ def sharded_extract_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- files as tables ---------------------------------------------------------------
 def format_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats by the files' first bytes; sizes where they follow from the sequences alone.
-    A file goes once it has its row or rows, so the largest takes room, not all of them."""
+    A file goes once it has its row or rows, so the largest takes room, not all of them; it is
+    written first, before any shuffle files are left by others."""
     seqs = sequences(spark, sf_dir)
-    writers = {kind: partial(write_container, kind=kind) for kind in ("twobit", "twobe", "fourbit")}
+    writers = {kind: partial(write_container, kind=kind) for kind in ("twobe", "twobit", "fourbit")}
     writers |= {"fasta": write_fasta, "bgzf": partial(write_indexed_fasta, width=60, bgzip=True)}
     found = []
     for kind, write in writers.items():

@@ -235,6 +235,6 @@ def test_a_catalogued_file_makes_room_for_the_next(spark, monkeypatch):
 
     monkeypatch.setattr(containers, "format_catalog", looked)
     found = containers.QUERIES["format_catalogue"](spark, SF)
-    assert seen == [["a.twobit"], ["a.twobe"], ["a.fourbit"], ["a.fasta"], ["a.bgzf", "a.bgzf.fai", "a.bgzf.gzi"]]
+    assert seen == [["a.twobe"], ["a.twobit"], ["a.fourbit"], ["a.fasta"], ["a.bgzf", "a.bgzf.fai", "a.bgzf.gzi"]]
     assert containers._folders == before
     assert sorted(r["file"] for r in found.collect()) == sorted(sum(seen, []))
